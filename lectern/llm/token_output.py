@@ -20,7 +20,9 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shared_dir, strings, texts, written
+from lectern.llm.common import shared_dir, small, strings, texts, written
 
 MAGIC = b"S8B1"
 # Values a word and bits a value, by selector. Selectors 0 and 1 are runs of ones, 15 is the escape.
 COUNTS = [240, 120, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1]
 WIDTHS = [0, 0, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64]
-BLOCK, FILE_IDS = 16_384, 4_000_000
+BLOCK, FILE_IDS = 16_384, 2_000_000
 END_ID = 1
 _NULL = -(2**63)
 
@@ -45,20 +47,34 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     ids = ids.astype(np.uint64)
+    wide = np.zeros(n + COUNTS[0], np.uint64)  # places behind the end fit everywhere
+    wide[:n] = ids
+    slim = wide.astype(np.uint32) if ids.max() < 1 << 32 else wide
     choice = np.full(n, 15, np.int8)
-    take = np.ones(n, np.int64)
     for s in range(14, 1, -1):
         c, w = COUNTS[s], WIDTHS[s]
-        bad = np.concatenate([[0], np.cumsum(ids >> np.uint64(w) != 0)])
-        at = np.arange(n)
-        end = np.minimum(at + c, n)
-        ok = bad[end] == bad[at]
-        choice[ok], take[ok] = s, (end - at)[ok]
+        if slim.itemsize == 4 and w > 31:
+            choice[:] = s
+            continue
+        over = slim > slim.dtype.type((1 << w) - 1)
+        most = np.count_nonzero(over)
+        if most > len(over) - c:
+            continue
+        if not most:
+            choice[:] = s
+            continue
+        if c == 1:
+            choice[~over[:n]] = s
+            continue
+        bad = np.zeros(len(wide) + 1, np.int32)
+        np.cumsum(over, out=bad[1:])
+        choice[bad[c : c + n] == bad[:n]] = s
+    ones = ids == 1
     for s in (1, 0):
-        if n >= COUNTS[s]:
-            run = np.concatenate([[0], np.cumsum(ids != 1)])
-            ok = np.flatnonzero(run[COUNTS[s] :] == run[: n + 1 - COUNTS[s]])
-            choice[ok], take[ok] = s, COUNTS[s]
+        if np.count_nonzero(ones) >= COUNTS[s]:
+            run = np.concatenate([[0], np.cumsum(~ones)])
+            choice[np.flatnonzero(run[COUNTS[s] :] == run[: n + 1 - COUNTS[s]])] = s
+    take = np.array(COUNTS)[choice]
     nxt = (np.arange(n) + take).tolist()
     at, i = [], 0
     while i < n:
@@ -76,8 +92,7 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
             words[p + 1] = ids[first]
         elif s > 1:
             for k in range(COUNTS[s]):
-                v = first + k
-                words[p] |= np.where(v < n, ids[np.minimum(v, n - 1)], np.uint64(0)) << np.uint64(k * WIDTHS[s])
+                words[p] |= wide[first + k] << np.uint64(k * WIDTHS[s])
     return words
 
 
@@ -131,38 +146,80 @@ def unpack(data: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids as little-endian u32 bytes. White space separates tokens in this vocabulary, so pieces are encoded once and kept."""
+    """Ids as little-endian u32 bytes, by the tokenizers library.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Where the tokenizer squeezes white space first and lets no token hold any, pieces between ASCII white space are
+    encoded once and kept, across the tasks of a worker. A piece that was not seen is split as the tokenizer's own
+    pattern splits it, and its parts, kept likewise, go to the library's model; pieces outside plain Latin text go
+    through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 350_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pieces: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
-        n = rules.get("normalizer") or {}
-        steps = n.get("normalizers", [n])
-        split = rules.get("pre_tokenizer") or {}
-        first = (split.get("pretokenizers") or [split])[0]
-        # Pieces may be encoded apart only where white space is squeezed first and no token may hold it.
-        self.apart = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps) and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"\p{L}" in str(first.get("pattern")) and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in rules["added_tokens"])
+        steps = (rules.get("normalizer") or {}).get("normalizers", [])
+        split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        added = [x["content"] for x in rules["added_tokens"]]
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in rules["added_tokens"]) and all("<" in x for x in added)
+        self.apart = (
+            plain and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+            and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and rules["model"]["type"] == "BPE"
+        )
+        if self.apart:
+            self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
+            # The byte-level alphabet: printable bytes stand for themselves, the others for what follows U+00FF.
+            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [b for b in range(256) if b not in own]
+            self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        out = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        if len(self.parts) < self.most:
+            self.parts[word] = out
+        return out
+
+    def piece(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "surrogatepass")
+        if "<" in text or not (text.isascii() and text.isprintable() or max(text) < "\u0250" and is_normalized("NFC", text) and text.isprintable() and "\u0130" not in text):
+            return self.whole(text)
+        get = self.parts.get
+        return b"".join([get(w) or self.part(w) for w in self.find(text.lower())])
 
     def __call__(self, text: str) -> bytes:
         if not self.apart:
             return self.whole(text)
-        seen, pieces = self.seen, text.encode("utf-8", "surrogatepass").split()
+        seen, pieces = self.pieces, text.encode("utf-8", "surrogatepass").split()
         try:
             return b"".join([seen[p] for p in pieces])
         except KeyError:
             pass
-        new = list({p for p in pieces if p not in seen})
-        coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
-        if len(seen) > self.most:
-            seen.clear()
-            return self(text) if len(new) != len(pieces) else b"".join(np.array(e.ids, "<u4").tobytes() for e in coded)
-        seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
-        return b"".join([seen[p] for p in pieces])
+        new = {p: self.piece(p) for p in set(pieces) if p not in seen}
+        if len(seen) < self.most:  # frequent pieces come early, so the first ones stay
+            seen.update(new)
+            return b"".join([seen[p] for p in pieces])
+        return b"".join([seen[p] if p in seen else new[p] for p in pieces])
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: it outlives the task, for Python workers are reused."""
+    import os
+    import sys
+    from types import ModuleType
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    kept = sys.modules.setdefault("_lectern_kept", ModuleType("_lectern_kept")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _put(folder: str, name: str, data: bytes, attempt: str) -> None:
@@ -186,7 +243,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), f"{task.stageId()}-{task.taskAttemptId()}"
-        code, held, n, before, k, made = Encoder(tokenizer), [], 0, 0, 0, []
+        code, held, n, before, k, made = encoder(tokenizer), [], 0, 0, 0, []
 
         def flush() -> None:
             nonlocal held, n, before, k
@@ -195,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             made.append((part, name, len(held), n))
             held, n, before, k = [], 0, before + n, k + 1
 
-        for b in batches:
+        for b in small(batches):
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 ids = np.frombuffer(code(text) + end, "<u4")
                 held.append((_NULL if doc is None else doc, ids))
