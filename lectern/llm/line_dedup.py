@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import strings, texts, written
+from lectern.llm.common import small, strings, texts, written
 
 LEAST_POINTS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 200_000
@@ -134,7 +134,7 @@ def frequent_keys(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """(h1, h2, n, last) of the keys found in at least `least` documents; counts combine before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2000):
             parts, ids = [], []
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 h = hashes(text)[1]
@@ -187,7 +187,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST_DOCS, broadcast_bound: int =
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {k: Shard.load(x) for k, x in held.value.items()}
-            for b in batches:
+            for b in small(batches, 2000):
                 ids = np.array([_NULL if x is None else x for x in b.column(0).to_pylist()], np.int64)
                 each = [hashes(t) for t in strings(b.column(1))]
                 ends = np.cumsum([0, *(len(x) for x, _ in each)])

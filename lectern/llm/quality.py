@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_split, labelled, shares, sigmoid, strings, texts
+from lectern.llm.common import in_split, labelled, shares, sigmoid, small, strings, texts
 
 MOD, REST, FLOOR = 5, 0, 0.3
 #: Most positives, and most unlabelled texts, to train on.
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: in
     wild = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")  # at most `most` ids
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch([b.column(0), b.column(2), pa.array([features(t).tobytes() for t in strings(b.column(1))], pa.binary())], ["doc_id", "y", "x"])
 
     described = chosen.unionByName(wild).mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
@@ -141,7 +141,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, prior: float | None = None
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch([b.column(0), pa.array(scores(strings(b.column(1)), w))], ["doc_id", "score"])
 
     out = texts(docs).mapInArrow(run, f"doc_id {kind}, score double")
@@ -154,7 +154,7 @@ def accepted(docs: DataFrame, labels: DataFrame, prior: float | None = None) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(scores(strings(b.column(at)), w) >= FLOOR, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

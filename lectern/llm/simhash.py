@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import strings, texts, written
+from lectern.llm.common import small, strings, texts, written
 from lectern.llm.graph import components, in_groups, split_hot
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             raw = b"".join(fingerprint(t, shingle, seed) for t in strings(b.column(1)))
             yield pa.record_batch([b.column(0), pa.array(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64))], ["doc_id", "fp"])
 

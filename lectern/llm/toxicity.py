@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_split, labelled, shares, sigmoid, strings, texts
+from lectern.llm.common import in_split, labelled, shares, sigmoid, small, strings, texts
 from lectern.llm.decontam import _TO_WORDS
 
 MOD, REST, FLOOR = 4, 2, 0.3
@@ -138,7 +138,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         # Only sentences with a word that speaks for toxicity can matter beyond the bias; log(1 - p) of the others is
         # summed all the same, for a whole text counts.
         known = Weights(held.value)
-        for b in batches:
+        for b in small(batches):
             out, spans = [], []
             for t in strings(b.column(1)):
                 p = sentence_scores(t, known, bias)
