@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontam, embed_dedup, line_dedup, mixing, pii, quality, secret_scan, simhash, token_output, toxicity
+from lectern.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,5 +64,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_pii, op4_mixing, op5_token_output, op6_simhash, op7_decontamination, op8_embedding_dedup, op9_toxicity, op10_secrets)}
-
-ORACLES: dict[str, str] = {}
