@@ -24,10 +24,15 @@ ORACLES: dict[str, str] = {}
 c = F.col
 
 
+def whole(sql: str) -> str:
+    """count_if as BIGINT, for DuckDB makes it HUGEINT."""
+    return re.sub(r"\bcount_if\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)", r"count(*) FILTER (WHERE \1)", sql)
+
+
 def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
-        ORACLES[name] = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql).replace(" , ", ", ")
+        ORACLES[name] = whole(re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql).replace(" , ", ", "))
 
 
 def on_papers(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
@@ -170,7 +175,7 @@ on_papers("issue_hist", lambda p: p.select("paper_id", F.explode(_issues()).alia
 on_papers("pattern_groups", lambda p: p.where("n_sections > 0").groupBy(_missing().alias("missing")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("paper_id")), 1, 10), ",").alias("ids")), f"SELECT {MISSING} AS missing, count(*) AS n, array_to_string(list_sort(list(paper_id))[1:10], ',') AS ids FROM papers WHERE n_sections > 0 GROUP BY 1")
 on_papers("worst_papers", lambda p: p.select("paper_id", F.size(R.missing(_tests())).alias("missing_count")).orderBy(F.desc("missing_count"), "paper_id").limit(20), f"SELECT paper_id, CAST(len({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS INT) AS missing_count FROM papers ORDER BY missing_count DESC, paper_id LIMIT 20")
 on_papers("examples_per_field", lambda p: L.rank_first(p.select("paper_id", F.explode(R.missing(_tests())).alias("field")), ["field"], [c("paper_id")], 3), f"SELECT * FROM (SELECT paper_id, field, CAST(row_number() OVER (PARTITION BY field ORDER BY paper_id) AS INT) AS rank FROM (SELECT paper_id, unnest({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS field FROM papers)) WHERE rank <= 3")
-add("topk_exploded", lambda s, d: R.top_k(table(s, d, "documents").select(F.explode(F.split(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), " ")).alias("word")).where("word <> ''"), "word", 15), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 15")
+add("topk_exploded", lambda s, d: R.top_k(table(s, d, "documents").select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")).where("word <> ''"), "word", 15), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(replace(text, chr(10), chr(32))), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 15")
 add("stats_mean_median", lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("median"), F.max("n_chars").alias("most"), F.min("n_chars").alias("least")), "SELECT lang, round(avg(n_chars), 4) AS mean, median(n_chars) AS median, max(n_chars) AS most, min(n_chars) AS least FROM documents GROUP BY lang")
 _stage = "CASE WHEN doc_id % 19 = 0 THEN 1 WHEN doc_id % 13 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 3 ELSE 4 END"
 _reached = "SELECT stage, count_if(reached >= stage) AS papers FROM (SELECT " + _stage + " AS reached FROM papers), range(1, 5) AS r(stage) GROUP BY stage"
