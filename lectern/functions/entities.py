@@ -104,3 +104,23 @@ def statistical(text: Column, case_fix: bool = False) -> Column:
     """At least two kinds of statistical content in the first 2000 characters."""
     low = F.lower(F.substring(text, 1, 2000))
     return sum((low.rlike(p.lower().replace(r"\d", "[0-9]") if case_fix else p).cast("int") for p in STATISTICAL), F.lit(0)) >= 2
+
+
+# Mentions in a whole document, besides the entities above.
+SOFTWARE_MENTION = (r"(?:using|with|via|through)\s+([A-Z][A-Za-z0-9\+\-\.]+)(?:\s+v?[\d\.]+)?", r"([A-Z]+[A-Za-z]*)\s+(?:software|package|library|tool)", r"(?:R|Python|MATLAB|SPSS|SAS|Stata)\s+(?:package|library)?\s*([A-Za-z0-9_]+)")
+DATASET_MENTION = (r"(?:dataset|database|corpus|repository)[\s:]+([A-Za-z0-9\-_]+)", r"(GSE\d+|GEO\d+|TCGA-[A-Z]+)", r"(?:available at|deposited in|from)\s+([A-Za-z0-9\-_]+)\s+(?:database|repository)")
+FUNDING_MENTION = (r"(?:grant|award)[\s#:]+([A-Z0-9\-/]+)", r"(?:NIH|NSF|DOE|NASA|DARPA|ERC)[\s\-]?([A-Z0-9\-]+)", r"(?:funded|supported)\s+by\s+([^.,;]+)")
+TRIAL_MENTION = (r"(NCT\d{8})", r"(ISRCTN\d{8})", r"(EudraCT[\s\-]?\d{4}[\s\-]?\d{6}[\s\-]?\d{2})")
+P_MENTION = (r"[pP][\s=<>≤≥]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)", r"[pP]-value[s]?[\s:=]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)")
+SIZE_MENTION = (r"[nN][\s=]+(\d+)", r"sample size[\s:=]+(\d+)", r"(\d+)\s+(?:participants|subjects|patients)")
+URL_MENTION = (r"(https?://[^\s<>\"{}|\\^`\[\]]+)",)
+#: Name, patterns, whether letters match in any case, whether repeats count once.
+MENTIONS = (
+    ("software", SOFTWARE_MENTION, False, True), ("datasets", DATASET_MENTION, True, True), ("funding", FUNDING_MENTION, True, True), ("trials", TRIAL_MENTION, False, True),
+    ("p_values", P_MENTION, False, False), ("sample_sizes", SIZE_MENTION, False, False), ("urls", URL_MENTION, False, True),
+)
+
+
+def mentions(text: Column) -> list[Column]:
+    """A list of texts for each of MENTIONS: sorted where repeats count once, else in the order of the patterns."""
+    return [(F.array_sort(F.array_distinct(found(text, p, 1, any_case))) if once else found(text, p, 1, any_case)).alias(name) for name, p, any_case, once in MENTIONS]

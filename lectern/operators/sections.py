@@ -128,3 +128,12 @@ def extraction_quality(abstract: Column, s: Column) -> Column:
     key = sum((F.when(F.length(s[k]) > 100, 0.125).otherwise(0.0) for k in ("introduction", "methods", "results", "discussion")), F.lit(0.0))
     size = total_chars(s)
     return F.least(F.lit(1.0), F.when(F.coalesce(abstract, F.lit("")) != "", 0.3).otherwise(0.0) + key + first_case([(size > 10000, 0.2), (size > 5000, 0.1), (size > 2000, 0.05)], 0.0))
+
+
+# Other words for a section's name.
+ALIASES = {"method": "methods", "methodology": "methods", "result": "results", "finding": "results", "conclusion": "conclusions", "discussion": "discussion", "discuss": "discussion"}
+
+
+def header_parts(name: Column) -> Column:
+    """The sections that a header names: its parts around " and ", aliases resolved."""
+    return F.transform(F.split(F.lower(name), " and "), lambda x: F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in ALIASES.items()), x))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import contains_any, first_case, present
@@ -110,3 +111,36 @@ def rates(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """One row: n, and per test the percentage of rows that pass it (0 without rows)."""
     share = lambda t: F.round(100.0 * F.count_if(t) / F.greatest(F.count("*"), F.lit(1)), 6)
     return rows.agg(F.count("*").alias("n"), *(share(t).alias(f"pct_{k}") for k, t in tests.items()))
+
+
+# The weight of what lies so many values back is below a double's precision for rates of 0.3 and more.
+EMA_REACH = 128
+
+
+def moving_average(rows: DataFrame, key: str, order: list[str], value: str, rate: float = 0.3) -> DataFrame:
+    """key, ema: each key's exponential moving average, from its first value on.
+
+    Only the last EMA_REACH values of a key weigh anything, so ranks are limited before the shuffle and a hot key is no hot task.
+    """
+    back = F.row_number().over(W.partitionBy(key).orderBy(*(F.desc(o) for o in order))) - 1
+    last = rows.where(F.col(value).isNotNull()).select(key, value, back.alias("back")).where(F.col("back") < EMA_REACH)
+    weight = F.pow(F.lit(1 - rate), F.col("back"))
+    return last.groupBy(key).agg((F.sum(rate * weight * F.col(value)) + (1 - rate) * F.max_by(F.col(value) * weight, "back")).alias("ema"))
+
+
+def entity_coverage(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every wanted (kind, entity) with the number of papers that hold it; 0 is a gap. found: (paper_id, kind, entity)."""
+    held = found.join(wanted, ["kind", "entity"], "left_semi").groupBy("kind", "entity").agg(F.count_distinct("paper_id").alias("papers"))
+    return wanted.distinct().join(held, ["kind", "entity"], "left").na.fill(0, ["papers"])
+
+
+def reproducible(rows: DataFrame, requires: str = "both", least: float = 60) -> DataFrame:
+    """rows (with has_code, has_data, score) whose code, data or both are there, at a score of at least `least`."""
+    needs = {"code": F.col("has_code"), "data": F.col("has_data"), "both": F.col("has_code") & F.col("has_data")}
+    return rows.where(needs[requires] & (F.col("score") >= least))
+
+
+def large_studies(rows: DataFrame, least: int = 1000, study_type: str | None = None) -> DataFrame:
+    """rows (with sample_sizes, study_type) with a sample of at least `least`, of one type or all."""
+    out = rows.where(F.array_max("sample_sizes") >= least)
+    return out.where(F.lower("study_type") == study_type.lower()) if study_type else out

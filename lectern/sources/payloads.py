@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DATE = "struct<`date-parts`: array<array<int>>>"
@@ -55,3 +55,84 @@ def creator_names(creators: Column) -> Column:
     people = F.filter(creators, lambda p: p["creatorType"].isin("author", "contributor"))
     named = F.transform(people, lambda p: F.coalesce(F.nullif(F.trim(F.concat_ws(" ", p["firstName"], p["lastName"])), F.lit("")), p["name"]))
     return F.filter(named, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+# What is read of a scholar graph's paper, a repository aggregator's work and a preprint feed's entry.
+PAPER = (
+    "paperId string, externalIds struct<DOI: string, PubMed: string, ArXiv: string>, title string, abstract string, year string, publicationDate string, venue string, journal struct<name: string, volume: string, pages: string>, "
+    "publicationVenue struct<id: string, type: string, alternate_names: array<string>, issn: string>, citationCount int, referenceCount int, influentialCitationCount int, isOpenAccess boolean, openAccessPdf struct<url: string>, "
+    "fieldsOfStudy array<string>, s2FieldsOfStudy array<struct<category: string, source: string>>, publicationTypes array<string>, "
+    "authors array<struct<authorId: string, name: string, hIndex: int, citationCount: int, paperCount: int>>, tldr struct<text: string, model: string>, citations array<struct<title: string>>, references array<struct<title: string>>"
+)
+REPOSITORY_WORK = (
+    "id string, title string, doi string, yearPublished int, abstract string, fullText string, downloadUrl string, dataProvider struct<id: string, name: string, url: string>, authors array<struct<name: string>>, publisher string, "
+    "journal struct<title: string, identifiers: array<string>>, language string, documentType string, oai string, links array<struct<url: string, type: string>>, downloadCount int, viewCount int"
+)
+ENTRY = (
+    "id string, title string, summary string, author array<struct<name: string, affiliation: string>>, published string, updated string, primary_category struct<_term: string>, category array<struct<_term: string>>, doi string, journal_ref string, comment string"
+)
+MOST_TITLES = 10
+
+
+def _some(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))
+
+
+def flat_paper(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with a scholar graph's paper: ids, metrics (0 where missing), named authors, highest h-index above 0, first titles."""
+    w = F.from_json(F.col(payload), PAPER)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    titles = lambda x: F.transform(F.slice(x, 1, MOST_TITLES), lambda t: F.coalesce(t["title"], F.lit("")))
+    people = F.filter(w["authors"], lambda a: F.coalesce(a["name"], F.lit("")) != "")
+    return rows.withColumns({
+        "graph_id": F.coalesce(w["paperId"], F.lit("")), "doi": _some(w["externalIds"]["DOI"]), "pubmed_id": w["externalIds"]["PubMed"], "arxiv_id": w["externalIds"]["ArXiv"],
+        "title": _some(w["title"]), "abstract": _some(w["abstract"]), "year": F.nullif(_some(w["year"]), F.lit("0")), "publication_date": _some(w["publicationDate"]), "venue": _some(w["venue"]),
+        "journal": _some(w["journal"]["name"]), "volume": _some(w["journal"]["volume"]), "pages": _some(w["journal"]["pages"]), "venue_detail": w["publicationVenue"],
+        "citation_count": zero(w["citationCount"]), "reference_count": zero(w["referenceCount"]), "influential_citation_count": zero(w["influentialCitationCount"]),
+        "is_open_access": F.coalesce(w["isOpenAccess"], F.lit(False)), "open_access_pdf_url": w["openAccessPdf"]["url"], "fields_of_study": w["fieldsOfStudy"], "field_sources": w["s2FieldsOfStudy"], "publication_types": w["publicationTypes"],
+        "authors": people, "max_author_h_index": F.array_max(F.filter(people["hIndex"], lambda h: h != 0)), "tldr": w["tldr"]["text"], "tldr_model": w["tldr"]["model"],
+        "citation_titles": titles(w["citations"]), "reference_titles": titles(w["references"]),
+    }).drop(payload)
+
+
+def flat_repository_work(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with a repository aggregator's work; language is a name or an object that has one."""
+    w = F.from_json(F.col(payload), REPOSITORY_WORK)
+    url = _some(w["downloadUrl"])
+    return rows.withColumns({
+        "core_id": w["id"], "title": w["title"], "doi": w["doi"], "year": w["yearPublished"], "abstract": w["abstract"], "has_fulltext": w["fullText"].isNotNull(), "download_url": url, "has_pdf": url.endswith(".pdf"),
+        "repository": w["dataProvider"], "authors": F.filter(w["authors"]["name"], lambda n: F.coalesce(n, F.lit("")) != ""), "publisher": _some(w["publisher"]), "journal": w["journal"]["title"], "issn": F.get(w["journal"]["identifiers"], 0),
+        "language": F.when(w["language"].startswith("{"), F.get_json_object(w["language"], "$.name")).otherwise(_some(w["language"])), "document_type": _some(w["documentType"]), "oai_identifier": _some(w["oai"]),
+        "links": F.filter(w["links"], lambda x: F.coalesce(x["url"], F.lit("")) != ""), "download_count": F.nullif(w["downloadCount"], F.lit(0)), "view_count": F.nullif(w["viewCount"], F.lit(0)),
+    }).drop(payload)
+
+
+def _entry(w: dict[str, Column] | Column) -> dict[str, Column]:
+    full = _some(F.regexp_extract(w["id"], r"arxiv\.org/abs/(.+)$", 1))
+    bare = F.regexp_replace(full, r"v\d+$", "")
+    primary = _some(w["primary_category"]["_term"])
+    others = F.coalesce(w["category"]["_term"], F.array().cast("array<string>"))
+    return {
+        "title": F.trim(F.coalesce(w["title"], F.lit(""))), "abstract": F.trim(F.coalesce(w["summary"], F.lit(""))), "arxiv_id": bare, "version": F.regexp_extract(full, r"v(\d+)$", 1).try_cast("int"),
+        "arxiv_url": F.concat(F.lit("https://arxiv.org/abs/"), bare), "pdf_url": F.concat(F.lit("https://arxiv.org/pdf/"), bare, F.lit(".pdf")),
+        "authors": F.filter(w["author"], lambda a: F.coalesce(a["name"], F.lit("")) != ""), "first_submitted": _some(F.substring(w["published"], 1, 10)),
+        "last_updated": F.when(~w["updated"].eqNullSafe(w["published"]), _some(F.substring(w["updated"], 1, 10))), "primary_category": primary,
+        "categories": F.filter(F.array_distinct(F.concat(F.array(primary), others)), lambda x: F.coalesce(x, F.lit("")) != ""), "published_doi": _some(w["doi"]), "journal_ref": _some(w["journal_ref"]), "comment": _some(w["comment"]),
+    }
+
+
+def flat_entry(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with a preprint feed's entry (XML): id without version, links, distinct categories with the primary one first."""
+    return rows.withColumns(_entry(F.from_xml(F.col(payload), ENTRY, {"ignoreNamespace": "true"}))).drop(payload)
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of Atom feeds, split by Spark's reader."""
+    rows = spark.read.format("xml").options(rowTag="entry", ignoreNamespace="true").schema(ENTRY).load(path)
+    return rows.select(*(v.alias(k) for k, v in _entry({x: F.col(x) for x in rows.columns}).items()))
+
+
+def author_names(named: Column, *plain: Column) -> Column:
+    """Names of the first list that holds any: structs with a name, then lists of names."""
+    some = lambda x: F.when(F.size(x) > 0, x)
+    return F.coalesce(F.when(F.size(named) > 0, F.filter(named["name"], lambda n: F.coalesce(n, F.lit("")) != "")), *map(some, plain), F.array().cast("array<string>"))
