@@ -276,7 +276,7 @@ WITH_MAP = f"WITH {PAPERS_SQL}, {SECTIONS_SQL}, {PIVOT}"
 _band = lambda *b: case([(f"total > {n}", str(v)) for n, v in b], "0")
 add("abstract_recovery", lambda s, d: _mapped(s, d).select("paper_id", S.abstract_recovered(c("sections"), c("title")).alias("abstract")))
 add("completeness", lambda s, d: _mapped(s, d).select("paper_id", S.completeness(c("abstract"), c("sections")).alias("score")), f"{WITH_MAP} SELECT paper_id, CASE WHEN length(abstract) > 100 THEN 20 WHEN length(abstract) > 50 THEN 10 ELSE 0 END + " + " + ".join(f"CASE WHEN length({k}) > 200 THEN {p} ELSE 0 END" for k, p in (("introduction", 15), ("methods", 20), ("results", 15), ("discussion", 10))) + f" + {_band((10000, 20), (5000, 15), (2000, 10), (1000, 5))} AS score FROM m JOIN papers USING (paper_id)")
-add("extraction_quality", lambda s, d: _mapped(s, d).select("paper_id", F.round(S.extraction_quality(c("abstract"), c("sections")), 6).alias("score")), f"{WITH_MAP} SELECT paper_id, round(least(1.0, CASE WHEN abstract <> '' THEN 0.3 ELSE 0 END + " + " + ".join(f"CASE WHEN length({k}) > 100 THEN 0.125 ELSE 0 END" for k in ("introduction", "methods", "results", "discussion")) + f" + {_band((10000, 0.2), (5000, 0.1), (2000, 0.05))}), 6) AS score FROM m JOIN papers USING (paper_id)")
+add("extraction_quality", lambda s, d: _mapped(s, d).select("paper_id", F.round(S.extraction_quality(c("abstract"), c("sections")), 6).alias("score")), f"{WITH_MAP} SELECT paper_id, round(least(CAST(1.0 AS DOUBLE), CASE WHEN abstract <> '' THEN 0.3 ELSE 0 END + " + " + ".join(f"CASE WHEN length({k}) > 100 THEN 0.125 ELSE 0 END" for k in ("introduction", "methods", "results", "discussion")) + f" + {_band((10000, 0.2), (5000, 0.1), (2000, 0.05))}), 6) AS score FROM m JOIN papers USING (paper_id)")
 
 # --- entities -------------------------------------------------------------------------------------------------------
 join = lambda x: F.array_join(x.cast("array<string>") if not isinstance(x, str) else x, ",")
