@@ -345,7 +345,7 @@ on_papers("export_citations", lambda p: p.select("paper_id", *(x.alias(n) for n,
 def _tei(s: SparkSession, d: str) -> DataFrame:
     p = papers(s, d)
     esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(c("title")), F.lit('</title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>Ann</forename><surname>'), esc(c("author")), F.lit('</surname></persName></author></analytic><monogr><imprint><date when="'), F.coalesce("year", F.lit("")), F.lit('"/></imprint></monogr><idno type="DOI">'), esc(c("doi")), F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), esc(c("abstract")), F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Methods</head><p>"), esc(F.substring("body", 1, 200)), F.lit('</p></div></body><back><listBibl><biblStruct><analytic><title>Cited</title></analytic><monogr><imprint><date when="1999"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>'))
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(c("title")), F.lit('</title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>Ann</forename><surname>'), esc(c("author")), F.lit('</surname></persName></author></analytic><monogr><imprint><date when="'), F.coalesce("year", F.lit("")), F.lit('"/></imprint></monogr><idno type="DOI">'), esc(c("doi")), F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), esc(c("abstract")), F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Methods</head><p>"), esc(c("body")), F.lit('</p></div></body><back><listBibl><biblStruct><analytic><title>Cited</title></analytic><monogr><imprint><date when="1999"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>'))
     return tei.parse_tei(p.select("paper_id", xml.alias("xml")))
 
 
