@@ -1,16 +1,17 @@
 """Secrets with corpus-wide ownership frequency, in DataFrame functions only.
 
-Base detectors (assign, access, hex) follow fixed patterns and their spans always stay. Further candidates (tokens with
-well-known prefixes, JSON web tokens, private key headers, bearer values) count as findings only if the corpus says so:
-every candidate's hash is aggregated by the distinct repositories and owners that hold it, and one that `spread` or
-more owners share is a widely copied example, while one that stays with few owners looks live and is added.
-
-Texts are read once: positions and hashes of what matched go to a written table, and only rows with further candidates
-take part in the aggregation, whose counts combine before the shuffle. Positions come from the lengths of the pieces
-between matches and of the matches.
-
-Defined results: a null or empty text has no spans. Repeated rows have results of their own; they add no owner. A null
-source is an owner of its own. Offsets are code points.
+Every candidate's hash is aggregated by the distinct owners and the distinct repositories that hold it: one that
+`spread` or more owners and `spread` or more repositories share is a widely copied example, and any other looks live.
+Base detectors (assign, access, hex) follow fixed patterns; their spans always stay, and columns of their own say which
+of them are live and which are examples. Further candidates (tokens with well-known prefixes, JSON web tokens, private
+key headers, bearer values) are findings only if they are live.
+
+Texts are read once: positions and hashes of what matched go to a written table, and only rows with candidates take
+part in the aggregation, whose counts combine before the shuffle. Positions come from the lengths of the pieces between
+matches and of the matches.
+
+Defined results: a null or empty text has no spans. Repeated rows have results of their own; they add no owner and no
+repository. A null source is an owner of its own. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -61,14 +62,15 @@ def _joined(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(h, owners, repositories) from (h, owner, repository): distinct first, so a hot candidate is combined early."""
-    each = candidates.groupBy("h", "owner", "repository").agg(F.lit(1).alias("_"))
-    by_owner = each.groupBy("h", "owner").agg(F.count("*").alias("r"))
-    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
+    """(h, owners, repositories) from (h, owner, repository): each distinct first, so a hot candidate is combined early."""
+    held = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("by")) for k, c in enumerate(("owner", "repository"))))
+    each = candidates.select("h", F.inline(held)).groupBy("h", "k", "by").agg(F.lit(1).alias("_"))
+    return each.groupBy("h").agg(F.count_if(F.col("k") == 0).alias("owners"), F.count_if(F.col("k") == 1).alias("repositories"))
 
 
 def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, spread: int = SPREAD) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, then the verdict on base candidates:
+    n_base_live, n_base_example, base_live_spans, base_example_spans.
 
     owner and repository default to source, and source and lang: what in this table stands for them.
     """
@@ -81,13 +83,18 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
         F.array_sort(F.concat(*(_found(F.col("text"), i + len(BASE), p, g, n) for i, (_, p, g, n) in enumerate(MORE)))).alias("more"),
     )
     found = written(found.withColumn("base", F.array_sort(F.concat(*(F.col(k) for k, *_ in BASE)))), "secrets")
-    asked = found.where(F.size("more") > 0).select("row", "owner", "repository", F.explode("more").alias("m")).select("row", "owner", "repository", "m", F.col("m.h").alias("h"))
-    owned = ownership(asked.select("h", "owner", "repository")).select("h", (F.col("owners") < spread).alias("live"))
-    judged = asked.join(owned, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("live"), F.col("m")))).alias("live"), F.count_if(~F.col("live")).alias("n_example"))
+    asked = found.select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("m")).withColumn("h", F.col("m.h"))
+    # Only the examples are joined back. Written, so that their size picks the join and a hot candidate's rows can be split.
+    copied = (F.col("owners") >= spread) & (F.col("repositories") >= spread)
+    examples = written(ownership(asked.select("h", "owner", "repository")).where(copied).select("h", F.lit(True).alias("example")), "examples")
+    of_base, example = F.col("m.k") < len(BASE), F.col("example").isNotNull()
+    some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("m"))))
+    judged = asked.join(examples, "h", "left").groupBy("row").agg(some(~of_base & ~example).alias("live"), F.count_if(~of_base & example).alias("n_example"), some(of_base & ~example).alias("base_live"), some(of_base & example).alias("base_example"))
     rows = found.join(judged, "row", "left")
-    live = F.coalesce("live", F.array().cast(found.schema["base"].dataType))
+    live, base_live, base_example = (F.coalesce(k, F.array().cast(found.schema["base"].dataType)) for k in ("live", "base_live", "base_example"))
     clear = F.filter(live, lambda m: ~F.exists(F.col("base"), lambda x: (x["s"] < m["e"]) & (m["s"] < x["e"])))
     return rows.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat(F.col("base"), clear))).alias("spans"), F.size(clear).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.size(base_live).cast("long").alias("n_base_live"), F.size(base_example).cast("long").alias("n_base_example"), _joined(base_live).alias("base_live_spans"), _joined(base_example).alias("base_example_spans"),
     )
