@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import jaccard, jaccard_stop, present, title_key, tokens
+from lectern.functions.text import STOP_WORDS, jaccard, jaccard_stop, present, title_key, tokens
+
+# Fixed values of the candidate searches; none of them decides what is found.
+GRAM, RANKED = 12, 20_000
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,12 +35,20 @@ def link_key_then_title(papers: DataFrame, source: DataFrame) -> DataFrame:
     return both.select("paper_id", F.coalesce("_d", "_t").alias("item_id"), F.when(F.col("_d").isNotNull(), "doi").when(F.col("_t").isNotNull(), "title").alias("how"))
 
 
-def candidates(papers: DataFrame, source: DataFrame) -> DataFrame:
-    """Pairs that share a block: a title's first word. Blocks are equi-joined, so no theta join meets all pairs."""
-    block = lambda c: F.substring_index(F.lower(c), " ", 1)
-    left = papers.select("paper_id", "title", "authors", "year").where(present(F.col("title"))).withColumn("block", block(F.col("title")))
-    right = source.select("item_id", F.col("title").alias("item_title"), F.col("authors").alias("item_authors"), F.col("year").alias("item_year")).where(present(F.col("item_title"))).withColumn("block", block(F.col("item_title")))
-    return left.join(right, "block").drop("block")
+def _titles(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct lower-cased titles: what is compared, so that copies of a title are compared once."""
+    return rows.where(present(F.col("title"))).select(F.lower("title").alias(name)).distinct()
+
+
+def _ranks(words: DataFrame) -> DataFrame:
+    """(k, n) of the most frequent keys. Rarity only orders the keys of a title, so a bounded list loses no pair."""
+    return F.broadcast(words.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(RANKED))
+
+
+def _rows_of(found: DataFrame, papers: DataFrame, source: DataFrame, *also: str) -> DataFrame:
+    """Pairs of titles (t, u) as pairs of papers and items; of items alike in title and `also`, the first."""
+    items = source.groupBy(F.lower("title").alias("u"), *(F.col(c).alias(f"item_{c}") for c in also)).agg(F.min("item_id").alias("item_id"))
+    return papers.select("paper_id", F.lower("title").alias("t"), *also).join(found, "t").join(items, "u")
 
 
 def best(pairs: DataFrame, score: str) -> DataFrame:
@@ -46,23 +57,72 @@ def best(pairs: DataFrame, score: str) -> DataFrame:
     return pairs.groupBy("paper_id").agg(top.alias("_b")).select("paper_id", "_b.item_id", f"_b.{score}")
 
 
-def link_contains(pairs: DataFrame) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))))
+
+
+def held_in(needles: DataFrame, n: str, hay: DataFrame, h: str) -> DataFrame:
+    """(n, h) with the first 50 characters of n in h. Candidates hold the needle's rarest gram, which every match holds."""
+    first = needles.select(n, F.substring(n, 1, 50).alias("first")).withColumn("size", F.least(F.length("first"), F.lit(GRAM)))
+    # Needles shorter than a gram are a gram of their own; at most GRAM sizes.
+    sizes = sorted(r["size"] for r in first.select("size").distinct().collect())
+    if not sizes:
+        return needles.crossJoin(hay.limit(0))
+    held = hay.select(h, F.explode(F.flatten(F.array(*(_grams(F.col(h), k) for k in sizes)))).alias("k"))
+    each = first.select(n, "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("first") - F.col("size") + 1), lambda i: F.substr("first", i, F.col("size"))))).alias("k"))
+    rarest = each.join(_ranks(held), "k", "left").groupBy(n, "first").agg(F.min_by("k", F.struct(F.coalesce("n", F.lit(0)), "k")).alias("k"))
+    return rarest.join(held, "k").where(F.col(h).contains(F.col("first"))).select(n, h)
+
+
+def link_contains(papers: DataFrame, source: DataFrame) -> DataFrame:
     """Titles of over 20 characters of which one's first 50 stand in the other: the first item."""
-    a, b = F.lower("title"), F.lower("item_title")
-    hit = (F.length("title") > 20) & (b.contains(F.substring(a, 1, 50)) | a.contains(F.substring(b, 1, 50)))
-    return pairs.where(hit).groupBy("paper_id").agg(F.min("item_id").alias("item_id"))
+    papers = papers.where(F.length("title") > 20)
+    a, b = _titles(papers, "t"), _titles(source, "u")
+    found = held_in(a, "t", b, "u").unionByName(held_in(b, "u", a, "t")).distinct()
+    return _rows_of(found, papers, source).groupBy("paper_id").agg(F.min("item_id").alias("item_id"))
 
 
-def link_jaccard_stop(pairs: DataFrame, floor: float = 0.85) -> DataFrame:
-    return best(pairs.withColumn("score", F.round(jaccard_stop(F.col("title"), F.col("item_title")), 6)).where(F.col("score") >= floor), "score")
+def overlapping(a: DataFrame, b: DataFrame, words: Callable[[Column], Column], floor: float) -> DataFrame:
+    """(t, u) that can have a word overlap of floor or more: by prefix filtering, in which titles of that overlap share one
+    of their rarest words, size - ceil(floor * size) + 1 of them. Titles without words meet their equals."""
+    least = floor - 1e-6
 
+    def side(titles: DataFrame, t: str) -> DataFrame:
+        return titles.select(t, words(F.col(t)).alias("w"))
 
-def link_jaccard_author(pairs: DataFrame, floor: float = 0.7) -> DataFrame:
+    left, right = side(a, "t"), side(b, "u")
+    ranks = _ranks(left.select(F.explode("w").alias("k")).unionAll(right.select(F.explode("w").alias("k"))))
+
+    def keyed(rows: DataFrame, t: str) -> DataFrame:
+        each = rows.select(t, F.explode("w").alias("k")).join(ranks, "k", "left").groupBy(t).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))).alias("w"))
+        size = F.size("w")
+        some = each.select(t, size.alias(f"size_{t}"), F.explode(F.slice("w", F.lit(1), size - F.ceil(size * least).cast("int") + 1)["k"]).alias("k"))
+        return some.unionByName(rows.where(F.size("w") == 0).select(t, F.lit(0).alias(f"size_{t}"), F.concat(F.lit("\0"), t).alias("k")))
+
+    near = (F.col("size_t") >= F.col("size_u") * least) & (F.col("size_u") >= F.col("size_t") * least)
+    return keyed(left, "t").join(keyed(right, "u"), "k").where(near).select("t", "u").distinct()
+
+
+def link_jaccard_stop(papers: DataFrame, source: DataFrame, floor: float = 0.85) -> DataFrame:
+    near = overlapping(_titles(papers, "t"), _titles(source, "u"), lambda c: F.array_except(tokens(c), F.array(*map(F.lit, STOP_WORDS))), floor)
+    found = near.withColumn("score", F.round(jaccard_stop(F.col("t"), F.col("u")), 6)).where(F.col("score") >= floor)
+    return best(_rows_of(found, papers, source), "score")
+
+
+def link_jaccard_author(papers: DataFrame, source: DataFrame, floor: float = 0.7) -> DataFrame:
     """Word overlap of at least floor, and 0.2 more where an author of one side is part of one of the other."""
-    overlap = jaccard(tokens(F.col("title")), tokens(F.col("item_title")))
+    near = overlapping(_titles(papers, "t"), _titles(source, "u"), tokens, floor)
+    found = near.withColumn("o", jaccard(tokens(F.col("t")), tokens(F.col("u")))).where(F.col("o") >= floor)
     known = F.exists("authors", lambda x: F.exists(F.col("item_authors"), lambda y: F.lower(x).contains(F.lower(y)) | F.lower(y).contains(F.lower(x))))
-    scored = pairs.withColumn("o", overlap).where(F.col("o") >= floor)
-    return best(scored.withColumn("score", F.round(F.col("o") + F.when(known, 0.2).otherwise(0.0), 6)), "score")
+    return best(_rows_of(found, papers, source, "authors").withColumn("score", F.round(F.col("o") + F.when(known, 0.2).otherwise(0.0), 6)), "score")
+
+
+def candidates(papers: DataFrame, source: DataFrame) -> DataFrame:
+    """Pairs that share a block: a title's first word. Blocks are equi-joined, so no theta join meets all pairs."""
+    block = lambda c: F.substring_index(F.lower(c), " ", 1)
+    left = papers.select("paper_id", "title", "authors", "year").where(present(F.col("title"))).withColumn("block", block(F.col("title")))
+    right = source.select("item_id", F.col("title").alias("item_title"), F.col("authors").alias("item_authors"), F.col("year").alias("item_year")).where(present(F.col("item_title"))).withColumn("block", block(F.col("item_title")))
+    return left.join(right, "block").drop("block")
 
 
 def seq_ratio(left: Column, right: Column) -> Column:
