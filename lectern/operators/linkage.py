@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import STOP_WORDS, jaccard, jaccard_stop, present, title_key, tokens
 
 # Fixed values of the candidate searches; none of them decides what is found.
-GRAM, RANKED = 12, 20_000
+GRAM, RANKED, SALTS = 12, 20_000, 32
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -117,31 +118,55 @@ def link_jaccard_author(papers: DataFrame, source: DataFrame, floor: float = 0.7
     return best(_rows_of(found, papers, source, "authors").withColumn("score", F.round(F.col("o") + F.when(known, 0.2).otherwise(0.0), 6)), "score")
 
 
-def candidates(papers: DataFrame, source: DataFrame) -> DataFrame:
-    """Pairs that share a block: a title's first word. Blocks are equi-joined, so no theta join meets all pairs."""
-    block = lambda c: F.substring_index(F.lower(c), " ", 1)
-    left = papers.select("paper_id", "title", "authors", "year").where(present(F.col("title"))).withColumn("block", block(F.col("title")))
-    right = source.select("item_id", F.col("title").alias("item_title"), F.col("authors").alias("item_authors"), F.col("year").alias("item_year")).where(present(F.col("item_title"))).withColumn("block", block(F.col("item_title")))
-    return left.join(right, "block").drop("block")
+def seq_ratio(left: Column, right: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp similarity, by difflib in Arrow batches; null where it is surely under least.
 
-
-def seq_ratio(left: Column, right: Column) -> Column:
-    """Ratcliff-Obershelp similarity, by difflib in Arrow batches."""
+    Matched blocks are a common subsequence, so twice the longest one's length over both lengths bounds the ratio.
+    """
 
     @F.pandas_udf("double")
     def ratio(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from difflib import SequenceMatcher
 
+        def longest(at: dict[str, int], full: int, b: str) -> int:
+            """Length of the longest common subsequence, by bits: a zero is a matched place."""
+            v = full
+            for ch in b:
+                u = v & at.get(ch, 0)
+                v = ((v + u) | (v - u)) & full
+            return full.bit_count() - v.bit_count()
+
+        def one(a: str, b: str, places: dict[str, dict[str, int]]) -> float | None:
+            if a not in places:
+                places[a] = at = {}
+                for i, ch in enumerate(a):
+                    at[ch] = at.get(ch, 0) | 1 << i
+            if 2 * longest(places[a], (1 << len(a)) - 1, b) < least * (len(a) + len(b)):
+                return None
+            return SequenceMatcher(None, a, b).ratio()
+
         for a, b in it:
-            yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+            places: dict[str, dict[str, int]] = {}
+            yield pd.Series([one(x or "", y or "", places) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio(left, right)
 
 
-def link_seqratio(pairs: DataFrame, floor: float = 0.8) -> DataFrame:
-    """Sequence similarity of lower-cased titles, and 0.1 more for equal years."""
+def link_seqratio(papers: DataFrame, source: DataFrame, floor: float = 0.8) -> DataFrame:
+    """Sequence similarity of lower-cased titles, and 0.1 more for equal years.
+
+    A ratio of `least` bounds the lengths: the longer title has at most (2 - least) / least times the shorter's. Titles
+    meet those of their own class of length and of its neighbours, dealt out over SALTS parts.
+    """
+    least = floor - 0.1 - 1e-6
+    reach = (2 - least) / least
+    size = lambda t: F.floor(F.log(F.length(t).cast("double")) / math.log(reach)).cast("int")
+    a = _titles(papers, "t").select("t", size("t").alias("k"), F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt"))
+    b = _titles(source, "u").select("u", F.explode(F.array(*(size("u") + i for i in (-1, 0, 1)))).alias("k")).select("u", "k", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    near = F.greatest(F.length("t"), F.length("u")) <= F.least(F.length("t"), F.length("u")) * reach
+    found = a.join(b, ["k", "salt"]).where(near).select("t", "u").withColumn("ratio", seq_ratio(F.col("t"), F.col("u"), least)).where(F.col("ratio") >= least)
     same = F.when(F.col("year") == F.col("item_year"), 0.1).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(seq_ratio(F.lower("title"), F.lower("item_title")) + same, 6))
+    scored = _rows_of(found, papers, source, "year").withColumn("score", F.round(F.col("ratio") + same, 6))
     return best(scored.where(F.col("score") >= floor), "score")
 
 

@@ -223,7 +223,7 @@ _jac = lambda a, b: f"(len(list_intersect({a}, {b})) / CAST(len(list_distinct(li
 _top = "SELECT paper_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, item_id) AS r FROM scored) WHERE r = 1"
 linked("link_jaccard_stop", L.link_jaccard_stop, f", {BLOCKS}, words AS (SELECT *, {_nostop('title')} AS a, {_nostop('item_title')} AS b FROM pairs), scored AS (SELECT * FROM (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(lower(title) = lower(item_title) AS INT) ELSE {_jac('a', 'b')} END, 6) AS score FROM words) WHERE score >= 0.85) {_top}")
 linked("link_jaccard_author", L.link_jaccard_author, f", {BLOCKS}, words AS (SELECT *, {_tok('title')} AS a, {_tok('item_title')} AS b FROM pairs), scored AS (SELECT *, round(o + CASE WHEN contains(lower(author), lower(item_author)) OR contains(lower(item_author), lower(author)) THEN 0.2 ELSE 0 END, 6) AS score FROM (SELECT *, {_jac('a', 'b')} AS o FROM words) WHERE o >= 0.7) {_top}")
-linked("link_seqratio", lambda p, i: L.link_seqratio(L.candidates(p, i).where(F.substring(F.lower("title"), 1, 25) == F.substring(F.lower("item_title"), 1, 25))), None)
+linked("link_seqratio", L.link_seqratio, None)
 linked("link_multi_key", lambda p, i: p.join(i.select(F.explode(F.array(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title")))))).alias("k"), "item_id").where("k IS NOT NULL").groupBy("k").agg(F.max("item_id").alias("item_id")), F.coalesce(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title"))))) == c("k"), "left").select("paper_id", "item_id"), f"SELECT paper_id, CASE WHEN p.doi <> '' THEN last.item_id ELSE bytitle.item_id END AS item_id {_both}")
 on_papers("identifier_resolver", lambda p: p.select("paper_id", F.coalesce(T.doi_shared(c("doi")), T.arxiv_id(c("arxiv")), F.nullif(T.title_key(c("title")), F.lit(""))).alias("best")), f"SELECT paper_id, coalesce({SHARED}, CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END, nullif(substr({st('lower(title)')}, 1, 50), '')) AS best FROM papers")
 add("skip_anti", lambda s, d: L.not_done(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -1,5 +1,7 @@
 """The fuzzy title joins against all pairs in plain Python: no block may lose a link."""
 
+from difflib import SequenceMatcher
+
 import pytest
 
 from lectern.functions.text import STOP_WORDS
@@ -43,7 +45,16 @@ def jaccard_author(p, i):
     return round(o + (0.2 if a in b or b in a else 0), 6) if o >= 0.7 else None
 
 
-@pytest.mark.parametrize("rule", [contains, jaccard_stop, jaccard_author])
+def seqratio(p, i):
+    m = SequenceMatcher(None, p[1].lower(), i[1].lower())
+    same = 0.1 if p[3] == i[3] else 0.0
+    if m.real_quick_ratio() + same < 0.79 or m.quick_ratio() + same < 0.79:
+        return None
+    score = round(m.ratio() + same, 6)
+    return score if score >= 0.8 else None
+
+
+@pytest.mark.parametrize("rule", [contains, jaccard_stop, jaccard_author, seqratio])
 def test_all_pairs(sides, rule):
     (papers, items), p, i = sides
     want = {}
@@ -61,5 +72,5 @@ def test_registered_queries_pass_first_words(spark, tmp_path):
 
     texts = [(16, BASE), (23, BASE), (27, f"The {BASE}"), (29, BASE.replace("deep", "dxep"))]
     spark.createDataFrame([(i, f"{t}\nmore") for i, t in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {k: {int(r.paper_id) for r in entry.queries()[f"link_{k}"](spark, str(tmp_path)).collect()} for k in ("contains", "jaccard_stop", "jaccard_author")}
-    assert got == {"contains": {16, 23, 27}, "jaccard_stop": {16, 23, 27}, "jaccard_author": {16, 23, 27, 29}}
+    got = {k: {int(r.paper_id) for r in entry.queries()[f"link_{k}"](spark, str(tmp_path)).collect()} for k in ("contains", "jaccard_stop", "jaccard_author", "seqratio")}
+    assert got == {"contains": {16, 23, 27}, "jaccard_stop": {16, 23, 27}, "jaccard_author": {16, 23, 27, 29}, "seqratio": {16, 23, 27, 29}}
