@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,15 +130,24 @@ def valid(v: F.Column) -> F.Column:
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, bound: int = CELL_BOUND) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
-    dims = base.where(valid(F.col("v"))).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    good = F.coalesce(valid(F.col("v")) & F.col("vec_id").isNotNull(), F.lit(False))
+    dims = sorted(r["dim"] for r in base.where(good).select(F.size("v").alias("dim")).distinct().collect())
     alone = F.lit(0).cast("long").alias("n_links")
-    if dims is None:
+    if not dims:
         return base.select("vec_id", alone, F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = F.coalesce(valid(F.col("v")) & (F.size("v") == dims["dim"]) & F.col("vec_id").isNotNull(), F.lit(False))
+    # Vectors of different lengths never link, so each length is searched by itself.
+    named = reduce(DataFrame.unionByName, (_of_length(base.where(good & (F.size("v") == dim)), dim, threshold, seed, bound) for dim in dims))
+    rows = base.select("vec_id", F.when(good, F.col("v")).alias("v")).join(named, "v", "left")
+    out = rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: int) -> DataFrame:
+    """(v, n_links, component_id) of each distinct vector of valid rows (vec_id, v), all of one length."""
     # Equal vectors: one class, named by its smallest id. Its key is the vector itself.
-    classes = written(base.where(good).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
+    classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
     p = plan(classes.count(), threshold)
-    lines = projections(dims["dim"], p["tables"] * (1 + p["bits"]) + COUNTED, seed)
+    lines = projections(dim, p["tables"] * (1 + p["bits"]) + COUNTED, seed)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +163,4 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed:
     totals = links.groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("others"))
     found = components(links.select("u", "v"))
     named = classes.select("vec_id", F.col("n").alias("size"), "v").join(totals, "vec_id", "left").join(found, F.col("vec_id") == F.col("node"), "left")
-    named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
-    rows = base.select("vec_id", F.when(good, F.col("v")).alias("v")).join(named, "v", "left")
-    out = rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return named.select("v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
