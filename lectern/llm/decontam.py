@@ -14,7 +14,8 @@ index, whose hits are merged by shard and place. `clean_only` has whole rows to
 lists where the rows pass and stores none of them.
 
 Defined results: a null text has no words; an item or a document without words has no windows and no hits. Equal items
-each count; rows that repeat an item_id count once. Repeated document rows have results of their own.
+each count; rows that repeat an item_id count once. An item
+without an id hits and contaminates as any other, but is not in the list of items, nor counted there. Repeated document rows have results of their own.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def items_digest(items: list[str]) -> str:
 
 def slices(benchmark: DataFrame, slice_words: int) -> Iterator[list[tuple[str, str]]]:
     """The items by id, read one partition at a time, in lists of at most about slice_words words."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where("i IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.groupBy("i", "t").agg(F.lit(1).alias("_")).orderBy("i", "t")
     now, n = [], 0
     for r in rows.toLocalIterator():
@@ -226,7 +227,7 @@ def _scan(index: DataFrame, items: list[tuple[str, str]], window: int, kind: str
         w = Windows(held.value, window)
         for shard, ids, x in _shards_of(batches):
             hit, of = _matches(x, w)
-            names = pa.array([sorted({w.items[i] for i in y}) for y in of], pa.list_(pa.string()))
+            names = pa.array([sorted({w.items[i] for i in y} - {None}) for y in of], pa.list_(pa.string()))
             n = pa.array(np.diff(x.ends), pa.int64())
             if bits:
                 raw = [hit[i:j].astype(np.uint8).tobytes() for i, j in zip(x.ends[:-1], x.ends[1:], strict=True)]
