@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm.common import small, strings, texts, written
 from lectern.llm.graph import components, in_groups, split_hot
@@ -141,7 +142,22 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat its id go."""
-    keep = near_components(written(fingerprints(docs), "prints")).select(F.col("component").alias("_lectern_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_lectern_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat its id and fingerprint go.
+
+    Components are taken of fingerprints, so rows with a null or repeated doc_id stay if their texts are no near-duplicates.
+    """
+    classes = written(fingerprints(docs), "prints").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
+    found = near_components(classes.select("fp", F.col("fp").alias("doc_id"))).select("fp", "component")
+    first = classes.join(found, "fp").groupBy("component").agg(F.min(F.struct("least.none", "least.doc_id", "fp")).alias("_k"))
+    keep = first.select(F.col("_k.doc_id").alias("_lectern_keep"), F.col("_k.fp").alias("_lectern_fp"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            raw = b"".join(fingerprint(t) for t in strings(b.column(at)))
+            fp = pa.array(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "_lectern_own"])
+
+    own = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lectern_own", LongType())]))
+    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_lectern_keep")) & (F.col("_lectern_own") == F.col("_lectern_fp")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_lectern_own"]).drop("_lectern_own")
