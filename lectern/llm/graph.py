@@ -80,7 +80,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of the edges (u, v): label is the smallest node reachable.
 
     Large-star and small-star rounds over written tables: each round is a min per node, which combines before its
-    shuffle, and a join back; hubs are dealt by the join's skew splitting. Nothing is gathered in one place.
+    shuffle, and a join back; hubs are dealt by the join's skew splitting. Nothing is gathered in one place. Labels that
+    still change after most_rounds raise an error.
     """
     now = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     seen = None
@@ -97,5 +98,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hung = large.join(low, F.col("v") == F.col("x"))
         small = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
         now = written(small, "edges")
+    else:
+        raise RuntimeError(f"components did not converge in {most_rounds} rounds")
     stars = now.groupBy("v").agg(F.min("u").alias("label")).select(F.col("v").alias("node"), "label")
     return stars.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct().join(stars.select("node"), "node", "left_anti"))
