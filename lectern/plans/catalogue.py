@@ -213,16 +213,17 @@ linked("link_doi", lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key")))
 linked("link_title_prefix", lambda p, i: L.link_equal(p.withColumn("tk", T.title_key(c("title"))), i.withColumn("tk", T.title_key(c("title"))).where(T.present(c("tk"))).select("tk", "item_id"), "tk", "item_id", "ref_").select("paper_id", "ref_item_id"), f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN bytitle ON substr({st('lower(papers.title)')}, 1, 50) = bytitle.k")
 _both = f"FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN bytitle ON substr({st('lower(p.title)')}, 1, 50) = bytitle.k"
 linked("link_doi_then_title", L.link_key_then_title, f"SELECT paper_id, coalesce(last.item_id, bytitle.item_id) AS item_id, CASE WHEN last.item_id IS NOT NULL THEN 'doi' WHEN bytitle.item_id IS NOT NULL THEN 'title' END AS how {_both}")
-BLOCKS = "pairs AS (SELECT p.paper_id, p.title, p.author, p.year, i.item_id, i.title AS item_title, i.author AS item_author FROM papers p JOIN items i ON split_part(lower(p.title), ' ', 1) = split_part(lower(i.title), ' ', 1) WHERE p.title <> '' AND i.title <> '')"
+# Every paper meets every item: no block, so that a lost link would show.
+PAIRS = "pairs AS (SELECT p.paper_id, p.title, p.author, p.year, i.item_id, i.title AS item_title, i.author AS item_author FROM papers p CROSS JOIN items i WHERE p.title <> '' AND i.title <> '')"
 
 
-linked("link_contains", L.link_contains, f", {BLOCKS} SELECT paper_id, min(item_id) AS item_id FROM pairs WHERE length(title) > 20 AND (contains(lower(item_title), substr(lower(title), 1, 50)) OR contains(lower(title), substr(lower(item_title), 1, 50))) GROUP BY paper_id")
+linked("link_contains", L.link_contains, f", {PAIRS} SELECT paper_id, min(item_id) AS item_id FROM pairs WHERE length(title) > 20 AND (contains(lower(item_title), substr(lower(title), 1, 50)) OR contains(lower(title), substr(lower(item_title), 1, 50))) GROUP BY paper_id")
 _tok = lambda e: f"list_filter(list_distinct(regexp_split_to_array(lower({e}), '\\s+')), x -> x <> '')"
 _nostop = lambda e: f"list_filter({_tok(e)}, x -> NOT list_contains({list(T.STOP_WORDS)!r}, x))"
 _jac = lambda a, b: f"(len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE))"
 _top = "SELECT paper_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, item_id) AS r FROM scored) WHERE r = 1"
-linked("link_jaccard_stop", L.link_jaccard_stop, f", {BLOCKS}, words AS (SELECT *, {_nostop('title')} AS a, {_nostop('item_title')} AS b FROM pairs), scored AS (SELECT * FROM (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(lower(title) = lower(item_title) AS INT) ELSE {_jac('a', 'b')} END, 6) AS score FROM words) WHERE score >= 0.85) {_top}")
-linked("link_jaccard_author", L.link_jaccard_author, f", {BLOCKS}, words AS (SELECT *, {_tok('title')} AS a, {_tok('item_title')} AS b FROM pairs), scored AS (SELECT *, round(o + CASE WHEN contains(lower(author), lower(item_author)) OR contains(lower(item_author), lower(author)) THEN 0.2 ELSE 0 END, 6) AS score FROM (SELECT *, {_jac('a', 'b')} AS o FROM words) WHERE o >= 0.7) {_top}")
+linked("link_jaccard_stop", L.link_jaccard_stop, f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title FROM papers)) x ON x.title = pairs.title JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = item_title), scored AS (SELECT * FROM (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(lower(title) = lower(item_title) AS INT) ELSE {_jac('a', 'b')} END, 6) AS score FROM words) WHERE score >= 0.85) {_top}")
+linked("link_jaccard_author", L.link_jaccard_author, f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM papers)) x ON x.title = pairs.title JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = item_title), scored AS (SELECT *, round(o + CASE WHEN contains(lower(author), lower(item_author)) OR contains(lower(item_author), lower(author)) THEN 0.2 ELSE 0 END, 6) AS score FROM (SELECT *, {_jac('a', 'b')} AS o FROM words) WHERE o >= 0.7) {_top}")
 linked("link_seqratio", L.link_seqratio, None)
 linked("link_multi_key", lambda p, i: p.join(i.select(F.explode(F.array(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title")))))).alias("k"), "item_id").where("k IS NOT NULL").groupBy("k").agg(F.max("item_id").alias("item_id")), F.coalesce(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title"))))) == c("k"), "left").select("paper_id", "item_id"), f"SELECT paper_id, CASE WHEN p.doi <> '' THEN last.item_id ELSE bytitle.item_id END AS item_id {_both}")
 on_papers("identifier_resolver", lambda p: p.select("paper_id", F.coalesce(T.doi_shared(c("doi")), T.arxiv_id(c("arxiv")), F.nullif(T.title_key(c("title")), F.lit(""))).alias("best")), f"SELECT paper_id, coalesce({SHARED}, CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END, nullif(substr({st('lower(title)')}, 1, 50), '')) AS best FROM papers")
