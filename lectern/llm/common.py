@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset and Spark runs locally."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _own:
         _own["root"] = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return _own["root"]
@@ -50,22 +52,35 @@ def in_split(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, seed: int = 17) -> DataFrame:
-    """Up to `most` (text, y) rows of each class that may be learned from: the first by a seeded hash of doc_id.
+def learnable(labels: DataFrame, label: str, mod: int, rest: int) -> DataFrame:
+    """(doc_id, y) of the documents whose label may be learned from; of several labels the largest counts."""
+    key = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_split(F.col("doc_id"), mod, rest))
+    return key.groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def first_ids(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The first `most` rows by a seeded hash of doc_id."""
+    return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")).limit(most)
+
 
-    `most` bounds the broadcast side: at most 2 * most (id, label) pairs.
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of the few documents in ids (doc_id, y), which the caller bounds and which is broadcast.
+
+    Rows that repeat a doc_id give one text, the smallest; they combine before the shuffle.
     """
-    key = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_split(F.col("doc_id"), mod, rest))
-    key = key.groupBy("doc_id").agg(F.max(label).alias("y"))
-    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    ids = key.where("y = 1").orderBy(*order).limit(most).unionByName(key.where("y = 0").orderBy(*order).limit(most))
-    return texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    found = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "y")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, seed: int = 17) -> DataFrame:
+    """(doc_id, text, y) of up to `most` documents of each class that may be learned from, by a seeded hash of doc_id."""
+    key = learnable(labels, label, mod, rest)
+    return texts_of(docs, first_ids(key.where("y = 1"), most, seed).unionByName(first_ids(key.where("y = 0"), most, seed)))
 
 
 def shares(labels: DataFrame, label: str, mod: int, rest: int) -> tuple[int, int]:
-    """How many learning rows have label 1, and label 0."""
-    rows = labels.where(F.col("doc_id").isNotNull() & ~in_split(F.col("doc_id"), mod, rest)).groupBy(label).count().collect()
-    n = {r[0]: r[1] for r in rows}
+    """How many documents that may be learned from have label 1, and label 0."""
+    n = {r[0]: r[1] for r in learnable(labels, label, mod, rest).groupBy("y").count().collect()}
     return n.get(1, 0), n.get(0, 0)
 
 
