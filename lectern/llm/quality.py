@@ -1,15 +1,22 @@
 """Quality by positive-unlabelled learning.
 
 The classifier minimises the non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior *
-R-(positives)). Trusted positives are learning rows labelled 1, unlabelled are texts of the corpus at large, and the
-class prior is the share of label 1 among the learning rows, or is given. Features describe a whole text's writing:
-frequencies of pairs of character classes, repeated lines and words, line and word lengths; no words, no label, lang,
-source or doc_id. Training sees at most `most` positives and `most` unlabelled texts, picked by a seeded hash, in one
-task. The output's slope and shift, and nothing else, are then calibrated on up to `most` learning rows of each label
-(without rows of label 0 it stays as it is). Scoring is one pass without a shuffle.
-
-Defined results: null and empty texts are scored like any other text, with empty features. Repeated rows are scored
-alike. Without any positives every score is the prior (0.5 without labels).
+R-(positives)). Trusted positives are learning rows labelled 1; unlabelled are texts of the corpus at large. Rows of
+label 0 are never used, neither for the classifier nor for the prior nor for the calibration. Features describe a whole
+text's writing: frequencies of pairs of character classes, repeated lines and words, line and word lengths; no words, no
+label, lang, source or doc_id.
+
+A seeded hash splits the positives: one half trains, the other half measures. Training sees at most `most` positives and
+`most` unlabelled texts (both by a seeded hash) in one task, with a prior that the same task estimates from two halves of
+its texts. Then every document is scored once, whole, and the corpus-wide histogram of these outputs, beside that of all
+measuring positives, gives the class prior (the least ratio of the unlabelled to the positive share above a threshold,
+with a margin for chance) and the output's slope and shift, which minimise the same unbiased risk over all documents.
+Both histograms have `BINS` bins at most, whatever the corpus.
+
+Defined results: null and empty texts are scored like any other text, with empty features; very long texts are described
+whole. Repeated rows are scored alike; a repeated doc_id trains once, by its smallest text. Rows with a null doc_id are
+scored and counted, held_out false, and not learned from. Without positives every score is the prior (0.5 unless given),
+also for an empty table's none. Other columns are ignored, whatever their names; `accepted` hands them on.
 """
 
 from __future__ import annotations
@@ -19,14 +26,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_split, labelled, shares, sigmoid, small, strings, texts
+from lectern.llm.common import first_ids, in_split, learnable, sigmoid, small, strings, texts, texts_of, written
 
 MOD, REST, FLOOR = 5, 0, 0.3
 #: Most positives, and most unlabelled texts, to train on.
 MOST = 3000
+#: Bins of the histograms of outputs, and their width.
+BINS, STEP = 1600, 0.05
 # Character classes: lower, upper, digit, space, line break, beyond ASCII, and each ASCII sign by itself.
 _CLASS = np.zeros(256, np.uint8)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -83,78 +92,142 @@ def train(P: np.ndarray, U: np.ndarray, prior: float, steps: int = 300, seed: in
     return np.append(w, b - mean @ w)
 
 
-def calibrated(w: np.ndarray, X: np.ndarray, y: np.ndarray, ones: int, zeros: int, steps: int = 50) -> np.ndarray:
-    """w with slope and shift of its output fitted (Platt scaling, by Newton's method) to learning rows of both labels."""
-    if not (y == 1).any() or not (y == 0).any():
-        return w
-    f = X @ w[:-1] + w[-1]
-    weight = np.where(y == 1, ones / (y == 1).sum(), zeros / (y == 0).sum()) / (ones + zeros)
-    A, c = np.stack([f, np.ones(len(f))], 1), np.array([1.0, 0.0])
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from counts of both by rising score.
+
+    Above any threshold the unlabelled share is at least prior times the positive share, and equals it where no negative
+    scores so high; the threshold is the one with the least ratio, with a margin for what chance does to small shares.
+    """
+    if not positive.sum() or not unlabelled.sum():
+        return 0.5
+    p, u = (np.cumsum(x[::-1]) / x.sum() for x in (positive, unlabelled))
+    margin = sum(np.sqrt(np.log(4 / chance) / (2 * x.sum())) for x in (positive, unlabelled))
+    held = p > 0
+    best = np.argmin((u[held] + margin) / p[held])
+    return float(np.clip(u[held][best] / p[held][best], 0.01, 0.99))
+
+
+def calibration(outputs: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift of outputs that minimise the unbiased risk, given how often each output occurs among both kinds.
+
+    For the logistic loss that risk is mean softplus(z) over the unlabelled less prior * mean z over the positives: convex
+    in both. A small pull to slope 1 and shift 0, and slopes from 0.2 to 5 only, hold it down where classes part entirely.
+    """
+    if not positive.sum() or not unlabelled.sum():
+        return 1.0, 0.0
+    A = np.stack([outputs, np.ones(len(outputs))], 1)
+    u, c = unlabelled / unlabelled.sum(), np.array([1.0, 0.0])
+    pull, rest = np.array([1.0, 0.0]), prior * (A.T @ (positive / positive.sum()))
     for _ in range(steps):
-        p = sigmoid(A @ c)
-        g = A.T @ (weight * (p - y)) + 1e-4 * (c - [1, 0])
-        h = (A * (weight * p * (1 - p))[:, None]).T @ A + 1e-4 * np.eye(2)
-        c = c - np.linalg.solve(h, g)
-    return np.append(w[:-1] * c[0], w[-1] * c[0] + c[1]) if c[0] > 0 else w
+        s = sigmoid(A @ c)
+        g = A.T @ (u * s) - rest + 1e-3 * (c - pull)
+        h = (A * (u * s * (1 - s))[:, None]).T @ A + 1e-3 * np.eye(2)
+        move = np.linalg.solve(h, g)
+        c = c - move * min(1.0, 2 / max(1e-9, np.abs(move).max()))
+        c[0] = min(5.0, max(0.2, c[0]))
+    return float(c[0]), float(c[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: int = MOST) -> np.ndarray:
-    """The classifier's weights; features of the chosen texts are made where they lie, and trained on in one task."""
-    ones, zeros = shares(labels, "quality", MOD, REST)
+def histogram(outputs: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(np.floor(outputs / STEP), -BINS // 2, BINS // 2 - 1).astype(int) + BINS // 2, minlength=BINS)
+
+
+def learn(P: np.ndarray, U: np.ndarray, prior: float | None) -> np.ndarray:
+    """Weights from features; without a prior, a classifier of one half of the texts estimates it on the other."""
     if prior is None:
-        prior = (ones + 1) / (ones + zeros + 2)
-    prior = min(0.99, max(0.01, prior))
-    chosen = labelled(docs, labels, "quality", MOD, REST, most).select("doc_id", "text", F.when(F.col("y") == 1, 1).otherwise(2).alias("y"))
-    order = [F.xxhash64("doc_id", F.lit(23)), F.col("doc_id")]
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(*order).limit(most).withColumn("y", F.lit(0))
-    wild = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")  # at most `most` ids
+        prior = 0.5
+        if len(P) >= 4 and len(U) >= 4:
+            w = train(P[::2], U[::2], prior)
+            prior = class_prior(*(histogram(x[1::2] @ w[:-1] + w[-1]) for x in (P, U)))
+    return train(P, U, min(0.99, max(0.01, prior)))
+
+
+def _measuring() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(2)) == 1
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: int = MOST) -> np.ndarray | None:
+    """The classifier's weights, None without positives; features of the chosen texts are made where they lie."""
+    ones = learnable(labels, "quality", MOD, REST).where("y = 1")
+    chosen = texts_of(docs, first_ids(ones.where(~_measuring()), most, 17))
+    wild = texts_of(docs, first_ids(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), most, 23).withColumn("y", F.lit(0)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([features(t).tobytes() for t in strings(b.column(1))], pa.binary())], ["doc_id", "y", "x"])
+            yield pa.record_batch([b.column(0), b.column(2).cast(pa.int32()), pa.array([features(t).tobytes() for t in strings(b.column(1))], pa.binary())], ["doc_id", "y", "x"])
 
-    described = chosen.unionByName(wild).mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
+    described = chosen.withColumn("y", F.col("y").cast("int")).unionByName(wild).mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         rows.sort(key=lambda r: (r[0], r[1], r[2]))  # results don't depend on the order of arrival
         X = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, WIDTH).astype(float)
         y = np.array([r[1] for r in rows], int)
-        w = np.append(np.zeros(WIDTH), np.log(prior / (1 - prior)))
         if (y == 1).any() and (y == 0).any():
-            w = train(X[y == 1], X[y == 0], prior)
-            w = calibrated(w, X[y > 0], (y[y > 0] == 1).astype(float), ones, zeros)
-        yield pa.record_batch([pa.array([w.tobytes()])], ["w"])
+            yield pa.record_batch([pa.array([learn(X[y == 1], X[y == 0], prior).tobytes()])], ["w"])
+
+    got = described.repartition(1).mapInArrow(one_task, "w binary").collect()
+    return np.frombuffer(got[0][0]) if got else None
+
+
+def outputs(docs: DataFrame, w: np.ndarray) -> DataFrame:
+    """(doc_id, f): the classifier's uncalibrated output for every document, as a table in the shared folder."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield pa.record_batch([b.column(0), pa.array(output(strings(b.column(1)), w))], ["doc_id", "f"])
+
+    return written(texts(docs).mapInArrow(run, f"doc_id {kind}, f double"), "quality-outputs")
 
-    got = described.repartition(1).mapInArrow(learn, "w binary").collect()
-    return np.frombuffer(got[0][0]) if got else np.append(np.zeros(WIDTH), np.log(prior / (1 - prior)))
+
+def measured(raw: DataFrame, labels: DataFrame, prior: float | None) -> tuple[float, float, float]:
+    """(class prior, slope, shift) from the outputs of all documents and of all measuring positives."""
+    at = F.least(F.greatest(F.floor(F.col("f") / STEP), F.lit(-BINS // 2)), F.lit(BINS // 2 - 1)).cast("int") + BINS // 2
+    ones = learnable(labels, "quality", MOD, REST).where((F.col("y") == 1) & _measuring()).select("doc_id")
+    each = raw.groupBy("doc_id", at.alias("bin")).agg(F.count("*").alias("n"))  # a hot doc_id combines before the shuffle
+    positive, unlabelled = np.zeros(BINS), np.zeros(BINS)
+    for counts, held in ((positive, each.join(ones, "doc_id", "left_semi")), (unlabelled, raw.select(at.alias("bin"), F.lit(1).alias("n")))):
+        rows = held.groupBy("bin").agg(F.sum("n").alias("n"))
+        for k, n in rows.collect():  # at most BINS rows
+            counts[k] = n
+    if prior is None:
+        prior = class_prior(positive, unlabelled)
+    return prior, *calibration((np.arange(BINS) - BINS // 2 + 0.5) * STEP, positive, unlabelled, prior)
 
 
-def scores(texts_: list[str], w: np.ndarray) -> np.ndarray:
+def output(texts_: list[str], w: np.ndarray) -> np.ndarray:
     X = np.stack([features(t) for t in texts_]) if texts_ else np.empty((0, WIDTH))
-    return sigmoid(X @ w[:-1] + w[-1])
+    return X @ w[:-1] + w[-1]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     w = fit(docs, labels, prior)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            yield pa.record_batch([b.column(0), pa.array(scores(strings(b.column(1)), w))], ["doc_id", "score"])
-
-    out = texts(docs).mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", in_split(F.col("doc_id"), MOD, REST).alias("held_out"), "score", (F.col("score") >= FLOOR).cast("int").alias("predicted"))
+    if w is None:
+        rows = docs.select("doc_id", F.lit(0.5 if prior is None else float(prior)).alias("score"))
+    else:
+        raw = outputs(docs, w)
+        _, slope, shift = measured(raw, labels, prior)
+        rows = raw.select("doc_id", (1 / (1 + F.exp(-(F.col("f") * slope + shift)))).alias("score"))
+    return rows.select("doc_id", in_split(F.col("doc_id"), MOD, REST).alias("held_out"), "score", (F.col("score") >= FLOOR).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
-    """docs without the documents that the classifier rejects, with all their columns."""
+    """docs without the documents that the classifier rejects, with all their columns.
+
+    Defined results as in the module's docstring; repeated rows stay or go together, and without positives all stay
+    unless the given prior is below the floor. An empty table gives an empty one.
+    """
     w = fit(docs, labels, prior)
+    if w is None:
+        return docs if prior is None or prior >= FLOOR else docs.limit(0)
+    _, slope, shift = measured(outputs(docs, w), labels, prior)
+    least = (np.log(FLOOR / (1 - FLOOR)) - shift) / slope
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield b.filter(pa.array(scores(strings(b.column(at)), w) >= FLOOR, pa.bool_()))
+            yield b.filter(pa.array(output(strings(b.column(at)), w) >= least, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
