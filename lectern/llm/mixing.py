@@ -1,15 +1,19 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Sizes are words. Documents are counted by source and exact size, in `BUCKETS` seeded buckets each. Every source gets a
-target; it is met by whole copies of the source, then by the same share of every size, then, for what is left of the
-budget, by a bounded-knapsack dynamic programme over the counts by size. The programme says how many documents of each
-size to take; which ones is decided by the order of a seeded hash: bucket counts say how many come before a bucket, and
+target; it is met by whole copies of the source and, for the remaining budget, by a bounded-knapsack dynamic programme
+over the counts by size, in units of the sizes' common divisor. Where programme and budget are too large to hold
+(`DP_BITS`, 128 MB), the same share of every size is taken first and the programme fits what that leaves; a source has
+many thousand documents then, and the miss is less than its shortest spare one. The programme says how many documents
+of each size to take; which ones is decided by the order of a seeded hash: bucket counts say how many come before a bucket, and
 rows are ranked inside their bucket only, so a size that a third of all rows have is ranked in `BUCKETS` places.
 A source's task sees one row per distinct size.
 
 Defined results: null text has size 0; null is a source, the last in order; repeated rows are documents of their own,
 told apart by their hash and otherwise interchangeable, so equal rows are ranked in any order. An empty table gives no
-rows. Reruns agree. Documents of size 0 are taken 0 words.
+rows. Reruns agree. Documents of size 0, empty ones among them, are taken 0 words. Very long texts are counted whole, and
+one that is larger than its source's remaining budget is left out. Ties of a seeded hash go by doc_id, null first. Other
+columns are ignored by `mix_sources` and handed on by `mixed`; names that begin with _lectern_ are taken.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import written
 
 BUCKETS, MOST_COPIES, SEED = 1024, 3, 29
-#: Largest budget of the dynamic programme, in words.
-DP_WORDS = 60_000
+#: Most bits that the dynamic programme may hold: its steps times its budget, in units of the sizes' common divisor.
+DP_BITS = 1 << 30
 
 
 def n_words(text: Column) -> Column:
@@ -82,18 +86,24 @@ def quota(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int,
         return 0, np.zeros(len(lengths), np.int64)
     copies = min(want // total, MOST_COPIES)
     rest = want - copies * total if copies < MOST_COPIES else 0
-    take = (counts * (rest / total)).astype(np.int64)
-    left = rest - int((take * lengths).sum())
+    unit = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))
+    steps = lambda n: max(1, int(np.ceil(np.log2(n[lengths > 0] + 1)).sum()))
+    take, left = np.zeros(len(lengths), np.int64), rest
     order = np.argsort(-lengths, kind="stable")
-    for i in order:  # the largest sizes that fit, until the programme can take over
-        if left <= DP_WORDS:
-            break
-        more = min(int(counts[i] - take[i]), max(0, left - DP_WORDS // 2) // max(1, int(lengths[i])))
-        take[i] += more
-        left -= more * int(lengths[i])
+    if steps(counts) * (rest // unit + 1) > DP_BITS:
+        # Too much for the programme: the same share of every size first, and of what that leaves the largest that fit.
+        take = (counts * (rest / total)).astype(np.int64)
+        left = rest - int((take * lengths).sum())
+        most = DP_BITS // steps(counts - take) * unit
+        for i in order:
+            if left <= most:
+                break
+            more = min(int(counts[i] - take[i]), max(0, left - most // 2) // max(1, int(lengths[i])))
+            take[i] += more
+            left -= more * int(lengths[i])
     if left > 0:
         spare = [i for i in order if counts[i] > take[i] and 0 < lengths[i] <= left]
-        got = knapsack([int(lengths[i]) for i in spare], [int(counts[i] - take[i]) for i in spare], min(left, 4 * DP_WORDS))
+        got = knapsack([int(lengths[i]) // unit for i in spare], [int(counts[i] - take[i]) for i in spare], left // unit)
         take[spare] += np.array(got, np.int64)
     # One document more, if that is nearer than none.
     off = want - copies * total - int((take * lengths).sum())
