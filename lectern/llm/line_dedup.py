@@ -5,12 +5,14 @@ them. Keys found in at least 3 documents go, dealt by hash, into shards: each is
 arrays, where a key that has a bit to itself is placed and the others go on to the next level) whose ranks index
 arrays of fingerprints, document counts and largest ids. The second pass probes these arrays, so no line is joined.
 
-The arrays take about 26 bytes a frequent key. Up to `broadcast_bound` bytes of them are broadcast; beyond, the lines'
-hashes (never the lines) are dealt to the shards, probed there, and the verdicts return by row. Two independent 64-bit
-hashes identify a key: one places it, the other is its fingerprint.
-
-Defined results: a null or empty text is one empty line. Rows that repeat a doc_id count as documents of their own, and
-where that id is the largest all of them keep the line. A null doc_id counts as a document, smaller than any other.
+The arrays take about 26 bytes a frequent key. Up to `broadcast_bound` bytes of them are broadcast; beyond, blocks of
+documents ask the shards for the distinct hashes of their lines (never the lines), which are probed where the shard is,
+and the answers return by block. Two independent 64-bit hashes identify a key: one places it, the other is its fingerprint.
+
+Defined results: a null or empty text is one empty line. Very long texts are split whole. Rows that repeat a doc_id count
+as documents of their own, and where that id is the largest all of them keep the line. A null doc_id counts as a document,
+smaller than any other; the id -2^63 stands for it and is treated as null. An empty table gives no rows. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ LEAST_POINTS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 200_000
 LEVELS, GAMMA = 40, 1.6
 BROADCAST_BOUND = 128 << 20
+#: Beyond that bound: most documents and bytes of a block, and most rows that one place of a shard is asked for.
+BLOCK_ROWS, BLOCK_BYTES, PLACE_ROWS = 2000, 4 << 20, 2_000_000
 _NULL = -(2**63)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -173,7 +178,7 @@ def _rows(ids: pa.Array, out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST_DOCS, broadcast_bound: int = BROADCAST_BOUND) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST_DOCS, broadcast_bound: int = BROADCAST_BOUND, place_rows: int = PLACE_ROWS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,7 +201,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST_DOCS, broadcast_bound: int =
                 yield _rows(b.column(0), [_outcome(x, gone[i:j]) for (x, _), i, j in zip(each, ends[:-1], ends[1:], strict=True)])
 
         return texts(docs).mapInArrow(probe, _SCHEMA.format(kind=kind))
-    return _dealt(docs, built, shards, kind)
+    return _dealt(docs, built, shards, kind, place_rows)
 
 
 def dropped(own: dict[int, Shard], shards: int, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -210,49 +215,69 @@ def dropped(own: dict[int, Shard], shards: int, h: np.ndarray, ids: np.ndarray)
     return gone
 
 
-def _dealt(docs: DataFrame, built: DataFrame, shards: int, kind: str) -> DataFrame:
-    """For arrays too large to broadcast: the lines' hashes go to the shards, which are dealt out likewise."""
-    whole = written(texts(docs).withColumn("_row", F.monotonically_increasing_id()), "line-docs")
+def _dealt(docs: DataFrame, built: DataFrame, shards: int, kind: str, bound: int) -> DataFrame:
+    """For arrays too large to broadcast: blocks of documents ask the shards, each for the distinct hashes of its lines.
+
+    A line that stands in most documents is thus asked for once a block. A shard that is asked for more than `bound` rows
+    is copied to as many places as that takes, by the counts observed, and its askers are dealt over them by block.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def lines(batches):
+        now, rows, size = TaskContext.get().partitionId() << 33, 0, 0
         for b in batches:
-            each = [hashes(t)[1] for t in strings(b.column(1))]
-            n = [len(x) for x in each]
-            h = np.concatenate(each) if each else np.empty((0, 2), np.uint64)
-            ids = np.repeat(np.array([_NULL if x is None else x for x in b.column(0).to_pylist()], np.int64), n)
-            row = np.repeat(b.column(2).to_numpy(), n)
-            no = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0, int)
-            real = h[:, 1] != 0
-            yield pa.record_batch([pa.array(x) for x in (shard_of(h[real, 0], shards).astype(np.int32), h[real, 0].view(np.int64), h[real, 1].view(np.int64), ids[real], row[real], no[real].astype(np.int32))], ["shard", "h1", "h2", "doc_id", "_row", "no"])
-
-    asked = whole.select(F.col("doc_id").cast("long"), "text", "_row").mapInArrow(lines, "shard int, h1 long, h2 long, doc_id long, _row long, no int")
-    # A shard's lines are dealt over 16 places, for a frequent line fills one shard; its arrays go to each of them.
-    asked = asked.withColumn("place", F.pmod(F.xxhash64("_row"), F.lit(16)).cast("int"))
-    arrays = built.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(15))))
+            own = []
+            for n in pa.compute.binary_length(b.column(1)).to_pylist():
+                if rows and (rows >= BLOCK_ROWS or size + n > BLOCK_BYTES):
+                    now, rows, size = now + 1, 0, 0
+                rows, size = rows + 1, size + n
+                own.append(now)
+            yield pa.record_batch([*b.columns, pa.array(own, pa.int64())], ["doc_id", "text", "block"])
+
+    whole = written(texts(docs).mapInArrow(blocks, f"doc_id {kind}, text string, block long"), "line-docs")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, BLOCK_ROWS):
+            block = b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, int)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
+                h = [hashes(t)[1] for t in strings(b.column(0).slice(lo, hi - lo))]
+                h = np.concatenate(h)
+                h = np.unique(h[h[:, 1] != 0], axis=0)
+                yield pa.record_batch([pa.array(x) for x in (shard_of(h[:, 0], shards).astype(np.int32), np.ascontiguousarray(h[:, 0]).view(np.int64), np.ascontiguousarray(h[:, 1]).view(np.int64), np.full(len(h), block[lo]))], ["shard", "h1", "h2", "block"])
+
+    asked = written(whole.select("text", "block").mapInArrow(ask, "shard int, h1 long, h2 long, block long"), "line-asked")
+    places = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / bound).cast("int").alias("places")))  # a row a shard
+    dealt = asked.join(places, "shard").withColumn("place", F.pmod(F.xxhash64("block"), F.col("places").cast("long")).cast("int")).drop("places")
+    arrays = built.join(places, "shard").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
 
     def probe(key, left, right):
         import pandas as pd
 
         if not len(right) or not len(left):
-            return pd.DataFrame({"_row": np.empty(0, np.int64), "no": np.empty(0, np.int32)})
-        s = Shard.load(right.arrays.iloc[0])
-        found, last = s.keeper(left.h1.to_numpy().view(np.uint64), left.h2.to_numpy().view(np.uint64))
-        return left.loc[found & (left.doc_id.to_numpy() != last), ["_row", "no"]]
+            return pd.DataFrame({"block": np.empty(0, np.int64), "h1": np.empty(0, np.int64), "h2": np.empty(0, np.int64), "last": np.empty(0, np.int64)})
+        found, last = Shard.load(right.arrays.iloc[0]).keeper(left.h1.to_numpy().view(np.uint64), left.h2.to_numpy().view(np.uint64))
+        return left.loc[found, ["block", "h1", "h2"]].assign(last=last[found])
 
-    gone = asked.groupBy("shard", "place").cogroup(arrays.groupBy("shard", "place")).applyInPandas(probe, "_row long, no int")
-    gone = gone.groupBy("_row").agg(F.collect_list("no").alias("gone"))
+    answers = dealt.groupBy("shard", "place").cogroup(arrays.groupBy("shard", "place")).applyInPandas(probe, "block long, h1 long, h2 long, last long")
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for text, numbers in zip(strings(b.column(1)), b.column(2).to_pylist(), strict=True):
-                parts = text.encode("utf-8", "surrogatepass").split(b"\n")
-                x = np.zeros(len(parts), bool)
-                x[numbers or []] = True
-                out.append(_outcome(parts, x))
-            yield _rows(b.column(0), out)
-
-    return whole.join(gone, "_row", "left").select("doc_id", "text", "gone").mapInArrow(cut, _SCHEMA.format(kind=kind))
+    def cut(key, left, right):
+        import pandas as pd
+
+        last = {(a, b): c for a, b, c in zip(right.h1.to_numpy().view(np.uint64).tolist(), right.h2.to_numpy().view(np.uint64).tolist(), right["last"].tolist(), strict=True)}
+        out = []
+        for doc, text in zip(left.doc_id, left.text, strict=True):
+            parts, h = hashes(text)
+            own = _NULL if doc is None or doc != doc else int(doc)
+            out.append(_outcome(parts, np.array([last.get((a, b), own) != own for a, b in h.tolist()], bool)))
+        n, gone, kept = zip(*out, strict=True)
+        return pd.DataFrame({"doc_id": left.doc_id.to_numpy(), "n_lines": n, "n_dropped": gone, "kept_text": [x.decode("utf-8", "surrogatepass") for x in kept]})
+
+    # A block's texts are bounded, unless it is one document.
+    held = whole.select(F.col("doc_id").cast("string"), "text", "block")
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "doc_id string, n_lines long, n_dropped long, kept_text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def digest(text: str) -> str:
