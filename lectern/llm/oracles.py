@@ -61,18 +61,21 @@ WHERE hit IS NOT NULL AND length(value) >= {least}"""
     label = f"{names}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
     counts = ", ".join(f"coalesce(count(*) FILTER (WHERE k = {k}), 0) AS n_{x[0]}" for k, x in enumerate(secret_scan.BASE))
     return f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || 'null') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(every[:n])}),
 more AS ({" UNION ALL ".join(every[n:])}),
-owned AS (SELECT value, count(DISTINCT coalesce(source, chr(1) || 'null')) < {spread} AS live FROM more JOIN docs USING (r) GROUP BY value),
+owned AS (SELECT value, count(DISTINCT owner) < {spread} OR count(DISTINCT repository) < {spread} AS live FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN docs USING (r) GROUP BY value),
 judged AS (SELECT more.*, live FROM more JOIN owned USING (value)),
+base_judged AS (SELECT base.*, live FROM base JOIN owned USING (value)),
 clear AS (SELECT r, k, s, e FROM judged WHERE live AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = judged.r AND base.s < judged.e AND judged.s < base.e)),
-by_base AS (SELECT r, {counts}, string_agg({label}, ',' ORDER BY s, k) AS held FROM base GROUP BY r),
+by_base AS (SELECT r, {counts}, string_agg({label}, ',' ORDER BY s, k) AS held, count(*) FILTER (WHERE live) AS n_base_live, count(*) FILTER (WHERE NOT live) AS n_base_example,
+  string_agg({label}, ',' ORDER BY s, k) FILTER (WHERE live) AS base_live, string_agg({label}, ',' ORDER BY s, k) FILTER (WHERE NOT live) AS base_example FROM base_judged GROUP BY r),
 by_all AS (SELECT r, string_agg({label}, ',' ORDER BY s, k, e) AS held FROM (SELECT r, k, s, e FROM base UNION ALL SELECT * FROM clear) GROUP BY r),
 lives AS (SELECT r, count(*) AS n_live FROM clear GROUP BY r),
 examples AS (SELECT r, count(*) FILTER (WHERE NOT live) AS n_example FROM judged GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{x[0]}, 0) AS n_{x[0]}" for x in secret_scan.BASE)}, sha256(coalesce(by_base.held, '')) AS base_sha256, coalesce(by_all.held, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_example, 0) AS n_base_example,
+  coalesce(base_live, '') AS base_live_spans, coalesce(base_example, '') AS base_example_spans
 FROM docs LEFT JOIN by_base USING (r) LEFT JOIN by_all USING (r) LEFT JOIN lives USING (r) LEFT JOIN examples USING (r)"""
 
 
