@@ -3,18 +3,23 @@
 Every unit vector is projected on many random lines. In each of several tables the vectors are sorted by a cell (the
 signs of some projections) and by one more projection, and a query-centred window along that projection gives its
 candidate pairs. For a candidate pair the projections on which it collides (differs by no more than a window) are
-counted; pairs with a count that pairs at the threshold reach almost surely are verified by cosine in double precision.
-Windows and counts follow from the threshold: the difference of two projections is normal with the standard deviation
-sqrt(2 - 2 * threshold). The number of sign bits grows with the logarithm of the number of vectors and the number of
-tables follows from the recall asked for, so work grows little faster than the input.
+counted; pairs that reach the calibrated count are verified by cosine in double precision.
+
+The window follows from the threshold: the difference of two projections is normal with the standard deviation
+sqrt(2 - 2 * threshold). The count and the number of tables are calibrated on the data: up to `SAMPLE` vectors, picked by
+a seeded hash, each get a partner at exactly the threshold in a random direction, and these pairs say how often such
+pairs collide and how often they meet in a table. The number of sign bits grows with the logarithm of the number of
+vectors, so work grows little faster than the input. Cells are needed because a window alone holds a fixed share of all
+vectors on any line: at 0.95 some 0.6 of them, which would be a quadratic number of pairs.
 
 A pair that meets in several tables counts in the first of them only, so links are summed without listing pairs, and
 each cell hands on a spanning forest of its links for the components. Equal vectors are one class with a size.
 
-Defined results: null vectors, zero vectors, vectors with null or non-finite components, of another length than the
-most common length, link with nothing (n_links 0, their own component). Every row of the table is returned; rows that
-repeat a vec_id are vectors of their own which share a component by that id. A null vec_id is returned as its own
-component null. Other columns are ignored.
+Defined results: null vectors, zero vectors, and vectors with null or non-finite components link with nothing (n_links 0,
+their own component); vectors of different lengths never link, and each length is searched by itself. Every row of the
+table is returned; rows that repeat a vec_id are vectors of their own which share a component by that id. A null vec_id
+is returned as its own component null, kept. An empty table gives no rows. Ties do not arise: a component's name is its
+smallest id. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +36,32 @@ from pyspark.sql import functions as F
 from lectern.llm.common import written
 from lectern.llm.graph import components, in_groups, split_hot
 
-#: Most rows of a cell that are handled as one group.
-CELL_BOUND = 4096
-COUNTED = 12
-
-
-def plan(n: int, threshold: float, recall: float = 0.995) -> dict:
-    """Sign bits a cell, tables, window and least count for n vectors."""
-    sd = math.sqrt(2 - 2 * threshold)
-    window = 2.6 * sd  # a pair at the threshold collides on a line with probability 0.9907
-    bits = min(24, max(2, round(math.log2(max(n, 1) / 200)))) if n > 200 else 2
-    same = (1 - math.acos(threshold) / math.pi) ** bits * 0.99
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-    return {"bits": bits, "tables": tables, "window": window, "count": COUNTED - 2}  # P(fewer than 10 of 12) < 0.0002
+#: Most rows of a cell that are handled as one group, counted lines, and vectors to calibrate on.
+CELL_BOUND, COUNTED, SAMPLE = 4096, 12, 1000
+#: What share of the pairs at the threshold must meet in a table, and what share of those must reach the count.
+MEET, REACH = 0.995, 0.999
+
+
+def plan(n: int, threshold: float, sample: np.ndarray, seed: int, meet: float = MEET, reach: float = REACH) -> tuple[dict, np.ndarray]:
+    """(sign bits of a cell, tables, window and least count for n vectors, the lines), calibrated on unit vectors."""
+    sd = math.sqrt(max(1e-9, 2 - 2 * threshold))
+    p = {"bits": min(24, max(2, round(math.log2(max(n, 1) / 200)))) if n > 200 else 2, "window": 2.6 * sd, "tables": 1}
+    dim, rng = sample.shape[1], np.random.default_rng(seed + 1)
+    away = rng.standard_normal(sample.shape)
+    away -= (away * sample).sum(1)[:, None] * sample
+    size = np.linalg.norm(away, axis=1)
+    # In one dimension there is no other direction: such a pair is equal.
+    other = np.where((size > 1e-9)[:, None], threshold * sample + math.sqrt(1 - threshold**2) * away / np.maximum(size, 1e-9)[:, None], sample)
+    trial = p | {"tables": 8}
+    lines = projections(dim, 8 * (1 + p["bits"]), seed + 2)
+    P, Q = sample @ lines, other @ lines
+    met = (cells(P, trial) == cells(Q, trial)) & (np.abs(P[:, :8] - Q[:, :8]) <= p["window"])
+    share = met.mean() - 3 * math.sqrt(max(met.mean() * (1 - met.mean()), 1e-4) / met.size)
+    p["tables"] = max(1, math.ceil(math.log(1 - meet) / math.log(1 - min(0.999, max(0.02, share)))))
+    lines = projections(dim, p["tables"] * (1 + p["bits"]) + COUNTED, seed)
+    counts = (np.abs((sample - other) @ lines[:, -COUNTED:]) <= p["window"]).sum(1)
+    p["count"] = max(c for c in range(COUNTED + 1) if (counts >= c).mean() >= reach)
+    return p, lines
 
 
 def projections(dim: int, lines: int, seed: int) -> np.ndarray:
@@ -51,33 +69,37 @@ def projections(dim: int, lines: int, seed: int) -> np.ndarray:
 
 
 def _search(p: dict, lines: np.ndarray, threshold: float):
-    counted = slice(lines.shape[1] - COUNTED, None)
+    counted, sorting = lines[:, -COUNTED:], lines[:, : p["tables"] * (1 + p["bits"])]
 
-    def links(V, P, S, X, Y, t):
-        """Which of the pairs X, Y collide often enough, meet first in table t, and have the cosine."""
-        ok = np.abs(P[X, t] - P[Y, t]) <= p["window"]
-        for earlier in range(t):
-            ok &= ~((S[X, earlier] == S[Y, earlier]) & (np.abs(P[X, earlier] - P[Y, earlier]) <= p["window"]))
+    def links(V, along, C, X, Y, t):
+        """Which of the pairs X, Y of table t are in the window, collide often enough, have the cosine, and met in no earlier table."""
+        ok = np.abs(along[X] - along[Y]) <= p["window"]
         X, Y = X[ok], Y[ok]
-        count = (np.abs(P[X, counted] - P[Y, counted]) <= p["window"]).sum(1)
-        ok = count >= p["count"]
+        ok = (np.abs(C[X] - C[Y]) <= p["window"]).sum(1) >= p["count"]
         X, Y = X[ok], Y[ok]
         ok = np.einsum("ij,ij->i", V[X], V[Y]) >= threshold
-        return X[ok], Y[ok]
+        X, Y = X[ok], Y[ok]
+        if t and len(X):
+            rows, at = np.unique(np.concatenate([X, Y]), return_inverse=True)
+            P = V[rows] @ sorting
+            S, x, y = cells(P, p)[:, :t], at[: len(X)], at[len(X) :]
+            new = ~((S[x] == S[y]) & (np.abs(P[x, :t] - P[y, :t]) <= p["window"])).any(1)
+            X, Y = X[new], Y[new]
+        return X, Y
 
     def search(c: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         V = c["v"].astype(np.float64)
         V /= np.linalg.norm(V, axis=1)[:, None]
-        P = V @ lines
-        S = cells(P, p)
-        vid, size, own = c["vec_id"], c["n"], c["own"]
+        C = V @ counted
+        vid, size, own, along = c["vec_id"], c["n"], c["own"], np.empty(len(V))
         out = []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
                 continue
             t = int(c["k"][lo] >> 40)
-            at = lo + np.argsort(P[lo:hi, t], kind="stable")
-            ends = np.searchsorted(P[at, t], P[at, t] + p["window"], "right")
+            along[lo:hi] = V[lo:hi] @ lines[:, t]
+            at = lo + np.argsort(along[lo:hi], kind="stable")
+            ends = np.searchsorted(along[at], along[at] + p["window"], "right")
             n = np.maximum(ends - np.arange(len(at)) - 1, 0)
             total = np.zeros(hi - lo, np.int64)
             up = np.arange(hi - lo)
@@ -98,7 +120,7 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
                 if c["a"][lo] != c["b"][lo]:
                     meet = own[X] != own[Y]
                     X, Y = X[meet], Y[meet]
-                X, Y = links(V, P, S, X, Y, t)
+                X, Y = links(V, along, C, X, Y, t)
                 np.add.at(total, X - lo, size[Y])
                 np.add.at(total, Y - lo, size[X])
                 for x, y in zip((X - lo).tolist(), (Y - lo).tolist(), strict=True):
@@ -146,8 +168,9 @@ def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: in
     """(v, n_links, component_id) of each distinct vector of valid rows (vec_id, v), all of one length."""
     # Equal vectors: one class, named by its smallest id. Its key is the vector itself.
     classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
-    p = plan(classes.count(), threshold)
-    lines = projections(dim, p["tables"] * (1 + p["bits"]) + COUNTED, seed)
+    some = classes.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").select("v").limit(SAMPLE).collect()
+    unit = np.array([r["v"] for r in some], float).reshape(-1, dim)
+    p, lines = plan(classes.count(), threshold, unit / np.linalg.norm(unit, axis=1)[:, None], seed)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
