@@ -9,13 +9,15 @@ starts, and each further list, adjusted by its own offset, is intersected with w
 starts are few and the lists are sorted). Starts that pass all lists are exact phrase matches. Proximity matches take
 the same lists with some slack around each offset. Nothing is shuffled; a document's result is complete in its shard.
 
-The benchmark's windows are broadcast in slices of at most `slice_words` words; more slices mean more passes over the
-index, whose hits are merged by shard and place. `clean_only` has whole rows to hand on, so it builds each shard's
-lists where the rows pass and stores none of them.
-
-Defined results: a null text has no words; an item or a document without words has no windows and no hits. Equal items
-each count; rows that repeat an item_id count once. An item
-without an id hits and contaminates as any other, but is not in the list of items, nor counted there. Repeated document rows have results of their own.
+The benchmark's items are broadcast in slices of at most `slice_words` words; a worker makes a slice's windows once. More
+slices mean more passes over the index, whose hits are merged by shard and place. `clean_only` removes rows by the same
+index.
+
+Defined results: a null text has no words; an item or a document without words has no windows and no hits. Very long texts
+are indexed whole. Equal items each count; rows that repeat an item_id count once. An item without an id hits and
+contaminates as any other, but is not in the list of items, nor counted there. Repeated document rows, and rows with a
+null doc_id, have results of their own. An empty table gives no rows, an empty benchmark no hits. Other columns are
+ignored, whatever their names. Lists start from the term that is rarest in the shard; of equal terms from the first.
 """
 
 from __future__ import annotations
@@ -62,6 +64,13 @@ class Windows:
         self.lengths, self.of = np.array(lengths, np.int64), np.array(of, np.int64)
 
 
+def _windows(held, window: int) -> Windows:
+    """The windows of a broadcast slice, kept beside it, so that a worker that is reused makes them once."""
+    if ("windows", window) not in held.value:
+        held.value["windows", window] = Windows(held.value["items"], window)
+    return held.value["windows", window]
+
+
 class ShardIndex:
     """A positional inverted index of some documents: terms, their numbers of postings, sorted postings, word counts."""
 
@@ -221,10 +230,10 @@ def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Arra
 
 def _scan(index: DataFrame, items: list[tuple[str, str]], window: int, kind: str, bits: bool) -> DataFrame:
     """Every document's hits of these items: their number, or with bits a byte a word and the document's place."""
-    held = index.sparkSession.sparkContext.broadcast(items)  # at most slice_words words, and one item
+    held = index.sparkSession.sparkContext.broadcast({"items": items})  # at most slice_words words, and one item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Windows(held.value, window)
+        w = _windows(held, window)
         for shard, ids, x in _shards_of(batches):
             hit, of = _matches(x, w)
             names = pa.array([sorted({w.items[i] for i in y} - {None}) for y in of], pa.list_(pa.string()))
@@ -246,10 +255,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     index = positional_index(docs)
     out = None
     for part in slices(benchmark, slice_words):
-        held = docs.sparkSession.sparkContext.broadcast(part)
+        held = docs.sparkSession.sparkContext.broadcast({"items": part})
 
         def run(batches, held=held):
-            w = Windows(held.value, window)
+            w = _windows(held, window)
             for _, ids, x in _shards_of(batches):
                 win, start, doc = x.starts(w, slack)
                 yield pa.record_batch([ids.take(pa.array(doc)), pa.array([w.items[k] for k in w.of[win]], pa.string()), pa.array(start - x.ends[doc], pa.int64())], ["doc_id", "item_id", "position"])
@@ -260,21 +269,12 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """docs without the contaminated documents, with all their columns."""
-    out = docs
-    names = docs.columns
-    at = names.index("text")
-    for part in slices(benchmark, slice_words):
-        held = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches, held=held):
-            w = Windows(held.value, window)
-            for b in small(batches, 1000):
-                held_texts = strings(b.column(at))
-                for lo, hi in shards(held_texts):
-                    clean = np.ones(hi - lo, bool)
-                    clean[ShardIndex.build(held_texts[lo:hi]).starts(w)[2]] = False
-                    yield b.slice(lo, hi - lo).filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    """docs without the contaminated documents, with all their columns, by the stored index as above.
+
+    A verdict hangs on the text alone, so it is carried by two hashes of the text: rows that repeat a doc_id or a text, and
+    rows without an id, stay or go by their own texts. Null and empty texts stay. An empty benchmark keeps all rows.
+    """
+    key = F.concat_ws(":", F.xxhash64("text", F.lit(1)), F.xxhash64("text", F.lit(2)))
+    found = decontaminate(docs.where("text IS NOT NULL").select(key.alias("doc_id"), "text"), benchmark, window, slice_words)
+    dirty = written(found.where("contaminated").select(F.col("doc_id").alias("_lectern_dirty")).distinct(), "contaminated")
+    return docs.join(dirty, key == F.col("_lectern_dirty"), "left_anti")
