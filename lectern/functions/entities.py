@@ -12,9 +12,17 @@ SAMPLE_SIZE = (r"n\s*=\s*(\d+)", r"(\d+)\s+participants?", r"(\d+)\s+patients?",
 P_VALUE = (r"p\s*[<=]\s*(0\.\d+)", r"p-values?\s*[<=]\s*(0\.\d+)")
 INTERVAL = (r"(95%)\s*CI", r"(99%)\s*CI", r"(90%)\s*confidence interval")
 SOFTWARE = (
-    ("SPSS", r"SPSS\s*(?:version|v)?\s*([\d.]+)?"), ("R", r"\bR\s+(?:version\s*)?([\d.]+)"), ("Python", r"Python\s*([\d.]+)?"), ("MATLAB", r"MATLAB()"), ("SAS", r"SAS\s*(?:version|v)?\s*([\d.]+)?"),
-    ("Stata", r"Stata\s*(?:version|v)?\s*([\d.]+)?"), ("GraphPad Prism", r"GraphPad\s+Prism\s*([\d.]+)?"), ("Excel", r"Excel()"), ("JASP", r"JASP\s*([\d.]+)?"), ("Mplus", r"Mplus\s*([\d.]+)?"),
-)
+    ("SPSS", r"SPSS\s*(?:v|version)?\s*([\d\.]+)?"),
+    ("R", r"\bR\s+(?:version\s*)?([\d\.]+)"),
+    ("Python", r"Python\s*([\d\.]+)?"),
+    ("MATLAB", r"MATLAB\s*(?:R\d{4}[ab]?)?"),
+    ("SAS", r"SAS\s*(?:v|version)?\s*([\d\.]+)?"),
+    ("Stata", r"Stata\s*(?:v|version)?\s*([\d\.]+)?"),
+    ("GraphPad Prism", r"GraphPad\s+Prism\s*([\d\.]+)?"),
+    ("Excel", r"(?:Microsoft\s+)?Excel"),
+    ("JASP", r"JASP\s*([\d\.]+)?"),
+    ("Mplus", r"Mplus\s*([\d\.]+)?"),
+)
 DATASETS = ("MIMIC-III", "MIMIC-IV", "eICU", "UK Biobank", "NHANES", "PhysioNet", "TCGA", "GEO", "dbGaP", "ClinicalTrials.gov", "OpenNeuro", "ImageNet", "COCO", "MNIST")
 REPOSITORIES = ("github", "zenodo", "figshare", "dryad", "osf")
 CODE_URL = (r"github\.com/[\w-]+/[\w-]+", r"gitlab\.com/[\w-]+/[\w-]+", r"bitbucket\.org/[\w-]+/[\w-]+", r"doi\.org/10\.\d+/zenodo\.\d+")
@@ -58,10 +66,17 @@ def ratios(text: Column, name: str) -> Column:
     return F.transform(found(text, (rf"{name}\s*[=:]\s*(\d+\.?\d*)",)), lambda x: x.try_cast("double"))
 
 
+def version_group(pattern: str) -> int:
+    """The group that holds a version; a pattern without one gives its whole match."""
+    return int("([" in pattern)
+
+
 def software(text: Column) -> Column:
+    """Names in the table's order, each with what its first match holds. "SPSS version 26" gives SPSS alone, as "v" matches
+    first and no digit follows it; "MATLAB R2019a" gives "MATLAB MATLAB R2019a". Both are as surveyed."""
     each = []
     for name, pattern in SOFTWARE:
-        first = F.get(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1)), F.lit(0))
+        first = F.get(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(version_group(pattern))), F.lit(0))
         each.append(F.when(text.rlike("(?i)" + pattern), F.when(F.coalesce(first, F.lit("")) != "", F.concat(F.lit(name + " "), first)).otherwise(name)))
     return F.array_compact(F.array(*each))
 
@@ -113,6 +128,7 @@ FUNDING_MENTION = (r"(?:grant|award)[\s#:]+([A-Z0-9\-/]+)", r"(?:NIH|NSF|DOE|NAS
 TRIAL_MENTION = (r"(NCT\d{8})", r"(ISRCTN\d{8})", r"(EudraCT[\s\-]?\d{4}[\s\-]?\d{6}[\s\-]?\d{2})")
 P_MENTION = (r"[pP][\s=<>≤≥]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)", r"[pP]-value[s]?[\s:=]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)")
 SIZE_MENTION = (r"[nN][\s=]+(\d+)", r"sample size[\s:=]+(\d+)", r"(\d+)\s+(?:participants|subjects|patients)")
+INTERVAL_ENDS = r"(?i)(?:CI|confidence interval)[:\s]+\[?([0-9\.\-]+)[\s,]+([0-9\.\-]+)\]?"
 URL_MENTION = (r"(https?://[^\s<>\"{}|\\^`\[\]]+)",)
 #: Name, patterns, whether letters match in any case, whether repeats count once.
 MENTIONS = (
@@ -124,3 +140,32 @@ MENTIONS = (
 def mentions(text: Column) -> list[Column]:
     """A list of texts for each of MENTIONS: sorted where repeats count once, else in the order of the patterns."""
     return [(F.array_sort(F.array_distinct(found(text, p, 1, any_case))) if once else found(text, p, 1, any_case)).alias(name) for name, p, any_case, once in MENTIONS]
+
+
+# What section post-processing looks for in a document's text, besides the entities above.
+POST_SIZES = (r"[Nn]\s*=\s*(\d+)", r"sample size(?:\s+of)?\s+(\d+)", r"(\d+)\s+participants?", r"(\d+)\s+subjects?")
+POST_P = (r"[Pp]\s*[<=]\s*(0\.\d+)", r"[Pp]-value\s*[<=]\s*(0\.\d+)")
+POST_SOFTWARE = ("SPSS", "R", "Python", "MATLAB", "SAS", "Stata", "Excel", "GraphPad", "JASP", "jamovi")
+
+
+def post_entities(text: Column) -> Column:
+    """struct of sample_sizes, p_values and software, each sorted and once. "R" stands in any text that has an r: as surveyed."""
+    sizes = F.transform(found(text, POST_SIZES, 1, False), lambda x: x.try_cast("long"))
+    values = F.transform(found(text, POST_P, 1, False), lambda x: x.try_cast("double"))
+    once = lambda x: F.array_sort(F.array_distinct(F.array_compact(x)))
+    return F.struct(once(sizes).alias("sample_sizes"), once(values).alias("p_values"), F.array_sort(named(text, POST_SOFTWARE)).alias("software"))
+
+
+#: The extraction service's own table of patterns, whole matches by group.
+PATTERN_TABLE = {
+    "sample_sizes": (r"n\s*=\s*(\d+)", r"N\s*=\s*(\d+)", r"(\d+)\s+participants?", r"(\d+)\s+patients?", r"(\d+)\s+subjects?"),
+    "p_values": (r"p\s*[<=]\s*0\.\d+", r"P\s*[<=]\s*0\.\d+", r"p-value[s]?\s*[<=]\s*0\.\d+"),
+    "confidence_intervals": (r"95%\s*CI", r"99%\s*CI", r"confidence interval", r"CI:\s*\[?[\d\.\-\s,]+\]?"),
+    "software": (r"SPSS\s*v?[\d\.]*", r"R\s+(?:version\s*)?[\d\.]+", r"Python\s*[\d\.]*", r"MATLAB", r"SAS\s*v?[\d\.]*", r"Stata\s*v?[\d\.]*"),
+    "datasets": (r"MIMIC-(?:III|IV)", r"UK\s*Biobank", r"NHANES", r"eICU", r"PhysioNet"),
+}
+
+
+def table_matches(text: Column) -> list[Column]:
+    """For each group of PATTERN_TABLE the number of matches."""
+    return [F.size(found(text, patterns, 0, False)).cast("long").alias(f"n_{name}") for name, patterns in PATTERN_TABLE.items()]

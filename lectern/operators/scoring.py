@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from lectern.functions.text import AS_OF_YEAR, contains_any, first_case, present
 # Fixed values of the score.
 WEIGHTS = {"study_type": 20, "sample_size": 15, "statistical_rigor": 15, "venue_quality": 15, "recency": 10, "citations": 10, "completeness": 10, "reproducibility": 5}
 STUDY_POINTS = (("systematic review", 10), ("meta-analysis", 10), ("randomized controlled trial", 9), ("rct", 9), ("cohort study", 7), ("cohort", 7), ("case-control", 6), ("cross-sectional", 5), ("case series", 3), ("case report", 2), ("opinion", 1), ("editorial", 1))
-TOP_VENUES = ("nature", "science", "cell", "lancet", "nejm", "new england journal of medicine", "jama", "bmj", "pnas")
+TOP_VENUES = ("nature", "science", "cell", "lancet", "nejm", "new england journal of medicine", "jama", "bmj", "pnas", "nature medicine", "nature biotechnology", "nature genetics", "nature neuroscience", "nature methods")
 PUBLISHERS = ("ieee", "acm", "springer", "elsevier", "wiley")
 TESTS = ("anova", "t-test", "chi-square", "regression", "mann-whitney", "wilcoxon", "kruskal-wallis")
 GRADES = ((85, "A+"), (80, "A"), (75, "A-"), (70, "B+"), (65, "B"), (60, "B-"), (55, "C+"), (50, "C"), (45, "C-"), (40, "D"))
@@ -57,16 +60,32 @@ def strengths(high: bool) -> Column:
     return F.array_compact(F.array(*(F.when(test(k, w), STRENGTHS[k][0 if high else 1]) for k, w in WEIGHTS.items())))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def top_similar(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """The k vectors of highest cosine to the query vector: (vec_id, similarity)."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    norm = lambda v: F.sqrt(dot(v, v))
-    cosine = dot(F.col("embedding"), q) / (norm(F.col("embedding")) * norm(q))
-    return vectors.select("vec_id", F.round(cosine, 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+def top_similar(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
+    """The k vectors of highest cosine to the query, which is the first row by vec_id: (vec_id, similarity).
+
+    The query stays a row of a plan (at most one, so it may be broadcast) and is joined in; a batch is one matrix product
+    and hands on its own k best, so the final sort sees k rows a batch. Null vectors and ones of another length are left
+    out, zero vectors have no similarity, and without a query there are no rows.
+    """
+    asked = query.orderBy("vec_id").limit(1).select(F.col("embedding").alias("_q"))
+    both = vectors.where("embedding IS NOT NULL").join(F.broadcast(asked), F.size("embedding") == F.size("_q")).select("vec_id", "embedding", "_q")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = np.array(b.column(2)[0].as_py(), float)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cosine = v @ q / (np.sqrt((v * v).sum(1)) * np.sqrt(q @ q))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            first = np.lexsort((ids, -np.round(cosine, 6)))[:k]
+            yield pa.record_batch([b.column(0).take(pa.array(first)), pa.array(cosine[first])], ["vec_id", "similarity"])
+
+    found = both.mapInArrow(best, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double").where(~F.isnan("similarity"))
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def search_rank() -> Column:

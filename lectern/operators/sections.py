@@ -19,10 +19,31 @@ NARROW = (
     ("conclusion", ("conclu", "summary", "contribution", "concluding", "final")),
 )
 WIDE = (
-    ("introduction", ("intro", "background", "overview", "motivation", "objectives", "aims", "purpose", "rationale", "significance")),
-    ("methods", ("method", "materials", "procedure", "study design", "participants", "data collection", "measures", "statistical analysis", "protocol", "experimental design", "sample", "intervention", "study population", "patient population", "participant recruitment", "enrollment", "subjects", "inclusion criteria", "exclusion criteria", "eligibility", "data sources", "measurements", "assessment", "power analysis")),
-    ("results", ("result", "finding", "outcome", "analysis", "baseline characteristics", "efficacy", "effectiveness", "patient characteristics", "demographic", "clinical characteristics", "safety", "adverse events", "side effects")),
-    ("discussion", ("discuss", "interpretation", "implication", "limitation", "strength", "weakness", "clinical significance", "comparison", "future direction")), ("conclusion", ("conclu", "summary", "future", "recommendation", "take-home", "final thoughts", "contribution", "key findings")),
+    ("introduction", ("intro", "background", "overview", "motivation", "objectives", "aims", "purpose", "rationale", "significance", "problem statement")),
+    (
+        "methods",
+        (
+            "method", "methodology", "materials", "procedure", "study design", "participants", "data collection", "measures", "statistical analysis", "protocol",
+            "experimental design", "sample", "intervention", "study population", "patient population", "participant recruitment", "enrollment", "subjects",
+            "inclusion criteria", "exclusion criteria", "eligibility", "data sources", "measurements", "assessment", "procedures", "interventions",
+            "statistical methods", "sample size calculation", "power analysis",
+        ),
+    ),
+    (
+        "results",
+        (
+            "result", "finding", "outcome", "analysis", "baseline characteristics", "primary outcome", "secondary outcome", "efficacy", "effectiveness",
+            "patient characteristics", "demographic", "clinical characteristics", "safety", "adverse events", "side effects",
+        ),
+    ),
+    (
+        "discussion",
+        (
+            "discuss", "interpretation", "implication", "limitation", "strength", "weakness", "clinical significance", "comparison", "clinical implication",
+            "future direction", "study limitation",
+        ),
+    ),
+    ("conclusion", ("conclu", "summary", "future", "recommendation", "take-home", "final thoughts", "contribution", "key findings", "clinical recommendation")),
 )
 NUMBERED = ((r"^[0-9]+\.?\s*introduction", "introduction"), (r"^[0-9]+\.?\s*(method|approach|material)", "methods"), (r"^[0-9]+\.?\s*(result|experiment)", "results"), (r"^[0-9]+\.?\s*discussion", "discussion"), (r"^[0-9]+\.?\s*conclusion", "conclusion"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,17 +115,20 @@ def rates(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *(share(t).alias(f"pct_{k}") for k, t in tests.items()))
 
 
-# The weight of what lies so many values back is below a double's precision for rates of 0.3 and more.
-EMA_REACH = 128
+def reach(rate: float) -> int:
+    """How many of a key's last values weigh anything: what lies further back weighs less than a double's precision."""
+    if not 0 < rate <= 1:
+        raise ValueError("a rate is above 0 and at most 1")
+    return 1 if rate == 1 else math.ceil(math.log(1e-17) / math.log1p(-rate)) + 1
 
 
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, rate: float = 0.3) -> DataFrame:
     """key, ema: each key's exponential moving average, from its first value on.
 
-    Only the last EMA_REACH values of a key weigh anything, so ranks are limited before the shuffle and a hot key is no hot task.
+    Only the last reach(rate) values of a key weigh anything, so ranks are limited before the shuffle and a hot key is no hot task.
     """
     back = F.row_number().over(W.partitionBy(key).orderBy(*(F.desc(o) for o in order))) - 1
-    last = rows.where(F.col(value).isNotNull()).select(key, value, back.alias("back")).where(F.col("back") < EMA_REACH)
+    last = rows.where(F.col(value).isNotNull()).select(key, value, back.alias("back")).where(F.col("back") < reach(rate))
     weight = F.pow(F.lit(1 - rate), F.col("back"))
     return last.groupBy(key).agg((F.sum(rate * weight * F.col(value)) + (1 - rate) * F.max_by(F.col(value) * weight, "back")).alias("ema"))
 

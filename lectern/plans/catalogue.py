@@ -172,7 +172,16 @@ def _missing():
 on_papers("coverage_fields", lambda p: R.coverage(p, _tests()), " UNION ALL ".join(("" if i else "") + f"SELECT '{k}' AS field, count_if({v}) AS present, round(100.0 * count_if({v}) / count(*), 6) AS percent FROM papers" for i, (k, v) in enumerate(CRITICAL.items())))
 on_papers("missing_combos", lambda p: R.top_k(p.select(_missing().alias("missing")).where("missing <> ''"), "missing", 10), f"SELECT {MISSING} AS missing, count(*) AS n FROM papers WHERE {MISSING} <> '' GROUP BY 1 ORDER BY n DESC, missing LIMIT 10")
 on_papers("issue_hist", lambda p: p.select("paper_id", F.explode(_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("paper_id").alias("first")).orderBy(F.desc("n"), "issue").limit(20), f"SELECT issue, count(*) AS n, min(paper_id) AS first FROM (SELECT paper_id, unnest({ISSUES}) AS issue FROM papers) GROUP BY issue ORDER BY n DESC, issue LIMIT 20")
-on_papers("pattern_groups", lambda p: p.where("n_sections > 0").groupBy(_missing().alias("missing")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("paper_id")), 1, 10), ",").alias("ids")), f"SELECT {MISSING} AS missing, count(*) AS n, array_to_string(list_sort(list(paper_id))[1:10], ',') AS ids FROM papers WHERE n_sections > 0 GROUP BY 1")
+
+
+def _pattern_groups(p: DataFrame) -> DataFrame:
+    """Ranks are limited before the shuffle, so a pattern that most papers share never gathers their ids."""
+    rows = p.where("n_sections > 0").select("paper_id", _missing().alias("missing"))
+    first = L.rank_first(rows, ["missing"], [c("paper_id")], 10).groupBy("missing").agg(F.array_join(F.array_sort(F.collect_list("paper_id")), ",").alias("ids"))
+    return rows.groupBy("missing").agg(F.count("*").alias("n")).join(first, "missing")
+
+
+on_papers("pattern_groups", _pattern_groups, f"SELECT {MISSING} AS missing, count(*) AS n, array_to_string(list_sort(list(paper_id))[1:10], ',') AS ids FROM papers WHERE n_sections > 0 GROUP BY 1")
 on_papers("worst_papers", lambda p: p.select("paper_id", F.size(R.missing(_tests())).alias("missing_count")).orderBy(F.desc("missing_count"), "paper_id").limit(20), f"SELECT paper_id, CAST(len({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS INT) AS missing_count FROM papers ORDER BY missing_count DESC, paper_id LIMIT 20")
 on_papers("examples_per_field", lambda p: L.rank_first(p.select("paper_id", F.explode(R.missing(_tests())).alias("field")), ["field"], [c("paper_id")], 3), f"SELECT * FROM (SELECT paper_id, field, CAST(row_number() OVER (PARTITION BY field ORDER BY paper_id) AS INT) AS rank FROM (SELECT paper_id, unnest({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS field FROM papers)) WHERE rank <= 3")
 add("topk_exploded", lambda s, d: R.top_k(table(s, d, "documents").select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")).where("word <> ''"), "word", 15), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(replace(text, chr(10), chr(32))), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 15")
@@ -287,7 +296,7 @@ NUM = f"list_filter(list_transform({ALL(E.SAMPLE_SIZE)}, x -> try_cast(x AS BIGI
 scalar("entities_sample_sizes", lambda: join(E.sample_sizes(c("body"))), text_of(f"list_reverse_sort(list_distinct({NUM}))"))
 on_papers("entities_p_values", lambda p: p.select("paper_id", F.size(E.p_values(c("body"))).alias("n"), F.array_min(E.p_values(c("body"))).alias("least")), f"SELECT paper_id, CAST(len(list_distinct(v)) AS INT) AS n, list_min(v) AS least FROM (SELECT paper_id, list_transform({ALL(E.P_VALUE)}, x -> CAST(x AS DOUBLE)) AS v FROM papers)")
 on_papers("entities_effects", lambda p: p.select("paper_id", join(E.intervals(c("body"))).alias("intervals"), F.get(E.ratios(c("body"), "OR"), F.lit(0)).alias("odds"), F.get(E.ratios(c("body"), "HR"), F.lit(0)).alias("hazard")), f"SELECT paper_id, {text_of(f'list_sort(list_distinct({ALL(E.INTERVAL)}))')} AS intervals, CAST({ALL((r'OR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS odds, CAST({ALL((r'HR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS hazard FROM papers")
-scalar("entities_software", lambda: join(E.software(c("body"))), text_of("list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p}') THEN trim('{n} ' || coalesce(regexp_extract_all(body, '(?i){p}', 1)[1], '')) END" for n, p in E.SOFTWARE) + "], x -> x IS NOT NULL)"))
+scalar("entities_software", lambda: join(E.software(c("body"))), text_of("list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p}') THEN trim('{n} ' || coalesce(regexp_extract_all(body, '(?i){p}', {E.version_group(p)})[1], '')) END" for n, p in E.SOFTWARE) + "], x -> x IS NOT NULL)"))
 NAMED = lambda names: text_of("list_filter([" + ", ".join(f"CASE WHEN contains(lower(body), '{n.lower()}') THEN '{n}' END" for n in names) + "], x -> x IS NOT NULL)")
 scalar("entities_datasets", lambda: join(E.named(c("body"), E.DATASETS)), NAMED(E.DATASETS))
 scalar("entities_diseases", lambda: join(E.named(c("body"), E.DISEASES)), NAMED(E.DISEASES))
@@ -335,7 +344,7 @@ on_papers("quality_score", lambda p: _scored(p).select("paper_id", "score", "gra
 on_papers("quality_grade_hist", lambda p: _scored(p).groupBy("grade").agg(F.count("*").alias("n")), f", {SCORED} SELECT {GRADE} AS grade, count(*) AS n FROM total GROUP BY 1")
 on_papers("strengths_weaknesses", lambda p: _scored(p).select("paper_id", F.array_join(Q.strengths(True), ",").alias("strengths"), F.array_join(Q.strengths(False), ",").alias("weaknesses")), f", {SCORED} SELECT paper_id, {text_of(flags([(Q.STRENGTHS[k][0], f'{n} >= {0.8 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS strengths, {text_of(flags([(Q.STRENGTHS[k][1], f'{n} < {0.3 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS weaknesses FROM total")
 on_papers("quality_v2", lambda p: p.select("paper_id", F.round(F.least(c("citations") / 100.0, F.lit(1.0)) * 40 + F.when(c("num_references") > 0, 10.0).otherwise(0.0) + F.least(c("chars") / 10000.0, F.lit(1.0)) * 30 + F.when(c("abstract") != "", 20.0).otherwise(0.0), 6).alias("score")), "SELECT paper_id, CAST(round(least(citations / 100.0, 1.0) * 40 + CASE WHEN num_references > 0 THEN 10 ELSE 0 END + least(chars / 10000.0, 1.0) * 30 + CASE WHEN abstract <> '' THEN 20 ELSE 0 END, 6) AS DOUBLE) AS score FROM papers")
-add("vector_topk", lambda s, d: Q.top_similar(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0").first()["embedding"], 10), "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
+add("vector_topk", lambda s, d: Q.top_similar(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0"), 10), "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
 on_papers("search_rank", lambda p: p.withColumns({"similarity": (c("doc_id") % 100) / 100.0, "entity": (c("doc_id") % 7) / 7.0, "quality": (c("doc_id") % 50) / 50.0, "recency": (c("doc_id") % 36) / 36.0}).select("paper_id", Q.search_rank().alias("rank")).orderBy(F.desc("rank"), "paper_id").limit(25), "SELECT paper_id, round(CAST(0.4 AS DOUBLE) * (doc_id % 100 / 100::DOUBLE) + CAST(0.3 AS DOUBLE) * (doc_id % 7 / 7::DOUBLE) + CAST(0.2 AS DOUBLE) * (doc_id % 50 / 50::DOUBLE) + CAST(0.1 AS DOUBLE) * (doc_id % 36 / 36::DOUBLE), 6) AS rank FROM papers ORDER BY rank DESC, paper_id LIMIT 25")
 add("gap_citation", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20), "SELECT l_partkey, count(DISTINCT l_orderkey) AS citers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2 ORDER BY citers DESC, l_partkey LIMIT 20")
 add("gap_author", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works")).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti").orderBy(F.desc("works"), "o_custkey").limit(10), "SELECT o_custkey, count(*) AS works FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey ORDER BY works DESC, o_custkey LIMIT 10")

@@ -120,7 +120,7 @@ add(
     "timing_ema",
     lambda s, d: X.moving_average(table(s, d, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", F.round("ema", 6).alias("ema")),
     f"""SELECT event_type, round(sum(0.3 * pow(0.7, back) * value) + 0.7 * max_by(pow(0.7, back) * value, back), 6) AS ema
-    FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS back FROM events WHERE value IS NOT NULL) WHERE back < {X.EMA_REACH} GROUP BY 1""",
+    FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS back FROM events WHERE value IS NOT NULL) WHERE back < {X.reach(0.3)} GROUP BY 1""",
 )
 _stage = case([("doc_id % 3 = 0", lit("a")), ("doc_id % 3 = 1", lit("b"))], lit("c"))
 on_papers(
