@@ -10,12 +10,16 @@ Texts are read once: positions and hashes of what matched go to a written table,
 part in the aggregation, whose counts combine before the shuffle. Positions come from the lengths of the pieces between
 matches and of the matches.
 
-Defined results: a null or empty text has no spans. Repeated rows have results of their own; they add no owner and no
-repository. A null source is an owner of its own. Offsets are code points.
+Defined results: a null or empty text has no spans. Very long texts are searched whole. Repeated rows, and rows with a
+null doc_id, have results of their own; they add no owner and no repository. A null source is an owner of its own, and a
+repository by lang alone. Spans of equal start go by kind, then end. An empty table gives no rows. Other columns are
+ignored, whatever their names. Offsets are code points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +30,17 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Further candidates: a quick test, then the pattern.
 MORE = (
     ("vendor", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|AIza|glpat-)[A-Za-z0-9_-]{16,}", 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 24),
     ("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s[A-Za-z0-9+/=]{16,}", 0, 24),
     ("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 24),
 )
+#: What a text must contain for a pattern to match at all, tested before it; assign's words in either case.
+NEEDS = {
+    "assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "vendor": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk-", "AIza", "glpat-"),
+    "jwt": ("eyJ",), "private": ("-----BEGIN ",), "bearer": ("earer ",),
+}
 KINDS = tuple(x[0] for x in BASE + MORE)
 SPREAD = 3
 
@@ -40,7 +48,8 @@ SPREAD = 3
 def _found(text: Column, number: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<s, k, e, h>> of the pattern's matches whose group has `least` characters or more."""
     kind = "array<struct<s:bigint,k:int,e:bigint,h:bigint>>"
-    hits, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.transform(hits, lambda x: F.regexp_extract(x, pattern, group)) if group else hits
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     each = F.arrays_zip(gaps.alias("gap"), F.transform(hits, lambda x: F.length(x).cast("long")).alias("size"), values.alias("value"))
     # The piece behind the last match has no match of its own.
@@ -53,7 +62,10 @@ def _found(text: Column, number: int, pattern: str, group: int, least: int) -> C
         return F.struct((s + x["size"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(each, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
+    held = F.lower(text) if KINDS[number] == "assign" else text
+    needs = [held.contains(x) for x in NEEDS.get(KINDS[number], ())]
+    test = reduce(Column.__or__, needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(test, spans).otherwise(F.array().cast(kind))
 
 
 def _joined(spans: Column) -> Column:
