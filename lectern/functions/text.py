@@ -190,3 +190,13 @@ def jaccard_stop(a: Column, b: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     return F.split(c, r"(?<=[.!?])\s+")
+
+
+def long_words(c: Column) -> Column:
+    """Words of four characters and more, in any script, lower-cased."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w{4,}\b"), F.lit(0))
+
+
+def year_issued(c: Column) -> Column:
+    """The first four digits of a date."""
+    return F.nullif(F.regexp_extract(c, r"(\d{4})", 1), F.lit(""))

@@ -184,3 +184,54 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def rank_first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+# What a paper must have to be complete, and what is always taken anew.
+CRITICAL = ("title", "doi", "year", "authors", "abstract")
+METRICS = ("citation_count", "influential_citation_count")
+
+
+def already_complete(tests: dict[str, Column]) -> Column:
+    """Whether every critical field is there: such papers pass through without a lookup."""
+    out = F.lit(True)
+    for test in tests.values():
+        out = out & F.coalesce(test, F.lit(False))
+    return out
+
+
+def refresh(linked: DataFrame, fields: dict[str, str], metrics: dict[str, str], found: Column) -> DataFrame:
+    """Fills missing fields as fill_missing does, and takes metrics anew whenever the source has them, as they change.
+
+    Adds n_filled, and status: found or not_found.
+    """
+    out = fill_missing(linked, fields)
+    out = out.withColumns({m: F.coalesce(F.col(s), F.col(m)) if m in linked.columns else F.col(s) for m, s in metrics.items()})
+    return out.withColumn("status", F.when(found, "found").otherwise("not_found"))
+
+
+def stamped(rows: DataFrame, source: str, at: Column, filled: Column) -> DataFrame:
+    """rows with provenance: a struct of source, time, fields and their number."""
+    return rows.withColumn("provenance", F.struct(F.lit(source).alias("source"), at.alias("at"), filled.alias("fields"), F.size(filled).alias("n_fields")))
+
+
+def prefixed(rows: DataFrame, payload: str, prefix: str) -> DataFrame:
+    """rows with the payload's fields as columns of their own name behind a prefix; null payloads give nulls."""
+    names = rows.select(f"{payload}.*").columns
+    return rows.select(*(c for c in rows.columns if c != payload), *(F.col(f"{payload}.{n}").alias(prefix + n) for n in names))
+
+
+def distinct_titles(papers: DataFrame, floor: float = 0.95) -> DataFrame:
+    """papers without those whose DOI or title an earlier paper (by doc_id) has: DOIs equal, titles of a word overlap above floor.
+
+    Candidates come from prefix filtering, which loses no pair; copies of a title are compared once, by their first paper.
+    """
+    first = papers.where(present(F.col("title"))).groupBy(F.lower("title").alias("t")).agg(F.min("doc_id").alias("_id"))
+    titles = first.select("t")
+    near = overlapping(titles, titles.select(F.col("t").alias("u")), tokens, floor).where("t <> u")
+    near = near.where(jaccard(tokens(F.col("t")), tokens(F.col("u"))) > floor)
+    of_near = near.join(first.select(F.col("t").alias("u"), F.col("_id").alias("_other")), "u").groupBy("t").agg(F.min("_other").alias("_near"))
+    earliest = first.join(of_near, "t", "left").select("t", F.least("_id", "_near").alias("_by_title"))
+    by_doi = papers.where(present(F.col("doi"))).groupBy("doi").agg(F.min("doc_id").alias("_by_doi"))
+    rows = papers.withColumn("t", F.lower("title")).join(earliest, "t", "left").join(by_doi, "doi", "left")
+    kept = (F.coalesce("_by_title", "doc_id") >= F.col("doc_id")) & (F.coalesce("_by_doi", "doc_id") >= F.col("doc_id"))
+    return rows.where(kept).select(*papers.columns)

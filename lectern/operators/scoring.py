@@ -91,3 +91,90 @@ def top_similar(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
 def search_rank() -> Column:
     """Of columns similarity, entity, quality and recency: 0.4 similarity, 0.3 entities, 0.2 quality, 0.1 recency."""
     return F.round(0.4 * F.col("similarity") + 0.3 * F.col("entity") + 0.2 * F.col("quality") + 0.1 * F.col("recency"), 6)
+
+
+# Fixed values of the legacy score: 100 points over eight parts.
+LEGACY_STUDY = {"systematic_review": 35, "meta_analysis": 35, "rct": 25, "cohort": 15, "case_control": 10, "cross_sectional": 5, "case_report": 0, "study": 5}
+LEGACY_SHARES = {"study_type": 20, "recency": 10, "sample_size": 5, "full_text": 5, "citation_impact": 25, "venue_prestige": 15, "author_authority": 10, "cross_validation": 10}
+LEGACY_SAMPLE = ((1000, 5), (500, 4), (250, 3), (100, 2), (50, 1))
+LEGACY_CITATIONS = ((1000, 25), (500, 20), (100, 15), (50, 10), (20, 7), (5, 4), (1, 2))
+LEGACY_AUTHORS = ((50, 10), (30, 8), (15, 6), (5, 4), (1, 2))
+LEGACY_VENUES = (("Q1", 15), ("Q2", 12), ("Q3", 8), ("Q4", 4))
+LEGACY_YEARS = ((2022, 10), (2020, 5))
+
+
+def legacy_parts(p: DataFrame) -> DataFrame:
+    """Adds the legacy score's parts and its total. p: study_type, year, sample_size, has_full_text, citations, venue_rank,
+    h_index, and booleans has_doi, has_pmid, has_types, has_fields (the sources that agree)."""
+    c = F.col
+    study = first_case([(c("study_type") == k, F.lit(float(v))) for k, v in LEGACY_STUDY.items()], F.lit(0.0)) / 35 * LEGACY_SHARES["study_type"]
+    sample = F.when(c("study_type") == "rct", _bands(c("sample_size"), LEGACY_SAMPLE, 0)).otherwise(0.0)
+    agree = sum((F.when(c(x), 2.5).otherwise(0.0) for x in ("has_doi", "has_pmid", "has_types", "has_fields")), F.lit(0.0))
+    values = {
+        "study_type_points": F.round(study, 6), "recency_points": _bands(c("year").try_cast("int"), LEGACY_YEARS, 0), "sample_size_points": sample,
+        "full_text_points": F.when(c("has_full_text"), 5.0).otherwise(0.0), "citation_points": _bands(c("citations"), LEGACY_CITATIONS, 0),
+        "venue_points": first_case([(c("venue_rank") == k, F.lit(float(v))) for k, v in LEGACY_VENUES], F.lit(2.0)), "author_points": _bands(c("h_index"), LEGACY_AUTHORS, 0), "agreement_points": agree,
+    }
+    out = p.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
+    return out.withColumn("legacy_score", F.round(sum((c(k) for k in values), F.lit(0.0)), 6))
+
+
+# Fixed values of the six-factor score.
+IMPACT = ((100, 15, "high"), (50, 12, "moderate"), (10, 8, "some"))
+LETTERS = ((85, "A+ (Excellent)"), (70, "A (Good)"), (60, "B (Above Average)"), (45, "C (Average)"))
+
+
+def explained(citations: Column, sample: Column, study_type: Column, has_p: Column, has_data: Column, has_code: Column, is_open: Column, h_index: Column, completeness: Column, year: Column) -> Column:
+    """struct of score and explanation: impact, methodology, reproducibility, authors, completeness and recency, 100 at most."""
+    impact = first_case([(citations > n, v) for n, v, _ in IMPACT], 0)
+    word = first_case([(citations > n, w) for n, _, w in IMPACT], "limited")
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    method = points(sample > 1000, 10) + points(F.lower(study_type).contains("rct"), 9) + points(has_p, 3)
+    again = points(has_data, 8) + points(has_code, 7) + points(is_open, 5)
+    score = impact + method + again + first_case([(h_index > 50, 10), (h_index > 20, 7)], 0) + F.floor(completeness * 10).cast("int") + points(year >= 2023, 5)
+    score = F.least(score, F.lit(100))
+    line = F.format_string("\u2022 Impact: %d/15 (%s%%) - %d citations (%s impact)", impact, F.round(100.0 * impact / 15, 0).cast("int").cast("string"), citations.cast("int"), word)
+    grade = first_case([(score >= b, g) for b, g in LETTERS], "D (Below Average)")
+    told = F.concat_ws("\n", F.format_string("Quality Score: %d/100\n", score), F.lit("Breakdown:"), line, F.concat(F.lit("\nOverall Grade: "), grade))
+    return F.struct(score.cast("int").alias("score"), told.alias("explanation"))
+
+
+def four_factors(s2: Column, crossref: Column, basic: Column, venue_level: Column, good_venue: Column, h_index: Column, has_authors: Column, lengths: tuple[Column, Column, Column], ids: dict[str, Column], year: Column) -> Column:
+    """struct of total, citations, their source, and the points of venue, authors, completeness and metadata.
+
+    Citations come from the first source that has any (not 0); a venue's level counts before its name.
+    """
+    some = lambda x: F.nullif(x, F.lit(0))
+    cited = F.coalesce(some(s2), some(crossref), basic, F.lit(0))
+    source = first_case([(F.coalesce(s2, F.lit(0)) != 0, "s2_data"), (F.coalesce(crossref, F.lit(0)) != 0, "crossref")], "basic")
+    venue = first_case([(venue_level.isNotNull(), F.least(F.lit(20.0), venue_level * 5.0)), (good_venue, F.lit(15.0))], F.lit(5.0))
+    author = first_case([(h_index.isNotNull(), F.least(F.lit(10.0), h_index / 5.0)), (has_authors, F.lit(3.0))], F.lit(0.0))
+    whole = sum((F.when(n > least, 10.0).otherwise(0.0) for n, least in zip(lengths, (100, 500, 500), strict=True)), F.lit(0.0))
+    rich = sum((F.when(x, 5.0 if k == "doi" else 3.0).otherwise(0.0) for k, x in ids.items()), F.lit(0.0)) + first_case([(year > 2020, 3.0), (year > 2015, 1.0)], 0.0)
+    total_ = F.least(F.lit(100.0), F.least(F.lit(20.0), cited / 10.0) + venue + author + whole + rich)
+    return F.struct(F.round(total_, 6).alias("total"), cited.cast("long").alias("citations"), source.alias("source"), venue.alias("venue_points"), F.round(author, 6).alias("author_points"), whole.alias("completeness_points"), rich.alias("metadata_points"))
+
+
+# Words for a population, and the shares of a light. Areas of research and their words.
+POPULATIONS = {
+    "pediatric": ("children", "pediatric", "adolescent", "youth", "minors"), "elderly": ("elderly", "geriatric", "older adults", "seniors", "aging"),
+    "women": ("women", "female", "maternal", "pregnancy", "reproductive"), "developing_countries": ("developing countries", "low-income", "global health", "LMIC"),
+}
+LIGHTS = ((80, "green"), (50, "yellow"))
+AREAS = (("imaging", ("image", "imaging", "radiolog")), ("trials", ("trial", "randomi")), ("models", ("model", "learning", "network")), ("health", ("health", "patient", "clinical")))
+
+
+def light(percent: Column) -> Column:
+    """green, yellow or red for a coverage."""
+    return first_case([(percent >= n, w) for n, w in LIGHTS], "red")
+
+
+def expanded(query: str) -> list[str]:
+    """A query, and for each population that it names the words that stand for it, each once."""
+    low = query.lower()
+    more = [w for name, words in POPULATIONS.items() if name in low or any(w.lower() in low for w in words) for w in words]
+    return list(dict.fromkeys([query, *more]))
+
+
+def area(text: Column) -> Column:
+    return first_case([(contains_any(F.lower(text), words), name) for name, words in AREAS], "other")

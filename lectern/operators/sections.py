@@ -158,3 +158,53 @@ ALIASES = {"method": "methods", "methodology": "methods", "result": "results", "
 def header_parts(name: Column) -> Column:
     """The sections that a header names: its parts around " and ", aliases resolved."""
     return F.transform(F.split(F.lower(name), " and "), lambda x: F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in ALIASES.items()), x))
+
+
+def quality_metrics(abstract: Column, s: Column, n_entities: Column) -> Column:
+    """struct of what an extraction holds: lengths, sections, entities, whether it needs a retry, and its completeness."""
+    n = F.coalesce(F.length(abstract), F.lit(0))
+    names = ("introduction", "methods", "results", "discussion", "conclusion")
+    size = F.size(s)
+    return F.struct(
+        (n > 100).alias("has_abstract"), n.alias("abstract_length"), size.alias("section_count"), *(F.map_contains_key(s, F.lit(k)).alias(f"has_{k}") for k in names),
+        total_chars(s).alias("total_content_length"), n_entities.alias("entity_richness"), ((size < 4) | (n < 100)).alias("needs_retry"), completeness(abstract, s).alias("extraction_completeness"),
+    )
+
+
+def post_process(papers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(paper_id, abstract, sections, hidden, metrics, score) of papers (paper_id, title, abstract) from their section rows.
+
+    Sections are aggregated by the wide table, hidden results go behind the results, a missing abstract is recovered, and
+    the outcome is measured. Papers without sections keep their abstract.
+    """
+    typed = sections_wide(rows)
+    hidden = hidden_results(typed)
+    maps = as_map(typed).join(hidden, "paper_id", "left")
+    found = F.coalesce(F.col("hidden"), F.lit("")) != ""
+    results = F.concat_ws("\n\n", F.col("sections")["results"], "hidden")
+    merged = F.when(found, F.map_concat(F.map_filter("sections", lambda k, v: k != "results"), F.create_map(F.lit("results"), results))).otherwise(F.col("sections"))
+    both = papers.join(maps.select("paper_id", merged.alias("sections"), "hidden"), "paper_id", "left")
+    both = both.withColumn("sections", F.coalesce("sections", F.create_map().cast("map<string,string>")))
+    abstract = F.coalesce(F.when(F.length("abstract") > 0, F.col("abstract")), abstract_recovered(F.col("sections"), F.col("title")), F.lit(""))
+    out = both.withColumn("abstract", abstract)
+    return out.select("paper_id", "abstract", "sections", "hidden", quality_metrics(F.col("abstract"), F.col("sections"), F.lit(0)).alias("metrics"), extraction_quality(F.col("abstract"), F.col("sections")).alias("score"))
+
+
+def get_sections(s: DataFrame, names: list[str]) -> DataFrame:
+    """(paper_id, type, text) of the types asked for; abstract-like names may be given in any case."""
+    return s.where(F.col("type").isin([n.lower() for n in names]))
+
+
+# Which sections a question asks for.
+ASKS = (("methods", ("how", "method", "sample", "design", "measure")), ("results", ("result", "effect", "outcome", "find")), ("discussion", ("why", "limit", "mean", "implic")), ("introduction", ("what", "background", "aim")))
+
+
+def smart_get(s: DataFrame, question: str, k: int = 10) -> DataFrame:
+    """(paper_id, type, text, hits): sections of the types that a question asks for (all if none), by how many of its words
+    of four letters and more they hold; the k best."""
+    low = question.lower()
+    wanted = [name for name, words in ASKS if any(w in low for w in words)]
+    words = sorted({w for w in low.replace("?", " ").split() if len(w) >= 4})
+    hits = sum((F.lower("text").contains(w).cast("int") for w in words), F.lit(0))
+    rows = get_sections(s, wanted) if wanted else s
+    return rows.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "paper_id", "type").limit(k)

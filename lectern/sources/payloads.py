@@ -136,3 +136,96 @@ def author_names(named: Column, *plain: Column) -> Column:
     """Names of the first list that holds any: structs with a name, then lists of names."""
     some = lambda x: F.when(F.size(x) > 0, x)
     return F.coalesce(F.when(F.size(named) > 0, F.filter(named["name"], lambda n: F.coalesce(n, F.lit("")) != "")), *map(some, plain), F.array().cast("array<string>"))
+
+
+# The rest of what is read of a registry's work and of a citation graph's.
+_STAMP = "struct<`date-time`: string, `date-parts`: array<array<int>>>"
+DATES = ("created", "deposited", "indexed", "issued", "published-print", "published-online", "accepted", "approved")
+BASICS = ("DOI", "URL", "type", "title", "subtitle", "short-title", "container-title", "container-title-short", "publisher", "publisher-location", "volume", "issue", "page", "article-number")
+_LISTED = ("title", "subtitle", "short-title", "container-title", "container-title-short")
+FLAGS = ("peer-review", "content-domain", "assertion")
+WHOLE_WORK = (
+    ", ".join(f"`{k}` {'array<string>' if k in _LISTED else 'string'}" for k in BASICS) + ", " + ", ".join(f"`{k}` {_STAMP}" for k in DATES)
+    + ", author array<struct<given: string, family: string, ORCID: string, affiliation: array<struct<name: string>>>>, abstract string, ISSN array<string>, ISBN array<string>, archive array<string>"
+    + ", `is-referenced-by-count` int, `references-count` int, score double, subject array<string>, keyword array<string>"
+    + ", `clinical-trial-number` array<struct<`clinical-trial-number`: string, registry: string>>, funder array<struct<name: string, DOI: string, award: array<string>>>"
+    + ", license array<struct<URL: string, start: struct<`date-time`: string>, `content-version`: string>>, relation map<string, array<string>>, reference array<string>, "
+    + ", ".join(f"`{k}` string" for k in FLAGS)
+)
+
+
+def whole_work(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with every field of a registry's work: lists of one value become it, dates their stamp or joined parts, empty values null."""
+    w = F.from_json(F.col(payload), WHOLE_WORK)
+    named = lambda k: k.lower().replace("-", "_")
+    day = lambda d: F.coalesce(d["date-time"], F.nullif(F.array_join(F.get(d["date-parts"], 0), "-"), F.lit("")))
+    listed = lambda x: F.when(F.size(x) > 0, x)
+    person = lambda a: F.struct(
+        F.trim(F.concat(F.coalesce(a["given"], F.lit("")), F.lit(" "), F.coalesce(a["family"], F.lit("")))).alias("name"), a["given"].alias("given"), a["family"].alias("family"),
+        a["ORCID"].alias("orcid"), listed(F.filter(a["affiliation"]["name"], lambda x: x.isNotNull())).alias("affiliations"),
+    )
+    return rows.withColumns(
+        {named(k): _some(F.get(w[k], 0) if k in _LISTED else w[k]) for k in BASICS}
+        | {named(k) + "_date": day(w[k]) for k in DATES}
+        | {
+            "authors": F.transform(w["author"], person), "abstract": F.regexp_replace(w["abstract"], "<[^<]+?>", ""), **{k.lower(): listed(w[k]) for k in ("ISSN", "ISBN", "archive")},
+            "citations": w["is-referenced-by-count"], "references_count": w["references-count"], "match_score": w["score"], "subjects": w["subject"], "keywords": w["keyword"],
+            "clinical_trials": F.transform(w["clinical-trial-number"], lambda t: F.struct(t["clinical-trial-number"].alias("number"), t["registry"].alias("registry"))),
+            "funders": F.transform(w["funder"], lambda f: F.struct(f["name"].alias("name"), f["DOI"].alias("doi"), f["award"].alias("awards"))),
+            "licenses": F.transform(w["license"], lambda x: F.struct(x["URL"].alias("url"), x["start"]["date-time"].alias("start"), x["content-version"].alias("content_version"))),
+            "relations": F.map_filter(w["relation"], lambda k, v: F.size(v) > 0), "reference_count": F.when(F.size(w["reference"]) > 0, F.size(w["reference"])),
+            "references_sample": F.slice(listed(w["reference"]), 1, MOST_REFERENCES), **{"has_" + named(k): w[k].isNotNull() for k in FLAGS},
+        }
+    ).drop(payload)
+
+
+_NAMED = "struct<id: string, display_name: string, score: double>"
+_PLACE = "struct<display_name: string>"
+WHOLE_GRAPH_WORK = (
+    "id string, doi string, title string, publication_year int, type string, is_retracted boolean, is_paratext boolean, "
+    f"topics array<struct<id: string, display_name: string, score: double, domain: {_PLACE}, field: {_PLACE}, subfield: {_PLACE}>>, sustainable_development_goals array<{_NAMED}>, "
+    "cited_by_count int, referenced_works_count int, counts_by_year array<struct<year: int, cited_by_count: int>>, cited_by_percentile_year struct<min: int, max: int>, "
+    f"authorships array<struct<author: struct<id: string, display_name: string, orcid: string>, institutions: array<{_PLACE}>>>, open_access struct<is_oa: boolean, oa_status: string, oa_url: string>, "
+    "keywords array<struct<display_name: string, score: double>>, mesh array<struct<descriptor_name: string, qualifier_name: string, is_major_topic: boolean>>, "
+    "primary_location struct<source: struct<id: string, display_name: string, type: string, issn_l: string, is_oa: boolean>>, biblio struct<volume: string, issue: string, first_page: string, last_page: string>"
+)
+
+
+def whole_graph_work(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with every field that is read of a citation graph's work; institutions sorted, each once."""
+    w = F.from_json(F.col(payload), WHOLE_GRAPH_WORK)
+    own = lambda x, **names: F.struct(*(x[v].alias(k) for k, v in names.items()))
+    topic = lambda t: F.struct(t["id"].alias("id"), t["display_name"].alias("name"), t["score"].alias("score"), *(t[k]["display_name"].alias(k) for k in ("domain", "field", "subfield")))
+    source = w["primary_location"]["source"]
+    return rows.withColumns({
+        "graph_id": F.replace(F.coalesce(w["id"], F.lit("")), F.lit("https://openalex.org/"), F.lit("")), "doi": F.replace(F.coalesce(w["doi"], F.lit("")), F.lit("https://doi.org/"), F.lit("")),
+        "title": w["title"], "year": w["publication_year"], "type": w["type"], "is_retracted": F.coalesce(w["is_retracted"], F.lit(False)), "is_paratext": F.coalesce(w["is_paratext"], F.lit(False)),
+        "topics": F.transform(F.slice(w["topics"], 1, MOST_TOPICS), topic), "sdgs": F.transform(w["sustainable_development_goals"], lambda g: own(g, id="id", name="display_name", score="score")),
+        "citation_count": F.coalesce(w["cited_by_count"], F.lit(0)), "reference_count": F.coalesce(w["referenced_works_count"], F.lit(0)),
+        "citations_by_year": F.map_from_entries(F.transform(F.filter(w["counts_by_year"], lambda x: F.coalesce(x["year"], F.lit(0)) != 0), lambda x: F.struct(x["year"].cast("string"), x["cited_by_count"]))),
+        "citation_percentile": w["cited_by_percentile_year"], "authors": F.transform(w["authorships"]["author"], lambda a: own(a, id="id", name="display_name", orcid="orcid")),
+        "institutions": F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(w["authorships"], lambda a: F.coalesce(a["institutions"]["display_name"], F.array().cast("array<string>")))), lambda x: F.coalesce(x, F.lit("")) != ""))),
+        "open_access": F.when(w["open_access"].isNotNull(), F.struct(F.coalesce(w["open_access"]["is_oa"], F.lit(False)).alias("is_oa"), w["open_access"]["oa_status"].alias("status"), w["open_access"]["oa_url"].alias("url"))),
+        "keywords": F.transform(F.filter(w["keywords"], lambda k: F.coalesce(k["display_name"], F.lit("")) != ""), lambda k: own(k, name="display_name", score="score")),
+        "mesh_terms": F.transform(w["mesh"], lambda m: own(m, descriptor="descriptor_name", qualifier="qualifier_name", is_major="is_major_topic")),
+        "venue": F.when(source.isNotNull(), own(source, id="id", name="display_name", type="type", issn="issn_l", is_oa="is_oa")),
+        **{k: w["biblio"][k] for k in ("volume", "issue", "first_page", "last_page")},
+    }).drop(payload)
+
+
+# What readers know of an open-access record and of a medical index's record.
+ACCESS = "is_oa boolean, oa_status string, best_oa_location struct<url_for_pdf: string, repository: string, license: string>"
+MEDICAL = "pmid string, mesh_terms array<struct<descriptor: string>>, chemicals array<struct<name: string>>, publication_types array<string>, grants array<string>"
+
+
+def flat_access(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with an open-access record: status, and the best location's file, repository and license."""
+    w = F.from_json(F.col(payload), ACCESS)
+    best = w["best_oa_location"]
+    return rows.withColumns({"is_oa": F.coalesce(w["is_oa"], F.lit(False)), "oa_status": _some(w["oa_status"]), "pdf_url": _some(best["url_for_pdf"]), "repository": _some(best["repository"]), "license": _some(best["license"])}).drop(payload)
+
+
+def flat_medical(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with a medical index's record: descriptors, chemicals, publication types, and whether grants are named."""
+    w = F.from_json(F.col(payload), MEDICAL)
+    return rows.withColumns({"pmid": _some(w["pmid"]), "mesh_terms": w["mesh_terms"]["descriptor"], "chemicals": w["chemicals"]["name"], "publication_types": w["publication_types"], "has_grants": F.coalesce(F.size(w["grants"]) > 0, F.lit(False))}).drop(payload)

@@ -11,6 +11,54 @@ from lectern.functions.text import shard
 SIDE_FILES = ("report", "summary", "log", "excluded", "checkpoint")
 
 
+#: The three rules that leave side files out, as parts of names; a hidden file goes by the first.
+SIDE_RULES = {"reports": ("report",), "checkpoints": ("checkpoint", "report"), "analysis": ("report", "summary", "log", "excluded")}
+#: Item types of a reference manager that are papers, and the fields asked of a citation graph.
+ITEM_TYPES = ("journalArticle", "conferencePaper", "preprint", "book", "bookSection", "thesis", "report")
+GRAPH_FIELDS = (
+    "id", "doi", "title", "publication_year", "topics", "sustainable_development_goals", "cited_by_count", "counts_by_year", "authorships", "primary_location", "type",
+    "open_access", "keywords", "concepts", "mesh", "referenced_works_count", "related_works", "cited_by_percentile_year", "biblio", "is_retracted", "is_paratext",
+)
+
+
+def side_file(name: Column, rule: str) -> Column:
+    """Whether a rule of SIDE_RULES leaves a file out."""
+    out = F.exists(F.array(*map(F.lit, SIDE_RULES[rule])), lambda w: name.contains(w))
+    return out | name.startswith(".") if rule == "reports" else out
+
+
+def kept_items(items: DataFrame) -> DataFrame:
+    """Items of a reference manager that are papers."""
+    return items.where(F.col("item_type").isin(*ITEM_TYPES))
+
+
+def pruned(works: DataFrame) -> DataFrame:
+    """A citation graph's works with the fields that are read and no others."""
+    return works.select(*(c for c in works.columns if c in GRAPH_FIELDS))
+
+
+def identifiers(items: DataFrame) -> DataFrame:
+    """(key, kind, item_id): an item's DOI, else its title; items with neither go."""
+    doi, title = F.nullif(F.trim("doi"), F.lit("")), F.nullif(F.trim("title"), F.lit(""))
+    rows = items.select(F.coalesce(doi, title).alias("key"), F.when(doi.isNotNull(), "doi").otherwise("title").alias("kind"), "item_id")
+    return rows.where("key IS NOT NULL")
+
+
+def paper_info(papers: DataFrame, sections: DataFrame) -> DataFrame:
+    """(paper_id, title, title_length, abstract_length, n_sections, text_chars): what a report shows of a paper."""
+    size = sections.groupBy("paper_id").agg(F.count("*").alias("n_sections"), F.sum(F.length("content")).alias("text_chars"))
+    rows = papers.select("paper_id", F.substring("title", 1, 100).alias("title"), F.length("title").alias("title_length"), F.coalesce(F.length("abstract"), F.lit(0)).alias("abstract_length"))
+    return rows.join(size, "paper_id", "left").na.fill(0, ["n_sections", "text_chars"])
+
+
+def json_paths(rows: DataFrame, column: str) -> DataFrame:
+    """(key, kind, n): how often each key of a JSON object has a number, text, truth value, null, list or object."""
+    each = rows.select(F.col(column).alias("_j"), F.explode(F.expr(f"json_object_keys({column})")).alias("key"))
+    raw = F.from_json("_j", "map<string,string>")[F.col("key")]
+    kind = F.when(raw.isNull(), "null").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").when(raw.isin("true", "false"), "boolean").when(raw.try_cast("double").isNotNull(), "number").otherwise("string")
+    return each.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 def is_side_file(name: Column) -> Column:
     return F.exists(F.array(*map(F.lit, SIDE_FILES)), lambda w: name.contains(w)) | name.startswith(".")
 

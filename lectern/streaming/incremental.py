@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,3 +30,32 @@ def ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schem
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event-time window and type; late rows are dropped behind the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def finished_windows(events: DataFrame, path: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(start, event_type, n, total) of the windows that the watermark has closed, by a stream over a Parquet path.
+
+    The stream reads what is there, appends closed windows to a table of its own and stops. Both that table and the
+    stream's state lie in the folder of spark.checkpoint.dir, or in a temporary one where Spark runs locally without it.
+    """
+    spark = events.sparkSession
+    root = own_folder(spark, "stream")
+    # As a pattern, for a stream takes any other path to be a folder.
+    rows = spark.readStream.schema(events.schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    closed = windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), size, late).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    query = closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{root}/out")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, removed when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
