@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import STOP_WORDS, jaccard, jaccard_stop, present, title_key, tokens
 
 # Fixed values of the candidate searches; none of them decides what is found.
-GRAM, RANKED, SALTS = 12, 20_000, 32
+GRAM, RANKED, SALTS = 21, 20_000, 32
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -62,17 +62,30 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))))
 
 
+def _hashed_grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(_grams(text, GRAM), lambda g: F.xxhash64(g)))
+
+
 def held_in(needles: DataFrame, n: str, hay: DataFrame, h: str) -> DataFrame:
-    """(n, h) with the first 50 characters of n in h. Candidates hold the needle's rarest gram, which every match holds."""
-    first = needles.select(n, F.substring(n, 1, 50).alias("first")).withColumn("size", F.least(F.length("first"), F.lit(GRAM)))
-    # Needles shorter than a gram are a gram of their own; at most GRAM sizes.
-    sizes = sorted(r["size"] for r in first.select("size").distinct().collect())
+    """(n, h) with the first 50 characters of n in h.
+
+    A needle of GRAM characters and more looks up its rarest gram, which every match holds; what is shuffled for it are
+    hashes of grams and of titles, and what two hashes have in common is verified on the titles. A shorter needle is a
+    gram itself: titles are cut to the sizes that occur (fewer than GRAM) and meet it by equality.
+    """
+    first = needles.select(n, F.substring(n, 1, 50).alias("first"))
+    long = first.where(F.length("first") >= GRAM).select(n, "first", F.xxhash64(n).alias("_a"))
+    held = hay.where(F.length(h) >= GRAM).select(F.xxhash64(h).alias("_b"), F.explode(_hashed_grams(F.col(h))).alias("k"))
+    each = long.select("_a", F.explode(_hashed_grams(F.col("first"))).alias("k"))
+    rarest = each.join(_ranks(held), "k", "left").groupBy("_a").agg(F.min_by("k", F.struct(F.coalesce("n", F.lit(0)), "k")).alias("k"))
+    pairs = rarest.join(held, "k").select("_a", "_b")
+    found = pairs.join(long, "_a").join(hay.select(h, F.xxhash64(h).alias("_b")), "_b").where(F.col(h).contains(F.col("first"))).select(n, h)
+    short = first.where(F.length("first") < GRAM)
+    sizes = sorted(r["size"] for r in short.select(F.length("first").alias("size")).distinct().collect())
     if not sizes:
-        return needles.crossJoin(hay.limit(0))
-    held = hay.select(h, F.explode(F.flatten(F.array(*(_grams(F.col(h), k) for k in sizes)))).alias("k"))
-    each = first.select(n, "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("first") - F.col("size") + 1), lambda i: F.substr("first", i, F.col("size"))))).alias("k"))
-    rarest = each.join(_ranks(held), "k", "left").groupBy(n, "first").agg(F.min_by("k", F.struct(F.coalesce("n", F.lit(0)), "k")).alias("k"))
-    return rarest.join(held, "k").where(F.col(h).contains(F.col("first"))).select(n, h)
+        return found
+    cut = hay.select(h, F.explode(F.flatten(F.array(*(_grams(F.col(h), k) for k in sizes)))).alias("first"))
+    return found.unionByName(cut.join(short, "first").select(n, h))
 
 
 def link_contains(papers: DataFrame, source: DataFrame) -> DataFrame:
