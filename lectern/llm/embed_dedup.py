@@ -17,7 +17,7 @@ each cell hands on a spanning forest of its links for the components. Equal vect
 
 Defined results: null vectors, zero vectors, and vectors with null or non-finite components link with nothing (n_links 0,
 their own component); vectors of different lengths never link, and each length is searched by itself. Every row of the
-table is returned; rows that repeat a vec_id are vectors of their own which share a component by that id. A null vec_id
+table is returned; rows that repeat a vec_id are vectors of their own, and classes whose smallest id is the same share a component. A null vec_id
 is returned as its own component null, kept. An empty table gives no rows. Ties do not arise: a component's name is its
 smallest id. Other columns are ignored, whatever their names.
 """
@@ -91,7 +91,7 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
         V = c["v"].astype(np.float64)
         V /= np.linalg.norm(V, axis=1)[:, None]
         C = V @ counted
-        vid, size, own, along = c["vec_id"], c["n"], c["own"], np.empty(len(V))
+        cid, vid, size, own, along = c["cid"], c["vec_id"], c["n"], c["own"], np.empty(len(V))
         out = []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo < 2:
@@ -129,9 +129,9 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
                         up[max(x, y)] = min(x, y)
                 begin = stop
             found = np.flatnonzero(total)
-            out.append((vid[lo + found], total[found], vid[lo + np.array([root(i) for i in found], int)]))
+            out.append((cid[lo + found], total[found], vid[lo + found], vid[lo + np.array([root(i) for i in found], int)]))
         cat = lambda k: np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64)
-        return pa.record_batch([pa.array(cat(k).astype(np.int64)) for k in range(3)], ["u", "n", "v"])
+        return pa.record_batch([pa.array(cat(k).astype(np.int64)) for k in range(4)], ["cid", "n", "u", "v"])
 
     return search
 
@@ -167,7 +167,9 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed:
 def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: int) -> DataFrame:
     """(v, n_links, component_id) of each distinct vector of valid rows (vec_id, v), all of one length."""
     # Equal vectors: one class, named by its smallest id. Its key is the vector itself.
-    classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
+    # Links are counted by a number of its own, for several classes may have one name where ids repeat.
+    classes = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     some = classes.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").select("v").limit(SAMPLE).collect()
     unit = np.array([r["v"] for r in some], float).reshape(-1, dim)
     p, lines = plan(classes.count(), threshold, unit / np.linalg.norm(unit, axis=1)[:, None], seed)
@@ -178,12 +180,12 @@ def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: in
             S = cells(V / np.linalg.norm(V, axis=1)[:, None] @ lines, p)
             k = (S + (np.arange(p["tables"], dtype=np.int64) << 40)).ravel()
             of = pa.array(np.repeat(np.arange(b.num_rows), p["tables"]))
-            yield pa.record_batch([pa.array(k), *(b.column(i).take(of) for i in range(3))], ["k", "v", "vec_id", "n"])
+            yield pa.record_batch([pa.array(k), *(b.column(i).take(of) for i in range(4))], ["k", "v", "vec_id", "n", "cid"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    dealt = classes.repartition(max(2, min(2000, classes.rdd.getNumPartitions()))).select("v", "vec_id", "n").mapInArrow(keyed, f"k long, v {kind}, vec_id long, n long")
-    links = written(in_groups(split_hot(dealt, "k", bound), "k", _search(p, lines, threshold), "u long, n long, v long"), "links")
-    totals = links.groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("others"))
+    dealt = classes.repartition(max(2, min(2000, classes.rdd.getNumPartitions()))).select("v", "vec_id", "n", "cid").mapInArrow(keyed, f"k long, v {kind}, vec_id long, n long, cid long")
+    links = written(in_groups(split_hot(dealt, "k", bound), "k", _search(p, lines, threshold), "cid long, n long, u long, v long"), "links")
+    totals = links.groupBy("cid").agg(F.sum("n").alias("others"))
     found = components(links.select("u", "v"))
-    named = classes.select("vec_id", F.col("n").alias("size"), "v").join(totals, "vec_id", "left").join(found, F.col("vec_id") == F.col("node"), "left")
+    named = classes.select("cid", "vec_id", F.col("n").alias("size"), "v").join(totals, "cid", "left").join(found, F.col("vec_id") == F.col("node"), "left")
     return named.select("v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
