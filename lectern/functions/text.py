@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latest year that counts as valid is this plus one; pinned so that results don't depend on the clock.
@@ -200,3 +200,10 @@ def long_words(c: Column) -> Column:
 def year_issued(c: Column) -> Column:
     """The first four digits of a date."""
     return F.nullif(F.regexp_extract(c, r"(\d{4})", 1), F.lit(""))
+
+
+def year_from_references(references: DataFrame, paper: str, year: str, as_of: int = AS_OF_YEAR) -> DataFrame:
+    """(paper, year): the year behind a paper's latest valid reference, but not after as_of."""
+    y = F.col(year).try_cast("int")
+    rows = references.select(paper, y.alias("_y")).where(F.col("_y").between(1900, as_of + 1))
+    return rows.groupBy(paper).agg(F.least(F.max("_y") + 1, F.lit(as_of)).alias("year"))

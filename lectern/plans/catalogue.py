@@ -103,8 +103,8 @@ scalar("year_from_date", lambda: T.year_from_date(c("date")), f"coalesce({_yr("r
 scalar("year_first_match", lambda: T.year_first(c("date")), r"nullif(regexp_extract(date, '\b((19|20)[0-9]{2})\b', 1), '')")
 on_papers(
     "year_from_refs",
-    lambda p: p.where("num_references > 0").select("paper_id", F.explode(F.transform(F.sequence(F.lit(1), c("num_references")), lambda i: (c("doc_id") * i % 140 + 1890).cast("int"))).alias("y")).where("y BETWEEN 1900 AND 2026").groupBy("paper_id").agg(F.least(F.max("y") + 1, F.lit(2025)).alias("year")),
-    "SELECT paper_id, least(max(y) + 1, 2025) AS year FROM (SELECT paper_id, CAST(doc_id * i % 140 + 1890 AS INT) AS y FROM papers, unnest(range(1, num_references + 1)) AS r(i)) WHERE y BETWEEN 1900 AND 2026 GROUP BY paper_id",
+    lambda p: T.year_from_references(p.select("paper_id", F.explode(F.regexp_extract_all("body", F.lit(r"\b(\d{4})\b"), F.lit(1))).alias("year")), "paper_id", "year"),
+    r"SELECT paper_id, least(max(y) + 1, 2025) AS year FROM (SELECT paper_id, unnest(list_transform(regexp_extract_all(body, '\b(\d{4})\b', 1), x -> CAST(x AS INT))) AS y FROM papers) WHERE y BETWEEN 1900 AND 2026 GROUP BY paper_id",
 )
 scalar("title_clean_arxiv", lambda: T.title_arxiv(c("title")), f"CASE WHEN length(substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250)) > 5 THEN substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250) END")
 _tc = f"substr({st(rx(rx('title', r'''["'()\[\]{}]''', ' '), r'\s+', ' '))}, 1, 200)"
@@ -345,7 +345,26 @@ on_papers("quality_grade_hist", lambda p: _scored(p).groupBy("grade").agg(F.coun
 on_papers("strengths_weaknesses", lambda p: _scored(p).select("paper_id", F.array_join(Q.strengths(True), ",").alias("strengths"), F.array_join(Q.strengths(False), ",").alias("weaknesses")), f", {SCORED} SELECT paper_id, {text_of(flags([(Q.STRENGTHS[k][0], f'{n} >= {0.8 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS strengths, {text_of(flags([(Q.STRENGTHS[k][1], f'{n} < {0.3 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS weaknesses FROM total")
 on_papers("quality_v2", lambda p: p.select("paper_id", F.round(F.least(c("citations") / 100.0, F.lit(1.0)) * 40 + F.when(c("num_references") > 0, 10.0).otherwise(0.0) + F.least(c("chars") / 10000.0, F.lit(1.0)) * 30 + F.when(c("abstract") != "", 20.0).otherwise(0.0), 6).alias("score")), "SELECT paper_id, CAST(round(least(citations / 100.0, 1.0) * 40 + CASE WHEN num_references > 0 THEN 10 ELSE 0 END + least(chars / 10000.0, 1.0) * 30 + CASE WHEN abstract <> '' THEN 20 ELSE 0 END, 6) AS DOUBLE) AS score FROM papers")
 add("vector_topk", lambda s, d: Q.top_similar(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0"), 10), "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
-on_papers("search_rank", lambda p: p.withColumns({"similarity": (c("doc_id") % 100) / 100.0, "entity": (c("doc_id") % 7) / 7.0, "quality": (c("doc_id") % 50) / 50.0, "recency": (c("doc_id") % 36) / 36.0}).select("paper_id", Q.search_rank().alias("rank")).orderBy(F.desc("rank"), "paper_id").limit(25), "SELECT paper_id, round(CAST(0.4 AS DOUBLE) * (doc_id % 100 / 100::DOUBLE) + CAST(0.3 AS DOUBLE) * (doc_id % 7 / 7::DOUBLE) + CAST(0.2 AS DOUBLE) * (doc_id % 50 / 50::DOUBLE) + CAST(0.1 AS DOUBLE) * (doc_id % 36 / 36::DOUBLE), 6) AS rank FROM papers ORDER BY rank DESC, paper_id LIMIT 25")
+_ASKED = "the of and on it"
+
+
+def _searched(p: DataFrame) -> DataFrame:
+    """Title overlap with a question, the share of wanted entities, the score, and how recent: what a ranking weighs."""
+    wanted = (T.contains_any(F.lower("body"), ("python",)), T.contains_any(F.lower("body"), ("mimic",)), c("body").rlike("NCT[0-9]{8}"))
+    age = F.lit(2025) - F.coalesce(c("year").try_cast("int"), F.lit(1900))
+    return _scored(p).withColumns({
+        "similarity": F.round(F.coalesce(T.jaccard(T.tokens(c("title")), T.tokens(F.lit(_ASKED))), F.lit(0.0)), 6), "entity": F.round(sum((w.cast("int") for w in wanted), F.lit(0)) / 3.0, 6),
+        "quality": c("score") / 100.0, "recency_share": F.round(F.greatest(F.lit(0.0), 1 - age / 36.0), 6),
+    }).drop("recency").withColumnRenamed("recency_share", "recency")
+
+
+on_papers(
+    "search_rank",
+    lambda p: _searched(p).select("paper_id", Q.search_rank().alias("rank")).orderBy(F.desc("rank"), "paper_id").limit(25),
+    f""", {SCORED} SELECT paper_id, round(CAST(0.4 AS DOUBLE) * similarity + CAST(0.3 AS DOUBLE) * entity + CAST(0.2 AS DOUBLE) * (CAST(score AS DOUBLE) / 100) + CAST(0.1 AS DOUBLE) * recent, 6) AS rank FROM (SELECT *, round(coalesce(CASE WHEN len(a) + len(b) > 0 THEN {_jac('a', 'b')} END, 0), 6) AS similarity,
+    round((CAST(contains(lower(body), 'python') AS INT) + CAST(contains(lower(body), 'mimic') AS INT) + CAST(regexp_matches(body, 'NCT[0-9]{{8}}') AS INT)) / CAST(3 AS DOUBLE), 6) AS entity, round(greatest(CAST(0 AS DOUBLE), 1 - (2025 - coalesce(try_cast(year AS INT), 1900)) / CAST(36 AS DOUBLE)), 6) AS recent
+    FROM (SELECT *, {_tok('title')} AS a, {_tok(repr(_ASKED))} AS b FROM total)) ORDER BY rank DESC, paper_id LIMIT 25""",
+)
 add("gap_citation", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20), "SELECT l_partkey, count(DISTINCT l_orderkey) AS citers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2 ORDER BY citers DESC, l_partkey LIMIT 20")
 add("gap_author", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works")).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti").orderBy(F.desc("works"), "o_custkey").limit(10), "SELECT o_custkey, count(*) AS works FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey ORDER BY works DESC, o_custkey LIMIT 10")
 on_papers("export_citations", lambda p: p.select("paper_id", *(x.alias(n) for n, x in zip(("bib", "ris", "md"), records.citation(c("paper_id"), c("title"), F.array("author"), F.coalesce("year", F.lit("")), c("venue"), c("doi"))))).select("paper_id", F.md5("bib").alias("bib"), "md"))
@@ -363,7 +382,14 @@ add("tei_parse", lambda s, d: _tei(s, d).select("paper_id", "title", "doi", "yea
 add("tei_sections", lambda s, d: _tei(s, d).select("paper_id", F.explode("sections").alias("s")).select("paper_id", "s.title", "s.text"))
 add("tei_references", lambda s, d: _tei(s, d).select("paper_id", F.explode("references").alias("r")).select("paper_id", "r.title", "r.year"))
 add("json_flatten", lambda s, d: table(s, d, "events").select(F.explode(F.expr("json_object_keys(props)")).alias("key")).groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
-on_papers("payload_slices", lambda p: p.select("paper_id", F.array_join(F.slice(F.array_distinct(F.concat(F.array("venue"), F.split("title", " "))), 1, 3), "|").alias("first3"), F.size(F.array_distinct(F.split("title", " "))).alias("n")), "SELECT paper_id, array_to_string(list_transform(list_sort(list_transform(map_entries(m), e -> [CAST(e.value AS INT), 0]))[1:3], v -> a[v[1]]), '|') AS first3, CAST(len(list_distinct(string_split(title, ' '))) AS INT) AS n FROM (SELECT *, map_from_entries(list_transform(list_distinct(a), x -> (x, list_position(a, x)))) AS m FROM (SELECT *, list_concat([venue], string_split(title, ' ')) AS a FROM papers))")
+def _listed(p: DataFrame) -> DataFrame:
+    """What a JSON payload's lists hold: the first three distinct values of both, and how many of one."""
+    made = p.select("paper_id", F.to_json(F.struct(F.array("venue").alias("names"), F.split("title", " ").alias("topics"))).alias("payload"))
+    w = made.select("paper_id", F.from_json("payload", "names array<string>, topics array<string>").alias("w"))
+    return w.select("paper_id", F.array_join(F.slice(F.array_distinct(F.concat("w.names", "w.topics")), 1, 3), "|").alias("first3"), F.size(F.array_distinct("w.topics")).alias("n"))
+
+
+on_papers("payload_slices", _listed, "SELECT paper_id, array_to_string(list_transform(list_sort(list_transform(map_entries(m), e -> [CAST(e.value AS INT), 0]))[1:3], v -> a[v[1]]), '|') AS first3, CAST(len(list_distinct(string_split(title, ' '))) AS INT) AS n FROM (SELECT *, map_from_entries(list_transform(list_distinct(a), x -> (x, list_position(a, x)))) AS m FROM (SELECT *, list_concat([venue], string_split(title, ' ')) AS a FROM papers))")
 
 # --- generic relational operators -----------------------------------------------------------------------------------
 TPC = {

@@ -9,7 +9,7 @@ from lectern.functions import entities as E
 from lectern.operators import sections as S
 from lectern.operators import selection as X
 from lectern.plans.adapter import PAPERS_SQL, papers
-from lectern.plans.catalogue import add, c, case, lit, on_papers, scalar, table
+from lectern.plans.catalogue import ALL, NUM, SCORED, _said, _scored, add, anyof, c, case, lit, on_papers, scalar, table
 from lectern.plans.selections import ORACLES, QUERIES, _struct
 from lectern.sources import payloads
 
@@ -108,13 +108,13 @@ on_papers(
 )
 on_papers(
     "gap_reproducibility",
-    lambda p: X.reproducible(p.withColumns({"has_code": c("doc_id") % 2 == 0, "has_data": c("doc_id") % 3 == 0, "score": c("doc_id") % 101}), "both").select("paper_id", "score"),
-    "SELECT paper_id, doc_id % 101 AS score FROM papers WHERE doc_id % 6 = 0 AND doc_id % 101 >= 60",
+    lambda p: X.reproducible(_scored(p).withColumns({"has_code": F.size("code") > 0, "has_data": c("data_available")}), "both", 35).select("paper_id", "score"),
+    f", {SCORED} SELECT paper_id, CAST(score AS DOUBLE) AS score FROM total WHERE len({ALL(E.CODE_URL, 0)}) > 0 AND {_said} AND contains(lower(body), 'available') AND NOT contains(lower(body), 'request') AND score >= 35",
 )
 on_papers(
     "gap_sample_size",
-    lambda p: X.large_studies(p.select("paper_id", F.array(F.lit(20).cast("long"), c("doc_id") * 7 % 2000).alias("sample_sizes"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'cohort' WHEN 1 THEN 'rct' END").alias("study_type")), 1000, "RCT").select("paper_id"),
-    "SELECT paper_id FROM papers WHERE doc_id * 7 % 2000 >= 1000 AND doc_id % 3 = 1",
+    lambda p: X.large_studies(p.select("paper_id", E.sample_sizes(c("body")).alias("sample_sizes"), E.study_type(c("body")).alias("study_type")), 500, "COHORT").select("paper_id"),
+    f"SELECT paper_id FROM papers WHERE list_max({NUM}) >= 500 AND {case([(anyof('lower(body)', words), lit(k)) for k, words in E.STUDY_TYPES])} = 'cohort'",
 )
 add(
     "timing_ema",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import entities as E
 from lectern.functions import text as T
 from lectern.operators import selection as X
 from lectern.plans.adapter import PAPERS_SQL, SECTIONS_SQL, papers, sections
-from lectern.plans.catalogue import ORACLES, QUERIES, SHARED, add, anyof, c, case, lit, on_papers, scalar, table
+from lectern.plans.catalogue import ALL, NUM, ORACLES, QUERIES, SCORED, SHARED, _scored, add, anyof, c, case, lit, on_papers, scalar, table
 from lectern.sources import payloads
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,16 +44,24 @@ on_papers(
 )
 
 # --- entity and discovery filters -----------------------------------------------------------------------------------
-_arrays: dict[str, str] = {"study_types": "CASE doc_id % 3 WHEN 0 THEN 'cohort' WHEN 1 THEN 'rct' ELSE 'survey' END", "software": "CASE doc_id % 2 WHEN 0 THEN 'r' ELSE 'python' END", "datasets": "CASE doc_id % 4 WHEN 3 THEN 'uk biobank' ELSE 'mimic' END", "sample_sizes": "doc_id % 1200", "p_values": "(doc_id % 9) / 100.0"}
+def _with_entities(p: DataFrame) -> DataFrame:
+    """Papers with the entities that their texts hold."""
+    kind = F.array_compact(F.array(E.study_type(c("body"))))
+    return p.select("paper_id", "year", kind.alias("study_types"), E.sample_sizes(c("body")).alias("sample_sizes"), E.p_values(c("body")).alias("p_values"), E.software(c("body")).alias("software"), E.named(c("body"), E.DATASETS).alias("datasets"))
+
+
+_python = "regexp_extract_all(body, '(?i)Python\\s*([0-9.]+)?', 1)[1]"
+_r = "regexp_extract_all(body, '(?i)\\bR\\s+(?:version\\s*)?([0-9.]+)', 1)[1]"
 on_papers(
     "entity_search",
-    lambda p: X.entity_search(p.select("paper_id", "year", *(F.array(F.expr(e)).alias(k) for k, e in _arrays.items())), "rct", 100, 0.05, ["python"], ["mimic"], 2000).select("paper_id"),
-    f"SELECT paper_id FROM papers WHERE {_arrays['study_types']} = 'rct' AND doc_id % 1200 >= 100 AND doc_id % 9 <= 5 AND {_arrays['software']} = 'python' AND {_arrays['datasets']} = 'mimic' AND try_cast(year AS INT) >= 2000",
+    lambda p: X.entity_search(_with_entities(p), None, 100, 0.05, ["R 4.1"], ["MIMIC-III"], 2000).unionByName(X.entity_search(_with_entities(p), "cohort", 50, None, ["Python 3.9"])).select("paper_id"),
+    f"""SELECT paper_id FROM papers WHERE list_max({NUM}) >= 100 AND list_min(list_transform({ALL(E.P_VALUE)}, x -> CAST(x AS DOUBLE))) <= 0.05 AND {_r} = '4.1' AND contains(lower(body), 'mimic-iii') AND try_cast(year AS INT) >= 2000
+    UNION ALL SELECT paper_id FROM papers WHERE {case([(anyof('lower(body)', words), lit(k)) for k, words in E.STUDY_TYPES])} = 'cohort' AND list_max({NUM}) >= 50 AND {_python} = '3.9'""",
 )
 on_papers(
     "discovery_filter",
-    lambda p: X.discover(p.withColumn("score", c("doc_id") % 101), p.where("doc_id % 10 = 1").select("paper_id"), "MEDIUM", 2000, 20, ["miller", "Plato"]).select("paper_id", "score"),
-    "SELECT paper_id, doc_id % 101 AS score FROM papers WHERE doc_id % 101 >= 60 AND try_cast(year AS INT) >= 2000 AND citations >= 20 AND (contains(lower(author), 'miller') OR contains(lower(author), 'plato')) AND doc_id % 10 <> 1",
+    lambda p: X.discover(_scored(p.withColumn("cited", c("citations"))).withColumn("citations", c("cited")), p.where("doc_id % 10 = 1").select("paper_id"), "LOW", 2000, 20, ["miller", "Plato"]).select("paper_id", "score"),
+    f", {SCORED} SELECT paper_id, CAST(score AS DOUBLE) AS score FROM total WHERE score >= 40 AND try_cast(year AS INT) >= 2000 AND citations >= 20 AND (contains(lower(author), 'miller') OR contains(lower(author), 'plato')) AND doc_id % 10 <> 1",
 )
 
 # --- corrections and merges -----------------------------------------------------------------------------------------
