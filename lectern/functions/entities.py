@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions.text import contains_any, first_case
 
 # What the extraction looks for, in its order.
-SAMPLE_SIZE = (r"n\s*=\s*(\d+)", r"(\d+)\s+participants?", r"(\d+)\s+patients?", r"(\d+)\s+subjects?", r"sample size of (\d+)", r"enrolled (\d+)", r"recruited (\d+)")
+SAMPLE_SIZE = (
+    r"n\s*=\s*(\d+)", r"(\d+)\s+participants?", r"(\d+)\s+patients?", r"(\d+)\s+subjects?", r"sample size of (\d+)", r"enrolled (\d+)",
+    r"recruited (\d+)"
+)
 P_VALUE = (r"p\s*[<=]\s*(0\.\d+)", r"p-values?\s*[<=]\s*(0\.\d+)")
 INTERVAL = (r"(95%)\s*CI", r"(99%)\s*CI", r"(90%)\s*confidence interval")
 SOFTWARE = (
@@ -23,18 +26,27 @@ SOFTWARE = (
     ("JASP", r"JASP\s*([\d\.]+)?"),
     ("Mplus", r"Mplus\s*([\d\.]+)?"),
 )
-DATASETS = ("MIMIC-III", "MIMIC-IV", "eICU", "UK Biobank", "NHANES", "PhysioNet", "TCGA", "GEO", "dbGaP", "ClinicalTrials.gov", "OpenNeuro", "ImageNet", "COCO", "MNIST")
+DATASETS = (
+    "MIMIC-III", "MIMIC-IV", "eICU", "UK Biobank", "NHANES", "PhysioNet", "TCGA", "GEO", "dbGaP", "ClinicalTrials.gov", "OpenNeuro", "ImageNet",
+    "COCO", "MNIST"
+)
 REPOSITORIES = ("github", "zenodo", "figshare", "dryad", "osf")
 CODE_URL = (r"github\.com/[\w-]+/[\w-]+", r"gitlab\.com/[\w-]+/[\w-]+", r"bitbucket\.org/[\w-]+/[\w-]+", r"doi\.org/10\.\d+/zenodo\.\d+")
-DISEASES = ("diabetes", "cancer", "covid-19", "coronavirus", "hypertension", "depression", "anxiety", "alzheimer", "parkinson", "stroke", "heart disease", "cardiovascular disease", "obesity")
+DISEASES = (
+    "diabetes", "cancer", "covid-19", "coronavirus", "hypertension", "depression", "anxiety", "alzheimer", "parkinson", "stroke", "heart disease",
+    "cardiovascular disease", "obesity"
+)
 TRIAL = (r"NCT\d{8}", r"ISRCTN\d{8}", r"\d{4}-\d{6}-\d{2}")
 DRUG = (r"(?U)\b\w+(?:mab|ib|vir|tide|pril|sartan|statin|zole|cycline)\b", r"(?U)\b(?:aspirin|insulin|metformin|warfarin|heparin)\b")
 DURATION = (r"(\d+)\s*(?:year|yr)s?\s+(?:study|trial|follow-up)", r"(\d+)\s*months?\s+(?:study|trial|follow-up)", r"(\d+)\s*weeks?\s+(?:study|trial|follow-up)")
 MONTH_YEAR = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}"
 STUDY_TYPES = (
-    ("rct", ("randomized controlled trial", "randomised controlled trial", "rct", "randomized trial", "randomised trial")), ("cohort", ("cohort study", "prospective cohort", "retrospective cohort")),
-    ("case_control", ("case-control", "case control")), ("cross_sectional", ("cross-sectional", "cross sectional")), ("systematic_review", ("systematic review", "meta-analysis", "meta analysis")),
-    ("case_report", ("case report", "case study")), ("observational", ("observational study",)), ("experimental", ("experimental study", "experiment")), ("qualitative", ("qualitative study", "qualitative research")),
+    ("rct", ("randomized controlled trial", "randomised controlled trial", "rct", "randomized trial", "randomised trial")),
+    ("cohort", ("cohort study", "prospective cohort", "retrospective cohort")),
+    ("case_control", ("case-control", "case control")), ("cross_sectional", ("cross-sectional", "cross sectional")),
+    ("systematic_review", ("systematic review", "meta-analysis", "meta analysis")),
+    ("case_report", ("case report", "case study")), ("observational", ("observational study",)),
+    ("experimental", ("experimental study", "experiment")), ("qualitative", ("qualitative study", "qualitative research")),
 )
 ETHICS = ("ethics approval", "ethical approval", "irb approval", "institutional review board", "ethics committee")
 INTERESTS = ("conflict of interest", "competing interest", "declaration of interest", "disclosure")
@@ -42,9 +54,27 @@ GUIDELINES = ("CONSORT", "STROBE", "PRISMA", "STARD", "ARRIVE")
 SUPPLEMENT = ("supplementary", "supplemental", "appendix", "additional file", "supporting information")
 
 
+#: What a text in lower case must hold for a pattern to match at all: a cheap test before the pattern. Others have none.
+NEEDS = {
+    SAMPLE_SIZE[0]: "=", SAMPLE_SIZE[1]: "participant", SAMPLE_SIZE[2]: "patient", SAMPLE_SIZE[3]: "subject", SAMPLE_SIZE[4]: "sample size of",
+    SAMPLE_SIZE[5]: "enrolled ", SAMPLE_SIZE[6]: "recruited ",
+    P_VALUE[1]: "p-value", INTERVAL[0]: "95%", INTERVAL[1]: "99%", INTERVAL[2]: "90%", CODE_URL[0]: "github.com/", CODE_URL[1]: "gitlab.com/",
+    CODE_URL[2]: "bitbucket.org/", CODE_URL[3]: "/zenodo.", TRIAL[0]: "nct", TRIAL[1]: "isrctn",
+    DURATION[1]: "month", DURATION[2]: "week", **{p: n.split()[0].lower() for n, p in SOFTWARE if n != "R"},
+}
+
+
+def extracted(text: Column, pattern: str, group: int = 1, any_case: bool = True) -> Column:
+    """All matches of one pattern."""
+    hits = F.regexp_extract_all(text, F.lit("(?i)" * any_case + pattern), F.lit(group))
+    if pattern not in NEEDS:
+        return hits
+    return F.when(F.lower(text).contains(NEEDS[pattern]), hits).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+
+
 def found(text: Column, patterns: tuple[str, ...], group: int = 1, any_case: bool = True) -> Column:
     """All matches of all patterns, in the order of the patterns."""
-    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit("(?i)" * any_case + p), F.lit(group)) for p in patterns)))
+    return F.flatten(F.array(*(extracted(text, p, group, any_case) for p in patterns)))
 
 
 def sample_sizes(text: Column) -> Column:
@@ -76,8 +106,9 @@ def software(text: Column) -> Column:
     first and no digit follows it; "MATLAB R2019a" gives "MATLAB MATLAB R2019a". Both are as surveyed."""
     each = []
     for name, pattern in SOFTWARE:
-        first = F.get(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(version_group(pattern))), F.lit(0))
-        each.append(F.when(text.rlike("(?i)" + pattern), F.when(F.coalesce(first, F.lit("")) != "", F.concat(F.lit(name + " "), first)).otherwise(name)))
+        hits = extracted(text, pattern, version_group(pattern))
+        first = F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+        each.append(F.when(F.size(hits) > 0, F.when(first != "", F.concat(F.lit(name + " "), first)).otherwise(name)))
     return F.array_compact(F.array(*each))
 
 
@@ -90,7 +121,10 @@ def named(text: Column, names: tuple[str, ...]) -> Column:
 def availability(text: Column) -> Column:
     low = F.lower(text)
     stated = low.contains("data availability") | low.contains("data sharing")
-    return F.struct(stated.alias("has_statement"), (stated & low.contains("available") & ~low.contains("request")).alias("is_available"), F.when(stated, first_case([(low.contains(r), r) for r in REPOSITORIES])).alias("repository"))
+    return F.struct(
+        stated.alias("has_statement"), (stated & low.contains("available") & ~low.contains("request")).alias("is_available"),
+        F.when(stated, first_case([(low.contains(r), r) for r in REPOSITORIES])).alias("repository")
+    )
 
 
 def distinct_of(text: Column, patterns: tuple[str, ...], any_case: bool = True) -> Column:
@@ -112,7 +146,10 @@ def date_range(text: Column) -> Column:
 
 
 # Statistical content. The upper-case ones cannot match lower-cased text, which is kept.
-STATISTICAL = (r"p\s*[<=]\s*0\.\d+", r"95%\s*CI", r"mean\s*[±=]\s*\d+", r"n\s*=\s*\d+", r"OR\s*[=:]\s*\d+\.\d+", r"HR\s*[=:]\s*\d+\.\d+", r"β\s*=\s*[−-]?\d+\.\d+", r"r\s*=\s*[−-]?\d+\.\d+", r"χ2\s*[=]\s*\d+\.\d+", r"F\(\d+,\s*\d+\)\s*=")
+STATISTICAL = (
+    r"p\s*[<=]\s*0\.\d+", r"95%\s*CI", r"mean\s*[±=]\s*\d+", r"n\s*=\s*\d+", r"OR\s*[=:]\s*\d+\.\d+", r"HR\s*[=:]\s*\d+\.\d+",
+    r"β\s*=\s*[−-]?\d+\.\d+", r"r\s*=\s*[−-]?\d+\.\d+", r"χ2\s*[=]\s*\d+\.\d+", r"F\(\d+,\s*\d+\)\s*="
+)
 
 
 def statistical(text: Column, case_fix: bool = False) -> Column:
@@ -122,8 +159,14 @@ def statistical(text: Column, case_fix: bool = False) -> Column:
 
 
 # Mentions in a whole document, besides the entities above.
-SOFTWARE_MENTION = (r"(?:using|with|via|through)\s+([A-Z][A-Za-z0-9\+\-\.]+)(?:\s+v?[\d\.]+)?", r"([A-Z]+[A-Za-z]*)\s+(?:software|package|library|tool)", r"(?:R|Python|MATLAB|SPSS|SAS|Stata)\s+(?:package|library)?\s*([A-Za-z0-9_]+)")
-DATASET_MENTION = (r"(?:dataset|database|corpus|repository)[\s:]+([A-Za-z0-9\-_]+)", r"(GSE\d+|GEO\d+|TCGA-[A-Z]+)", r"(?:available at|deposited in|from)\s+([A-Za-z0-9\-_]+)\s+(?:database|repository)")
+SOFTWARE_MENTION = (
+    r"(?:using|with|via|through)\s+([A-Z][A-Za-z0-9\+\-\.]+)(?:\s+v?[\d\.]+)?", r"([A-Z]+[A-Za-z]*)\s+(?:software|package|library|tool)",
+    r"(?:R|Python|MATLAB|SPSS|SAS|Stata)\s+(?:package|library)?\s*([A-Za-z0-9_]+)"
+)
+DATASET_MENTION = (
+    r"(?:dataset|database|corpus|repository)[\s:]+([A-Za-z0-9\-_]+)", r"(GSE\d+|GEO\d+|TCGA-[A-Z]+)",
+    r"(?:available at|deposited in|from)\s+([A-Za-z0-9\-_]+)\s+(?:database|repository)"
+)
 FUNDING_MENTION = (r"(?:grant|award)[\s#:]+([A-Z0-9\-/]+)", r"(?:NIH|NSF|DOE|NASA|DARPA|ERC)[\s\-]?([A-Z0-9\-]+)", r"(?:funded|supported)\s+by\s+([^.,;]+)")
 TRIAL_MENTION = (r"(NCT\d{8})", r"(ISRCTN\d{8})", r"(EudraCT[\s\-]?\d{4}[\s\-]?\d{6}[\s\-]?\d{2})")
 P_MENTION = (r"[pP][\s=<>≤≥]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)", r"[pP]-value[s]?[\s:=]+([0-9]\.[0-9]+(?:[eE][\-+]?\d+)?)")
@@ -132,14 +175,18 @@ INTERVAL_ENDS = r"(?i)(?:CI|confidence interval)[:\s]+\[?([0-9\.\-]+)[\s,]+([0-9
 URL_MENTION = (r"(https?://[^\s<>\"{}|\\^`\[\]]+)",)
 #: Name, patterns, whether letters match in any case, whether repeats count once.
 MENTIONS = (
-    ("software", SOFTWARE_MENTION, False, True), ("datasets", DATASET_MENTION, True, True), ("funding", FUNDING_MENTION, True, True), ("trials", TRIAL_MENTION, False, True),
+    ("software", SOFTWARE_MENTION, False, True), ("datasets", DATASET_MENTION, True, True), ("funding", FUNDING_MENTION, True, True),
+    ("trials", TRIAL_MENTION, False, True),
     ("p_values", P_MENTION, False, False), ("sample_sizes", SIZE_MENTION, False, False), ("urls", URL_MENTION, False, True),
 )
 
 
 def mentions(text: Column) -> list[Column]:
     """A list of texts for each of MENTIONS: sorted where repeats count once, else in the order of the patterns."""
-    return [(F.array_sort(F.array_distinct(found(text, p, 1, any_case))) if once else found(text, p, 1, any_case)).alias(name) for name, p, any_case, once in MENTIONS]
+    return [
+        (F.array_sort(F.array_distinct(found(text, p, 1, any_case))) if once else found(text, p, 1, any_case)).alias(name) for name, p, any_case,
+        once in MENTIONS
+    ]
 
 
 # What section post-processing looks for in a document's text, besides the entities above.

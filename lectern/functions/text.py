@@ -162,7 +162,10 @@ def shard(c: Column, n: int = 2) -> Column:
 def duration(seconds: Column) -> Column:
     """30 seconds, 1.5 minutes, 2.0 hours."""
     s = seconds.cast("double")
-    return first_case([(s < 60, F.format_string("%d seconds", s.cast("long"))), (s < 3600, F.format_string("%.1f minutes", s / 60))], F.format_string("%.1f hours", s / 3600))
+    return first_case(
+        [(s < 60, F.format_string("%d seconds", s.cast("long"))), (s < 3600, F.format_string("%.1f minutes", s / 60))],
+        F.format_string("%.1f hours", s / 3600)
+    )
 
 
 def duration_short(seconds: Column) -> Column:

@@ -41,7 +41,10 @@ def profiles(spark: SparkSession) -> DataFrame:
 def ledger(spark: SparkSession) -> DataFrame:
     """(step, papers, excluded): papers left behind each step, and how many it took away."""
     rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(LEDGER)], "i int, step string, papers long")
-    return rows.select("step", "papers", F.coalesce(F.lag("papers").over(W.partitionBy(F.lit(1)).orderBy("i")) - F.col("papers"), F.lit(0)).cast("long").alias("excluded"))
+    return rows.select(
+        "step", "papers",
+        F.coalesce(F.lag("papers").over(W.partitionBy(F.lit(1)).orderBy("i")) - F.col("papers"), F.lit(0)).cast("long").alias("excluded")
+    )
 
 
 def numbered(rows: DataFrame, key: str, width: int = 65536) -> DataFrame:
@@ -159,10 +162,18 @@ def report(title: str, counts: DataFrame, label: str, n: str, examples: DataFram
     total = F.sum(n).over(W.partitionBy(F.lit(1)))
     share = F.format_string("- **%s**: %d (%s%%)", F.col(label), F.col(n), F.round(100.0 * F.col(n) / total, 1).cast("string"))
     lines = counts.select(F.lit(1).alias("part"), F.col(label).alias("key"), F.lit(0).alias("i"), share.alias("line"))
-    head = counts.agg(F.sum(n).alias("_n")).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.lit(0).alias("i"), F.format_string(f"# {title} (%d papers)", F.coalesce("_n", F.lit(0))).alias("line"))
+    head = counts.agg(F.sum(n).alias("_n")).select(
+        F.lit(0).alias("part"), F.lit("").alias("key"), F.lit(0).alias("i"),
+        F.format_string(f"# {title} (%d papers)", F.coalesce("_n", F.lit(0))).alias("line")
+    )
     out = head.unionByName(lines)
     if examples is not None:
-        out = out.unionByName(examples.where(F.col("rank") <= 10).select(F.lit(2).alias("part"), F.col(label).alias("key"), F.col("rank").cast("int").alias("i"), F.concat(F.col(label), F.lit(": "), F.col("text")).alias("line")))
+        out = out.unionByName(
+            examples.where(F.col("rank") <= 10).select(
+                F.lit(2).alias("part"), F.col(label).alias("key"), F.col("rank").cast("int").alias("i"),
+                F.concat(F.col(label), F.lit(": "), F.col("text")).alias("line")
+            )
+        )
     return out.select(F.row_number().over(W.partitionBy(F.lit(1)).orderBy("part", "key", "i")).alias("pos"), "line")
 
 

@@ -33,7 +33,10 @@ def link_key_then_title(papers: DataFrame, source: DataFrame) -> DataFrame:
     by_doi = last_of_each(source.where(present(F.col("doi_key"))), "doi_key", "item_id").select(F.col("doi_key"), F.col("item_id").alias("_d"))
     by_title = last_of_each(source.withColumn("tk", title_key(F.col("title"))).where(present(F.col("tk"))), "tk", "item_id").select("tk", F.col("item_id").alias("_t"))
     both = papers.withColumn("tk", title_key(F.col("title"))).join(by_doi, "doi_key", "left").join(by_title, "tk", "left")
-    return both.select("paper_id", F.coalesce("_d", "_t").alias("item_id"), F.when(F.col("_d").isNotNull(), "doi").when(F.col("_t").isNotNull(), "title").alias("how"))
+    return both.select(
+        "paper_id", F.coalesce("_d", "_t").alias("item_id"),
+        F.when(F.col("_d").isNotNull(), "doi").when(F.col("_t").isNotNull(), "title").alias("how")
+    )
 
 
 def _titles(rows: DataFrame, name: str) -> DataFrame:

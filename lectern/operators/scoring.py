@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 from lectern.functions.text import AS_OF_YEAR, contains_any, first_case, present
 
 # Fixed values of the score.
-WEIGHTS = {"study_type": 20, "sample_size": 15, "statistical_rigor": 15, "venue_quality": 15, "recency": 10, "citations": 10, "completeness": 10, "reproducibility": 5}
-STUDY_POINTS = (("systematic review", 10), ("meta-analysis", 10), ("randomized controlled trial", 9), ("rct", 9), ("cohort study", 7), ("cohort", 7), ("case-control", 6), ("cross-sectional", 5), ("case series", 3), ("case report", 2), ("opinion", 1), ("editorial", 1))
-TOP_VENUES = ("nature", "science", "cell", "lancet", "nejm", "new england journal of medicine", "jama", "bmj", "pnas", "nature medicine", "nature biotechnology", "nature genetics", "nature neuroscience", "nature methods")
+WEIGHTS = {
+    "study_type": 20, "sample_size": 15, "statistical_rigor": 15, "venue_quality": 15, "recency": 10, "citations": 10, "completeness": 10,
+    "reproducibility": 5
+}
+STUDY_POINTS = (
+    ("systematic review", 10), ("meta-analysis", 10), ("randomized controlled trial", 9), ("rct", 9), ("cohort study", 7), ("cohort", 7),
+    ("case-control", 6), ("cross-sectional", 5), ("case series", 3), ("case report", 2), ("opinion", 1), ("editorial", 1)
+)
+TOP_VENUES = (
+    "nature", "science", "cell", "lancet", "nejm", "new england journal of medicine", "jama", "bmj", "pnas", "nature medicine",
+    "nature biotechnology", "nature genetics", "nature neuroscience", "nature methods"
+)
 PUBLISHERS = ("ieee", "acm", "springer", "elsevier", "wiley")
 TESTS = ("anova", "t-test", "chi-square", "regression", "mann-whitney", "wilcoxon", "kruskal-wallis")
 GRADES = ((85, "A+"), (80, "A"), (75, "A-"), (70, "B+"), (65, "B"), (60, "B-"), (55, "C+"), (50, "C"), (45, "C-"), (40, "D"))
-STRENGTHS = {"study_type": ("High-quality study design", "Weak study design"), "sample_size": ("Large sample size", "Small sample size"), "statistical_rigor": ("Strong statistical analysis", "Limited statistical analysis"), "venue_quality": ("Published in top-tier venue", "Unknown or low-tier venue"), "recency": ("Recent publication", "Older publication"), "citations": ("Highly cited", "Few citations"), "completeness": ("Complete extraction", "Incomplete extraction"), "reproducibility": ("Good reproducibility", "Limited reproducibility")}
+STRENGTHS = {
+    "study_type": ("High-quality study design", "Weak study design"), "sample_size": ("Large sample size", "Small sample size"),
+    "statistical_rigor": ("Strong statistical analysis", "Limited statistical analysis"),
+    "venue_quality": ("Published in top-tier venue", "Unknown or low-tier venue"), "recency": ("Recent publication", "Older publication"),
+    "citations": ("Highly cited", "Few citations"), "completeness": ("Complete extraction", "Incomplete extraction"),
+    "reproducibility": ("Good reproducibility", "Limited reproducibility")
+}
 
 
 def _bands(c: Column, bands: tuple[tuple[float, float], ...], other: float, up: bool = True) -> Column:
@@ -34,7 +49,10 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     listed = F.array_max(F.transform("study_types", lambda s: F.greatest(*(F.when(F.lower(s).contains(k), v).otherwise(0) for k, v in STUDY_POINTS))))
     study = F.when(some("study_types"), listed).otherwise(first_case([(text.contains(k), v) for k, v in STUDY_POINTS], 0)) / 10 * 20
     sample = F.when(some("sample_sizes"), _bands(F.array_max("sample_sizes"), ((10000, 1.0), (1000, 0.8), (500, 0.6), (100, 0.4), (50, 0.2)), 0.1) * 15).otherwise(0.0)
-    stats = (F.when(some("p_values"), 5).otherwise(0) + F.when(some("intervals"), 5).otherwise(0) + F.when(some("effects"), 3).otherwise(0) + F.when(contains_any(F.lower(F.concat(F.coalesce("methods", F.lit("")), F.coalesce("results", F.lit("")))), TESTS), 2).otherwise(0)) / 15 * 15
+    stats = (
+        F.when(some("p_values"), 5).otherwise(0) + F.when(some("intervals"), 5).otherwise(0) + F.when(some("effects"), 3).otherwise(0)
+        + F.when(contains_any(F.lower(F.concat(F.coalesce("methods", F.lit("")), F.coalesce("results", F.lit("")))), TESTS), 2).otherwise(0)
+    ) / 15 * 15
     venue = F.lower("venue")
     venues = first_case([(~has("venue"), 0.0), (contains_any(venue, TOP_VENUES), 15.0), (contains_any(venue, PUBLISHERS), 9.0), (venue != "unknown", 4.5)], 0.0)
     year = c("year").try_cast("int")
@@ -44,7 +62,11 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     cited = _bands(rate, ((50, 1.0), (20, 0.8), (10, 0.6), (5, 0.4), (1, 0.2)), 0.1) * 10
     whole = sum((F.when(has(x), 1).otherwise(0) for x in ("title", "abstract", "introduction", "methods", "results", "discussion", "doi")), F.lit(0)) + F.when(c("num_references") > 0, 1).otherwise(0) + first_case([(c("n_entities") > 20, 2), (c("n_entities") > 10, 1)], 0)
     links = contains_any(F.lower(F.concat(F.coalesce("abstract", F.lit("")), F.coalesce("methods", F.lit("")))), ("github", "repository", "code available"))
-    again = F.least(F.lit(5.0), F.when(some("code"), 2.5).otherwise(0.0) + F.when(c("data_available"), 2.5).otherwise(0.0) + F.when(some("software"), 1.0).otherwise(0.0) + F.when(links, 1.0).otherwise(0.0))
+    again = F.least(
+        F.lit(5.0),
+        F.when(some("code"), 2.5).otherwise(0.0) + F.when(c("data_available"), 2.5).otherwise(0.0) + F.when(some("software"), 1.0).otherwise(0.0)
+        + F.when(links, 1.0).otherwise(0.0)
+    )
     values = (study, sample, stats, venues, recency, cited, whole / 10 * 10, again)
     return p.withColumns({k: F.round(v.cast("double"), 6) for k, v in zip(WEIGHTS, values, strict=True)})
 
@@ -95,7 +117,10 @@ def search_rank() -> Column:
 
 # Fixed values of the legacy score: 100 points over eight parts.
 LEGACY_STUDY = {"systematic_review": 35, "meta_analysis": 35, "rct": 25, "cohort": 15, "case_control": 10, "cross_sectional": 5, "case_report": 0, "study": 5}
-LEGACY_SHARES = {"study_type": 20, "recency": 10, "sample_size": 5, "full_text": 5, "citation_impact": 25, "venue_prestige": 15, "author_authority": 10, "cross_validation": 10}
+LEGACY_SHARES = {
+    "study_type": 20, "recency": 10, "sample_size": 5, "full_text": 5, "citation_impact": 25, "venue_prestige": 15, "author_authority": 10,
+    "cross_validation": 10
+}
 LEGACY_SAMPLE = ((1000, 5), (500, 4), (250, 3), (100, 2), (50, 1))
 LEGACY_CITATIONS = ((1000, 25), (500, 20), (100, 15), (50, 10), (20, 7), (5, 4), (1, 2))
 LEGACY_AUTHORS = ((50, 10), (30, 8), (15, 6), (5, 4), (1, 2))
@@ -113,7 +138,8 @@ def legacy_parts(p: DataFrame) -> DataFrame:
     values = {
         "study_type_points": F.round(study, 6), "recency_points": _bands(c("year").try_cast("int"), LEGACY_YEARS, 0), "sample_size_points": sample,
         "full_text_points": F.when(c("has_full_text"), 5.0).otherwise(0.0), "citation_points": _bands(c("citations"), LEGACY_CITATIONS, 0),
-        "venue_points": first_case([(c("venue_rank") == k, F.lit(float(v))) for k, v in LEGACY_VENUES], F.lit(2.0)), "author_points": _bands(c("h_index"), LEGACY_AUTHORS, 0), "agreement_points": agree,
+        "venue_points": first_case([(c("venue_rank") == k, F.lit(float(v))) for k, v in LEGACY_VENUES], F.lit(2.0)),
+        "author_points": _bands(c("h_index"), LEGACY_AUTHORS, 0), "agreement_points": agree,
     }
     out = p.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
     return out.withColumn("legacy_score", F.round(sum((c(k) for k in values), F.lit(0.0)), 6))
@@ -124,7 +150,10 @@ IMPACT = ((100, 15, "high"), (50, 12, "moderate"), (10, 8, "some"))
 LETTERS = ((85, "A+ (Excellent)"), (70, "A (Good)"), (60, "B (Above Average)"), (45, "C (Average)"))
 
 
-def explained(citations: Column, sample: Column, study_type: Column, has_p: Column, has_data: Column, has_code: Column, is_open: Column, h_index: Column, completeness: Column, year: Column) -> Column:
+def explained(
+    citations: Column, sample: Column, study_type: Column, has_p: Column, has_data: Column, has_code: Column, is_open: Column, h_index: Column,
+    completeness: Column, year: Column
+) -> Column:
     """struct of score and explanation: impact, methodology, reproducibility, authors, completeness and recency, 100 at most."""
     impact = first_case([(citations > n, v) for n, v, _ in IMPACT], 0)
     word = first_case([(citations > n, w) for n, _, w in IMPACT], "limited")
@@ -133,13 +162,19 @@ def explained(citations: Column, sample: Column, study_type: Column, has_p: Colu
     again = points(has_data, 8) + points(has_code, 7) + points(is_open, 5)
     score = impact + method + again + first_case([(h_index > 50, 10), (h_index > 20, 7)], 0) + F.floor(completeness * 10).cast("int") + points(year >= 2023, 5)
     score = F.least(score, F.lit(100))
-    line = F.format_string("\u2022 Impact: %d/15 (%s%%) - %d citations (%s impact)", impact, F.round(100.0 * impact / 15, 0).cast("int").cast("string"), citations.cast("int"), word)
+    line = F.format_string(
+        "\u2022 Impact: %d/15 (%s%%) - %d citations (%s impact)", impact, F.round(100.0 * impact / 15, 0).cast("int").cast("string"),
+        citations.cast("int"), word
+    )
     grade = first_case([(score >= b, g) for b, g in LETTERS], "D (Below Average)")
     told = F.concat_ws("\n", F.format_string("Quality Score: %d/100\n", score), F.lit("Breakdown:"), line, F.concat(F.lit("\nOverall Grade: "), grade))
     return F.struct(score.cast("int").alias("score"), told.alias("explanation"))
 
 
-def four_factors(s2: Column, crossref: Column, basic: Column, venue_level: Column, good_venue: Column, h_index: Column, has_authors: Column, lengths: tuple[Column, Column, Column], ids: dict[str, Column], year: Column) -> Column:
+def four_factors(
+    s2: Column, crossref: Column, basic: Column, venue_level: Column, good_venue: Column, h_index: Column, has_authors: Column,
+    lengths: tuple[Column, Column, Column], ids: dict[str, Column], year: Column
+) -> Column:
     """struct of total, citations, their source, and the points of venue, authors, completeness and metadata.
 
     Citations come from the first source that has any (not 0); a venue's level counts before its name.
@@ -152,16 +187,23 @@ def four_factors(s2: Column, crossref: Column, basic: Column, venue_level: Colum
     whole = sum((F.when(n > least, 10.0).otherwise(0.0) for n, least in zip(lengths, (100, 500, 500), strict=True)), F.lit(0.0))
     rich = sum((F.when(x, 5.0 if k == "doi" else 3.0).otherwise(0.0) for k, x in ids.items()), F.lit(0.0)) + first_case([(year > 2020, 3.0), (year > 2015, 1.0)], 0.0)
     total_ = F.least(F.lit(100.0), F.least(F.lit(20.0), cited / 10.0) + venue + author + whole + rich)
-    return F.struct(F.round(total_, 6).alias("total"), cited.cast("long").alias("citations"), source.alias("source"), venue.alias("venue_points"), F.round(author, 6).alias("author_points"), whole.alias("completeness_points"), rich.alias("metadata_points"))
+    return F.struct(
+        F.round(total_, 6).alias("total"), cited.cast("long").alias("citations"), source.alias("source"), venue.alias("venue_points"),
+        F.round(author, 6).alias("author_points"), whole.alias("completeness_points"), rich.alias("metadata_points")
+    )
 
 
 # Words for a population, and the shares of a light. Areas of research and their words.
 POPULATIONS = {
     "pediatric": ("children", "pediatric", "adolescent", "youth", "minors"), "elderly": ("elderly", "geriatric", "older adults", "seniors", "aging"),
-    "women": ("women", "female", "maternal", "pregnancy", "reproductive"), "developing_countries": ("developing countries", "low-income", "global health", "LMIC"),
+    "women": ("women", "female", "maternal", "pregnancy", "reproductive"),
+    "developing_countries": ("developing countries", "low-income", "global health", "LMIC"),
 }
 LIGHTS = ((80, "green"), (50, "yellow"))
-AREAS = (("imaging", ("image", "imaging", "radiolog")), ("trials", ("trial", "randomi")), ("models", ("model", "learning", "network")), ("health", ("health", "patient", "clinical")))
+AREAS = (
+    ("imaging", ("image", "imaging", "radiolog")), ("trials", ("trial", "randomi")), ("models", ("model", "learning", "network")),
+    ("health", ("health", "patient", "clinical"))
+)
 
 
 def light(percent: Column) -> Column:

@@ -14,8 +14,10 @@ from lectern.functions.text import contains_any, first_case, header, sentences,
 
 # Header words of each section type, in order; the first type that matches wins.
 NARROW = (
-    ("introduction", ("intro", "background", "overview", "motivation", "related work")), ("methods", ("method", "material", "data", "analysis", "participant", "measure", "procedure", "experimental", "study design", "approach")),
-    ("results", ("result", "finding", "outcome", "evaluation", "experiment", "performance", "analysis results")), ("discussion", ("discuss", "limitation", "implication", "interpretation", "comparison", "future work")),
+    ("introduction", ("intro", "background", "overview", "motivation", "related work")),
+    ("methods", ("method", "material", "data", "analysis", "participant", "measure", "procedure", "experimental", "study design", "approach")),
+    ("results", ("result", "finding", "outcome", "evaluation", "experiment", "performance", "analysis results")),
+    ("discussion", ("discuss", "limitation", "implication", "interpretation", "comparison", "future work")),
     ("conclusion", ("conclu", "summary", "contribution", "concluding", "final")),
 )
 WIDE = (
@@ -23,7 +25,8 @@ WIDE = (
     (
         "methods",
         (
-            "method", "methodology", "materials", "procedure", "study design", "participants", "data collection", "measures", "statistical analysis", "protocol",
+            "method", "methodology", "materials", "procedure", "study design", "participants", "data collection", "measures", "statistical analysis",
+            "protocol",
             "experimental design", "sample", "intervention", "study population", "patient population", "participant recruitment", "enrollment", "subjects",
             "inclusion criteria", "exclusion criteria", "eligibility", "data sources", "measurements", "assessment", "procedures", "interventions",
             "statistical methods", "sample size calculation", "power analysis",
@@ -45,7 +48,10 @@ WIDE = (
     ),
     ("conclusion", ("conclu", "summary", "future", "recommendation", "take-home", "final thoughts", "contribution", "key findings", "clinical recommendation")),
 )
-NUMBERED = ((r"^[0-9]+\.?\s*introduction", "introduction"), (r"^[0-9]+\.?\s*(method|approach|material)", "methods"), (r"^[0-9]+\.?\s*(result|experiment)", "results"), (r"^[0-9]+\.?\s*discussion", "discussion"), (r"^[0-9]+\.?\s*conclusion", "conclusion"))
+NUMBERED = (
+    (r"^[0-9]+\.?\s*introduction", "introduction"), (r"^[0-9]+\.?\s*(method|approach|material)", "methods"),
+    (r"^[0-9]+\.?\s*(result|experiment)", "results"), (r"^[0-9]+\.?\s*discussion", "discussion"), (r"^[0-9]+\.?\s*conclusion", "conclusion")
+)
 
 
 def section_type(name: Column, table=NARROW) -> Column:
@@ -73,7 +79,10 @@ def sections_experimental(rows: DataFrame) -> DataFrame:
     low, w = strip(F.lower("header")), W.partitionBy("paper_id")
     placed = rows.withColumn("i", F.row_number().over(w.orderBy("pos"))).withColumn("n", F.count("*").over(w))
     numbered = [(low.rlike(p), kind) for p, kind in NUMBERED]
-    place = [((F.col("i") == 1) & (F.length(low) > 3), "introduction"), ((F.col("i") == F.col("n")) & (low.contains("future") | low.contains("summary")), "conclusion")]
+    place = [
+        ((F.col("i") == 1) & (F.length(low) > 3), "introduction"),
+        ((F.col("i") == F.col("n")) & (low.contains("future") | low.contains("summary")), "conclusion")
+    ]
     return _merged(placed.withColumn("type", F.coalesce(section_type(low), first_case([*numbered, *place]))))
 
 
@@ -124,10 +133,18 @@ def abstract_recovered(s: Column, title: Column) -> Column:
     paragraphs = F.array_join(F.slice(F.split(intro, "\n\n"), 1, 3), "\n\n")
     b = F.when((F.length(intro) >= 500) & (_count(F.lower(F.substring(intro, 1, 2000)), INTRO_WORDS) >= 3), strip(F.substring(paragraphs, 1, 1500)))
     words = F.regexp_extract_all(F.lower(title), F.lit(r"(?U)\b\w{4,}\b"), F.lit(0))
-    like = F.filter(F.map_entries(s), lambda e: (F.size(F.filter(words, lambda w: F.lower(e["key"]).contains(w))) >= 2) & contains_any(F.lower(F.substring(e["value"], 1, 2000)), TITLE_PHRASES))
+    like = F.filter(
+        F.map_entries(s),
+        lambda e: (F.size(F.filter(words, lambda w: F.lower(e["key"]).contains(w))) >= 2) & contains_any(F.lower(F.substring(e["value"], 1, 2000)), TITLE_PHRASES)
+    )
     c = strip(F.substring(F.get(like, F.lit(0))["value"], 1, 1500))
     pick = lambda text, w: F.get(F.filter(F.slice(sentences(text), 1, 3), lambda x: contains_any(F.lower(x), w)), F.lit(0))
-    made = F.array_compact(F.array(pick(methods, ("participants", "assigned", "conducted", "we")), pick(s["results"], ("significant", "found", "demonstrated", "showed")), F.get(sentences(s["conclusion"]), F.lit(0))))
+    made = F.array_compact(
+        F.array(
+            pick(methods, ("participants", "assigned", "conducted", "we")), pick(s["results"], ("significant", "found", "demonstrated", "showed")),
+            F.get(sentences(s["conclusion"]), F.lit(0))
+        )
+    )
     d = F.when(F.size(made) >= 2, F.concat(F.lit("[Abstract synthesized from paper sections] "), F.array_join(made, " ")))
     return F.coalesce(a, b, c, d)
 
@@ -148,11 +165,18 @@ def extraction_quality(abstract: Column, s: Column) -> Column:
     """0..1."""
     key = sum((F.when(F.length(s[k]) > 100, 0.125).otherwise(0.0) for k in ("introduction", "methods", "results", "discussion")), F.lit(0.0))
     size = total_chars(s)
-    return F.least(F.lit(1.0), F.when(F.coalesce(abstract, F.lit("")) != "", 0.3).otherwise(0.0) + key + first_case([(size > 10000, 0.2), (size > 5000, 0.1), (size > 2000, 0.05)], 0.0))
+    return F.least(
+        F.lit(1.0),
+        F.when(F.coalesce(abstract, F.lit("")) != "", 0.3).otherwise(0.0) + key
+        + first_case([(size > 10000, 0.2), (size > 5000, 0.1), (size > 2000, 0.05)], 0.0)
+    )
 
 
 # Other words for a section's name.
-ALIASES = {"method": "methods", "methodology": "methods", "result": "results", "finding": "results", "conclusion": "conclusions", "discussion": "discussion", "discuss": "discussion"}
+ALIASES = {
+    "method": "methods", "methodology": "methods", "result": "results", "finding": "results", "conclusion": "conclusions", "discussion": "discussion",
+    "discuss": "discussion"
+}
 
 
 def header_parts(name: Column) -> Column:
@@ -166,8 +190,10 @@ def quality_metrics(abstract: Column, s: Column, n_entities: Column) -> Column:
     names = ("introduction", "methods", "results", "discussion", "conclusion")
     size = F.size(s)
     return F.struct(
-        (n > 100).alias("has_abstract"), n.alias("abstract_length"), size.alias("section_count"), *(F.map_contains_key(s, F.lit(k)).alias(f"has_{k}") for k in names),
-        total_chars(s).alias("total_content_length"), n_entities.alias("entity_richness"), ((size < 4) | (n < 100)).alias("needs_retry"), completeness(abstract, s).alias("extraction_completeness"),
+        (n > 100).alias("has_abstract"), n.alias("abstract_length"), size.alias("section_count"),
+        *(F.map_contains_key(s, F.lit(k)).alias(f"has_{k}") for k in names),
+        total_chars(s).alias("total_content_length"), n_entities.alias("entity_richness"), ((size < 4) | (n < 100)).alias("needs_retry"),
+        completeness(abstract, s).alias("extraction_completeness"),
     )
 
 
@@ -187,7 +213,10 @@ def post_process(papers: DataFrame, rows: DataFrame) -> DataFrame:
     both = both.withColumn("sections", F.coalesce("sections", F.create_map().cast("map<string,string>")))
     abstract = F.coalesce(F.when(F.length("abstract") > 0, F.col("abstract")), abstract_recovered(F.col("sections"), F.col("title")), F.lit(""))
     out = both.withColumn("abstract", abstract)
-    return out.select("paper_id", "abstract", "sections", "hidden", quality_metrics(F.col("abstract"), F.col("sections"), F.lit(0)).alias("metrics"), extraction_quality(F.col("abstract"), F.col("sections")).alias("score"))
+    return out.select(
+        "paper_id", "abstract", "sections", "hidden", quality_metrics(F.col("abstract"), F.col("sections"), F.lit(0)).alias("metrics"),
+        extraction_quality(F.col("abstract"), F.col("sections")).alias("score")
+    )
 
 
 def get_sections(s: DataFrame, names: list[str]) -> DataFrame:
@@ -196,7 +225,10 @@ def get_sections(s: DataFrame, names: list[str]) -> DataFrame:
 
 
 # Which sections a question asks for.
-ASKS = (("methods", ("how", "method", "sample", "design", "measure")), ("results", ("result", "effect", "outcome", "find")), ("discussion", ("why", "limit", "mean", "implic")), ("introduction", ("what", "background", "aim")))
+ASKS = (
+    ("methods", ("how", "method", "sample", "design", "measure")), ("results", ("result", "effect", "outcome", "find")),
+    ("discussion", ("why", "limit", "mean", "implic")), ("introduction", ("what", "background", "aim"))
+)
 
 
 def smart_get(s: DataFrame, question: str, k: int = 10) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from lectern.functions.text import contains_any, first_case, present
 
 # Fixed values of the structure classes.
-METHOD_NAMES = ("method", "methodology", "material", "procedure", "protocol", "study design", "study population", "participant", "patient", "data collection", "statistical analysis", "randomization", "inclusion criteria", "exclusion criteria", "sample size")
+METHOD_NAMES = (
+    "method", "methodology", "material", "procedure", "protocol", "study design", "study population", "participant", "patient", "data collection",
+    "statistical analysis", "randomization", "inclusion criteria", "exclusion criteria", "sample size"
+)
 METHOD_WORDS = ("we recruited", "participants were", "data were collected", "randomized controlled", "inclusion criteria")
 RESULT_NAMES = ("result", "finding", "outcome", "analysis result", "baseline characteristic", "efficacy", "effectiveness")
 RESULT_PATTERN = r"p\s*[<=]\s*0\.[0-9]+|95%\s*ci|mean\s*±|n\s*=\s*[0-9]+"
@@ -44,11 +47,18 @@ def structure_class(papers: DataFrame, sections: DataFrame) -> DataFrame:
     study, review = contains_any(title, STUDY_TITLES), title.contains("review")
     rules = [
         (chars < 500, "rejected", "no_content"), (contains_any(title, NOT_PAPERS), "rejected", "likely_not_paper"), (m & r, "IMRaD", "has_methods_and_results"),
-        (m & study, "IMRaD", "has_methods_with_study_design"), (r & study, "IMRaD", "has_results_with_study_design"), (review & m, "IMRaD", "systematic_review_with_methods"),
-        (review, "non-IMRaD", "review_article"), (contains_any(title, OPINIONS), "non-IMRaD", "commentary"), (contains_any(title, THEORIES) & ~m & ~r, "non-IMRaD", "theoretical_paper"),
+        (m & study, "IMRaD", "has_methods_with_study_design"), (r & study, "IMRaD", "has_results_with_study_design"),
+        (review & m, "IMRaD", "systematic_review_with_methods"),
+        (review, "non-IMRaD", "review_article"), (contains_any(title, OPINIONS), "non-IMRaD", "commentary"),
+        (contains_any(title, THEORIES) & ~m & ~r, "non-IMRaD", "theoretical_paper"),
         ((chars > 5000) & (m | r), "IMRaD", "partial_imrad_structure"), (chars > 5000, "non-IMRaD", "substantial_non_imrad"),
     ]
-    return rows.withColumns({"structure": first_case([(t, s) for t, s, _ in rules], "rejected"), "reason": first_case([(t, w) for t, _, w in rules], "insufficient_content")})
+    return rows.withColumns(
+        {
+            "structure": first_case([(t, s) for t, s, _ in rules], "rejected"),
+            "reason": first_case([(t, w) for t, _, w in rules], "insufficient_content")
+        }
+    )
 
 
 def cascade(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -73,11 +83,17 @@ def needs_retry(abstract: Column, n_sections: Column) -> Column:
     return (n_sections < 4) | (F.coalesce(F.length(abstract), F.lit(0)) < 100)
 
 
-def entity_search(rows: DataFrame, study_type: str | None = None, min_sample: int | None = None, max_p: float | None = None, software: list[str] | None = None, datasets: list[str] | None = None, year_from: int | None = None) -> DataFrame:
+def entity_search(
+    rows: DataFrame, study_type: str | None = None, min_sample: int | None = None, max_p: float | None = None, software: list[str] | None = None,
+    datasets: list[str] | None = None, year_from: int | None = None
+) -> DataFrame:
     """Rows that meet every filter given. rows: study_types, sample_sizes, p_values, software, datasets (arrays), year."""
     tests = [
-        study_type is not None and F.array_contains("study_types", study_type), min_sample is not None and F.exists("sample_sizes", lambda x: x >= min_sample), max_p is not None and F.exists("p_values", lambda x: x <= max_p),
-        software and F.forall(F.array(*map(F.lit, software)), lambda x: F.array_contains("software", x)), datasets and F.forall(F.array(*map(F.lit, datasets)), lambda x: F.array_contains("datasets", x)),
+        study_type is not None and F.array_contains("study_types", study_type),
+        min_sample is not None and F.exists("sample_sizes", lambda x: x >= min_sample),
+        max_p is not None and F.exists("p_values", lambda x: x <= max_p),
+        software and F.forall(F.array(*map(F.lit, software)), lambda x: F.array_contains("software", x)),
+        datasets and F.forall(F.array(*map(F.lit, datasets)), lambda x: F.array_contains("datasets", x)),
         year_from is not None and F.col("year").try_cast("int") >= year_from,
     ]
     for test in tests:
@@ -86,7 +102,10 @@ def entity_search(rows: DataFrame, study_type: str | None = None, min_sample: in
     return rows
 
 
-def discover(rows: DataFrame, known: DataFrame | None = None, quality: str = "LOW", year_from: int = 2020, min_citations: int = 0, authors: list[str] | None = None) -> DataFrame:
+def discover(
+    rows: DataFrame, known: DataFrame | None = None, quality: str = "LOW", year_from: int = 2020, min_citations: int = 0,
+    authors: list[str] | None = None
+) -> DataFrame:
     """Rows of a score floor, year and citations, by one of at most five authors, without those in `known` (paper_id)."""
     if authors and len(authors) > MOST_AUTHORS:
         raise ValueError(f"at most {MOST_AUTHORS} authors")

@@ -95,34 +95,89 @@ scalar("doi_clean_core", lambda: T.doi_core(c("doi")), _valid(_cut, 10, 100))
 scalar("doi_clean_aggressive", lambda: T.doi_aggressive(c("doi")), rx(st(f"replace({_hard}, '//', '/')"), "[.,;:]+$"))
 scalar("doi_clean_s2", lambda: T.doi_plain(c("doi")), f"replace(replace({st('doi')}, 'https://doi.org/', ''), 'http://doi.org/', '')")
 scalar("doi_clean_refmgr", lambda: T.doi_key(c("doi")), rx(st("lower(doi)"), "https?://doi.org/"))
-scalar("doi_reject_reason", lambda: T.doi_reject_reason(c("doi")), case([("coalesce(doi, '') = ''", "'empty'"), ("contains(doi, '10.13039')", "'funding'"), (f"({SHARED}) IS NULL", "'invalid'")], "'accepted'"))
-scalar("doi_problem_label", lambda: T.doi_problem(c("doi")), case([("coalesce(doi, '') = ''", "NULL"), ("contains(doi, '.From') OR contains(doi, '.from')", "'from_suffix'"), ("contains(lower(doi), 'http')", "'url'"), ("contains(doi, 'KEYWORDS')", "'keywords'"), ("length(doi) > 100", "'too_long'"), ("NOT starts_with(doi, '10.')", "'not_a_doi'")]))
-on_papers("doi_prefix_hist", lambda p: R.top_k(p.where(T.present(c("doi"))).select(T.doi_prefix(c("doi")).alias("prefix")), "prefix", 5), "SELECT CASE WHEN contains(doi, '/') THEN split_part(doi, '/', 1) ELSE substr(doi, 1, 15) END AS prefix, count(*) AS n FROM papers WHERE doi <> '' GROUP BY 1 ORDER BY n DESC, prefix LIMIT 5")
+scalar(
+    "doi_reject_reason", lambda: T.doi_reject_reason(c("doi")),
+    case([("coalesce(doi, '') = ''", "'empty'"), ("contains(doi, '10.13039')", "'funding'"), (f"({SHARED}) IS NULL", "'invalid'")], "'accepted'")
+)
+scalar(
+    "doi_problem_label", lambda: T.doi_problem(c("doi")),
+    case(
+        [
+            ("coalesce(doi, '') = ''", "NULL"), ("contains(doi, '.From') OR contains(doi, '.from')", "'from_suffix'"),
+            ("contains(lower(doi), 'http')", "'url'"), ("contains(doi, 'KEYWORDS')", "'keywords'"), ("length(doi) > 100", "'too_long'"),
+            ("NOT starts_with(doi, '10.')", "'not_a_doi'")
+        ]
+    )
+)
+on_papers(
+    "doi_prefix_hist", lambda p: R.top_k(p.where(T.present(c("doi"))).select(T.doi_prefix(c("doi")).alias("prefix")), "prefix", 5),
+    "SELECT CASE WHEN contains(doi, '/') THEN split_part(doi, '/', 1) ELSE substr(doi, 1, 15) END AS prefix, count(*) AS n FROM papers WHERE doi "
+    "<> '' GROUP BY 1 ORDER BY n DESC, prefix LIMIT 5"
+)
 _yr = lambda e: f"CASE WHEN try_cast({e} AS INT) BETWEEN 1900 AND 2026 THEN try_cast({e} AS INT) END"
-scalar("year_from_date", lambda: T.year_from_date(c("date")), f"coalesce({_yr("regexp_extract(date, '^([0-9]{4})', 1)")}, {_yr(r"regexp_extract(date, '\b(19[0-9]{2}|20[0-9]{2})\b', 1)")})")
+scalar(
+    "year_from_date", lambda: T.year_from_date(c("date")),
+    f"coalesce({_yr("regexp_extract(date, '^([0-9]{4})', 1)")}, {_yr(r"regexp_extract(date, '\b(19[0-9]{2}|20[0-9]{2})\b', 1)")})"
+)
 scalar("year_first_match", lambda: T.year_first(c("date")), r"nullif(regexp_extract(date, '\b((19|20)[0-9]{2})\b', 1), '')")
 on_papers(
     "year_from_refs",
     lambda p: T.year_from_references(p.select("paper_id", F.explode(F.regexp_extract_all("body", F.lit(r"\b(\d{4})\b"), F.lit(1))).alias("year")), "paper_id", "year"),
-    r"SELECT paper_id, least(max(y) + 1, 2025) AS year FROM (SELECT paper_id, unnest(list_transform(regexp_extract_all(body, '\b(\d{4})\b', 1), x -> CAST(x AS INT))) AS y FROM papers) WHERE y BETWEEN 1900 AND 2026 GROUP BY paper_id",
+    r"SELECT paper_id, least(max(y) + 1, 2025) AS year FROM (SELECT paper_id, unnest(list_transform(regexp_extract_all(body, '\b(\d{4})\b', 1), x "
+    r"-> CAST(x AS INT))) AS y FROM papers) WHERE y BETWEEN 1900 AND 2026 GROUP BY paper_id",
+)
+scalar(
+    "title_clean_arxiv", lambda: T.title_arxiv(c("title")),
+    f"CASE WHEN length(substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250)) > 5 THEN "
+    f"substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250) END"
 )
-scalar("title_clean_arxiv", lambda: T.title_arxiv(c("title")), f"CASE WHEN length(substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250)) > 5 THEN substr({rx(rx(st('title'), '<[^>]+>'), r'\s+', ' ')}, 1, 250) END")
 _tc = f"substr({st(rx(rx('title', r'''["'()\[\]{}]''', ' '), r'\s+', ' '))}, 1, 200)"
 scalar("title_clean_core", lambda: T.title_core(c("title")), f"CASE WHEN length({_tc}) > 10 THEN {_tc} END")
 scalar("title_key50", lambda: T.title_key(c("title")), f"substr({st('lower(title)')}, 1, 50)")
 _ax = rx(f"replace(replace({st('arxiv')}, 'arXiv:', ''), 'arxiv:', '')", "v[0-9]+$")
-scalar("arxiv_id_clean", lambda: T.arxiv_id(c("arxiv")), f"CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END")
-scalar("author_last_name", lambda: T.last_name(c("author")), f"CASE WHEN contains(author, ',') THEN {st("split_part(author, ',', 1)")} ELSE regexp_extract({st('author')}, '(\\S+)$', 1) END")
+scalar(
+    "arxiv_id_clean", lambda: T.arxiv_id(c("arxiv")),
+    f"CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END"
+)
+scalar(
+    "author_last_name", lambda: T.last_name(c("author")),
+    f"CASE WHEN contains(author, ',') THEN {st("split_part(author, ',', 1)")} ELSE regexp_extract({st('author')}, '(\\S+)$', 1) END"
+)
 _hd = st(rx(rx(rx(st("lower(header)"), r"^[0-9IVX]+\.?\s*"), r"^[0-9]+\.[0-9]+\.?\s*"), "[:\\-–—()]", " "))
 _hd = st(rx(rx(rx(rx(st("lower(header)"), r"^[0-9IVX]+\.?\s*"), r"^[0-9]+\.[0-9]+\.?\s*"), "[:\\-–—()]", " "), r"\s+", " "))
-add("header_normalize", lambda s, d: sections(s, d).groupBy("header", T.header(c("header")).alias("out"), T.header(T.header(c("header"))).alias("twice")).agg(F.count("*").alias("n")), f"WITH {SECTIONS_SQL}, once AS (SELECT header AS h, {_hd} AS header FROM sections) SELECT h AS header, header AS out, {_hd} AS twice, count(*) AS n FROM once GROUP BY ALL")
+add(
+    "header_normalize",
+    lambda s, d: sections(s, d).groupBy("header", T.header(c("header")).alias("out"), T.header(T.header(c("header"))).alias("twice")).agg(F.count("*").alias("n")),
+    f"WITH {SECTIONS_SQL}, once AS (SELECT header AS h, {_hd} AS header FROM sections) SELECT h AS header, header AS out, {_hd} AS twice, count(*) "
+    f"AS n FROM once GROUP BY ALL"
+)
 scalar("shard_path", lambda: T.shard(c("author")), "CASE WHEN length(author) >= 2 THEN upper(substr(author, 1, 2)) ELSE 'XX' END")
-scalar("time_format", lambda: T.duration_short(c("doc_id") * 37), "CASE WHEN doc_id * 37 < 60 THEN CAST(doc_id * 37 AS STRING) || 's' WHEN doc_id * 37 < 3600 THEN CAST(doc_id * 37 // 60 AS STRING) || 'm' || CAST(doc_id * 37 % 60 AS STRING) || 's' ELSE CAST(doc_id * 37 // 3600 AS STRING) || 'h' || CAST(doc_id * 37 // 60 % 60 AS STRING) || 'm' END")
-on_papers("time_estimate", lambda p: p.select("paper_id", *(F.round(c("chars") * 0.015 * k, 4).alias(n) for n, k in (("low", 1.2 * 0.7), ("mid", 1.2), ("high", 1.2 * 1.3)))), "SELECT paper_id, " + ", ".join(f"round(chars * CAST(0.015 AS DOUBLE) * CAST({k!r} AS DOUBLE), 4) AS {n}" for n, k in (("low", 1.2 * 0.7), ("mid", 1.2), ("high", 1.2 * 1.3))) + " FROM papers")
+scalar(
+    "time_format", lambda: T.duration_short(c("doc_id") * 37),
+    "CASE WHEN doc_id * 37 < 60 THEN CAST(doc_id * 37 AS STRING) || 's' WHEN doc_id * 37 < 3600 THEN CAST(doc_id * 37 // 60 AS STRING) || 'm' || "
+    "CAST(doc_id * 37 % 60 AS STRING) || 's' ELSE CAST(doc_id * 37 // 3600 AS STRING) || 'h' || CAST(doc_id * 37 // 60 % 60 AS STRING) || 'm' END"
+)
+on_papers(
+    "time_estimate",
+    lambda p: p.select("paper_id", *(F.round(c("chars") * 0.015 * k, 4).alias(n) for n, k in (("low", 1.2 * 0.7), ("mid", 1.2), ("high", 1.2 * 1.3)))),
+    "SELECT paper_id, "
+    + ", ".join(f"round(chars * CAST(0.015 AS DOUBLE) * CAST({k!r} AS DOUBLE), 4) AS {n}" for n, k in (("low", 1.2 * 0.7), ("mid", 1.2), ("high", 1.2 * 1.3)))
+    + " FROM papers"
+)
 
 # --- rules ----------------------------------------------------------------------------------------------------------
-CATEGORY = case([(anyof("lower(doi)", C.SUPPLEMENTAL), "'supplemental_materials'"), (f"doi <> '' AND ({anyof('lower(doi)', C.DATASET_DOI)} OR {anyof('lower(title)', C.DATASET_TITLE)})", "'datasets'"), (anyof("lower(title)", C.OTHER_TITLE), "'other_non_articles'")], "'article'")
-FLAG_TESTS = [("very_short", "chars < 2000 AND n_sections < 3"), ("no_abstract_minimal_text", "coalesce(length(abstract), 0) < 50 AND chars < 3000"), ("no_references", "num_references = 0"), ("no_year", "coalesce(year, '') = ''"), ("very_short_title", "length(title) BETWEEN 1 AND 9")]
+CATEGORY = case(
+    [
+        (anyof("lower(doi)", C.SUPPLEMENTAL), "'supplemental_materials'"),
+        (f"doi <> '' AND ({anyof('lower(doi)', C.DATASET_DOI)} OR {anyof('lower(title)', C.DATASET_TITLE)})", "'datasets'"),
+        (anyof("lower(title)", C.OTHER_TITLE), "'other_non_articles'")
+    ],
+    "'article'"
+)
+FLAG_TESTS = [
+    ("very_short", "chars < 2000 AND n_sections < 3"), ("no_abstract_minimal_text", "coalesce(length(abstract), 0) < 50 AND chars < 3000"),
+    ("no_references", "num_references = 0"), ("no_year", "coalesce(year, '') = ''"), ("very_short_title", "length(title) BETWEEN 1 AND 9")
+]
 FLAGS = flags(FLAG_TESTS)
 def _al():
     return F.coalesce(F.length("abstract"), F.lit(0))
@@ -137,29 +192,90 @@ def _problem():
 
 
 PROBLEM = case([
-    ("n_sections = 0 OR (chars < 500 AND coalesce(length(abstract), 0) < 100 AND title = '')", "'grobid_failures'"), (f"{anyof('lower(title)', C.PROBLEM_TITLE)} OR {anyof('lower(doi)', C.PROBLEM_DOI)}", "'non_articles'"),
-    ("chars < 1000 AND coalesce(length(abstract), 0) < 200", "'minimal_content'"), ("title = '' AND doi = ''", "'metadata_issues'"), (f"len({FLAGS}) > 0", "'quality_issues'"),
+    ("n_sections = 0 OR (chars < 500 AND coalesce(length(abstract), 0) < 100 AND title = '')", "'grobid_failures'"),
+    (f"{anyof('lower(title)', C.PROBLEM_TITLE)} OR {anyof('lower(doi)', C.PROBLEM_DOI)}", "'non_articles'"),
+    ("chars < 1000 AND coalesce(length(abstract), 0) < 200", "'minimal_content'"), ("title = '' AND doi = ''", "'metadata_issues'"),
+    (f"len({FLAGS}) > 0", "'quality_issues'"),
 ], "'ok'")
 on_papers("filter_has_doi", lambda p: C.has_doi(p).select("paper_id", "doi", "title"), f"SELECT paper_id, doi, title FROM papers WHERE {st('doi')} <> ''")
-on_papers("doi_filter_stats", lambda p: p.agg(F.count("*").alias("total"), F.count_if(T.present(c("doi"))).alias("with_doi"), F.count_if(~T.present(c("doi")) & T.present(c("title"))).alias("no_doi_with_title"), F.count_if(T.present(c("doi")) & T.present(c("title"))).alias("both")), "SELECT count(*) AS total, count_if(doi <> '') AS with_doi, count_if(doi = '' AND title <> '') AS no_doi_with_title, count_if(doi <> '' AND title <> '') AS both FROM papers")
+on_papers(
+    "doi_filter_stats",
+    lambda p: p.agg(
+        F.count("*").alias("total"), F.count_if(T.present(c("doi"))).alias("with_doi"),
+        F.count_if(~T.present(c("doi")) & T.present(c("title"))).alias("no_doi_with_title"),
+        F.count_if(T.present(c("doi")) & T.present(c("title"))).alias("both")
+    ),
+    "SELECT count(*) AS total, count_if(doi <> '') AS with_doi, count_if(doi = '' AND title <> '') AS no_doi_with_title, count_if(doi <> '' AND "
+    "title <> '') AS both FROM papers"
+)
 scalar("filter_articles", lambda: C.article_category(c("title"), c("doi")), CATEGORY)
-on_papers("exclusion_breakdown", lambda p: p.groupBy(C.article_category(c("title"), c("doi")).alias("category")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), f"SELECT {CATEGORY} AS category, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM papers GROUP BY 1")
+on_papers(
+    "exclusion_breakdown",
+    lambda p: p.groupBy(C.article_category(c("title"), c("doi")).alias("category")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")),
+    f"SELECT {CATEGORY} AS category, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM papers GROUP BY 1"
+)
 scalar("malformed_doi", lambda: C.malformed_doi(c("doi")), anyof("doi", C.MALFORMED))
 scalar("problem_category", lambda: _problem(), PROBLEM)
-on_papers("problem_flags", lambda p: p.select("paper_id", F.array_join(_flags(), ",").alias("flags")), f"SELECT paper_id, array_to_string({FLAGS}, ',') AS flags FROM papers")
-on_papers("removal_actions", lambda p: p.groupBy(_problem().alias("category"), C.removal_action(_problem(), _flags()).alias("action")).agg(F.count("*").alias("n")), f"SELECT category, CASE WHEN category IN ('grobid_failures', 'non_articles') THEN 'REMOVE' WHEN category IN ('minimal_content', 'metadata_issues') THEN 'REVIEW' WHEN category = 'quality_issues' AND list_contains(f, 'very_short') AND list_contains(f, 'no_references') THEN 'REVIEW' ELSE 'KEEP' END AS action, count(*) AS n FROM (SELECT {PROBLEM} AS category, {FLAGS} AS f FROM papers) GROUP BY 1, 2")
+on_papers(
+    "problem_flags", lambda p: p.select("paper_id", F.array_join(_flags(), ",").alias("flags")),
+    f"SELECT paper_id, array_to_string({FLAGS}, ',') AS flags FROM papers"
+)
+on_papers(
+    "removal_actions",
+    lambda p: p.groupBy(_problem().alias("category"), C.removal_action(_problem(), _flags()).alias("action")).agg(F.count("*").alias("n")),
+    f"SELECT category, CASE WHEN category IN ('grobid_failures', 'non_articles') THEN 'REMOVE' WHEN category IN ('minimal_content', "
+    f"'metadata_issues') THEN 'REVIEW' WHEN category = 'quality_issues' AND list_contains(f, 'very_short') AND list_contains(f, 'no_references') "
+    f"THEN 'REVIEW' ELSE 'KEEP' END AS action, count(*) AS n FROM (SELECT {PROBLEM} AS category, {FLAGS} AS f FROM papers) GROUP BY 1, 2"
+)
 _abs = "lower(substr(coalesce(abstract, ''), 1, 200))"
-scalar("doc_type_guess", lambda: C.document_type(c("title"), c("abstract"), c("doi"), c("chars")), case([("chars = 0", "'extraction_failure'"), ("chars < 1000", "'partial_extraction'"), (anyof("doi", ("figshare", "zenodo")), "'dataset'"), (anyof("lower(title)", ("supplement", "additional file")), "'supplementary material'"), *((f"regexp_matches(lower(title), '\\b{w}\\b') OR regexp_matches({_abs}, '\\b{w}\\b')", lit(w)) for w in C.DOCUMENT_TYPES)], "'unknown'"))
-scalar("reject_paper", lambda: C.reject_reason(c("title"), c("abstract"), c("n_sections"), c("chars")), case([("chars < 500", "'no_content'"), *((f"contains(lower(title), '{w}')", lit(f"non_research: {w}")) for w in C.REJECT_TITLE), (f"length(abstract) >= 500 AND length({rx('substr(abstract, 1, 500)', r'[\p{L}\p{N}\s]')}) / length(substr(abstract, 1, 500)) > 0.3", "'corrupted_ocr'"), ("n_sections = 0 AND chars < 2000", "'no_structure'"), ("chars < 1000 AND coalesce(abstract, '') = ''", "'insufficient_content'")], "'accept'"))
-ISSUES = flags([("short_abstract", "abstract <> '' AND length(abstract) < 50"), ("no_full_text", "n_sections = 0"), ("short_full_text", "n_sections > 0 AND chars < 1000"), ("malformed_doi", r"doi <> '' AND NOT regexp_matches(doi, '^10\.[0-9]{4,}/.+')"), ("non_numeric_year", "year <> '' AND try_cast(year AS INT) IS NULL"), ("invalid_year", "try_cast(year AS INT) NOT BETWEEN 1900 AND 2026")])
+scalar(
+    "doc_type_guess", lambda: C.document_type(c("title"), c("abstract"), c("doi"), c("chars")),
+    case(
+        [
+            ("chars = 0", "'extraction_failure'"), ("chars < 1000", "'partial_extraction'"), (anyof("doi", ("figshare", "zenodo")), "'dataset'"),
+            (anyof("lower(title)", ("supplement", "additional file")), "'supplementary material'"),
+            *((f"regexp_matches(lower(title), '\\b{w}\\b') OR regexp_matches({_abs}, '\\b{w}\\b')", lit(w)) for w in C.DOCUMENT_TYPES)
+        ],
+        "'unknown'"
+    )
+)
+scalar(
+    "reject_paper", lambda: C.reject_reason(c("title"), c("abstract"), c("n_sections"), c("chars")),
+    case(
+        [
+            ("chars < 500", "'no_content'"), *((f"contains(lower(title), '{w}')", lit(f"non_research: {w}")) for w in C.REJECT_TITLE),
+            (
+                f"length(abstract) >= 500 AND length({rx('substr(abstract, 1, 500)', r'[\p{L}\p{N}\s]')}) / length(substr(abstract, 1, 500)) > 0.3",
+                "'corrupted_ocr'"
+            ),
+            ("n_sections = 0 AND chars < 2000", "'no_structure'"), ("chars < 1000 AND coalesce(abstract, '') = ''", "'insufficient_content'")
+        ],
+        "'accept'"
+    )
+)
+ISSUES = flags(
+    [
+        ("short_abstract", "abstract <> '' AND length(abstract) < 50"), ("no_full_text", "n_sections = 0"),
+        ("short_full_text", "n_sections > 0 AND chars < 1000"), ("malformed_doi", r"doi <> '' AND NOT regexp_matches(doi, '^10\.[0-9]{4,}/.+')"),
+        ("non_numeric_year", "year <> '' AND try_cast(year AS INT) IS NULL"), ("invalid_year", "try_cast(year AS INT) NOT BETWEEN 1900 AND 2026")
+    ]
+)
 def _issues():
     return C.completeness_issues(c("abstract"), c("n_sections"), c("chars"), c("doi"), c("year"))
 
 
-on_papers("severity_label", lambda p: p.select("paper_id", C.severity(_issues()).alias("severity"), F.array_join(F.array_sort(_issues()), ",").alias("issues")), f"SELECT paper_id, CASE len({ISSUES}) WHEN 0 THEN 'include' WHEN 1 THEN 'review' ELSE 'exclude' END AS severity, array_to_string(list_sort({ISSUES}), ',') AS issues FROM papers")
+on_papers(
+    "severity_label",
+    lambda p: p.select("paper_id", C.severity(_issues()).alias("severity"), F.array_join(F.array_sort(_issues()), ",").alias("issues")),
+    f"SELECT paper_id, CASE len({ISSUES}) WHEN 0 THEN 'include' WHEN 1 THEN 'review' ELSE 'exclude' END AS severity, "
+    f"array_to_string(list_sort({ISSUES}), ',') AS issues FROM papers"
+)
 
 # --- reports --------------------------------------------------------------------------------------------------------
-CRITICAL = {"title": "title <> ''", "doi": "doi <> ''", "year": "coalesce(year, '') <> ''", "abstract": "coalesce(abstract, '') <> ''", "sections": "n_sections > 0", "venue": "venue <> ''", "references": "num_references > 0", "arxiv": "arxiv <> ''"}
+CRITICAL = {
+    "title": "title <> ''", "doi": "doi <> ''", "year": "coalesce(year, '') <> ''", "abstract": "coalesce(abstract, '') <> ''",
+    "sections": "n_sections > 0", "venue": "venue <> ''", "references": "num_references > 0", "arxiv": "arxiv <> ''"
+}
 def _tests():
     return {k: F.expr(v) for k, v in CRITICAL.items()}
 
@@ -169,9 +285,24 @@ def _missing():
     return F.array_join(R.missing(_tests()), ",")
 
 
-on_papers("coverage_fields", lambda p: R.coverage(p, _tests()), " UNION ALL ".join(("" if i else "") + f"SELECT '{k}' AS field, count_if({v}) AS present, round(100.0 * count_if({v}) / count(*), 6) AS percent FROM papers" for i, (k, v) in enumerate(CRITICAL.items())))
-on_papers("missing_combos", lambda p: R.top_k(p.select(_missing().alias("missing")).where("missing <> ''"), "missing", 10), f"SELECT {MISSING} AS missing, count(*) AS n FROM papers WHERE {MISSING} <> '' GROUP BY 1 ORDER BY n DESC, missing LIMIT 10")
-on_papers("issue_hist", lambda p: p.select("paper_id", F.explode(_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("paper_id").alias("first")).orderBy(F.desc("n"), "issue").limit(20), f"SELECT issue, count(*) AS n, min(paper_id) AS first FROM (SELECT paper_id, unnest({ISSUES}) AS issue FROM papers) GROUP BY issue ORDER BY n DESC, issue LIMIT 20")
+on_papers(
+    "coverage_fields", lambda p: R.coverage(p, _tests()),
+    " UNION ALL ".join(
+        ("" if i else "") + f"SELECT '{k}' AS field, count_if({v}) AS present, round(100.0 * count_if({v}) / count(*), 6) AS percent FROM papers"
+        for i,
+        (k, v) in enumerate(CRITICAL.items())
+    )
+)
+on_papers(
+    "missing_combos", lambda p: R.top_k(p.select(_missing().alias("missing")).where("missing <> ''"), "missing", 10),
+    f"SELECT {MISSING} AS missing, count(*) AS n FROM papers WHERE {MISSING} <> '' GROUP BY 1 ORDER BY n DESC, missing LIMIT 10"
+)
+on_papers(
+    "issue_hist",
+    lambda p: p.select("paper_id", F.explode(_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("paper_id").alias("first")).orderBy(F.desc("n"), "issue").limit(20),
+    f"SELECT issue, count(*) AS n, min(paper_id) AS first FROM (SELECT paper_id, unnest({ISSUES}) AS issue FROM papers) GROUP BY issue ORDER BY n "
+    f"DESC, issue LIMIT 20"
+)
 
 
 def _pattern_groups(p: DataFrame) -> DataFrame:
@@ -181,11 +312,39 @@ def _pattern_groups(p: DataFrame) -> DataFrame:
     return rows.groupBy("missing").agg(F.count("*").alias("n")).join(first, "missing")
 
 
-on_papers("pattern_groups", _pattern_groups, f"SELECT {MISSING} AS missing, count(*) AS n, array_to_string(list_sort(list(paper_id))[1:10], ',') AS ids FROM papers WHERE n_sections > 0 GROUP BY 1")
-on_papers("worst_papers", lambda p: p.select("paper_id", F.size(R.missing(_tests())).alias("missing_count")).orderBy(F.desc("missing_count"), "paper_id").limit(20), f"SELECT paper_id, CAST(len({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS INT) AS missing_count FROM papers ORDER BY missing_count DESC, paper_id LIMIT 20")
-on_papers("examples_per_field", lambda p: L.rank_first(p.select("paper_id", F.explode(R.missing(_tests())).alias("field")), ["field"], [c("paper_id")], 3), f"SELECT * FROM (SELECT paper_id, field, CAST(row_number() OVER (PARTITION BY field ORDER BY paper_id) AS INT) AS rank FROM (SELECT paper_id, unnest({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS field FROM papers)) WHERE rank <= 3")
-add("topk_exploded", lambda s, d: R.top_k(table(s, d, "documents").select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")).where("word <> ''"), "word", 15), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(replace(text, chr(10), chr(32))), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 15")
-add("stats_mean_median", lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("median"), F.max("n_chars").alias("most"), F.min("n_chars").alias("least")), "SELECT lang, round(avg(n_chars), 4) AS mean, median(n_chars) AS median, max(n_chars) AS most, min(n_chars) AS least FROM documents GROUP BY lang")
+on_papers(
+    "pattern_groups", _pattern_groups,
+    f"SELECT {MISSING} AS missing, count(*) AS n, array_to_string(list_sort(list(paper_id))[1:10], ',') AS ids FROM papers WHERE n_sections > 0 "
+    f"GROUP BY 1"
+)
+on_papers(
+    "worst_papers",
+    lambda p: p.select("paper_id", F.size(R.missing(_tests())).alias("missing_count")).orderBy(F.desc("missing_count"), "paper_id").limit(20),
+    f"SELECT paper_id, CAST(len({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS INT) AS missing_count FROM papers ORDER BY "
+    f"missing_count DESC, paper_id LIMIT 20"
+)
+on_papers(
+    "examples_per_field", lambda p: L.rank_first(p.select("paper_id", F.explode(R.missing(_tests())).alias("field")), ["field"], [c("paper_id")], 3),
+    f"SELECT * FROM (SELECT paper_id, field, CAST(row_number() OVER (PARTITION BY field ORDER BY paper_id) AS INT) AS rank FROM (SELECT paper_id, "
+    f"unnest({flags([(k, f'NOT ({v})') for k, v in CRITICAL.items()])}) AS field FROM papers)) WHERE rank <= 3"
+)
+add(
+    "topk_exploded",
+    lambda s, d: R.top_k(
+        table(s, d, "documents").select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")).where("word <> ''"),
+        "word", 15
+    ),
+    "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(replace(text, chr(10), chr(32))), ' ')) AS word FROM documents) WHERE word "
+    "<> '' GROUP BY word ORDER BY n DESC, word LIMIT 15"
+)
+add(
+    "stats_mean_median",
+    lambda s, d: table(s, d, "documents").groupBy("lang").agg(
+        F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("median"), F.max("n_chars").alias("most"),
+        F.min("n_chars").alias("least")
+    ),
+    "SELECT lang, round(avg(n_chars), 4) AS mean, median(n_chars) AS median, max(n_chars) AS most, min(n_chars) AS least FROM documents GROUP BY lang"
+)
 _stage = "CASE WHEN doc_id % 19 = 0 THEN 1 WHEN doc_id % 13 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 3 ELSE 4 END"
 _reached = "SELECT stage, count_if(reached >= stage) AS papers FROM (SELECT " + _stage + " AS reached FROM papers), range(1, 5) AS r(stage) GROUP BY stage"
 
@@ -194,7 +353,11 @@ def _stages(p: DataFrame) -> DataFrame:
     return p.select(F.explode(F.sequence(F.lit(1), F.expr(_stage))).alias("stage")).groupBy("stage").agg(F.count("*").alias("papers"))
 
 
-on_papers("stage_delta", lambda p: R.stage_change(_stages(p).withColumn("field", F.lit("papers")), ["field"], "stage", "papers"), f"SELECT CAST(stage AS INT) AS stage, papers, 'papers' AS field, lag(papers) OVER (ORDER BY stage) AS before, papers - lag(papers) OVER (ORDER BY stage) AS change FROM ({_reached})")
+on_papers(
+    "stage_delta", lambda p: R.stage_change(_stages(p).withColumn("field", F.lit("papers")), ["field"], "stage", "papers"),
+    f"SELECT CAST(stage AS INT) AS stage, papers, 'papers' AS field, lag(papers) OVER (ORDER BY stage) AS before, papers - lag(papers) OVER (ORDER "
+    f"BY stage) AS change FROM ({_reached})"
+)
 
 
 def _loss(p: DataFrame) -> DataFrame:
@@ -203,11 +366,34 @@ def _loss(p: DataFrame) -> DataFrame:
     return rows.select("stage", lost.alias("lost"), level.alias("level"))
 
 
-on_papers("loss_rate", _loss, f"SELECT CAST(stage AS INT) AS stage, lost, CASE WHEN lost > 25 THEN 'severe' WHEN lost > 5 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT stage, round(100.0 * (b - papers) / b, 6) AS lost FROM (SELECT stage, papers, lag(papers) OVER (ORDER BY stage) AS b FROM ({_reached})) WHERE b IS NOT NULL)")
-on_papers("retention", lambda p: p.agg(R.retention(F.count_if(F.expr(_stage) == 4), F.count("*")).alias("retention")), f"SELECT round(100.0 * count_if(({_stage}) = 4) / greatest(count(*), 1), 6) AS retention FROM papers")
-on_papers("domain_hist", lambda p: R.top_k(p.where("arxiv <> ''").select(F.split_part("arxiv", F.lit("."), F.lit(1)).alias("domain")), "domain", 10), "SELECT split_part(arxiv, '.', 1) AS domain, count(*) AS n FROM papers WHERE arxiv <> '' GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
-on_papers("group_year_source_prefix", lambda p: p.groupingSets([["year"], ["venue"]], "year", "venue").agg(F.count("*").alias("n")), "SELECT year, venue, count(*) AS n FROM papers GROUP BY GROUPING SETS ((year), (venue))")
-on_papers("totals", lambda p: p.agg(F.sum("chars").alias("chars"), F.round(F.avg("num_references"), 6).alias("mean_references"), F.count_if((c("title") != "") & (c("doi") != "") & F.coalesce(c("abstract") != "", F.lit(False))).alias("complete"), F.count_if((c("n_sections") > 0) & (c("num_references") > 0)).alias("full_text_with_references")), "SELECT CAST(sum(chars) AS BIGINT) AS chars, round(avg(num_references), 6) AS mean_references, count_if(title <> '' AND doi <> '' AND coalesce(abstract, '') <> '') AS complete, count_if(n_sections > 0 AND num_references > 0) AS full_text_with_references FROM papers")
+on_papers(
+    "loss_rate", _loss,
+    f"SELECT CAST(stage AS INT) AS stage, lost, CASE WHEN lost > 25 THEN 'severe' WHEN lost > 5 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT "
+    f"stage, round(100.0 * (b - papers) / b, 6) AS lost FROM (SELECT stage, papers, lag(papers) OVER (ORDER BY stage) AS b FROM ({_reached})) WHERE "
+    f"b IS NOT NULL)"
+)
+on_papers(
+    "retention", lambda p: p.agg(R.retention(F.count_if(F.expr(_stage) == 4), F.count("*")).alias("retention")),
+    f"SELECT round(100.0 * count_if(({_stage}) = 4) / greatest(count(*), 1), 6) AS retention FROM papers"
+)
+on_papers(
+    "domain_hist", lambda p: R.top_k(p.where("arxiv <> ''").select(F.split_part("arxiv", F.lit("."), F.lit(1)).alias("domain")), "domain", 10),
+    "SELECT split_part(arxiv, '.', 1) AS domain, count(*) AS n FROM papers WHERE arxiv <> '' GROUP BY 1 ORDER BY n DESC, domain LIMIT 10"
+)
+on_papers(
+    "group_year_source_prefix", lambda p: p.groupingSets([["year"], ["venue"]], "year", "venue").agg(F.count("*").alias("n")),
+    "SELECT year, venue, count(*) AS n FROM papers GROUP BY GROUPING SETS ((year), (venue))"
+)
+on_papers(
+    "totals",
+    lambda p: p.agg(
+        F.sum("chars").alias("chars"), F.round(F.avg("num_references"), 6).alias("mean_references"),
+        F.count_if((c("title") != "") & (c("doi") != "") & F.coalesce(c("abstract") != "", F.lit(False))).alias("complete"),
+        F.count_if((c("n_sections") > 0) & (c("num_references") > 0)).alias("full_text_with_references")
+    ),
+    "SELECT CAST(sum(chars) AS BIGINT) AS chars, round(avg(num_references), 6) AS mean_references, count_if(title <> '' AND doi <> '' AND "
+    "coalesce(abstract, '') <> '') AS complete, count_if(n_sections > 0 AND num_references > 0) AS full_text_with_references FROM papers"
+)
 
 # --- linkage --------------------------------------------------------------------------------------------------------
 KEY = rx(st("lower(doi)"), "https?://doi.org/")
@@ -215,42 +401,158 @@ LAST = f"last AS (SELECT {KEY} AS k, max(item_id) AS item_id FROM items WHERE do
 
 
 def linked(name: str, run: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None) -> None:
-    add(name, lambda s, d: run(papers(s, d).withColumn("doi_key", T.doi_key(c("doi"))).withColumn("authors", F.array("author")), items(s, d).withColumn("doi_key", T.doi_key(c("doi"))).withColumn("authors", F.array("author"))), sql and f"WITH {PAPERS_SQL}, {ITEMS_SQL}, {LAST} {sql}")
-
-
-linked("link_doi", lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_").select("paper_id", "ref_item_id"), f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN last ON {KEY.replace('doi,', 'papers.doi,').replace('lower(doi)', 'lower(papers.doi)')} = last.k")
-linked("link_title_prefix", lambda p, i: L.link_equal(p.withColumn("tk", T.title_key(c("title"))), i.withColumn("tk", T.title_key(c("title"))).where(T.present(c("tk"))).select("tk", "item_id"), "tk", "item_id", "ref_").select("paper_id", "ref_item_id"), f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN bytitle ON substr({st('lower(papers.title)')}, 1, 50) = bytitle.k")
+    add(
+        name,
+        lambda s, d: run(
+            papers(s, d).withColumn("doi_key", T.doi_key(c("doi"))).withColumn("authors", F.array("author")),
+            items(s, d).withColumn("doi_key", T.doi_key(c("doi"))).withColumn("authors", F.array("author"))
+        ),
+        sql and f"WITH {PAPERS_SQL}, {ITEMS_SQL}, {LAST} {sql}"
+    )
+
+
+linked(
+    "link_doi",
+    lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_").select("paper_id", "ref_item_id"),
+    f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN last ON "
+    f"{KEY.replace('doi,', 'papers.doi,').replace('lower(doi)', 'lower(papers.doi)')} = last.k"
+)
+linked(
+    "link_title_prefix",
+    lambda p, i: L.link_equal(
+        p.withColumn("tk", T.title_key(c("title"))), i.withColumn("tk", T.title_key(c("title"))).where(T.present(c("tk"))).select("tk", "item_id"),
+        "tk", "item_id", "ref_"
+    ).select("paper_id", "ref_item_id"),
+    f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN bytitle ON substr({st('lower(papers.title)')}, 1, 50) = bytitle.k"
+)
 _both = f"FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN bytitle ON substr({st('lower(p.title)')}, 1, 50) = bytitle.k"
-linked("link_doi_then_title", L.link_key_then_title, f"SELECT paper_id, coalesce(last.item_id, bytitle.item_id) AS item_id, CASE WHEN last.item_id IS NOT NULL THEN 'doi' WHEN bytitle.item_id IS NOT NULL THEN 'title' END AS how {_both}")
+linked(
+    "link_doi_then_title", L.link_key_then_title,
+    f"SELECT paper_id, coalesce(last.item_id, bytitle.item_id) AS item_id, CASE WHEN last.item_id IS NOT NULL THEN 'doi' WHEN bytitle.item_id IS "
+    f"NOT NULL THEN 'title' END AS how {_both}"
+)
 # Every paper meets every item: no block, so that a lost link would show.
 PAIRS = "pairs AS (SELECT p.paper_id, p.title, p.author, p.year, i.item_id, i.title AS item_title, i.author AS item_author FROM papers p CROSS JOIN items i WHERE p.title <> '' AND i.title <> '')"
 
 
-linked("link_contains", L.link_contains, f", {PAIRS} SELECT paper_id, min(item_id) AS item_id FROM pairs WHERE length(title) > 20 AND (contains(lower(item_title), substr(lower(title), 1, 50)) OR contains(lower(title), substr(lower(item_title), 1, 50))) GROUP BY paper_id")
+linked(
+    "link_contains", L.link_contains,
+    f", {PAIRS} SELECT paper_id, min(item_id) AS item_id FROM pairs WHERE length(title) > 20 AND (contains(lower(item_title), substr(lower(title), "
+    f"1, 50)) OR contains(lower(title), substr(lower(item_title), 1, 50))) GROUP BY paper_id"
+)
 _tok = lambda e: f"list_filter(list_distinct(regexp_split_to_array(lower({e}), '\\s+')), x -> x <> '')"
 _nostop = lambda e: f"list_filter({_tok(e)}, x -> NOT list_contains({list(T.STOP_WORDS)!r}, x))"
 _jac = lambda a, b: f"(len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE))"
 _top = "SELECT paper_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, item_id) AS r FROM scored) WHERE r = 1"
-linked("link_jaccard_stop", L.link_jaccard_stop, f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title FROM papers)) x ON x.title = pairs.title JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = item_title), scored AS (SELECT * FROM (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(lower(title) = lower(item_title) AS INT) ELSE {_jac('a', 'b')} END, 6) AS score FROM words) WHERE score >= 0.85) {_top}")
-linked("link_jaccard_author", L.link_jaccard_author, f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM papers)) x ON x.title = pairs.title JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = item_title), scored AS (SELECT *, round(o + CASE WHEN contains(lower(author), lower(item_author)) OR contains(lower(item_author), lower(author)) THEN 0.2 ELSE 0 END, 6) AS score FROM (SELECT *, {_jac('a', 'b')} AS o FROM words) WHERE o >= 0.7) {_top}")
+linked(
+    "link_jaccard_stop", L.link_jaccard_stop,
+    f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title "
+    f"FROM papers)) x ON x.title = pairs.title JOIN (SELECT title, {_nostop('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = "
+    f"item_title), scored AS (SELECT * FROM (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(lower(title) = lower(item_title) AS INT) "
+    f"ELSE {_jac('a', 'b')} END, 6) AS score FROM words) WHERE score >= 0.85) {_top}"
+)
+linked(
+    "link_jaccard_author", L.link_jaccard_author,
+    f", {PAIRS}, words AS (SELECT pairs.*, x.w AS a, y.w AS b FROM pairs JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM "
+    f"papers)) x ON x.title = pairs.title JOIN (SELECT title, {_tok('title')} AS w FROM (SELECT DISTINCT title FROM items)) y ON y.title = "
+    f"item_title), scored AS (SELECT *, round(o + CASE WHEN contains(lower(author), lower(item_author)) OR contains(lower(item_author), "
+    f"lower(author)) THEN 0.2 ELSE 0 END, 6) AS score FROM (SELECT *, {_jac('a', 'b')} AS o FROM words) WHERE o >= 0.7) {_top}"
+)
 linked("link_seqratio", L.link_seqratio, None)
-linked("link_multi_key", lambda p, i: p.join(i.select(F.explode(F.array(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title")))))).alias("k"), "item_id").where("k IS NOT NULL").groupBy("k").agg(F.max("item_id").alias("item_id")), F.coalesce(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title"))))) == c("k"), "left").select("paper_id", "item_id"), f"SELECT paper_id, CASE WHEN p.doi <> '' THEN last.item_id ELSE bytitle.item_id END AS item_id {_both}")
-on_papers("identifier_resolver", lambda p: p.select("paper_id", F.coalesce(T.doi_shared(c("doi")), T.arxiv_id(c("arxiv")), F.nullif(T.title_key(c("title")), F.lit(""))).alias("best")), f"SELECT paper_id, coalesce({SHARED}, CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END, nullif(substr({st('lower(title)')}, 1, 50), '')) AS best FROM papers")
-add("skip_anti", lambda s, d: L.not_done(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-add("skip_markers", lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality").distinct(), "doc_id", "left").groupBy(F.coalesce(c("quality").cast("string"), F.lit("none")).alias("status")).agg(F.count("*").alias("n")), "SELECT coalesce(CAST(quality AS STRING), 'none') AS status, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY 1")
-linked("failures_anti", lambda p, i: p.where(T.present(c("doi"))).join(i.select("doi_key").distinct(), "doi_key", "left_anti").groupBy("venue").agg(F.count("*").alias("n")), f"SELECT venue, count(*) AS n FROM papers WHERE doi <> '' AND {KEY} NOT IN (SELECT {KEY} FROM items) GROUP BY venue")
-on_papers("stage_lineage", lambda p: p.select("paper_id", F.explode(F.sequence(F.lit(1), F.expr(_stage))).alias("stage")).groupBy("paper_id").pivot("stage", [1, 2, 3, 4]).agg(F.lit(1)).select("paper_id", *(F.coalesce(c(str(k)), F.lit(0)).alias(f"s{k}") for k in (1, 2, 3, 4))), "SELECT paper_id, " + ", ".join(f"CAST(({_stage}) >= {k} AS INT) AS s{k}" for k in (1, 2, 3, 4)) + " FROM papers")
-on_papers("skip_logic", lambda p: p.select("paper_id", T.first_case([((c("doc_id") % 4 == 0), "skip"), (T.arxiv_id(c("arxiv")).isNotNull(), "by_id"), (c("title") != "", "by_title")], "no_key").alias("status")), f"SELECT paper_id, CASE WHEN doc_id % 4 = 0 THEN 'skip' WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, '^[a-z-]+/[0-9]{{7}}$') THEN 'by_id' WHEN title <> '' THEN 'by_title' ELSE 'no_key' END AS status FROM papers")
+linked(
+    "link_multi_key",
+    lambda p, i: p.join(
+        i.select(
+            F.explode(F.array(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title")))))).alias("k"),
+            "item_id"
+        ).where("k IS NOT NULL").groupBy("k").agg(F.max("item_id").alias("item_id")),
+        F.coalesce(F.when(c("doi") != "", F.concat(F.lit("d:"), "doi_key")), F.when(c("title") != "", F.concat(F.lit("t:"), T.title_key(c("title"))))) == c("k"),
+        "left"
+    ).select("paper_id", "item_id"),
+    f"SELECT paper_id, CASE WHEN p.doi <> '' THEN last.item_id ELSE bytitle.item_id END AS item_id {_both}"
+)
+on_papers(
+    "identifier_resolver",
+    lambda p: p.select("paper_id", F.coalesce(T.doi_shared(c("doi")), T.arxiv_id(c("arxiv")), F.nullif(T.title_key(c("title")), F.lit(""))).alias("best")),
+    f"SELECT paper_id, coalesce({SHARED}, CASE WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, "
+    f"'^[a-z-]+/[0-9]{{7}}$') THEN {_ax} END, nullif(substr({st('lower(title)')}, 1, 50), '')) AS best FROM papers"
+)
+add(
+    "skip_anti", lambda s, d: L.not_done(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "lang"),
+    "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+)
+add(
+    "skip_markers",
+    lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality").distinct(), "doc_id", "left").groupBy(F.coalesce(c("quality").cast("string"), F.lit("none")).alias("status")).agg(F.count("*").alias("n")),
+    "SELECT coalesce(CAST(quality AS STRING), 'none') AS status, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM "
+    "labels) USING (doc_id) GROUP BY 1"
+)
+linked(
+    "failures_anti",
+    lambda p, i: p.where(T.present(c("doi"))).join(i.select("doi_key").distinct(), "doi_key", "left_anti").groupBy("venue").agg(F.count("*").alias("n")),
+    f"SELECT venue, count(*) AS n FROM papers WHERE doi <> '' AND {KEY} NOT IN (SELECT {KEY} FROM items) GROUP BY venue"
+)
+on_papers(
+    "stage_lineage",
+    lambda p: p.select("paper_id", F.explode(F.sequence(F.lit(1), F.expr(_stage))).alias("stage")).groupBy("paper_id").pivot("stage", [1, 2, 3, 4]).agg(F.lit(1)).select("paper_id", *(F.coalesce(c(str(k)), F.lit(0)).alias(f"s{k}") for k in (1, 2, 3, 4))),
+    "SELECT paper_id, " + ", ".join(f"CAST(({_stage}) >= {k} AS INT) AS s{k}" for k in (1, 2, 3, 4)) + " FROM papers"
+)
+on_papers(
+    "skip_logic",
+    lambda p: p.select(
+        "paper_id",
+        T.first_case([((c("doc_id") % 4 == 0), "skip"), (T.arxiv_id(c("arxiv")).isNotNull(), "by_id"), (c("title") != "", "by_title")], "no_key").alias("status")
+    ),
+    f"SELECT paper_id, CASE WHEN doc_id % 4 = 0 THEN 'skip' WHEN regexp_matches({_ax}, '^[0-9]{{4}}\\.[0-9]{{4,5}}$') OR regexp_matches({_ax}, "
+    f"'^[a-z-]+/[0-9]{{7}}$') THEN 'by_id' WHEN title <> '' THEN 'by_title' ELSE 'no_key' END AS status FROM papers"
+)
 _fill = {"title": "ref_title", "year": "ref_year", "venue": "ref_venue", "abstract": "ref_abstract"}
 _source = lambda i: i.where(T.present(c("doi_key"))).select("doi_key", "item_id", "title", "year", "venue", "abstract")
-LINKED = f"filled AS (SELECT p.paper_id, " + ", ".join(f"CASE WHEN coalesce(p.{f}, '') = '' AND coalesce(i.{f}, '') <> '' THEN i.{f} ELSE p.{f} END AS {f}, coalesce(p.{f}, '') = '' AND coalesce(i.{f}, '') <> '' AS n_{f}" for f in _fill) + f" FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN items i ON i.item_id = last.item_id)"
-linked("fill_missing", lambda p, i: L.fill_missing(L.link_equal(p, _source(i), "doi_key", "item_id", "ref_"), _fill).select("paper_id", *_fill, F.array_join("filled", ",").alias("filled")), f", {LINKED} SELECT paper_id, title, year, venue, abstract, array_to_string({flags([(f, f'n_{f}') for f in _fill])}, ',') AS filled FROM filled")
-linked("fill_missing_count", lambda p, i: L.fill_missing(L.link_equal(p, _source(i), "doi_key", "item_id", "ref_"), _fill).groupBy("n_filled").agg(F.count("*").alias("n")), f", {LINKED} SELECT " + " + ".join(f"CAST(n_{f} AS INT)" for f in _fill) + " AS n_filled, count(*) AS n FROM filled GROUP BY 1")
-on_papers("year_repair", lambda p: p.select("paper_id", F.coalesce(c("year").try_cast("int"), T.year_from_date(c("date"))).alias("year"), F.when(c("year").try_cast("int").isNotNull(), "own").when(T.year_from_date(c("date")).isNotNull(), "date").alias("year_source")), f"SELECT paper_id, coalesce(try_cast(year AS INT), d) AS year, CASE WHEN try_cast(year AS INT) IS NOT NULL THEN 'own' WHEN d IS NOT NULL THEN 'date' END AS year_source FROM (SELECT *, coalesce({_yr("regexp_extract(date, '^([0-9]{4})', 1)")}, {_yr(r"regexp_extract(date, '\b(19[0-9]{2}|20[0-9]{2})\b', 1)")}) AS d FROM papers)")
-linked("status_markers", lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_").groupBy(T.first_case([(~T.present(c("doi")), "no_key"), (c("ref_item_id").isNull(), "not_found")], "found").alias("status")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN p.doi = '' THEN 'no_key' WHEN last.item_id IS NULL THEN 'not_found' ELSE 'found' END AS status, count(*) AS n {_both} GROUP BY 1")
-on_papers("dedup_doi_last", lambda p: L.last_of_each(p.where(T.present(c("doi"))).select("doc_id", "doi", "title"), "doi", "doc_id"), "SELECT doc_id, doi, title FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY doc_id DESC) AS r FROM papers WHERE doi <> '') WHERE r = 1")
-add("dedup_exact_text", lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"), "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
-on_papers("content_fingerprint", lambda p: p.groupBy(F.sha2(F.concat_ws("|", "title", "doi"), 256).alias("hash")).agg(F.count("*").alias("n")), "SELECT sha256(title || '|' || doi) AS hash, count(*) AS n FROM papers GROUP BY 1")
+LINKED = f"filled AS (SELECT p.paper_id, " + ", ".join(
+    f"CASE WHEN coalesce(p.{f}, '') = '' AND coalesce(i.{f}, '') <> '' THEN i.{f} ELSE p.{f} END AS {f}, coalesce(p.{f}, '') = '' AND "
+    f"coalesce(i.{f}, '') <> '' AS n_{f}"
+    for f in _fill
+) + f" FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN items i ON i.item_id = last.item_id)"
+linked(
+    "fill_missing",
+    lambda p, i: L.fill_missing(L.link_equal(p, _source(i), "doi_key", "item_id", "ref_"), _fill).select("paper_id", *_fill, F.array_join("filled", ",").alias("filled")),
+    f", {LINKED} SELECT paper_id, title, year, venue, abstract, array_to_string({flags([(f, f'n_{f}') for f in _fill])}, ',') AS filled FROM filled"
+)
+linked(
+    "fill_missing_count",
+    lambda p, i: L.fill_missing(L.link_equal(p, _source(i), "doi_key", "item_id", "ref_"), _fill).groupBy("n_filled").agg(F.count("*").alias("n")),
+    f", {LINKED} SELECT " + " + ".join(f"CAST(n_{f} AS INT)" for f in _fill) + " AS n_filled, count(*) AS n FROM filled GROUP BY 1"
+)
+on_papers(
+    "year_repair",
+    lambda p: p.select(
+        "paper_id", F.coalesce(c("year").try_cast("int"), T.year_from_date(c("date"))).alias("year"),
+        F.when(c("year").try_cast("int").isNotNull(), "own").when(T.year_from_date(c("date")).isNotNull(), "date").alias("year_source")
+    ),
+    f"SELECT paper_id, coalesce(try_cast(year AS INT), d) AS year, CASE WHEN try_cast(year AS INT) IS NOT NULL THEN 'own' WHEN d IS NOT NULL THEN "
+    f"'date' END AS year_source FROM (SELECT *, coalesce({_yr("regexp_extract(date, '^([0-9]{4})', 1)")}, "
+    f"{_yr(r"regexp_extract(date, '\b(19[0-9]{2}|20[0-9]{2})\b', 1)")}) AS d FROM papers)"
+)
+linked(
+    "status_markers",
+    lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_").groupBy(T.first_case([(~T.present(c("doi")), "no_key"), (c("ref_item_id").isNull(), "not_found")], "found").alias("status")).agg(F.count("*").alias("n")),
+    f"SELECT CASE WHEN p.doi = '' THEN 'no_key' WHEN last.item_id IS NULL THEN 'not_found' ELSE 'found' END AS status, count(*) AS n {_both} GROUP "
+    f"BY 1"
+)
+on_papers(
+    "dedup_doi_last", lambda p: L.last_of_each(p.where(T.present(c("doi"))).select("doc_id", "doi", "title"), "doi", "doc_id"),
+    "SELECT doc_id, doi, title FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY doc_id DESC) AS r FROM papers WHERE doi <> '') WHERE r "
+    "= 1"
+)
+add(
+    "dedup_exact_text",
+    lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"),
+    "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text"
+)
+on_papers(
+    "content_fingerprint", lambda p: p.groupBy(F.sha2(F.concat_ws("|", "title", "doi"), 256).alias("hash")).agg(F.count("*").alias("n")),
+    "SELECT sha256(title || '|' || doi) AS hash, count(*) AS n FROM papers GROUP BY 1"
+)
 
 # --- sections -------------------------------------------------------------------------------------------------------
 TYPE = lambda e, t=S.NARROW: case([(anyof(e, words), lit(k)) for k, words in t])
@@ -258,23 +560,45 @@ _merge = lambda t: f"SELECT paper_id, type, string_agg(content, chr(10) || chr(1
 OPTIMIZED = _merge(f"SELECT *, {TYPE('lower(header)')} AS type FROM sections")
 BASELINE = f"SELECT paper_id, type, arg_min(content, pos) AS text FROM (SELECT *, {TYPE('header')} AS type FROM sections) WHERE type IS NOT NULL GROUP BY paper_id, type"
 _numbered = [(f"regexp_matches(lower(header), '{p}')", lit(k)) for p, k in S.NUMBERED]
-_place = [("i = 1 AND length(header) > 3", "'introduction'"), ("i = n AND (contains(lower(header), 'future') OR contains(lower(header), 'summary'))", "'conclusion'")]
-EXPERIMENTAL = _merge(f"SELECT *, coalesce({TYPE('lower(header)')}, {case([*_numbered, *_place])}) AS type FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM sections)")
+_place = [
+    ("i = 1 AND length(header) > 3", "'introduction'"),
+    ("i = n AND (contains(lower(header), 'future') OR contains(lower(header), 'summary'))", "'conclusion'")
+]
+EXPERIMENTAL = _merge(
+    f"SELECT *, coalesce({TYPE('lower(header)')}, {case([*_numbered, *_place])}) AS type FROM (SELECT *, row_number() OVER (PARTITION BY paper_id "
+    f"ORDER BY pos) AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM sections)"
+)
 
 
 def on_sections(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
     add(name, lambda s, d: run(sections(s, d)), sql and f"WITH {SECTIONS_SQL} {sql}")
 
 
-on_sections("section_type", lambda r: r.groupBy(S.section_type(F.lower("header")).alias("type")).agg(F.count("*").alias("n")), f"SELECT {TYPE('lower(header)')} AS type, count(*) AS n FROM sections GROUP BY 1")
+on_sections(
+    "section_type", lambda r: r.groupBy(S.section_type(F.lower("header")).alias("type")).agg(F.count("*").alias("n")),
+    f"SELECT {TYPE('lower(header)')} AS type, count(*) AS n FROM sections GROUP BY 1"
+)
 on_sections("sections_optimized", S.sections_optimized, OPTIMIZED)
 on_sections("sections_baseline", S.sections_baseline, BASELINE)
 on_sections("sections_experimental", S.sections_experimental, EXPERIMENTAL)
 on_sections("sections_wide", S.sections_wide, _merge(f"SELECT *, coalesce({TYPE(_hd, S.WIDE)}, 'other') AS type FROM sections"))
-on_sections("strategy_compare", S.compare, " UNION ALL ".join(f"SELECT type, count(*) AS papers, CAST(sum(length(text)) AS BIGINT) AS chars, '{n}' AS strategy FROM ({q}) GROUP BY type" for n, q in (("baseline", BASELINE), ("v5_optimized", OPTIMIZED), ("experimental", EXPERIMENTAL))))
+on_sections(
+    "strategy_compare", S.compare,
+    " UNION ALL ".join(
+        f"SELECT type, count(*) AS papers, CAST(sum(length(text)) AS BIGINT) AS chars, '{n}' AS strategy FROM ({q}) GROUP BY type" for n,
+        q in (("baseline", BASELINE), ("v5_optimized", OPTIMIZED), ("experimental", EXPERIMENTAL))
+    )
+)
 STAT = "(" + " + ".join(f"CAST(regexp_matches(lower(substr(text, 1, 2000)), '{p}') AS INT)" for p in E.STATISTICAL) + ") >= 2"
-on_sections("stat_content", lambda r: S.sections_optimized(r).select("paper_id", "type", E.statistical(c("text")).alias("statistical")), f"SELECT paper_id, type, {STAT} AS statistical FROM ({OPTIMIZED})")
-on_sections("hidden_results", lambda r: S.hidden_results(S.sections_optimized(r)), f", o AS ({OPTIMIZED}) SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY type) AS hidden FROM o WHERE paper_id NOT IN (SELECT paper_id FROM o WHERE type = 'results' AND length(text) > 100) AND type NOT IN ('methods', 'introduction') AND {STAT} GROUP BY paper_id")
+on_sections(
+    "stat_content", lambda r: S.sections_optimized(r).select("paper_id", "type", E.statistical(c("text")).alias("statistical")),
+    f"SELECT paper_id, type, {STAT} AS statistical FROM ({OPTIMIZED})"
+)
+on_sections(
+    "hidden_results", lambda r: S.hidden_results(S.sections_optimized(r)),
+    f", o AS ({OPTIMIZED}) SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY type) AS hidden FROM o WHERE paper_id NOT IN (SELECT "
+    f"paper_id FROM o WHERE type = 'results' AND length(text) > 100) AND type NOT IN ('methods', 'introduction') AND {STAT} GROUP BY paper_id"
+)
 
 
 def _mapped(s: SparkSession, d: str) -> DataFrame:
@@ -285,8 +609,19 @@ PIVOT = f"m AS (SELECT paper_id, CAST(sum(length(text)) AS BIGINT) AS total, " +
 WITH_MAP = f"WITH {PAPERS_SQL}, {SECTIONS_SQL}, {PIVOT}"
 _band = lambda *b: case([(f"total > {n}", str(v)) for n, v in b], "0")
 add("abstract_recovery", lambda s, d: _mapped(s, d).select("paper_id", S.abstract_recovered(c("sections"), c("title")).alias("abstract")))
-add("completeness", lambda s, d: _mapped(s, d).select("paper_id", S.completeness(c("abstract"), c("sections")).alias("score")), f"{WITH_MAP} SELECT paper_id, CASE WHEN length(abstract) > 100 THEN 20 WHEN length(abstract) > 50 THEN 10 ELSE 0 END + " + " + ".join(f"CASE WHEN length({k}) > 200 THEN {p} ELSE 0 END" for k, p in (("introduction", 15), ("methods", 20), ("results", 15), ("discussion", 10))) + f" + {_band((10000, 20), (5000, 15), (2000, 10), (1000, 5))} AS score FROM m JOIN papers USING (paper_id)")
-add("extraction_quality", lambda s, d: _mapped(s, d).select("paper_id", F.round(S.extraction_quality(c("abstract"), c("sections")), 6).alias("score")), f"{WITH_MAP} SELECT paper_id, round(least(CAST(1.0 AS DOUBLE), CASE WHEN abstract <> '' THEN 0.3 ELSE 0 END + " + " + ".join(f"CASE WHEN length({k}) > 100 THEN 0.125 ELSE 0 END" for k in ("introduction", "methods", "results", "discussion")) + f" + {_band((10000, 0.2), (5000, 0.1), (2000, 0.05))}), 6) AS score FROM m JOIN papers USING (paper_id)")
+add(
+    "completeness", lambda s, d: _mapped(s, d).select("paper_id", S.completeness(c("abstract"), c("sections")).alias("score")),
+    f"{WITH_MAP} SELECT paper_id, CASE WHEN length(abstract) > 100 THEN 20 WHEN length(abstract) > 50 THEN 10 ELSE 0 END + "
+    + " + ".join(f"CASE WHEN length({k}) > 200 THEN {p} ELSE 0 END" for k, p in (("introduction", 15), ("methods", 20), ("results", 15), ("discussion", 10)))
+    + f" + {_band((10000, 20), (5000, 15), (2000, 10), (1000, 5))} AS score FROM m JOIN papers USING (paper_id)"
+)
+add(
+    "extraction_quality",
+    lambda s, d: _mapped(s, d).select("paper_id", F.round(S.extraction_quality(c("abstract"), c("sections")), 6).alias("score")),
+    f"{WITH_MAP} SELECT paper_id, round(least(CAST(1.0 AS DOUBLE), CASE WHEN abstract <> '' THEN 0.3 ELSE 0 END + "
+    + " + ".join(f"CASE WHEN length({k}) > 100 THEN 0.125 ELSE 0 END" for k in ("introduction", "methods", "results", "discussion"))
+    + f" + {_band((10000, 0.2), (5000, 0.1), (2000, 0.05))}), 6) AS score FROM m JOIN papers USING (paper_id)"
+)
 
 # --- entities -------------------------------------------------------------------------------------------------------
 join = lambda x: F.array_join(x.cast("array<string>") if not isinstance(x, str) else x, ",")
@@ -294,29 +629,79 @@ ALL = lambda patterns, g=1, ci="(?i)": "flatten([" + ", ".join(f"regexp_extract_
 text_of = lambda e: f"array_to_string({e}, ',')"
 NUM = f"list_filter(list_transform({ALL(E.SAMPLE_SIZE)}, x -> try_cast(x AS BIGINT)), x -> x BETWEEN 10 AND 1000000)"
 scalar("entities_sample_sizes", lambda: join(E.sample_sizes(c("body"))), text_of(f"list_reverse_sort(list_distinct({NUM}))"))
-on_papers("entities_p_values", lambda p: p.select("paper_id", F.size(E.p_values(c("body"))).alias("n"), F.array_min(E.p_values(c("body"))).alias("least")), f"SELECT paper_id, CAST(len(list_distinct(v)) AS INT) AS n, list_min(v) AS least FROM (SELECT paper_id, list_transform({ALL(E.P_VALUE)}, x -> CAST(x AS DOUBLE)) AS v FROM papers)")
-on_papers("entities_effects", lambda p: p.select("paper_id", join(E.intervals(c("body"))).alias("intervals"), F.get(E.ratios(c("body"), "OR"), F.lit(0)).alias("odds"), F.get(E.ratios(c("body"), "HR"), F.lit(0)).alias("hazard")), f"SELECT paper_id, {text_of(f'list_sort(list_distinct({ALL(E.INTERVAL)}))')} AS intervals, CAST({ALL((r'OR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS odds, CAST({ALL((r'HR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS hazard FROM papers")
-scalar("entities_software", lambda: join(E.software(c("body"))), text_of("list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, '(?i){p}') THEN trim('{n} ' || coalesce(regexp_extract_all(body, '(?i){p}', {E.version_group(p)})[1], '')) END" for n, p in E.SOFTWARE) + "], x -> x IS NOT NULL)"))
+on_papers(
+    "entities_p_values", lambda p: p.select("paper_id", F.size(E.p_values(c("body"))).alias("n"), F.array_min(E.p_values(c("body"))).alias("least")),
+    f"SELECT paper_id, CAST(len(list_distinct(v)) AS INT) AS n, list_min(v) AS least FROM (SELECT paper_id, list_transform({ALL(E.P_VALUE)}, x -> "
+    f"CAST(x AS DOUBLE)) AS v FROM papers)"
+)
+on_papers(
+    "entities_effects",
+    lambda p: p.select(
+        "paper_id", join(E.intervals(c("body"))).alias("intervals"), F.get(E.ratios(c("body"), "OR"), F.lit(0)).alias("odds"),
+        F.get(E.ratios(c("body"), "HR"), F.lit(0)).alias("hazard")
+    ),
+    f"SELECT paper_id, {text_of(f'list_sort(list_distinct({ALL(E.INTERVAL)}))')} AS intervals, CAST({ALL((r'OR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS "
+    f"DOUBLE) AS odds, CAST({ALL((r'HR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS hazard FROM papers"
+)
+scalar(
+    "entities_software", lambda: join(E.software(c("body"))),
+    text_of(
+        "list_filter(["
+        + ", ".join(
+            f"CASE WHEN regexp_matches(body, '(?i){p}') THEN trim('{n} ' || coalesce(regexp_extract_all(body, '(?i){p}', {E.version_group(p)})[1], "
+            f"'')) END"
+            for n,
+            p in E.SOFTWARE
+        )
+        + "], x -> x IS NOT NULL)"
+    )
+)
 NAMED = lambda names: text_of("list_filter([" + ", ".join(f"CASE WHEN contains(lower(body), '{n.lower()}') THEN '{n}' END" for n in names) + "], x -> x IS NOT NULL)")
 scalar("entities_datasets", lambda: join(E.named(c("body"), E.DATASETS)), NAMED(E.DATASETS))
 scalar("entities_diseases", lambda: join(E.named(c("body"), E.DISEASES)), NAMED(E.DISEASES))
 _said = "(contains(lower(body), 'data availability') OR contains(lower(body), 'data sharing'))"
-on_papers("entities_availability", lambda p: p.select("paper_id", E.availability(c("body")).alias("a")).select("paper_id", "a.*"), f"SELECT paper_id, {_said} AS has_statement, {_said} AND contains(lower(body), 'available') AND NOT contains(lower(body), 'request') AS is_available, CASE WHEN {_said} THEN {case([(f"contains(lower(body), '{r}')", lit(r)) for r in E.REPOSITORIES])} END AS repository FROM papers")
+on_papers(
+    "entities_availability", lambda p: p.select("paper_id", E.availability(c("body")).alias("a")).select("paper_id", "a.*"),
+    f"SELECT paper_id, {_said} AS has_statement, {_said} AND contains(lower(body), 'available') AND NOT contains(lower(body), 'request') AS "
+    f"is_available, CASE WHEN {_said} THEN {case([(f"contains(lower(body), '{r}')", lit(r)) for r in E.REPOSITORIES])} END AS repository FROM papers"
+)
 SORTED = lambda p, ci="(?i)": text_of(f"list_sort(list_distinct({ALL(p, 0, ci)}))")
 scalar("entities_code_urls", lambda: join(E.distinct_of(c("body"), E.CODE_URL)), SORTED(E.CODE_URL))
 scalar("entities_trials", lambda: join(E.distinct_of(c("body"), E.TRIAL, False)), SORTED(E.TRIAL, ""))
 _drug = "(?i)^.+(mab|ib|vir|tide|pril|sartan|statin|zole|cycline)$|^(aspirin|insulin|metformin|warfarin|heparin)$"
-scalar("entities_drugs", lambda: join(E.distinct_of(c("body"), E.DRUG)), text_of(f"list_sort(list_distinct(list_filter(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+'), w -> regexp_matches(w, '{_drug}'))))"))
-on_papers("entities_periods", lambda p: p.select("paper_id", E.study_duration(c("body")).alias("duration"), E.date_range(c("body")).alias("dates")), "SELECT paper_id, coalesce(" + ", ".join(f"regexp_extract_all(body, '(?i){p}', 1)[1]" for p in E.DURATION) + f") AS duration, CASE WHEN len(d) >= 2 THEN d[1] || ' - ' || d[-1] END AS dates FROM (SELECT *, regexp_extract_all(body, '{E.MONTH_YEAR}') AS d FROM papers)")
+scalar(
+    "entities_drugs", lambda: join(E.distinct_of(c("body"), E.DRUG)),
+    text_of(f"list_sort(list_distinct(list_filter(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+'), w -> regexp_matches(w, '{_drug}'))))")
+)
+on_papers(
+    "entities_periods", lambda p: p.select("paper_id", E.study_duration(c("body")).alias("duration"), E.date_range(c("body")).alias("dates")),
+    "SELECT paper_id, coalesce(" + ", ".join(f"regexp_extract_all(body, '(?i){p}', 1)[1]" for p in E.DURATION)
+    + f") AS duration, CASE WHEN len(d) >= 2 THEN d[1] || ' - ' || d[-1] END AS dates FROM (SELECT *, regexp_extract_all(body, '{E.MONTH_YEAR}') AS d "
+    f"FROM papers)"
+)
 scalar("entities_study_type", lambda: E.study_type(c("body")), case([(anyof("lower(body)", words), lit(k)) for k, words in E.STUDY_TYPES]))
-on_papers("entities_indicators", lambda p: p.select("paper_id", *(T.contains_any(F.lower("body"), w).alias(n) for n, w in (("ethics", E.ETHICS), ("interests", E.INTERESTS), ("supplement", E.SUPPLEMENT))), join(E.named(c("body"), E.GUIDELINES)).alias("guidelines")), "SELECT paper_id, " + ", ".join(f"{anyof('lower(body)', w)} AS {n}" for n, w in (("ethics", E.ETHICS), ("interests", E.INTERESTS), ("supplement", E.SUPPLEMENT))) + f", {NAMED(E.GUIDELINES)} AS guidelines FROM papers")
+on_papers(
+    "entities_indicators",
+    lambda p: p.select(
+        "paper_id",
+        *(T.contains_any(F.lower("body"), w).alias(n) for n, w in (("ethics", E.ETHICS), ("interests", E.INTERESTS), ("supplement", E.SUPPLEMENT))),
+        join(E.named(c("body"), E.GUIDELINES)).alias("guidelines")
+    ),
+    "SELECT paper_id, "
+    + ", ".join(f"{anyof('lower(body)', w)} AS {n}" for n, w in (("ethics", E.ETHICS), ("interests", E.INTERESTS), ("supplement", E.SUPPLEMENT)))
+    + f", {NAMED(E.GUIDELINES)} AS guidelines FROM papers"
+)
 
 # --- scores ---------------------------------------------------------------------------------------------------------
 def _scored(p: DataFrame) -> DataFrame:
     kind = E.study_type(c("body"))
     full = p.withColumns({
-        "study_types": F.when(c("doc_id") % 3 == 0, F.array(F.replace(F.coalesce(kind, F.lit("")), F.lit("_"), F.lit(" ")))).otherwise(F.array().cast("array<string>")), "sample_sizes": E.sample_sizes(c("body")), "p_values": E.p_values(c("body")), "intervals": E.intervals(c("body")), "effects": E.ratios(c("body"), "OR"),
-        "software": E.software(c("body")), "code": E.distinct_of(c("body"), E.CODE_URL), "data_available": E.availability(c("body"))["is_available"], "n_entities": (c("doc_id") % 30), "methods": F.when(c("doc_id") % 2 == 0, c("body")), "results": F.when(c("doc_id") % 4 == 0, F.lit("We used ANOVA.")), "introduction": F.lit(""), "discussion": F.lit("x"),
+        "study_types": F.when(c("doc_id") % 3 == 0, F.array(F.replace(F.coalesce(kind, F.lit("")), F.lit("_"), F.lit(" ")))).otherwise(F.array().cast("array<string>")),
+        "sample_sizes": E.sample_sizes(c("body")), "p_values": E.p_values(c("body")), "intervals": E.intervals(c("body")),
+        "effects": E.ratios(c("body"), "OR"),
+        "software": E.software(c("body")), "code": E.distinct_of(c("body"), E.CODE_URL), "data_available": E.availability(c("body"))["is_available"],
+        "n_entities": (c("doc_id") % 30), "methods": F.when(c("doc_id") % 2 == 0, c("body")),
+        "results": F.when(c("doc_id") % 4 == 0, F.lit("We used ANOVA.")), "introduction": F.lit(""), "discussion": F.lit("x"),
     })
     return Q.total(Q.components(full))
 
@@ -327,24 +712,63 @@ _m, _r = "CASE WHEN doc_id % 2 = 0 THEN body ELSE '' END", "CASE WHEN doc_id % 4
 _age = "(2025 - try_cast(year AS INT))"
 _rate = f"coalesce(CASE WHEN {_age} + 1 <> 0 THEN citations / CAST({_age} + 1 AS DOUBLE) END, citations)"
 SCORED = f"""scored AS (SELECT *, round({_study}, 6) AS study_type,
-round(coalesce(CASE WHEN {_max} >= 10000 THEN 1.0 WHEN {_max} >= 1000 THEN 0.8 WHEN {_max} >= 500 THEN 0.6 WHEN {_max} >= 100 THEN 0.4 WHEN {_max} >= 50 THEN 0.2 WHEN {_max} IS NOT NULL THEN 0.1 END * 15, 0), 6) AS sample_size,
+round(coalesce(CASE WHEN {_max} >= 10000 THEN 1.0 WHEN {_max} >= 1000 THEN 0.8 WHEN {_max} >= 500 THEN 0.6 WHEN {_max} >= 100 THEN 0.4 WHEN {_max} >=
+    50 THEN 0.2 WHEN {_max} IS NOT NULL THEN 0.1 END * 15, 0), 6) AS sample_size,
 CAST(5 + 5 + 3 + CASE WHEN {anyof(f"lower(({_m}) || ({_r}))", Q.TESTS)} THEN 2 ELSE 0 END AS DOUBLE) AS statistical_rigor,
-CASE WHEN venue = '' THEN 0 WHEN {anyof('lower(venue)', Q.TOP_VENUES)} THEN 15 WHEN {anyof('lower(venue)', Q.PUBLISHERS)} THEN 9 WHEN lower(venue) <> 'unknown' THEN 4.5 ELSE 0 END AS venue_quality,
-CASE WHEN {_age} IS NULL THEN 0 WHEN {_age} <= 2 THEN 10 WHEN {_age} <= 5 THEN 8 WHEN {_age} <= 10 THEN 5 WHEN {_age} <= 15 THEN 3 ELSE 1 END AS recency,
-CASE WHEN {_rate} >= 50 THEN 10 WHEN {_rate} >= 20 THEN 8 WHEN {_rate} >= 10 THEN 6 WHEN {_rate} >= 5 THEN 4 WHEN {_rate} >= 1 THEN 2 ELSE 1 END AS citations_score,
-CAST((title <> '') AS INT) + CAST(coalesce(abstract, '') <> '' AS INT) + CAST(doc_id % 2 = 0 AS INT) + CAST(doc_id % 4 = 0 AS INT) + 1 + CAST(doi <> '' AS INT) + CAST(num_references > 0 AS INT) + CASE WHEN doc_id % 30 > 20 THEN 2 WHEN doc_id % 30 > 10 THEN 1 ELSE 0 END AS completeness,
-least(5.0, CASE WHEN len({ALL(E.CODE_URL, 0)}) > 0 THEN 2.5 ELSE 0 END + CASE WHEN {_said} AND contains(lower(body), 'available') AND NOT contains(lower(body), 'request') THEN 2.5 ELSE 0 END + CASE WHEN {' OR '.join(f"regexp_matches(body, '(?i){p}')" for _, p in E.SOFTWARE)} THEN 1 ELSE 0 END
+CASE WHEN venue = '' THEN 0 WHEN {anyof('lower(venue)', Q.TOP_VENUES)} THEN 15 WHEN {anyof('lower(venue)', Q.PUBLISHERS)} THEN 9 WHEN lower(venue) <>
+    'unknown' THEN 4.5 ELSE 0 END AS venue_quality,
+CASE WHEN {_age} IS NULL THEN 0 WHEN {_age} <= 2 THEN 10 WHEN {_age} <= 5 THEN 8 WHEN {_age} <= 10 THEN 5 WHEN {_age} <= 15 THEN 3 ELSE 1 END AS
+    recency,
+CASE WHEN {_rate} >= 50 THEN 10 WHEN {_rate} >= 20 THEN 8 WHEN {_rate} >= 10 THEN 6 WHEN {_rate} >= 5 THEN 4 WHEN {_rate} >= 1 THEN 2 ELSE 1 END AS
+    citations_score,
+CAST((title <> '') AS INT) + CAST(coalesce(abstract, '') <> '' AS INT) + CAST(doc_id % 2 = 0 AS INT) + CAST(doc_id % 4 = 0 AS INT) + 1 + CAST(doi <>
+    '' AS INT) + CAST(num_references > 0 AS INT) + CASE WHEN doc_id % 30 > 20 THEN 2 WHEN doc_id % 30 > 10 THEN 1 ELSE 0 END AS completeness,
+least(5.0, CASE WHEN len({ALL(E.CODE_URL, 0)}) > 0 THEN 2.5 ELSE 0 END + CASE WHEN {_said} AND contains(lower(body), 'available') AND NOT
+    contains(lower(body), 'request') THEN 2.5 ELSE 0 END + CASE WHEN {' OR '.join(f"regexp_matches(body, '(?i){p}')" for _, p in E.SOFTWARE)} THEN 1
+    ELSE 0 END
   + CASE WHEN {anyof(f"lower(coalesce(abstract, '') || ({_m}))", ("github", "repository", "code available"))} THEN 1 ELSE 0 END) AS reproducibility
 FROM (SELECT *, {case([(anyof('lower(body)', words), lit(k)) for k, words in E.STUDY_TYPES])} AS kind FROM papers)),
-total AS (SELECT *, round(study_type + sample_size + statistical_rigor + venue_quality + recency + citations_score + completeness + reproducibility, 6) AS score FROM scored)"""
+total AS (SELECT *, round(study_type + sample_size + statistical_rigor + venue_quality + recency + citations_score + completeness + reproducibility,
+    6) AS score FROM scored)"""
 GRADE = case([(f"score >= {b}", lit(g)) for b, g in Q.GRADES], "'F'")
 _names = [k if k != "citations" else "citations_score" for k in Q.WEIGHTS]
-on_papers("quality_components", lambda p: _scored(p).select("paper_id", *(c(k).cast("double").alias(f"{k}_points") for k in Q.WEIGHTS)), f", {SCORED} SELECT paper_id, " + ", ".join(f"CAST({n} AS DOUBLE) AS {k}_points" for n, k in zip(_names, Q.WEIGHTS)) + " FROM total")
-on_papers("quality_score", lambda p: _scored(p).select("paper_id", "score", "grade"), f", {SCORED} SELECT paper_id, CAST(score AS DOUBLE) AS score, {GRADE} AS grade FROM total")
-on_papers("quality_grade_hist", lambda p: _scored(p).groupBy("grade").agg(F.count("*").alias("n")), f", {SCORED} SELECT {GRADE} AS grade, count(*) AS n FROM total GROUP BY 1")
-on_papers("strengths_weaknesses", lambda p: _scored(p).select("paper_id", F.array_join(Q.strengths(True), ",").alias("strengths"), F.array_join(Q.strengths(False), ",").alias("weaknesses")), f", {SCORED} SELECT paper_id, {text_of(flags([(Q.STRENGTHS[k][0], f'{n} >= {0.8 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS strengths, {text_of(flags([(Q.STRENGTHS[k][1], f'{n} < {0.3 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS weaknesses FROM total")
-on_papers("quality_v2", lambda p: p.select("paper_id", F.round(F.least(c("citations") / 100.0, F.lit(1.0)) * 40 + F.when(c("num_references") > 0, 10.0).otherwise(0.0) + F.least(c("chars") / 10000.0, F.lit(1.0)) * 30 + F.when(c("abstract") != "", 20.0).otherwise(0.0), 6).alias("score")), "SELECT paper_id, CAST(round(least(citations / 100.0, 1.0) * 40 + CASE WHEN num_references > 0 THEN 10 ELSE 0 END + least(chars / 10000.0, 1.0) * 30 + CASE WHEN abstract <> '' THEN 20 ELSE 0 END, 6) AS DOUBLE) AS score FROM papers")
-add("vector_topk", lambda s, d: Q.top_similar(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0"), 10), "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
+on_papers(
+    "quality_components", lambda p: _scored(p).select("paper_id", *(c(k).cast("double").alias(f"{k}_points") for k in Q.WEIGHTS)),
+    f", {SCORED} SELECT paper_id, " + ", ".join(f"CAST({n} AS DOUBLE) AS {k}_points" for n, k in zip(_names, Q.WEIGHTS)) + " FROM total"
+)
+on_papers(
+    "quality_score", lambda p: _scored(p).select("paper_id", "score", "grade"),
+    f", {SCORED} SELECT paper_id, CAST(score AS DOUBLE) AS score, {GRADE} AS grade FROM total"
+)
+on_papers(
+    "quality_grade_hist", lambda p: _scored(p).groupBy("grade").agg(F.count("*").alias("n")),
+    f", {SCORED} SELECT {GRADE} AS grade, count(*) AS n FROM total GROUP BY 1"
+)
+on_papers(
+    "strengths_weaknesses",
+    lambda p: _scored(p).select("paper_id", F.array_join(Q.strengths(True), ",").alias("strengths"), F.array_join(Q.strengths(False), ",").alias("weaknesses")),
+    f", {SCORED} SELECT paper_id, {text_of(flags([(Q.STRENGTHS[k][0], f'{n} >= {0.8 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS "
+    f"strengths, {text_of(flags([(Q.STRENGTHS[k][1], f'{n} < {0.3 * w}') for (k, w), n in zip(Q.WEIGHTS.items(), _names)]))} AS weaknesses FROM "
+    f"total"
+)
+on_papers(
+    "quality_v2",
+    lambda p: p.select(
+        "paper_id",
+        F.round(
+            F.least(c("citations") / 100.0, F.lit(1.0)) * 40 + F.when(c("num_references") > 0, 10.0).otherwise(0.0)
+            + F.least(c("chars") / 10000.0, F.lit(1.0)) * 30 + F.when(c("abstract") != "", 20.0).otherwise(0.0),
+            6
+        ).alias("score")
+    ),
+    "SELECT paper_id, CAST(round(least(citations / 100.0, 1.0) * 40 + CASE WHEN num_references > 0 THEN 10 ELSE 0 END + least(chars / 10000.0, "
+    "1.0) * 30 + CASE WHEN abstract <> '' THEN 20 ELSE 0 END, 6) AS DOUBLE) AS score FROM papers"
+)
+add(
+    "vector_topk", lambda s, d: Q.top_similar(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0"), 10),
+    "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = "
+    "0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10"
+)
 _ASKED = "the of and on it"
 
 
@@ -353,7 +777,8 @@ def _searched(p: DataFrame) -> DataFrame:
     wanted = (T.contains_any(F.lower("body"), ("python",)), T.contains_any(F.lower("body"), ("mimic",)), c("body").rlike("NCT[0-9]{8}"))
     age = F.lit(2025) - F.coalesce(c("year").try_cast("int"), F.lit(1900))
     return _scored(p).withColumns({
-        "similarity": F.round(F.coalesce(T.jaccard(T.tokens(c("title")), T.tokens(F.lit(_ASKED))), F.lit(0.0)), 6), "entity": F.round(sum((w.cast("int") for w in wanted), F.lit(0)) / 3.0, 6),
+        "similarity": F.round(F.coalesce(T.jaccard(T.tokens(c("title")), T.tokens(F.lit(_ASKED))), F.lit(0.0)), 6),
+        "entity": F.round(sum((w.cast("int") for w in wanted), F.lit(0)) / 3.0, 6),
         "quality": c("score") / 100.0, "recency_share": F.round(F.greatest(F.lit(0.0), 1 - age / 36.0), 6),
     }).drop("recency").withColumnRenamed("recency_share", "recency")
 
@@ -361,50 +786,116 @@ def _searched(p: DataFrame) -> DataFrame:
 on_papers(
     "search_rank",
     lambda p: _searched(p).select("paper_id", Q.search_rank().alias("rank")).orderBy(F.desc("rank"), "paper_id").limit(25),
-    f""", {SCORED} SELECT paper_id, round(CAST(0.4 AS DOUBLE) * similarity + CAST(0.3 AS DOUBLE) * entity + CAST(0.2 AS DOUBLE) * (CAST(score AS DOUBLE) / 100) + CAST(0.1 AS DOUBLE) * recent, 6) AS rank FROM (SELECT *, round(coalesce(CASE WHEN len(a) + len(b) > 0 THEN {_jac('a', 'b')} END, 0), 6) AS similarity,
-    round((CAST(contains(lower(body), 'python') AS INT) + CAST(contains(lower(body), 'mimic') AS INT) + CAST(regexp_matches(body, 'NCT[0-9]{{8}}') AS INT)) / CAST(3 AS DOUBLE), 6) AS entity, round(greatest(CAST(0 AS DOUBLE), 1 - (2025 - coalesce(try_cast(year AS INT), 1900)) / CAST(36 AS DOUBLE)), 6) AS recent
+    f""", {SCORED} SELECT paper_id, round(CAST(0.4 AS DOUBLE) * similarity + CAST(0.3 AS DOUBLE) * entity + CAST(0.2 AS DOUBLE) * (CAST(score AS
+    DOUBLE) / 100) + CAST(0.1 AS DOUBLE) * recent, 6) AS rank FROM (SELECT *, round(coalesce(CASE WHEN len(a) + len(b) > 0 THEN {_jac('a', 'b')} END,
+    0), 6) AS similarity,
+    round((CAST(contains(lower(body), 'python') AS INT) + CAST(contains(lower(body), 'mimic') AS INT) + CAST(regexp_matches(body, 'NCT[0-9]{{8}}') AS
+    INT)) / CAST(3 AS DOUBLE), 6) AS entity, round(greatest(CAST(0 AS DOUBLE), 1 - (2025 - coalesce(try_cast(year AS INT), 1900)) / CAST(36 AS
+    DOUBLE)), 6) AS recent
     FROM (SELECT *, {_tok('title')} AS a, {_tok(repr(_ASKED))} AS b FROM total)) ORDER BY rank DESC, paper_id LIMIT 25""",
 )
-add("gap_citation", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20), "SELECT l_partkey, count(DISTINCT l_orderkey) AS citers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2 ORDER BY citers DESC, l_partkey LIMIT 20")
-add("gap_author", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works")).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti").orderBy(F.desc("works"), "o_custkey").limit(10), "SELECT o_custkey, count(*) AS works FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey ORDER BY works DESC, o_custkey LIMIT 10")
-on_papers("export_citations", lambda p: p.select("paper_id", *(x.alias(n) for n, x in zip(("bib", "ris", "md"), records.citation(c("paper_id"), c("title"), F.array("author"), F.coalesce("year", F.lit("")), c("venue"), c("doi"))))).select("paper_id", F.md5("bib").alias("bib"), "md"))
+add(
+    "gap_citation",
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20),
+    "SELECT l_partkey, count(DISTINCT l_orderkey) AS citers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = "
+    "0) GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2 ORDER BY citers DESC, l_partkey LIMIT 20"
+)
+add(
+    "gap_author",
+    lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works")).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti").orderBy(F.desc("works"), "o_custkey").limit(10),
+    "SELECT o_custkey, count(*) AS works FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP "
+    "BY o_custkey ORDER BY works DESC, o_custkey LIMIT 10"
+)
+on_papers(
+    "export_citations",
+    lambda p: p.select(
+        "paper_id",
+        *(
+            x.alias(n) for n,
+            x in zip(
+                ("bib", "ris", "md"),
+                records.citation(c("paper_id"), c("title"), F.array("author"), F.coalesce("year", F.lit("")), c("venue"), c("doi"))
+            )
+        )
+    ).select("paper_id", F.md5("bib").alias("bib"), "md")
+)
 
 
 # --- semi-structured ------------------------------------------------------------------------------------------------
 def _tei(s: SparkSession, d: str) -> DataFrame:
     p = papers(s, d)
     esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(c("title")), F.lit('</title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>Ann</forename><surname>'), esc(c("author")), F.lit('</surname></persName></author></analytic><monogr><imprint><date when="'), F.coalesce("year", F.lit("")), F.lit('"/></imprint></monogr><idno type="DOI">'), esc(c("doi")), F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), esc(c("abstract")), F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Methods</head><p>"), esc(c("body")), F.lit('</p></div></body><back><listBibl><biblStruct><analytic><title>Cited</title></analytic><monogr><imprint><date when="1999"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>'))
+    xml = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(c("title")),
+        F.lit('</title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>Ann</forename><surname>'), esc(c("author")),
+        F.lit('</surname></persName></author></analytic><monogr><imprint><date when="'), F.coalesce("year", F.lit("")),
+        F.lit('"/></imprint></monogr><idno type="DOI">'), esc(c("doi")),
+        F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), esc(c("abstract")),
+        F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Methods</head><p>"), esc(c("body")),
+        F.lit(
+            '</p></div></body><back><listBibl><biblStruct><analytic><title>Cited</title></analytic><monogr><imprint><date '
+            'when="1999"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>'
+        )
+    )
     return tei.parse_tei(p.select("paper_id", xml.alias("xml")))
 
 
 add("tei_parse", lambda s, d: _tei(s, d).select("paper_id", "title", "doi", "year", "num_references", F.size("authors").alias("n_authors"), "parse_error"))
 add("tei_sections", lambda s, d: _tei(s, d).select("paper_id", F.explode("sections").alias("s")).select("paper_id", "s.title", "s.text"))
 add("tei_references", lambda s, d: _tei(s, d).select("paper_id", F.explode("references").alias("r")).select("paper_id", "r.title", "r.year"))
-add("json_flatten", lambda s, d: table(s, d, "events").select(F.explode(F.expr("json_object_keys(props)")).alias("key")).groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+add(
+    "json_flatten",
+    lambda s, d: table(s, d, "events").select(F.explode(F.expr("json_object_keys(props)")).alias("key")).groupBy("key").agg(F.count("*").alias("n")),
+    "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key"
+)
 def _listed(p: DataFrame) -> DataFrame:
     """What a JSON payload's lists hold: the first three distinct values of both, and how many of one."""
     made = p.select("paper_id", F.to_json(F.struct(F.array("venue").alias("names"), F.split("title", " ").alias("topics"))).alias("payload"))
     w = made.select("paper_id", F.from_json("payload", "names array<string>, topics array<string>").alias("w"))
-    return w.select("paper_id", F.array_join(F.slice(F.array_distinct(F.concat("w.names", "w.topics")), 1, 3), "|").alias("first3"), F.size(F.array_distinct("w.topics")).alias("n"))
+    return w.select(
+        "paper_id", F.array_join(F.slice(F.array_distinct(F.concat("w.names", "w.topics")), 1, 3), "|").alias("first3"),
+        F.size(F.array_distinct("w.topics")).alias("n")
+    )
 
 
-on_papers("payload_slices", _listed, "SELECT paper_id, array_to_string(list_transform(list_sort(list_transform(map_entries(m), e -> [CAST(e.value AS INT), 0]))[1:3], v -> a[v[1]]), '|') AS first3, CAST(len(list_distinct(string_split(title, ' '))) AS INT) AS n FROM (SELECT *, map_from_entries(list_transform(list_distinct(a), x -> (x, list_position(a, x)))) AS m FROM (SELECT *, list_concat([venue], string_split(title, ' ')) AS a FROM papers))")
+on_papers(
+    "payload_slices", _listed,
+    "SELECT paper_id, array_to_string(list_transform(list_sort(list_transform(map_entries(m), e -> [CAST(e.value AS INT), 0]))[1:3], v -> "
+    "a[v[1]]), '|') AS first3, CAST(len(list_distinct(string_split(title, ' '))) AS INT) AS n FROM (SELECT *, "
+    "map_from_entries(list_transform(list_distinct(a), x -> (x, list_position(a, x)))) AS m FROM (SELECT *, list_concat([venue], "
+    "string_split(title, ' ')) AS a FROM papers))"
+)
 
 # --- generic relational operators -----------------------------------------------------------------------------------
 TPC = {
     "join_inner": ("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", None),
     "join_left": ("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
-    "join_full": ("SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey", None),
+    "join_full": (
+        "SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT "
+        "s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey",
+        None
+    ),
     "join_semi": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", None),
     "join_anti": ("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)", None),
     "join_theta": ("SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_regionkey > b.r_regionkey", None),
-    "join_range": ("SELECT n.n_nationkey, count(*) AS n FROM nation n JOIN supplier s ON s.s_suppkey BETWEEN n.n_nationkey * 3 AND n.n_nationkey * 3 + 5 GROUP BY n.n_nationkey", None),
+    "join_range": (
+        "SELECT n.n_nationkey, count(*) AS n FROM nation n JOIN supplier s ON s.s_suppkey BETWEEN n.n_nationkey * 3 AND n.n_nationkey * 3 + 5 "
+        "GROUP BY n.n_nationkey",
+        None
+    ),
     "agg_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None),
     "agg_rollup": ("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size)", None),
-    "agg_grouping_sets": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
+    "agg_grouping_sets": (
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS "
+        "((o_orderstatus), (o_orderpriority), ())",
+        None
+    ),
     "agg_filter": ("SELECT event_type, count(*) FILTER (WHERE value > 0.5) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type", None),
-    "window_rank": ("SELECT * FROM (SELECT c_custkey, c_nationkey, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)) WHERE r <= 3", None),
+    "window_rank": (
+        "SELECT * FROM (SELECT c_custkey, c_nationkey, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d FROM customer WINDOW "
+        "w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)) WHERE r <= 3",
+        None
+    ),
     "window_lag": ("SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events", None),
     "window_running": ("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM events", None),
     "top_k": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None),
@@ -412,7 +903,11 @@ TPC = {
     "set_intersect": ("SELECT o_custkey AS k FROM orders WHERE o_totalprice > 200000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0", None),
     "set_except": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000", None),
     "window_tumbling": ("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2", None),
-    "pricing_summary": ("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", None),
+    "pricing_summary": (
+        "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS "
+        "n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+        None
+    ),
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -429,5 +924,15 @@ def relational(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name, (_sql, _) in TPC.items():
     add(_name, relational(_sql), _sql)
 add("approx_distinct", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts")))
-add("session_windows", lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", c("w.start").alias("start"), "n"), "SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
-add("sliding_windows", lambda s, d: table(s, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(c("w.start").alias("start"), "n"), "SELECT CAST(date_trunc('hour', ts) - INTERVAL (k) HOUR AS TIMESTAMP) AS start, count(*) AS n FROM events, range(0, 2) AS r(k) GROUP BY 1")
+add(
+    "session_windows",
+    lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", c("w.start").alias("start"), "n"),
+    "SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) "
+    "AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new "
+    "FROM events)) GROUP BY user_id, s"
+)
+add(
+    "sliding_windows",
+    lambda s, d: table(s, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(c("w.start").alias("start"), "n"),
+    "SELECT CAST(date_trunc('hour', ts) - INTERVAL (k) HOUR AS TIMESTAMP) AS start, count(*) AS n FROM events, range(0, 2) AS r(k) GROUP BY 1"
+)

@@ -16,8 +16,10 @@ SIDE_RULES = {"reports": ("report",), "checkpoints": ("checkpoint", "report"), "
 #: Item types of a reference manager that are papers, and the fields asked of a citation graph.
 ITEM_TYPES = ("journalArticle", "conferencePaper", "preprint", "book", "bookSection", "thesis", "report")
 GRAPH_FIELDS = (
-    "id", "doi", "title", "publication_year", "topics", "sustainable_development_goals", "cited_by_count", "counts_by_year", "authorships", "primary_location", "type",
-    "open_access", "keywords", "concepts", "mesh", "referenced_works_count", "related_works", "cited_by_percentile_year", "biblio", "is_retracted", "is_paratext",
+    "id", "doi", "title", "publication_year", "topics", "sustainable_development_goals", "cited_by_count", "counts_by_year", "authorships",
+    "primary_location", "type",
+    "open_access", "keywords", "concepts", "mesh", "referenced_works_count", "related_works", "cited_by_percentile_year", "biblio", "is_retracted",
+    "is_paratext",
 )
 
 
@@ -47,7 +49,10 @@ def identifiers(items: DataFrame) -> DataFrame:
 def paper_info(papers: DataFrame, sections: DataFrame) -> DataFrame:
     """(paper_id, title, title_length, abstract_length, n_sections, text_chars): what a report shows of a paper."""
     size = sections.groupBy("paper_id").agg(F.count("*").alias("n_sections"), F.sum(F.length("content")).alias("text_chars"))
-    rows = papers.select("paper_id", F.substring("title", 1, 100).alias("title"), F.length("title").alias("title_length"), F.coalesce(F.length("abstract"), F.lit(0)).alias("abstract_length"))
+    rows = papers.select(
+        "paper_id", F.substring("title", 1, 100).alias("title"), F.length("title").alias("title_length"),
+        F.coalesce(F.length("abstract"), F.lit(0)).alias("abstract_length")
+    )
     return rows.join(size, "paper_id", "left").na.fill(0, ["n_sections", "text_chars"])
 
 
@@ -83,8 +88,15 @@ def citation(key: Column, title: Column, authors: Column, year: Column, journal:
     """(BibTeX, RIS, Markdown) of a paper."""
     who = F.array_join(authors, " and ")
     field = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  {name} = {{"), c, F.lit("}")))
-    bib = F.concat(F.lit("@article{"), key, F.lit(",\n"), F.concat_ws(",\n", field("title", title), field("author", who), field("year", year), field("journal", journal), field("doi", doi)), F.lit("\n}"))
-    ris = F.concat_ws("\n", F.lit("TY  - JOUR"), F.concat(F.lit("TI  - "), title), F.array_join(F.transform(authors, lambda a: F.concat(F.lit("AU  - "), a)), "\n"), F.concat(F.lit("PY  - "), year), F.concat(F.lit("DO  - "), doi), F.lit("ER  - "))
+    bib = F.concat(
+        F.lit("@article{"), key, F.lit(",\n"),
+        F.concat_ws(",\n", field("title", title), field("author", who), field("year", year), field("journal", journal), field("doi", doi)),
+        F.lit("\n}")
+    )
+    ris = F.concat_ws(
+        "\n", F.lit("TY  - JOUR"), F.concat(F.lit("TI  - "), title), F.array_join(F.transform(authors, lambda a: F.concat(F.lit("AU  - "), a)), "\n"),
+        F.concat(F.lit("PY  - "), year), F.concat(F.lit("DO  - "), doi), F.lit("ER  - ")
+    )
     md = F.concat_ws(". ", who, F.concat(F.lit("*"), title, F.lit("*")), journal, year)
     return bib, ris, md
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "paper_id string, title string, abstract string, year int, date string, journal string, doi string, arxiv string, pmid string, keywords array<string>, "
-    "authors array<struct<name:string,forename:string,surname:string,affiliation:string,email:string,orcid:string>>, sections array<struct<title:string,text:string>>, "
-    "references array<struct<title:string,authors:array<string>,year:int,doi:string>>, num_references int, n_figures int, n_tables int, n_formulas int, parse_error string"
+    "authors array<struct<name:string,forename:string,surname:string,affiliation:string,email:string,orcid:string>>, sections "
+    "array<struct<title:string,text:string>>, "
+    "references array<struct<title:string,authors:array<string>,year:int,doi:string>>, num_references int, n_figures int, n_tables int, n_formulas "
+    "int, parse_error string"
 )
 _T = "{http://www.tei-c.org/ns/1.0}"
 
@@ -52,7 +54,10 @@ def parse(xml: bytes, as_of: int = 2025, nested: bool = True) -> dict:
         for a in node:
             fore, sur = " ".join(x.text.strip() for x in a.iter(_T + "forename") if x.text), own(a.iter(_T + "surname"))
             where = [text(x) for x in a.iter(_T + "affiliation")]
-            p = {"name": (f"{fore} {sur}".strip() if sur else None), "forename": fore or None, "surname": sur, "affiliation": where[0] if where else None, "email": own(a.iter(_T + "email")), "orcid": idno(a, "ORCID")}
+            p = {
+                "name": (f"{fore} {sur}".strip() if sur else None), "forename": fore or None, "surname": sur,
+                "affiliation": where[0] if where else None, "email": own(a.iter(_T + "email")), "orcid": idno(a, "ORCID")
+            }
             if any(p.values()):
                 yield p
 
@@ -78,7 +83,10 @@ def parse(xml: bytes, as_of: int = 2025, nested: bool = True) -> dict:
     refs = []
     for b in all_(root, "*listBibl", "biblStruct"):
         when = next((x.get("when") for x in b.iter(_T + "date") if x.get("when")), None)
-        r = {"title": own(b.iter(_T + "title")), "authors": [x["name"] for x in people(list(b.iter(_T + "author"))) if x["name"]], "year": year(when), "doi": idno(b, "DOI")}
+        r = {
+            "title": own(b.iter(_T + "title")), "authors": [x["name"] for x in people(list(b.iter(_T + "author"))) if x["name"]], "year": year(when),
+            "doi": idno(b, "DOI")
+        }
         if any(r.values()):
             refs.append(r)
     out["references"], out["num_references"] = refs, len(refs)

@@ -96,7 +96,10 @@ def read(xml: bytes, as_of: int = 2025) -> dict:
     if len(guarded) <= ABSTRACT_GUARD:
         guarded = next((walked(d) for d in at(root, ".//div") if "abstract" in (first(d, "head", True) or "").lower()), "")
     known = [
-        {"name": names(a), "email": first(a, ".//email", True), "orcid": orcid(a), "affiliation": next((first(x, ".//orgName", True) for x in at(a, ".//affiliation")[:1]), None)}
+        {
+            "name": names(a), "email": first(a, ".//email", True), "orcid": orcid(a),
+            "affiliation": next((first(x, ".//orgName", True) for x in at(a, ".//affiliation")[:1]), None)
+        }
         for a in at(root, ".//fileDesc//author")
     ]
     figures = at(root, ".//figure")
@@ -124,17 +127,26 @@ def read(xml: bytes, as_of: int = 2025) -> dict:
             for b in at(root, ".//listBibl//biblStruct")
         ],
         "figures": [{"label": first(f, ".//label"), "caption": first(f, ".//figDesc"), "id": f.get(_ID)} for f in figures if f.get("type") == "figure"],
-        "tables": [{"label": first(f, ".//label"), "caption": first(f, ".//figDesc"), "content": first(f, ".//table"), "id": f.get(_ID)} for f in figures if f.get("type") == "table"],
+        "tables": [
+            {"label": first(f, ".//label"), "caption": first(f, ".//figDesc"), "content": first(f, ".//table"), "id": f.get(_ID)} for f in figures
+            if f.get("type") == "table"
+        ],
         "guarded_abstract": guarded,
-        "summary": {"authors": [n for n in map(names, at(root, ".//author")) if n], "doi": first(root, ".//idno[@type='DOI']", True), "references_count": len(at(root, ".//ref[@type='bibr']"))},
+        "summary": {
+            "authors": [n for n in map(names, at(root, ".//author")) if n], "doi": first(root, ".//idno[@type='DOI']", True),
+            "references_count": len(at(root, ".//ref[@type='bibr']"))
+        },
         "metadata": {
-            "title": first(root, ".//titleStmt/title", True), "authors": [a for a in known if any(a.values())], "doi": first(root, ".//idno[@type='DOI']", True),
+            "title": first(root, ".//titleStmt/title", True), "authors": [a for a in known if any(a.values())],
+            "doi": first(root, ".//idno[@type='DOI']", True),
             "publication_date": (dated[0].get("when") or "") if dated else None, "journal": first(root, ".//monogr/title[@level='j']", True),
             "keywords": [x.text.strip() for x in at(root, ".//keywords/term") if x.text and x.text.strip()],
         },
         "structure": {
-            "figures_count": len(figures), "figure_captions": [t for t in (first(f, ".//figDesc", True) for f in figures) if t][:MOST_CAPTIONS], "tables_count": len(at(root, ".//table")),
-            "equations_count": len(at(root, ".//formula")), "references_count": len(at(root, ".//listBibl/biblStruct")), "sections": [t for t in (first(d, "head", True) for d in at(root, ".//body/div")) if t],
+            "figures_count": len(figures), "figure_captions": [t for t in (first(f, ".//figDesc", True) for f in figures) if t][:MOST_CAPTIONS],
+            "tables_count": len(at(root, ".//table")),
+            "equations_count": len(at(root, ".//formula")), "references_count": len(at(root, ".//listBibl/biblStruct")),
+            "sections": [t for t in (first(d, "head", True) for d in at(root, ".//body/div")) if t],
         },
         "funders": [t for t in (first(f, ".//orgName", True) for f in at(root, ".//funder")) if t],
         "tei_year": repaired_year(),
@@ -160,7 +172,10 @@ def read_variants(docs: DataFrame, as_of: int = 2025) -> DataFrame:
 
 
 #: Groups of a document's entities that are lists, as columns of `entity_groups`.
-GROUPS = ("persons", "organizations", "locations", "citations", "figures", "tables", "equations", "software", "datasets", "funding", "clinical_trials", "urls", "emails", "orcids")
+GROUPS = (
+    "persons", "organizations", "locations", "citations", "figures", "tables", "equations", "software", "datasets", "funding", "clinical_trials",
+    "urls", "emails", "orcids"
+)
 
 
 def entity_groups(read_: DataFrame) -> DataFrame:
@@ -169,7 +184,12 @@ def entity_groups(read_: DataFrame) -> DataFrame:
     funding = dict(zip((name for name, *_ in E.MENTIONS), E.mentions(F.coalesce("acknowledgement", F.lit(""))), strict=True))["funding"]
     ends = F.regexp_extract_all("full_text", F.lit(E.INTERVAL_ENDS), F.lit(0))
     statistics = F.struct(said["p_values"].alias("p_values"), ends.alias("confidence_intervals"), said["sample_sizes"].alias("sample_sizes"))
-    rows = read_.where("parse_error IS NULL").withColumns({"software": said["software"], "datasets": said["datasets"], "funding": funding, "clinical_trials": said["trials"], "urls": said["urls"], "statistics": statistics})
+    rows = read_.where("parse_error IS NULL").withColumns(
+        {
+            "software": said["software"], "datasets": said["datasets"], "funding": funding, "clinical_trials": said["trials"], "urls": said["urls"],
+            "statistics": statistics
+        }
+    )
     return rows.withColumn("total_entities", sum((F.size(g) for g in GROUPS), F.lit(1))).select("paper_id", *GROUPS, "statistics", "total_entities")
 
 
@@ -185,6 +205,7 @@ def projections(parsed: DataFrame, read_: DataFrame) -> dict[str, DataFrame]:
     return {
         "complete": parsed, "entities": groups.drop("statistics", "total_entities"), "metadata": good.select("paper_id", "metadata.*"),
         "sections": good.select("paper_id", F.posexplode("body_sections").alias("pos", "s")).select("paper_id", "pos", "s.*"),
-        "coordinates": good.select("paper_id", F.explode("coordinates").alias("id", "coords")), "structure": good.select("paper_id", "structure.*", structure_urls(F.col("full_text")).alias("urls")),
+        "coordinates": good.select("paper_id", F.explode("coordinates").alias("id", "coords")),
+        "structure": good.select("paper_id", "structure.*", structure_urls(F.col("full_text")).alias("urls")),
         "statistics": groups.select("paper_id", "statistics.*", "total_entities"),
     }

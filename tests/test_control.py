@@ -74,7 +74,10 @@ def test_refresh_keeps_what_is_there_but_metrics(spark):
 
 def test_near_titles_go(spark):
     words = " ".join(f"w{i}" for i in range(40))
-    rows = [(1, "10.1/a", words), (2, "10.1/b", words + " x"), (3, "10.1/a", "other title"), (4, "", words.upper()), (5, None, None), (6, "", ""), (7, "10.1/c", "w1 w2")]
+    rows = [
+        (1, "10.1/a", words), (2, "10.1/b", words + " x"), (3, "10.1/a", "other title"), (4, "", words.upper()), (5, None, None), (6, "", ""),
+        (7, "10.1/c", "w1 w2")
+    ]
     got = L.distinct_titles(spark.createDataFrame(rows, "doc_id long, doi string, title string"))
     assert sorted(r.doc_id for r in got.collect()) == [1, 5, 6, 7]
 

@@ -15,7 +15,11 @@ ENTRY = """<entry xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.
 
 
 def test_paper_payload(spark):
-    full = {"paperId": "x", "externalIds": {"DOI": "10.1/a"}, "year": 2001, "authors": [{"name": "A", "hIndex": 0}, {"name": "B", "hIndex": 7}, {"name": "", "hIndex": 90}], "citations": [{"title": f"t{i}"} for i in range(12)]}
+    full = {
+        "paperId": "x", "externalIds": {"DOI": "10.1/a"}, "year": 2001,
+        "authors": [{"name": "A", "hIndex": 0}, {"name": "B", "hIndex": 7}, {"name": "", "hIndex": 90}],
+        "citations": [{"title": f"t{i}"} for i in range(12)]
+    }
     rows = spark.createDataFrame([(1, json.dumps(full)), (2, "{}"), (3, None)], "id int, payload string")
     a, b, c = payloads.flat_paper(rows).orderBy("id").collect()
     assert (a.doi, a.year, a.max_author_h_index, len(a.authors), len(a.citation_titles)) == ("10.1/a", "2001", 7, 2, 10)
@@ -25,7 +29,10 @@ def test_paper_payload(spark):
 
 
 def test_repository_payload(spark):
-    works = [{"id": 5, "downloadUrl": "u.pdf", "language": {"name": "English"}, "fullText": "x", "links": [{"url": None}, {"url": "l"}]}, {"language": "fr", "downloadUrl": "", "downloadCount": 0}, {"language": {"code": "de"}}]
+    works = [
+        {"id": 5, "downloadUrl": "u.pdf", "language": {"name": "English"}, "fullText": "x", "links": [{"url": None}, {"url": "l"}]},
+        {"language": "fr", "downloadUrl": "", "downloadCount": 0}, {"language": {"code": "de"}}
+    ]
     rows = spark.createDataFrame([(i, json.dumps(w)) for i, w in enumerate(works)], "id int, payload string")
     a, b, c = payloads.flat_repository_work(rows).orderBy("id").collect()
     assert (a.has_pdf, a.language, a.has_fulltext, len(a.links)) == (True, "English", True, 1)

@@ -9,7 +9,10 @@ from lectern.operators import linkage as L
 
 DIR = "/root/testdata/sf0.001"
 BASE = "deep learning for protein folding in small soil bacteria"
-EXTRA = [f"Editorial: {BASE}", f"The {BASE}", BASE.replace("deep", "dxep"), "of the", "x", "folding in small soil bacteria", "A survey of wide joins", "survey of the wide joins", ""]
+EXTRA = [
+    f"Editorial: {BASE}", f"The {BASE}", BASE.replace("deep", "dxep"), "of the", "x", "folding in small soil bacteria", "A survey of wide joins",
+    "survey of the wide joins", ""
+]
 
 
 @pytest.fixture(scope="module")
@@ -72,5 +75,8 @@ def test_registered_queries_pass_first_words(spark, tmp_path):
 
     texts = [(16, BASE), (23, BASE), (27, f"The {BASE}"), (29, BASE.replace("deep", "dxep"))]
     spark.createDataFrame([(i, f"{t}\nmore") for i, t in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {k: {int(r.paper_id) for r in entry.queries()[f"link_{k}"](spark, str(tmp_path)).collect()} for k in ("contains", "jaccard_stop", "jaccard_author", "seqratio")}
+    got = {
+        k: {int(r.paper_id) for r in entry.queries()[f"link_{k}"](spark, str(tmp_path)).collect()}
+        for k in ("contains", "jaccard_stop", "jaccard_author", "seqratio")
+    }
     assert got == {"contains": {16, 23, 27}, "jaccard_stop": {16, 23, 27}, "jaccard_author": {16, 23, 27, 29}, "seqratio": {16, 23, 27, 29}}

@@ -18,7 +18,10 @@ TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0">{}</TEI>'
 
 def test_quality_example(spark):
     fields = "title string, abstract string, venue string, year string, citations int, methods string, results string, introduction string, discussion string, num_references int, doi string, study_types array<string>, sample_sizes array<int>, p_values array<double>, intervals array<string>, effects array<double>, software array<string>, code array<string>, n_entities int, data_available boolean"
-    row = ("T", "A", "nature medicine", "2023", 25, "anova", "r", None, None, 0, None, ["randomized controlled trial"], [500], [0.01], ["95%"], [], ["R"], ["github.com/a/b"], 8, False)
+    row = (
+        "T", "A", "nature medicine", "2023", 25, "anova", "r", None, None, 0, None, ["randomized controlled trial"], [500], [0.01], ["95%"], [],
+        ["R"], ["github.com/a/b"], 8, False
+    )
     got = Q.total(Q.components(spark.createDataFrame([row], fields), 2025)).first()
     assert (got.study_type, got.sample_size, got.statistical_rigor, got.venue_quality, got.recency, got.citations, got.completeness, got.reproducibility) == (18, 9, 12, 15, 10, 4, 4, 3.5)
     assert (got.score, got.grade) == (75.5, "A-")
@@ -32,7 +35,10 @@ def test_tei(spark):
         "title": "<teiHeader><fileDesc><titleStmt><title>Foo <hi>bar</hi></title></titleStmt></fileDesc></teiHeader>",
         "bad": "<p>",
     }
-    rows = {r.paper_id: r for r in tei.parse_tei(spark.createDataFrame([(k, TEI.format(v)) for k, v in cases.items()], "paper_id string, xml string")).collect()}
+    rows = {
+        r.paper_id: r
+        for r in tei.parse_tei(spark.createDataFrame([(k, TEI.format(v)) for k, v in cases.items()], "paper_id string, xml string")).collect()
+    }
     assert rows["spaces"].sections[0].text == "one two  [1]  tail"
     assert [(s.title, s.text) for s in rows["nested"].sections] == [("A", "a\n\nb"), ("B", "b")]
     assert rows["doi"].doi == "10.1/x" and rows["title"].title == "Foo" and rows["bad"].parse_error
@@ -62,7 +68,10 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
-SAMPLE = ["doi_clean_shared", "exclusion_breakdown", "link_doi_then_title", "fill_missing", "sections_experimental", "entities_software", "quality_score", "coverage_fields", "session_windows"]
+SAMPLE = [
+    "doi_clean_shared", "exclusion_breakdown", "link_doi_then_title", "fill_missing", "sections_experimental", "entities_software", "quality_score",
+    "coverage_fields", "session_windows"
+]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

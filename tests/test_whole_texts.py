@@ -16,7 +16,13 @@ def late(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name, want", [("entities_sample_sizes", "777"), ("entities_drugs", "ramipril"), ("entities_trials", "NCT87654321"), ("entities_code_urls", "github.com/late/found")])
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("entities_sample_sizes", "777"), ("entities_drugs", "ramipril"), ("entities_trials", "NCT87654321"),
+        ("entities_code_urls", "github.com/late/found")
+    ]
+)
 def test_late_entities(spark, late, name, want):
     got = {int(r.paper_id): want in r.out.split(",") for r in entry.queries()[name](spark, late).collect()}
     assert got == {5: True, 11: True, 12: False, 17: True}
