@@ -218,7 +218,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 n = [int(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in v]).sum()) for v in b.column(2).to_pylist()]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], ["doc_id", "n_words", "n_hit", "items"])
 
-        merged = found.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = found.groupBy("shard", "place").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
         found = merged.drop("shard", "place").mapInArrow(merge, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -240,7 +243,10 @@ def _scan(index: DataFrame, items: list[tuple[str, str]], window: int, kind: str
             n = pa.array(np.diff(x.ends), pa.int64())
             if bits:
                 raw = [hit[i:j].astype(np.uint8).tobytes() for i, j in zip(x.ends[:-1], x.ends[1:], strict=True)]
-                yield pa.record_batch([ids, n, pa.array(raw, pa.binary()), names, pa.array([shard] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64())], ["doc_id", "n_words", "hits", "items", "shard", "place"])
+                yield pa.record_batch(
+                    [ids, n, pa.array(raw, pa.binary()), names, pa.array([shard] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64())],
+                    ["doc_id", "n_words", "hits", "items", "shard", "place"]
+                )
             else:
                 total = np.concatenate([[0], np.cumsum(hit)])
                 yield pa.record_batch([ids, n, pa.array(total[x.ends[1:]] - total[x.ends[:-1]], pa.int64()), names], ["doc_id", "n_words", "n_hit", "items"])
@@ -261,7 +267,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             w = _windows(held, window)
             for _, ids, x in _shards_of(batches):
                 win, start, doc = x.starts(w, slack)
-                yield pa.record_batch([ids.take(pa.array(doc)), pa.array([w.items[k] for k in w.of[win]], pa.string()), pa.array(start - x.ends[doc], pa.int64())], ["doc_id", "item_id", "position"])
+                yield pa.record_batch(
+                    [ids.take(pa.array(doc)), pa.array([w.items[k] for k in w.of[win]], pa.string()), pa.array(start - x.ends[doc], pa.int64())],
+                    ["doc_id", "item_id", "position"]
+                )
 
         df = index.mapInArrow(run, f"doc_id {kind}, item_id string, position long")
         out = df if out is None else out.unionByName(df)

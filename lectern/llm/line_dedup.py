@@ -147,7 +147,13 @@ def frequent_keys(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
                 parts.append(h)
                 ids.append(np.full(len(h), _NULL if doc is None else doc, np.int64))
             h = np.concatenate(parts) if parts else np.empty((0, 2), np.uint64)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(h[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(h[:, 1]).view(np.int64)), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))], ["h1", "h2", "doc_id"])
+            yield pa.record_batch(
+                [
+                    pa.array(np.ascontiguousarray(h[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(h[:, 1]).view(np.int64)),
+                    pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))
+                ],
+                ["h1", "h2", "doc_id"]
+            )
 
     held = texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
     return held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least)
@@ -175,7 +181,10 @@ _SCHEMA = "doc_id {kind}, n_lines long, n_dropped long, kept_text string"
 
 def _rows(ids: pa.Array, out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-    return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+    return pa.record_batch(
+        [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+        ["doc_id", "n_lines", "n_dropped", "kept_text"]
+    )
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST_DOCS, broadcast_bound: int = BROADCAST_BOUND, place_rows: int = PLACE_ROWS) -> DataFrame:
@@ -245,7 +254,16 @@ def _dealt(docs: DataFrame, built: DataFrame, shards: int, kind: str, bound: int
                 h = [hashes(t)[1] for t in strings(b.column(0).slice(lo, hi - lo))]
                 h = np.concatenate(h)
                 h = np.unique(h[h[:, 1] != 0], axis=0)
-                yield pa.record_batch([pa.array(x) for x in (shard_of(h[:, 0], shards).astype(np.int32), np.ascontiguousarray(h[:, 0]).view(np.int64), np.ascontiguousarray(h[:, 1]).view(np.int64), np.full(len(h), block[lo]))], ["shard", "h1", "h2", "block"])
+                yield pa.record_batch(
+                    [
+                        pa.array(x)
+                        for x in (
+                            shard_of(h[:, 0], shards).astype(np.int32), np.ascontiguousarray(h[:, 0]).view(np.int64),
+                            np.ascontiguousarray(h[:, 1]).view(np.int64), np.full(len(h), block[lo])
+                        )
+                    ],
+                    ["shard", "h1", "h2", "block"]
+                )
 
     asked = written(whole.select("text", "block").mapInArrow(ask, "shard int, h1 long, h2 long, block long"), "line-asked")
     places = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / bound).cast("int").alias("places")))  # a row a shard
@@ -265,7 +283,10 @@ def _dealt(docs: DataFrame, built: DataFrame, shards: int, kind: str, bound: int
     def cut(key, left, right):
         import pandas as pd
 
-        last = {(a, b): c for a, b, c in zip(right.h1.to_numpy().view(np.uint64).tolist(), right.h2.to_numpy().view(np.uint64).tolist(), right["last"].tolist(), strict=True)}
+        last = {
+            (a, b): c for a, b,
+            c in zip(right.h1.to_numpy().view(np.uint64).tolist(), right.h2.to_numpy().view(np.uint64).tolist(), right["last"].tolist(), strict=True)
+        }
         out = []
         for doc, text in zip(left.doc_id, left.text, strict=True):
             parts, h = hashes(text)

@@ -161,7 +161,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
     """Per row of docs: doc_id, source, size, source_size, target, copies, taken."""
     rows = _decided(docs, _keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), weights, seed)
     size, copies = F.col("_lectern_size"), F.col("_lectern_copies")
-    return rows.select("doc_id", "source", size.alias("size"), F.col("_lectern_source_size").alias("source_size"), F.col("_lectern_target").alias("target"), copies.alias("copies"), (size * copies).cast("long").alias("taken"))
+    return rows.select(
+        "doc_id", "source", size.alias("size"), F.col("_lectern_source_size").alias("source_size"), F.col("_lectern_target").alias("target"),
+        copies.alias("copies"), (size * copies).cast("long").alias("taken")
+    )
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED) -> DataFrame:

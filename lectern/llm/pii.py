@@ -152,7 +152,11 @@ def _features(kind: int, piece: str, left: str, right: str) -> list[int]:
     digits = _NOT_DIGIT.sub("", piece)
     form = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "0", piece)))
     before, behind = _WORD.findall(left.lower())[-4:], _WORD.findall(right.lower())[:2]
-    own = [f"form={form[:40]}", f"size={len(digits)}", f"start={digits[:1]}", f"few={len(set(digits)) < 3}", f"check={kind == 2 and luhn(digits)}", f"large={kind == 1 and max(map(int, _GROUP.findall(piece))) > 255}", f"signs={''.join(sorted(set(re.sub('[A-Za-z0-9]', '', piece))))}", f"last={left[-1:]}", *(f"before={x}" for x in before), *(f"behind={x}" for x in behind)]
+    own = [
+        f"form={form[:40]}", f"size={len(digits)}", f"start={digits[:1]}", f"few={len(set(digits)) < 3}", f"check={kind == 2 and luhn(digits)}",
+        f"large={kind == 1 and max(map(int, _GROUP.findall(piece))) > 255}", f"signs={''.join(sorted(set(re.sub('[A-Za-z0-9]', '', piece))))}",
+        f"last={left[-1:]}", *(f"before={x}" for x in before), *(f"behind={x}" for x in behind)
+    ]
     return [kind, *(4 + zlib.crc32(f"{kind}{x}".encode("utf-8", "surrogatepass")) % (WIDTH - 4) for x in own)]
 
 
@@ -207,7 +211,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 found.append([{"s": s, "k": k, "e": e, "base": own, "votes": packed(v), "x": x} for s, k, e, own, v, x in candidates(t, base)])
             cols = list(zip(*n, strict=True)) or [()] * len(KINDS)
-            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array(found, pa.list_(each))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "found"])
+            yield pa.record_batch(
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array(found, pa.list_(each))],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "found"]
+            )
 
     schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, found array<struct<s:bigint,k:int,e:bigint,base:boolean,votes:int,x:array<int>>>"
     return written(texts(docs).mapInArrow(run, schema), "pii")
@@ -315,6 +322,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
                         busy = c["e"]
                 spans.append(joined(sorted([*base, *more])))
                 added.append(len(more))
-            yield pa.record_batch([*(b.column(i) for i in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())], [*b.schema.names[:6], "spans", "n_added"])
+            yield pa.record_batch(
+                [*(b.column(i) for i in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())],
+                [*b.schema.names[:6], "spans", "n_added"]
+            )
 
     return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -154,7 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: in
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield pa.record_batch([b.column(0), b.column(2).cast(pa.int32()), pa.array([features(t).tobytes() for t in strings(b.column(1))], pa.binary())], ["doc_id", "y", "x"])
+            yield pa.record_batch(
+                [b.column(0), b.column(2).cast(pa.int32()), pa.array([features(t).tobytes() for t in strings(b.column(1))], pa.binary())],
+                ["doc_id", "y", "x"]
+            )
 
     described = chosen.withColumn("y", F.col("y").cast("int")).unionByName(wild).mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
 

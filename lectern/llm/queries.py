@@ -63,4 +63,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_pii, op4_mixing, op5_token_output, op6_simhash, op7_decontamination, op8_embedding_dedup, op9_toxicity, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_line_dedup, op3_pii, op4_mixing, op5_token_output, op6_simhash, op7_decontamination, op8_embedding_dedup, op9_toxicity,
+        op10_secrets
+    )
+}

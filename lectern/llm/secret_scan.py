@@ -38,7 +38,8 @@ MORE = (
 )
 #: What a text must contain for a pattern to match at all, tested before it; assign's words in either case.
 NEEDS = {
-    "assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "vendor": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk-", "AIza", "glpat-"),
+    "assign": ("passw", "secret", "token", "api"), "access": ("AKIA",),
+    "vendor": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk-", "AIza", "glpat-"),
     "jwt": ("eyJ",), "private": ("-----BEGIN ",), "bearer": ("earer ",),
 }
 KINDS = tuple(x[0] for x in BASE + MORE)
@@ -101,12 +102,17 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     examples = written(ownership(asked.select("h", "owner", "repository")).where(copied).select("h", F.lit(True).alias("example")), "examples")
     of_base, example = F.col("m.k") < len(BASE), F.col("example").isNotNull()
     some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("m"))))
-    judged = asked.join(examples, "h", "left").groupBy("row").agg(some(~of_base & ~example).alias("live"), F.count_if(~of_base & example).alias("n_example"), some(of_base & ~example).alias("base_live"), some(of_base & example).alias("base_example"))
+    judged = asked.join(examples, "h", "left").groupBy("row").agg(
+        some(~of_base & ~example).alias("live"), F.count_if(~of_base & example).alias("n_example"), some(of_base & ~example).alias("base_live"),
+        some(of_base & example).alias("base_example")
+    )
     rows = found.join(judged, "row", "left")
     live, base_live, base_example = (F.coalesce(k, F.array().cast(found.schema["base"].dataType)) for k in ("live", "base_live", "base_example"))
     clear = F.filter(live, lambda m: ~F.exists(F.col("base"), lambda x: (x["s"] < m["e"]) & (m["s"] < x["e"])))
     return rows.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat(F.col("base"), clear))).alias("spans"), F.size(clear).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
-        F.size(base_live).cast("long").alias("n_base_live"), F.size(base_example).cast("long").alias("n_base_example"), _joined(base_live).alias("base_live_spans"), _joined(base_example).alias("base_example_spans"),
+        _joined(F.array_sort(F.concat(F.col("base"), clear))).alias("spans"), F.size(clear).cast("long").alias("n_live"),
+        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.size(base_live).cast("long").alias("n_base_live"), F.size(base_example).cast("long").alias("n_base_example"),
+        _joined(base_live).alias("base_live_spans"), _joined(base_example).alias("base_example_spans"),
     )

@@ -168,7 +168,8 @@ class Encoder:
         plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in rules["added_tokens"]) and all("<" in x for x in added)
         self.apart = (
             plain and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
-            and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and rules["model"]["type"] == "BPE"
+            and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"]
+            and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and rules["model"]["type"] == "BPE"
         )
         if self.apart:
             self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
@@ -189,7 +190,10 @@ class Encoder:
 
     def piece(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "surrogatepass")
-        if "<" in text or not (text.isascii() and text.isprintable() or max(text) < "\u0250" and is_normalized("NFC", text) and text.isprintable() and "\u0130" not in text):
+        if "<" in text or not (
+            text.isascii() and text.isprintable() or max(text) < "\u0250" and is_normalized("NFC", text) and text.isprintable()
+            and "\u0130" not in text
+        ):
             return self.whole(text)
         get = self.parts.get
         return b"".join([get(w) or self.part(w) for w in self.find(text.lower())])
@@ -262,7 +266,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         if held:
             flush()
         cols = list(zip(*made, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["partition", "file", "docs", "ids"])
+        yield pa.record_batch(
+            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
+            ["partition", "file", "docs", "ids"]
+        )
 
     rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
@@ -286,7 +293,10 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, with_ids: bo
                 begins = ends - table["n"]
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
                 doc = pa.array(table["doc"], mask=table["doc"] == _NULL)
-                cols = [pa.array(np.full(len(table), head["partition"], np.int32)), doc, pa.array(head["before"] + begins), pa.array(table["n"].astype(np.int64)), pa.array(crc, pa.int64())]
+                cols = [
+                    pa.array(np.full(len(table), head["partition"], np.int32)), doc, pa.array(head["before"] + begins),
+                    pa.array(table["n"].astype(np.int64)), pa.array(crc, pa.int64())
+                ]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:] if len(ends) else [0]).astype(np.int32)), pa.array(raw.astype(np.int64))))
                 for i in range(0, len(table), 10_000):

@@ -168,7 +168,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(out, pa.float64()), pa.array(spans, pa.list_(pa.string()))], ["doc_id", "score", "offending"])
 
     out = texts(docs).mapInArrow(run, f"doc_id {kind}, score double, offending array<string>")
-    return out.select("doc_id", in_split(F.col("doc_id"), MOD, REST).alias("held_out"), "score", (F.col("score") >= FLOOR).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"), F.array_join("offending", ",").alias("offending"))
+    return out.select(
+        "doc_id", in_split(F.col("doc_id"), MOD, REST).alias("held_out"), "score", (F.col("score") >= FLOOR).cast("int").alias("predicted"),
+        F.size("offending").cast("long").alias("n_offending"), F.array_join("offending", ",").alias("offending")
+    )
 
 
 def _located(text: str) -> list[tuple[int, int]]:

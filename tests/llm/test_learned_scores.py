@@ -45,8 +45,10 @@ def plain_features(text):
     noted = sum(w[-1] < 128 and not chr(w[-1]).isalnum() and chr(w[-1]) not in ".," for w in words) / n
     odd = sum(v for k, v in one.items() if k >= 6) - one[6 + SIGNS.index(".")] - one[6 + SIGNS.index(",")]
     out += [
-        1 - len(set(lines)) / len(lines), 1 - len(set(words)) / n, min(1, len(words) / 50), math.log1p(len(words)) / 12, min(1, len(raw) / n / 20), min(1, max(map(len, words), default=0) / 100),
-        min(1, n / len(lines) / 100), loud, noted, again, math.sqrt(again), math.sqrt(loud), math.sqrt(noted), min(1, 8 * again), min(1, 8 * loud), min(1, 8 * noted), min(1, 20 * odd / len(raw)), 1,
+        1 - len(set(lines)) / len(lines), 1 - len(set(words)) / n, min(1, len(words) / 50), math.log1p(len(words)) / 12, min(1, len(raw) / n / 20),
+        min(1, max(map(len, words), default=0) / 100),
+        min(1, n / len(lines) / 100), loud, noted, again, math.sqrt(again), math.sqrt(loud), math.sqrt(noted), min(1, 8 * again), min(1, 8 * loud),
+        min(1, 8 * noted), min(1, 20 * odd / len(raw)), 1,
     ]
     return out
 

@@ -11,7 +11,12 @@ from lectern.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, k int"
 LONG = "word " * 60_000
-ROWS = [(1, None, None, None, None, 1.0, "x", 1), (2, "", "en", "a", 0, None, None, None), (3, "\n \n", "en", "a", 3, None, None, None), (4, LONG, "en", "b", 1, None, None, None), (5, "same text here for all of us", "en", "b", 1, None, None, None), (5, "same text here for all of us", "en", "b", 1, None, None, None), (6, "same text here for all of us", "en", None, 1, None, None, None), (None, "no id", "en", "c", 1, None, None, None)]
+ROWS = [
+    (1, None, None, None, None, 1.0, "x", 1), (2, "", "en", "a", 0, None, None, None), (3, "\n \n", "en", "a", 3, None, None, None),
+    (4, LONG, "en", "b", 1, None, None, None), (5, "same text here for all of us", "en", "b", 1, None, None, None),
+    (5, "same text here for all of us", "en", "b", 1, None, None, None), (6, "same text here for all of us", "en", None, 1, None, None, None),
+    (None, "no id", "en", "c", 1, None, None, None)
+]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +42,11 @@ def bench(spark):
 def test_odd_and_empty_tables(odd, none, labels, bench):
     for docs in (odd, none):
         n = docs.count()
-        for out in (quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), line_dedup.line_dedup(docs), pii.find_pii(docs), mixing.mix_sources(docs), token_output.token_output(docs, tokenizer_path()), simhash.simhash_near_duplicates(docs), decontam.decontaminate(docs, bench), secret_scan.find_secrets(docs)):
+        for out in (
+            quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), line_dedup.line_dedup(docs), pii.find_pii(docs),
+            mixing.mix_sources(docs), token_output.token_output(docs, tokenizer_path()), simhash.simhash_near_duplicates(docs),
+            decontam.decontaminate(docs, bench), secret_scan.find_secrets(docs)
+        ):
             assert len(out.collect()) == n
         for kept in (quality.accepted(docs, labels), simhash.one_of_each(docs), decontam.clean_only(docs, bench), mixing.mixed(docs)):
             assert kept.columns == docs.columns and kept.count() <= 3 * n
@@ -118,7 +127,10 @@ def test_embeddings_brute_force(spark):
     X[300:320] = X[5]
     rows = [(i, [float(v) for v in x]) for i, x in enumerate(X.astype(np.float32))] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0])]
     for bound in (4096, 16):
-        got = {r.vec_id: r for r in embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), bound=bound).collect()}
+        got = {
+            r.vec_id: r
+            for r in embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), bound=bound).collect()
+        }
         V = X.astype(np.float32).astype(float)
         V /= np.linalg.norm(V, axis=1)[:, None]
         want = ((V @ V.T) >= 0.95).sum(1) - 1
@@ -129,7 +141,10 @@ def test_embeddings_brute_force(spark):
 
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(1)
-    docs = spark.createDataFrame([(i, "w " * int(n), None, "abc"[i % 3] if i % 7 else "d", 0) for i, n in enumerate(rng.integers(0, 90, 600))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, "w " * int(n), None, "abc"[i % 3] if i % 7 else "d", 0) for i, n in enumerate(rng.integers(0, 90, 600))],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     rows = mixing.mix_sources(docs).collect()
     for s in "abcd":
         own = [r for r in rows if r.source == s]

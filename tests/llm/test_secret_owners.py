@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lectern.llm import secret_scan
 
 COPIED, OWN = 'token = "abcdefgh12"', "AKIA" + "B7C8" * 4
-ROWS = [(1, f"x {COPIED} y {OWN}", "en", "a"), (2, f"{COPIED}", "en", "b"), (3, f"{COPIED} {'0f' * 16}", "en", "c"), (4, OWN, "fr", "a"), (5, "nothing", "en", "d"), (6, None, "en", "d")]
+ROWS = [
+    (1, f"x {COPIED} y {OWN}", "en", "a"), (2, f"{COPIED}", "en", "b"), (3, f"{COPIED} {'0f' * 16}", "en", "c"), (4, OWN, "fr", "a"),
+    (5, "nothing", "en", "d"), (6, None, "en", "d")
+]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 

@@ -10,7 +10,10 @@ from hypothesis import strategies as st
 from lectern.llm import decontam, embed_dedup, line_dedup, mixing, pii, quality, secret_scan, simhash, token_output, toxicity
 from lectern.llm.queries import tokenizer_path
 
-CLASH = ("row", "h", "owner", "repository", "y", "shard", "block", "place", "places", "key", "value", "k", "fp", "rep", "n", "v", "own", "a", "b", "found", "base", "more", "votes", "size", "target", "taken", "copies", "score", "bin", "f", "x", "node", "label", "last")
+CLASH = (
+    "row", "h", "owner", "repository", "y", "shard", "block", "place", "places", "key", "value", "k", "fp", "rep", "n", "v", "own", "a", "b", "found",
+    "base", "more", "votes", "size", "target", "taken", "copies", "score", "bin", "f", "x", "node", "label", "last"
+)
 
 
 # --- line dedup --------------------------------------------------------------------------------------------------------
@@ -30,8 +33,10 @@ def test_span_classifier_accepts_some_and_rejects_others_of_a_kind(spark):
     rng = np.random.default_rng(1)
     number = lambda: f"{rng.integers(200, 989)} 555 {rng.integers(1000, 9999)}"
     kinds = {
-        "call": lambda i: f"Please call {number()} today.", "order": lambda i: f"Order {rng.integers(10**8, 10**9)} was sent", "invoice": lambda i: f"invoice no {rng.integers(10**8, 10**9)} paid",
-        "plus": lambda i: f"ring +1 415 555 {rng.integers(1000, 9999)} now", "words": lambda i: f"write jo{i} [at] site [dot] com please", "bare": lambda i: f"see foo{i}@bar here", "mail": lambda i: f"mail a{i}@b.org",
+        "call": lambda i: f"Please call {number()} today.", "order": lambda i: f"Order {rng.integers(10**8, 10**9)} was sent",
+        "invoice": lambda i: f"invoice no {rng.integers(10**8, 10**9)} paid",
+        "plus": lambda i: f"ring +1 415 555 {rng.integers(1000, 9999)} now", "words": lambda i: f"write jo{i} [at] site [dot] com please",
+        "bare": lambda i: f"see foo{i}@bar here", "mail": lambda i: f"mail a{i}@b.org",
         "version": lambda i: f"version 1.2.{rng.integers(256, 999)}.4 of it", "host": lambda i: f"host 93.184.{rng.integers(1, 254)}.34 up",
     }
     rows = [(i, name, kinds[name](i)) for i, name in enumerate(list(kinds) * 30)]
@@ -123,16 +128,25 @@ def test_plan_is_calibrated():
 
 def test_embeddings_odd(spark):
     kinds = "vec_id long, embedding array<float>, " + ", ".join(f"{c} string" for c in CLASH)
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (None, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (9, [-1.0]), (10, [])]
+    rows = [
+        (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (None, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
+        (7, [float("inf"), 1.0]), (8, [1.0]), (9, [-1.0]), (10, [])
+    ]
     docs = spark.createDataFrame([(*r, *CLASH) for r in rows], kinds)
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in embed_dedup.embedding_near_duplicates(docs).collect())
-    assert got == [(-1, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True)]
+    assert got == [
+        (-1, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True),
+        (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True)
+    ]
     assert embed_dedup.embedding_near_duplicates(docs.limit(0)).count() == 0
 
 
 # --- all of them, on a table whose names clash -----------------------------------------------------------------------------
 LONG = "A sentence of a very long text with jo@mail.org in it.\n" * 8000
-ROWS = [(1, "one two three four five", "s"), (1, "one two three four five", "s"), (2, "", "s"), (3, None, None), (None, "one two three four five", "t"), (4, LONG, "t"), (5, 'token = "abcdefgh1234" and mail jo@mail.org', "u")]
+ROWS = [
+    (1, "one two three four five", "s"), (1, "one two three four five", "s"), (2, "", "s"), (3, None, None), (None, "one two three four five", "t"),
+    (4, LONG, "t"), (5, 'token = "abcdefgh1234" and mail jo@mail.org', "u")
+]
 
 
 @pytest.fixture(scope="module")
@@ -160,7 +174,10 @@ def test_values_on_clashing_names(clash, labels, bench):
     assert by_id(line_dedup.line_dedup(clash), "n_lines", "n_dropped") == [(-1, 1, 1), (1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0), (4, lines, 0), (5, 1, 0)]
     assert [x[:2] for x in by_id(pii.find_pii(clash), "n_email")] == [(-1, 0), (1, 0), (1, 0), (2, 0), (3, 0), (4, 8000), (5, 1)]
     assert by_id(secret_scan.find_secrets(clash), "n_assign", "base_live_spans") == [(-1, 0, ""), (1, 0, ""), (1, 0, ""), (2, 0, ""), (3, 0, ""), (4, 0, ""), (5, 1, "assign:0:21")]
-    assert by_id(decontam.decontaminate(clash, bench), "n_words", "n_hit", "n_items", "contaminated") == [(-1, 5, 4, 1, True), (1, 5, 4, 1, True), (1, 5, 4, 1, True), (2, 0, 0, 0, False), (3, 0, 0, 0, False), (4, 8000 * 13, 0, 0, False), (5, 7, 0, 0, False)]
+    assert by_id(decontam.decontaminate(clash, bench), "n_words", "n_hit", "n_items", "contaminated") == [
+        (-1, 5, 4, 1, True), (1, 5, 4, 1, True), (1, 5, 4, 1, True), (2, 0, 0, 0, False), (3, 0, 0, 0, False), (4, 8000 * 13, 0, 0, False),
+        (5, 7, 0, 0, False)
+    ]
     prints = {r.doc_id: r for r in simhash.simhash_near_duplicates(clash).collect()}
     assert prints[2].fingerprint == prints[3].fingerprint == "0" * 16 and prints[3].component_id == 2 and prints[None].component_id == 1 and prints[4].component_id == 4
     tokens = by_id(token_output.token_output(clash, tokenizer_path()), "start", "n_tokens")
