@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ from lectern.operators import reports as R
 from lectern.operators import scoring as Q
 from lectern.operators import sections as S
 from lectern.plans.adapter import ITEMS_SQL, PAPERS_SQL, SECTIONS_SQL, items, papers, sections
-from lectern.plans.catalogue import ALL, OPTIMIZED, _stages, _tok, _yr, add, anyof, c, case, flags, lit, on_papers, rx, scalar, st, table
+from lectern.plans.catalogue import ALL, OPTIMIZED, WITH_MAP, _stages, _tok, _yr, add, anyof, c, case, flags, lit, on_papers, rx, scalar, st, table, whole
 from lectern.plans.further import ORACLES, QUERIES
 from lectern.plans.selections import _struct
-from lectern.sources import payloads, records, tei, tei_variants
+from lectern.sources import payloads, records, tei_variants
 from lectern.streaming import incremental
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -622,3 +624,30 @@ add(
     lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.06 * F.count_distinct("l_partkey")).alias("within")),
     "SELECT l_returnflag, true AS within FROM lineitem GROUP BY 1",
 )
+
+
+# --- abstract recovery -------------------------------------------------------------------------------------------------
+def _recovered() -> str:
+    """The recovery chain on the five aggregated sections: methods, introduction, a section named like the title, sentences."""
+    count = lambda e, words: "(" + " + ".join(f"CAST(contains({e}, {lit(w)}) AS INT)" for w in words) + ")"
+    split = lambda e: f"string_split({rx(e, '([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1))}, chr(1))"
+    pick = lambda e, words: f"list_filter({split(e)}[1:3], x -> {anyof('lower(x)', words)})[1]"
+    named = [
+        (
+            f"len(list_filter(words, x -> contains({lit(k)}, x))) >= 2 AND {anyof(f'lower(substr({k}, 1, 2000))', S.TITLE_PHRASES)}",
+            st(f"substr({k}, 1, 1500)")
+        )
+        for k in ("conclusion", "discussion", "introduction", "methods", "results")
+    ]
+    made = f"list_filter([{pick('methods', ('participants', 'assigned', 'conducted', 'we'))}, {pick('results', ('significant', 'found', 'demonstrated', 'showed'))}, {split('conclusion')}[1]], x -> x IS NOT NULL)"
+    return f"""{WITH_MAP}, parts AS (SELECT m.*, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{4,}}') AS words,
+    CASE WHEN contains(methods, chr(10) || chr(10)) THEN split_part(methods, chr(10) || chr(10), 1) ELSE substr(methods, 1, 1500) END AS head FROM m
+    JOIN papers USING (paper_id)), told AS (SELECT *, {made} AS made FROM parts)
+    SELECT paper_id, coalesce(CASE WHEN {count('lower(head)', S.METHOD_WORDS)} >= 2 THEN {st('head')} END,
+    CASE WHEN length(introduction) >= 500 AND {count('lower(substr(introduction, 1, 2000))', S.INTRO_WORDS)} >= 3 THEN
+    {st("substr(array_to_string(string_split(introduction, chr(10) || chr(10))[1:3], chr(10) || chr(10)), 1, 1500)")} END,
+    {case(named)}, CASE WHEN len(made) >= 2 THEN '[Abstract synthesized from paper sections] ' || array_to_string(made, ' ') END) AS abstract FROM
+    told"""
+
+
+ORACLES["abstract_recovery"] = whole(re.sub(r"\b([a-z]) -> ", r"lambda \1: ", _recovered()))
