@@ -240,3 +240,32 @@ def smart_get(s: DataFrame, question: str, k: int = 10) -> DataFrame:
     hits = sum((F.lower("text").contains(w).cast("int") for w in words), F.lit(0))
     rows = get_sections(s, wanted) if wanted else s
     return rows.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "paper_id", "type").limit(k)
+
+
+# Fixed values of the tiered extractor: the least similarity of a fuzzy match, and how many types end the first and second tier.
+FUZZY, FIRST_EXIT, SECOND_EXIT = 0.75, 5, 4
+CANONICAL = tuple(kind for kind, _ in NARROW)
+
+
+def fuzzy_type(name: Column) -> Column:
+    """The first type whose name is at least FUZZY similar: 1 less the edit distance as a share of the longer one."""
+    alike = lambda k: 1 - F.levenshtein(name, F.lit(k)) / F.greatest(F.length(name), F.lit(len(k))) >= FUZZY
+    return first_case([(alike(k), k) for k in CANONICAL])
+
+
+def sections_tiered(rows: DataFrame) -> DataFrame:
+    """(paper_id, pos, type, tier): headers that are a type's name, then those that hold one of its words, then similar ones.
+
+    A tier is tried only for papers in which those before found fewer types than their exit asks for.
+    """
+    low, name = strip(F.lower("header")), header(F.col("header"))
+    exact = first_case([(low == k, k) for k in CANONICAL])
+    each = F.collect_set
+    one = rows.select("paper_id", "pos", exact.alias("t1"), section_type(low).alias("t2"), fuzzy_type(name).alias("t3"))
+    found = one.groupBy("paper_id").agg(F.size(each("t1")).alias("n1"), F.size(each(F.coalesce("t1", "t2"))).alias("n2"))
+    both = one.join(found, "paper_id")
+    second = F.when(F.col("n1") < FIRST_EXIT, F.col("t2"))
+    third = F.when((F.col("n1") < FIRST_EXIT) & (F.col("n2") < SECOND_EXIT), F.col("t3"))
+    tier = first_case([(F.col("t1").isNotNull(), 1), (second.isNotNull(), 2), (third.isNotNull(), 3)])
+    out = both.select("paper_id", "pos", F.coalesce("t1", second, third).alias("type"), tier.alias("tier"))
+    return out.where("type IS NOT NULL")

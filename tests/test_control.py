@@ -123,3 +123,16 @@ def test_vector_ranking_without_query(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.similarity) for r in top_similar(rows, rows.where("vec_id = 0"), 2).collect()] == [(0, 1.0), (1, 1.0)]
     assert top_similar(rows, rows.where("vec_id = 99"), 2).count() == 0
+
+
+def test_section_tiers(spark):
+    from lectern.operators.sections import sections_tiered
+
+    heads = {
+        "full": ["Introduction", "Methods", "Results", "Discussion", "Conclusion", "Rasults"], "few": ["Introduktion", "Rasults", "Methdos"],
+        "four": ["Introduction", "Our methods", "Key findings", "Discussion", "Conclussion"]
+    }
+    rows = spark.createDataFrame([(p, i, h) for p, hs in heads.items() for i, h in enumerate(hs)], "paper_id string, pos int, header string")
+    got = sorted((r.paper_id, r.pos, r.type, r.tier) for r in sections_tiered(rows).collect())
+    assert [x[1:] for x in got if x[0] == "full"] == [(i, t, 1) for i, t in enumerate(("introduction", "methods", "results", "discussion", "conclusion"))]
+    assert [x[1:] for x in got if x[0] == "few"] == [(0, "introduction", 2), (1, "results", 3)] and [x[3] for x in got if x[0] == "four"] == [1, 2, 2, 1, 2]
