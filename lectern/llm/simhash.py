@@ -8,7 +8,8 @@ a group of near copies costs as many rows as it has members, and no link's conne
 
 Defined results: a null or empty text, and a text of white space only, has fingerprint 0 and links as any other. Equal
 texts share a fingerprint. Rows that repeat a doc_id count as that document; a null doc_id is never the smallest one
-unless nothing else is reachable. Other columns are ignored.
+unless nothing else is reachable, where the component is null. Very long texts are taken whole. An empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm.common import small, strings, texts, written
 from lectern.llm.graph import components, in_groups, split_hot
@@ -142,22 +142,33 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat its id and fingerprint go.
+    """docs with one document of each component: the one with the smallest doc_id, null last, with all its columns.
 
-    Components are taken of fingerprints, so rows with a null or repeated doc_id stay if their texts are no near-duplicates.
+    Fingerprints are made once, beside two hashes of the text that Spark makes of rows wherever it needs them again, so the
+    rows to keep are found by doc_id and hashes. Components are taken of fingerprints, so rows with a null or repeated
+    doc_id stay if their texts are no near-duplicates; of rows that repeat both doc_id and text one stays. Null and empty
+    texts are near-duplicates of each other. An empty table gives an empty one.
     """
-    classes = written(fingerprints(docs), "prints").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
-    found = near_components(classes.select("fp", F.col("fp").alias("doc_id"))).select("fp", "component")
-    first = classes.join(found, "fp").groupBy("component").agg(F.min(F.struct("least.none", "least.doc_id", "fp")).alias("_k"))
-    keep = first.select(F.col("_k.doc_id").alias("_lectern_keep"), F.col("_k.fp").alias("_lectern_fp"))
-    at = docs.columns.index("text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    marks = (F.xxhash64(plain, F.lit(1)), F.xxhash64(plain, F.lit(2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            raw = b"".join(fingerprint(t) for t in strings(b.column(at)))
+            raw = b"".join(fingerprint(t) for t in strings(b.column(1)))
             fp = pa.array(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "_lectern_own"])
+            yield pa.record_batch([b.column(0), fp, b.column(2), b.column(3)], ["doc_id", "fp", "h1", "h2"])
 
-    own = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lectern_own", LongType())]))
-    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_lectern_keep")) & (F.col("_lectern_own") == F.col("_lectern_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_lectern_own"]).drop("_lectern_own")
+    rows = docs.select("doc_id", plain.alias("text"), marks[0].alias("h1"), marks[1].alias("h2"))
+    prints = written(rows.mapInArrow(run, f"doc_id {kind}, fp long, h1 long, h2 long"), "prints")
+    each = prints.groupBy("fp", "doc_id", "h1", "h2").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "n")
+    classes = each.groupBy("fp").agg(F.min(order).alias("least"))
+    found = near_components(classes.select("fp", F.col("fp").alias("doc_id"))).select("fp", "component")
+    first = classes.join(found, "fp").groupBy("component").agg(F.min("least").alias("k")).select("k.*")
+    keep = written(first.select(F.col("doc_id").alias("_lectern_keep"), F.col("h1").alias("_lectern_1"), F.col("h2").alias("_lectern_2"), "n"), "keep")
+    same = F.col("doc_id").eqNullSafe(F.col("_lectern_keep")) & (marks[0] == F.col("_lectern_1")) & (marks[1] == F.col("_lectern_2"))
+    # Only rows that stand there more than once are gathered to leave one of them.
+    many = docs.join(keep.where("n > 1"), same, "left_semi")
+    many = many.withColumns({"_lectern_1": marks[0], "_lectern_2": marks[1]}).dropDuplicates(["doc_id", "_lectern_1", "_lectern_2"])
+    return docs.join(keep.where("n = 1"), same, "left_semi").unionByName(many.drop("_lectern_1", "_lectern_2"))
