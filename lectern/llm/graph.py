@@ -76,12 +76,34 @@ def column(x: pa.ChunkedArray) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges beyond which a node's are dealt over several places, at least, and most nodes that this may be.
+HUB_EDGES, MOST_HUBS = 200_000, 100_000
+
+
+def _with_least(rows: DataFrame, key: str, least: DataFrame, hub: int | None) -> DataFrame:
+    """rows (u, v) joined by key with least (x, m, n), of which n counts the rows that an x has there.
+
+    Rows of an x with more than `hub` of them are dealt over n / hub places, each with a copy of its m. Such nodes are at
+    most rows / hub, so their list may be broadcast.
+    """
+    if hub is None:
+        return rows.join(least, F.col(key) == F.col("x"))
+    places = F.ceil(F.col("n") / hub).cast("int")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select(F.col("x").alias("_x"), places.alias("_p")))
+    other = "v" if key == "u" else "u"
+    dealt = rows.join(hubs, F.col(key) == F.col("_x"), "left")
+    dealt = dealt.withColumn("_at", F.pmod(F.xxhash64(other), F.coalesce("_p", F.lit(1)).cast("long")).cast("int"))
+    copied = least.withColumn("_to", F.explode(F.sequence(F.lit(0), places - 1)))
+    return dealt.join(copied, (F.col(key) == F.col("x")) & (F.col("_at") == F.col("_to")))
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hub: int | None = None) -> DataFrame:
     """(node, label) for every node of the edges (u, v): label is the smallest node reachable.
 
-    Large-star and small-star rounds over written tables: each round is a min per node, which combines before its
-    shuffle, and a join back; hubs are dealt by the join's skew splitting. Nothing is gathered in one place. Labels that
-    still change after most_rounds raise an error.
+    Large-star and small-star rounds over written tables: each round is a min per node, which combines before its shuffle,
+    and a join back, in which hubs are dealt over several places (`hub` edges each; by default HUB_EDGES, or more where
+    that would make more than MOST_HUBS hubs). Nothing is gathered in one place. Labels that still change after
+    most_rounds raise an error.
     """
     now = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     seen = None
@@ -90,12 +112,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0] or mark == seen:
             break
         seen = mark
+        size = hub or max(HUB_EDGES, 2 * mark[0] // MOST_HUBS)
+        size = size if mark[0] > size else None  # no node can have so many
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), "u", least, size).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # Small-star: every node's lower neighbours, and itself, hang from the lowest of them.
-        low = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("x"), "m")
-        hung = large.join(low, F.col("v") == F.col("x"))
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select(F.col("v").alias("x"), "m", "n")
+        hung = _with_least(large, "v", low, size)
         small = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
         now = written(small, "edges")
     else:
