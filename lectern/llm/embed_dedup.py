@@ -12,6 +12,11 @@ pairs collide and how often they meet in a table. The number of sign bits grows
 vectors, so work grows little faster than the input. Cells are needed because a window alone holds a fixed share of all
 vectors on any line: at 0.95 some 0.6 of them, which would be a quadratic number of pairs.
 
+Counting needs no vectors: a row of the first search is a cell, a number, its place along the table's line and twelve
+projections of 8 bits. Vectors are joined to those rows only that have a partner with enough collisions, and the second
+search repeats windows and counts exactly and verifies. What is shuffled per table is thus some 40 bytes a vector, and the
+vectors only as often as they have candidates.
+
 A pair that meets in several tables counts in the first of them only, so links are summed without listing pairs, and
 each cell hands on a spanning forest of its links for the components. Equal vectors are one class with a size.
 
@@ -33,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import small, written
 from lectern.llm.graph import components, in_groups, split_hot
 
 #: Most rows of a cell that are handled as one group, counted lines, and vectors to calibrate on.
 CELL_BOUND, COUNTED, SAMPLE = 4096, 12, 1000
+#: Steps of a window in which the counted projections travel.
+STEPS = 16
 #: What share of the pairs at the threshold must meet in a table, and what share of those must reach the count.
 MEET, REACH = 0.995, 0.999
 
@@ -68,6 +75,49 @@ def projections(dim: int, lines: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, lines))
 
 
+def _windows(along: np.ndarray, lo: int, hi: int, window: float, own: np.ndarray | None, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows lo..hi whose places along a line differ by no more than a window, about `most` at a time.
+
+    With own, only pairs of different chunks, for the others meet in a group of their own.
+    """
+    at = lo + np.argsort(along[lo:hi], kind="stable")
+    ends = np.searchsorted(along[at], along[at] + window, "right")
+    n = np.maximum(ends - np.arange(len(at)) - 1, 0)
+    begin = 0
+    while begin < len(at):
+        stop = min(len(at), max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), most)) + begin))
+        m = n[begin:stop]
+        first = np.repeat(np.arange(begin, stop), m)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(m) - m, m)
+        X, Y = at[first], at[second]
+        if own is not None:
+            meet = own[X] != own[Y]
+            X, Y = X[meet], Y[meet]
+        yield X, Y
+        begin = stop
+
+
+def _collisions(p: dict):
+    """Marks the rows of a cell that have a partner within the window and with enough collisions.
+
+    A row has its place along the table's line and its COUNTED projections in 8 bits each, in steps of a STEPS-th of the
+    window: a collision is one of the exact projections or lies just beyond, so no partner is lost.
+    """
+
+    def search(c: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        q = np.concatenate([np.ascontiguousarray(c[x]).view(np.uint8).reshape(-1, 8) for x in ("q1", "q2")], 1)[:, :COUNTED].astype(np.int16)
+        along, marked = c["along"].astype(np.float64), np.zeros(len(q), bool)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            for X, Y in _windows(along, lo, hi, p["window"] + 1e-4, c["own"] if c["a"][lo] != c["b"][lo] else None):
+                new = ~(marked[X] & marked[Y])
+                X, Y = X[new], Y[new]
+                hit = (np.abs(q[X] - q[Y]) <= STEPS + 1).sum(1) >= p["count"]
+                marked[X[hit]] = marked[Y[hit]] = True
+        return pa.record_batch([pa.array(c[x][marked]) for x in ("k", "cid")], ["k", "cid"])
+
+    return search
+
+
 def _search(p: dict, lines: np.ndarray, threshold: float):
     counted, sorting = lines[:, -COUNTED:], lines[:, : p["tables"] * (1 + p["bits"])]
 
@@ -98,9 +148,6 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
                 continue
             t = int(c["k"][lo] >> 40)
             along[lo:hi] = V[lo:hi] @ lines[:, t]
-            at = lo + np.argsort(along[lo:hi], kind="stable")
-            ends = np.searchsorted(along[at], along[at] + p["window"], "right")
-            n = np.maximum(ends - np.arange(len(at)) - 1, 0)
             total = np.zeros(hi - lo, np.int64)
             up = np.arange(hi - lo)
 
@@ -110,16 +157,7 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
                     i = up[i]
                 return i
 
-            begin = 0
-            while begin < len(at):  # windows of some members at a time, about 200,000 pairs
-                stop = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), 200_000)) + begin)
-                m = n[begin:stop]
-                first = np.repeat(np.arange(begin, min(stop, len(at))), m)
-                second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(m) - m, m)
-                X, Y = at[first], at[second]
-                if c["a"][lo] != c["b"][lo]:
-                    meet = own[X] != own[Y]
-                    X, Y = X[meet], Y[meet]
+            for X, Y in _windows(along, lo, hi, p["window"], own if c["a"][lo] != c["b"][lo] else None):
                 X, Y = links(V, along, C, X, Y, t)
                 np.add.at(total, X - lo, size[Y])
                 np.add.at(total, Y - lo, size[X])
@@ -127,7 +165,6 @@ def _search(p: dict, lines: np.ndarray, threshold: float):
                     x, y = root(x), root(y)
                     if x != y:
                         up[max(x, y)] = min(x, y)
-                begin = stop
             found = np.flatnonzero(total)
             out.append((cid[lo + found], total[found], vid[lo + found], vid[lo + np.array([root(i) for i in found], int)]))
         cat = lambda k: np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64)
@@ -175,15 +212,22 @@ def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: in
     p, lines = plan(classes.count(), threshold, unit / np.linalg.norm(unit, axis=1)[:, None], seed)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2000):
             V = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            S = cells(V / np.linalg.norm(V, axis=1)[:, None] @ lines, p)
-            k = (S + (np.arange(p["tables"], dtype=np.int64) << 40)).ravel()
-            of = pa.array(np.repeat(np.arange(b.num_rows), p["tables"]))
-            yield pa.record_batch([pa.array(k), *(b.column(i).take(of) for i in range(4))], ["k", "v", "vec_id", "n", "cid"])
-
-    kind = classes.schema["v"].dataType.simpleString()
-    dealt = classes.repartition(max(2, min(2000, classes.rdd.getNumPartitions()))).select("v", "vec_id", "n", "cid").mapInArrow(keyed, f"k long, v {kind}, vec_id long, n long, cid long")
+            P, t = V / np.linalg.norm(V, axis=1)[:, None] @ lines, p["tables"]
+            k = (cells(P, p) + (np.arange(t, dtype=np.int64) << 40)).ravel()
+            q = np.zeros((len(V), 16), np.uint8)
+            q[:, :COUNTED] = np.clip(np.floor(P[:, -COUNTED:] * (STEPS / p["window"])) + 128, 0, 255)
+            of = np.repeat(np.arange(len(V)), t)
+            marks = q.view(np.int64)[of]
+            along = pa.array(P[:, :t].ravel().astype(np.float32))
+            yield pa.record_batch([pa.array(k), b.column(1).take(pa.array(of)), along, *(pa.array(marks[:, i].copy()) for i in (0, 1))], ["k", "cid", "along", "q1", "q2"])
+
+    some = classes.repartition(max(2, min(2000, classes.rdd.getNumPartitions()))).select("v", "cid")
+    small_rows = some.mapInArrow(keyed, "k long, cid long, along float, q1 long, q2 long")
+    # Vectors travel to those cells only in which they have a partner to verify.
+    near = in_groups(split_hot(small_rows, "k", bound), "k", _collisions(p), "k long, cid long").distinct()
+    dealt = near.join(classes, "cid").select("k", "v", "vec_id", "n", "cid")
     links = written(in_groups(split_hot(dealt, "k", bound), "k", _search(p, lines, threshold), "cid long, n long, u long, v long"), "links")
     totals = links.groupBy("cid").agg(F.sum("n").alias("others"))
     found = components(links.select("u", "v"))
