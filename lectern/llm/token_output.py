@@ -11,8 +11,10 @@ Documents are dealt by ranges of doc_id, sorted within (ties by text), tokenized
 them, in files of about `file_ids` ids, so memory does not depend on the size of a partition. A file is written under
 another name and then renamed; a repeated task writes the same bytes. The files are then read back through Spark.
 
-Defined results: a null text is empty and has the end id alone. A null doc_id comes first; the files mark it by the
-lowest long. Repeated rows are documents of their own. An empty table writes no file.
+Defined results: a null text is empty and has the end id alone. Very long texts are encoded whole; a document lies in
+one file, however long. A null doc_id comes first; the files mark it by the lowest long, -2^63, which as an id is
+therefore read back as null. Ties of doc_id go by text; repeated rows are documents of their own. An empty table writes
+no file and gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
