@@ -64,31 +64,35 @@ NEEDS = {
 }
 
 
-def extracted(text: Column, pattern: str, group: int = 1, any_case: bool = True) -> Column:
+# Where a text is searched for much, `low` is a column that already holds it in lower case, made in a projection of its own:
+# an expression that is not compiled, as most on arrays are not, would lower the text again for each test.
+
+
+def extracted(text: Column, pattern: str, group: int = 1, any_case: bool = True, low: Column | None = None) -> Column:
     """All matches of one pattern."""
     hits = F.regexp_extract_all(text, F.lit("(?i)" * any_case + pattern), F.lit(group))
     if pattern not in NEEDS:
         return hits
-    return F.when(F.lower(text).contains(NEEDS[pattern]), hits).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+    return F.when((F.lower(text) if low is None else low).contains(NEEDS[pattern]), hits).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
-def found(text: Column, patterns: tuple[str, ...], group: int = 1, any_case: bool = True) -> Column:
+def found(text: Column, patterns: tuple[str, ...], group: int = 1, any_case: bool = True, low: Column | None = None) -> Column:
     """All matches of all patterns, in the order of the patterns."""
-    return F.flatten(F.array(*(extracted(text, p, group, any_case) for p in patterns)))
+    return F.flatten(F.array(*(extracted(text, p, group, any_case, low) for p in patterns)))
 
 
-def sample_sizes(text: Column) -> Column:
-    sizes = F.transform(found(text, SAMPLE_SIZE), lambda x: x.try_cast("long"))
+def sample_sizes(text: Column, low: Column | None = None) -> Column:
+    sizes = F.transform(found(text, SAMPLE_SIZE, low=low), lambda x: x.try_cast("long"))
     return F.sort_array(F.array_distinct(F.filter(sizes, lambda x: x.between(10, 1_000_000))), False)
 
 
-def p_values(text: Column) -> Column:
-    values = F.transform(found(text, P_VALUE), lambda x: x.try_cast("double"))
+def p_values(text: Column, low: Column | None = None) -> Column:
+    values = F.transform(found(text, P_VALUE, low=low), lambda x: x.try_cast("double"))
     return F.array_sort(F.array_distinct(F.filter(values, lambda x: x.between(0, 1))))
 
 
-def intervals(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(found(text, INTERVAL)))
+def intervals(text: Column, low: Column | None = None) -> Column:
+    return F.array_sort(F.array_distinct(found(text, INTERVAL, low=low)))
 
 
 def ratios(text: Column, name: str) -> Column:
@@ -101,25 +105,25 @@ def version_group(pattern: str) -> int:
     return int("([" in pattern)
 
 
-def software(text: Column) -> Column:
+def software(text: Column, low: Column | None = None) -> Column:
     """Names in the table's order, each with what its first match holds. "SPSS version 26" gives SPSS alone, as "v" matches
     first and no digit follows it; "MATLAB R2019a" gives "MATLAB MATLAB R2019a". Both are as surveyed."""
     each = []
     for name, pattern in SOFTWARE:
-        hits = extracted(text, pattern, version_group(pattern))
+        hits = extracted(text, pattern, version_group(pattern), low=low)
         first = F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
         each.append(F.when(F.size(hits) > 0, F.when(first != "", F.concat(F.lit(name + " "), first)).otherwise(name)))
     return F.array_compact(F.array(*each))
 
 
-def named(text: Column, names: tuple[str, ...]) -> Column:
+def named(text: Column, names: tuple[str, ...], low: Column | None = None) -> Column:
     """Those of the names that the text holds in any case."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     return F.array_compact(F.array(*(F.when(low.contains(n.lower()), F.lit(n)) for n in names)))
 
 
-def availability(text: Column) -> Column:
-    low = F.lower(text)
+def availability(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
     stated = low.contains("data availability") | low.contains("data sharing")
     return F.struct(
         stated.alias("has_statement"), (stated & low.contains("available") & ~low.contains("request")).alias("is_available"),
@@ -127,12 +131,12 @@ def availability(text: Column) -> Column:
     )
 
 
-def distinct_of(text: Column, patterns: tuple[str, ...], any_case: bool = True) -> Column:
-    return F.array_sort(F.array_distinct(found(text, patterns, 0, any_case)))
+def distinct_of(text: Column, patterns: tuple[str, ...], any_case: bool = True, low: Column | None = None) -> Column:
+    return F.array_sort(F.array_distinct(found(text, patterns, 0, any_case, low)))
 
 
-def study_type(text: Column) -> Column:
-    low = F.lower(text)
+def study_type(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
     return first_case([(contains_any(low, words), label) for label, words in STUDY_TYPES])
 
 

@@ -43,15 +43,19 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     """Adds the eight components. p: title, abstract, venue, year, citations, methods, results, introduction, discussion,
     num_references, doi, and entity arrays study_types, sample_sizes, p_values, intervals, effects, software, code, and n_entities."""
     c = F.col
+    # Texts that many words are looked for in are lowered once, in a projection of their own.
+    told = F.concat(F.coalesce("methods", F.lit("")), F.coalesce("results", F.lit("")))
+    linked = F.concat(F.coalesce("abstract", F.lit("")), F.coalesce("methods", F.lit("")))
+    p = p.withColumns({"_told": F.lower(told), "_linked": F.lower(linked), "_head": F.lower(F.concat_ws(" ", "abstract", "title"))})
     has = lambda x: present(c(x))
     some = lambda x: F.size(c(x)) > 0
-    text = F.lower(F.concat_ws(" ", "abstract", "title"))
+    text = c("_head")
     listed = F.array_max(F.transform("study_types", lambda s: F.greatest(*(F.when(F.lower(s).contains(k), v).otherwise(0) for k, v in STUDY_POINTS))))
     study = F.when(some("study_types"), listed).otherwise(first_case([(text.contains(k), v) for k, v in STUDY_POINTS], 0)) / 10 * 20
     sample = F.when(some("sample_sizes"), _bands(F.array_max("sample_sizes"), ((10000, 1.0), (1000, 0.8), (500, 0.6), (100, 0.4), (50, 0.2)), 0.1) * 15).otherwise(0.0)
     stats = (
         F.when(some("p_values"), 5).otherwise(0) + F.when(some("intervals"), 5).otherwise(0) + F.when(some("effects"), 3).otherwise(0)
-        + F.when(contains_any(F.lower(F.concat(F.coalesce("methods", F.lit("")), F.coalesce("results", F.lit("")))), TESTS), 2).otherwise(0)
+        + F.when(contains_any(c("_told"), TESTS), 2).otherwise(0)
     ) / 15 * 15
     venue = F.lower("venue")
     venues = first_case([(~has("venue"), 0.0), (contains_any(venue, TOP_VENUES), 15.0), (contains_any(venue, PUBLISHERS), 9.0), (venue != "unknown", 4.5)], 0.0)
@@ -61,14 +65,14 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     rate = F.coalesce(F.try_divide(c("citations").cast("double"), age + 1), c("citations").cast("double"))
     cited = _bands(rate, ((50, 1.0), (20, 0.8), (10, 0.6), (5, 0.4), (1, 0.2)), 0.1) * 10
     whole = sum((F.when(has(x), 1).otherwise(0) for x in ("title", "abstract", "introduction", "methods", "results", "discussion", "doi")), F.lit(0)) + F.when(c("num_references") > 0, 1).otherwise(0) + first_case([(c("n_entities") > 20, 2), (c("n_entities") > 10, 1)], 0)
-    links = contains_any(F.lower(F.concat(F.coalesce("abstract", F.lit("")), F.coalesce("methods", F.lit("")))), ("github", "repository", "code available"))
+    links = contains_any(c("_linked"), ("github", "repository", "code available"))
     again = F.least(
         F.lit(5.0),
         F.when(some("code"), 2.5).otherwise(0.0) + F.when(c("data_available"), 2.5).otherwise(0.0) + F.when(some("software"), 1.0).otherwise(0.0)
         + F.when(links, 1.0).otherwise(0.0)
     )
     values = (study, sample, stats, venues, recency, cited, whole / 10 * 10, again)
-    return p.withColumns({k: F.round(v.cast("double"), 6) for k, v in zip(WEIGHTS, values, strict=True)})
+    return p.withColumns({k: F.round(v.cast("double"), 6) for k, v in zip(WEIGHTS, values, strict=True)}).drop("_told", "_linked", "_head")
 
 
 def total(scored: DataFrame) -> DataFrame:

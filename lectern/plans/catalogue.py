@@ -41,7 +41,7 @@ def on_papers(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None
 
 def scalar(name: str, out: Callable[[], Column], sql: str) -> None:
     """One computed column, out, per paper. Columns are made when a query runs, for they need a session."""
-    on_papers(name, lambda p: p.select("paper_id", out().alias("out")), f"SELECT paper_id, {sql} AS out FROM papers")
+    on_papers(name, lambda p: p.withColumn("low", F.lower("body")).select("paper_id", out().alias("out")), f"SELECT paper_id, {sql} AS out FROM papers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -628,7 +628,7 @@ join = lambda x: F.array_join(x.cast("array<string>") if not isinstance(x, str)
 ALL = lambda patterns, g=1, ci="(?i)": "flatten([" + ", ".join(f"regexp_extract_all(body, '{ci}{p}', {g})" for p in patterns) + "])"
 text_of = lambda e: f"array_to_string({e}, ',')"
 NUM = f"list_filter(list_transform({ALL(E.SAMPLE_SIZE)}, x -> try_cast(x AS BIGINT)), x -> x BETWEEN 10 AND 1000000)"
-scalar("entities_sample_sizes", lambda: join(E.sample_sizes(c("body"))), text_of(f"list_reverse_sort(list_distinct({NUM}))"))
+scalar("entities_sample_sizes", lambda: join(E.sample_sizes(c("body"), c("low"))), text_of(f"list_reverse_sort(list_distinct({NUM}))"))
 on_papers(
     "entities_p_values", lambda p: p.select("paper_id", F.size(E.p_values(c("body"))).alias("n"), F.array_min(E.p_values(c("body"))).alias("least")),
     f"SELECT paper_id, CAST(len(list_distinct(v)) AS INT) AS n, list_min(v) AS least FROM (SELECT paper_id, list_transform({ALL(E.P_VALUE)}, x -> "
@@ -644,7 +644,7 @@ on_papers(
     f"DOUBLE) AS odds, CAST({ALL((r'HR\s*[=:]\s*(\d+\.?\d*)',))}[1] AS DOUBLE) AS hazard FROM papers"
 )
 scalar(
-    "entities_software", lambda: join(E.software(c("body"))),
+    "entities_software", lambda: join(E.software(c("body"), c("low"))),
     text_of(
         "list_filter(["
         + ", ".join(
@@ -657,8 +657,8 @@ scalar(
     )
 )
 NAMED = lambda names: text_of("list_filter([" + ", ".join(f"CASE WHEN contains(lower(body), '{n.lower()}') THEN '{n}' END" for n in names) + "], x -> x IS NOT NULL)")
-scalar("entities_datasets", lambda: join(E.named(c("body"), E.DATASETS)), NAMED(E.DATASETS))
-scalar("entities_diseases", lambda: join(E.named(c("body"), E.DISEASES)), NAMED(E.DISEASES))
+scalar("entities_datasets", lambda: join(E.named(c("body"), E.DATASETS, c("low"))), NAMED(E.DATASETS))
+scalar("entities_diseases", lambda: join(E.named(c("body"), E.DISEASES, c("low"))), NAMED(E.DISEASES))
 _said = "(contains(lower(body), 'data availability') OR contains(lower(body), 'data sharing'))"
 on_papers(
     "entities_availability", lambda p: p.select("paper_id", E.availability(c("body")).alias("a")).select("paper_id", "a.*"),
@@ -666,8 +666,8 @@ on_papers(
     f"is_available, CASE WHEN {_said} THEN {case([(f"contains(lower(body), '{r}')", lit(r)) for r in E.REPOSITORIES])} END AS repository FROM papers"
 )
 SORTED = lambda p, ci="(?i)": text_of(f"list_sort(list_distinct({ALL(p, 0, ci)}))")
-scalar("entities_code_urls", lambda: join(E.distinct_of(c("body"), E.CODE_URL)), SORTED(E.CODE_URL))
-scalar("entities_trials", lambda: join(E.distinct_of(c("body"), E.TRIAL, False)), SORTED(E.TRIAL, ""))
+scalar("entities_code_urls", lambda: join(E.distinct_of(c("body"), E.CODE_URL, True, c("low"))), SORTED(E.CODE_URL))
+scalar("entities_trials", lambda: join(E.distinct_of(c("body"), E.TRIAL, False, c("low"))), SORTED(E.TRIAL, ""))
 _drug = "(?i)^.+(mab|ib|vir|tide|pril|sartan|statin|zole|cycline)$|^(aspirin|insulin|metformin|warfarin|heparin)$"
 scalar(
     "entities_drugs", lambda: join(E.distinct_of(c("body"), E.DRUG)),
@@ -679,7 +679,7 @@ on_papers(
     + f") AS duration, CASE WHEN len(d) >= 2 THEN d[1] || ' - ' || d[-1] END AS dates FROM (SELECT *, regexp_extract_all(body, '{E.MONTH_YEAR}') AS d "
     f"FROM papers)"
 )
-scalar("entities_study_type", lambda: E.study_type(c("body")), case([(anyof("lower(body)", words), lit(k)) for k, words in E.STUDY_TYPES]))
+scalar("entities_study_type", lambda: E.study_type(c("body"), c("low")), case([(anyof("lower(body)", words), lit(k)) for k, words in E.STUDY_TYPES]))
 on_papers(
     "entities_indicators",
     lambda p: p.select(
@@ -694,16 +694,16 @@ on_papers(
 
 # --- scores ---------------------------------------------------------------------------------------------------------
 def _scored(p: DataFrame) -> DataFrame:
-    kind = E.study_type(c("body"))
+    p, body, low = p.withColumn("low", F.lower("body")), c("body"), c("low")
+    kind = F.replace(F.coalesce(E.study_type(body, low), F.lit("")), F.lit("_"), F.lit(" "))
     full = p.withColumns({
-        "study_types": F.when(c("doc_id") % 3 == 0, F.array(F.replace(F.coalesce(kind, F.lit("")), F.lit("_"), F.lit(" ")))).otherwise(F.array().cast("array<string>")),
-        "sample_sizes": E.sample_sizes(c("body")), "p_values": E.p_values(c("body")), "intervals": E.intervals(c("body")),
-        "effects": E.ratios(c("body"), "OR"),
-        "software": E.software(c("body")), "code": E.distinct_of(c("body"), E.CODE_URL), "data_available": E.availability(c("body"))["is_available"],
-        "n_entities": (c("doc_id") % 30), "methods": F.when(c("doc_id") % 2 == 0, c("body")),
-        "results": F.when(c("doc_id") % 4 == 0, F.lit("We used ANOVA.")), "introduction": F.lit(""), "discussion": F.lit("x"),
+        "study_types": F.when(c("doc_id") % 3 == 0, F.array(kind)).otherwise(F.array().cast("array<string>")), "sample_sizes": E.sample_sizes(body, low),
+        "p_values": E.p_values(body, low), "intervals": E.intervals(body, low), "effects": E.ratios(body, "OR"), "software": E.software(body, low),
+        "code": E.distinct_of(body, E.CODE_URL, True, low), "data_available": E.availability(body, low)["is_available"], "n_entities": (c("doc_id") % 30),
+        "methods": F.when(c("doc_id") % 2 == 0, body), "results": F.when(c("doc_id") % 4 == 0, F.lit("We used ANOVA.")), "introduction": F.lit(""),
+        "discussion": F.lit("x"),
     })
-    return Q.total(Q.components(full))
+    return Q.total(Q.components(full)).drop("low")
 
 
 _study = "CASE doc_id % 3 WHEN 0 THEN CASE kind WHEN 'rct' THEN 9 WHEN 'cohort' THEN 7 WHEN 'systematic_review' THEN 10 WHEN 'cross_sectional' THEN 0 WHEN 'case_control' THEN 0 WHEN 'case_report' THEN 2 ELSE 0 END ELSE " + case([(f"contains(lower(concat_ws(' ', abstract, title)), '{k}')", str(v)) for k, v in Q.STUDY_POINTS], "0") + " END / 10.0 * 20"
