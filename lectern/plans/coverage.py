@@ -45,7 +45,8 @@ _DOCUMENT = f"""'<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><
     '</idno>'
  || '<affiliation><orgName>Uni ' || CAST(doc_id % 5 AS STRING) || '</orgName><address><country>' || CASE doc_id % 2 WHEN 0 THEN 'France' ELSE 'Spain'
     END || '</country></address></affiliation></author></analytic>'
- || '<monogr><title level="j">' || {_ESC.format('venue')} || '</title></monogr><idno type="MD5">M' || CAST(doc_id AS STRING) ||
+ || '<monogr><title level="j">' || {_ESC.format('venue')} || '</title>' || CASE doc_id % 2 WHEN 0 THEN '<imprint><date when="' || CAST(1800 + doc_id % 230 AS STRING) || '-05"/></imprint>' ELSE '' END ||
+    '</monogr><idno type="MD5">M' || CAST(doc_id AS STRING) ||
     '</idno><idno type="DOI">' || {_ESC.format('doi')} || '</idno></biblStruct></sourceDesc></fileDesc>'
  || '<profileDesc><textClass><keywords><term>k' || CAST(doc_id % 4 AS STRING) || '</term><term>z</term></keywords></textClass><abstract><p>' || CASE
     doc_id % 3 WHEN 0 THEN 'Too short.' ELSE {_ESC.format("coalesce(abstract, 'none')")} END || '</p></abstract></profileDesc></teiHeader>'
@@ -125,7 +126,7 @@ on_variants(
     f"SELECT paper_id, CAST(length(a) AS INT) AS n, substr(a, 1, 12) AS head FROM (SELECT paper_id, CASE WHEN doc_id % 3 > 0 AND "
     f"length({st('abstract')}) > 100 THEN {st('abstract')} ELSE 'An abstract one  [1]  two  [2]' END AS a FROM papers)"
 )
-on_variants("tei_year", lambda v: v.select("paper_id", "tei_year"), "SELECT paper_id, CAST(1999 AS INT) AS tei_year FROM papers")
+on_variants("tei_year", lambda v: v.select("paper_id", "tei_year"), "SELECT paper_id, CAST(CASE doc_id % 2 WHEN 0 THEN 1800 + doc_id % 230 ELSE 1999 END AS INT) AS tei_year FROM papers")
 on_papers(
     "year_repair_tei",
     lambda p: p.select("paper_id", "year").join(_repaired(p), "paper_id", "left").select(
