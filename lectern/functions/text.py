@@ -109,7 +109,12 @@ def _year_in_range(c: Column, as_of: int) -> Column:
 
 def year_from_date(c: Column, as_of: int = AS_OF_YEAR) -> Column:
     """Leading four digits if that is a valid year, else the first 19xx or 20xx that stands alone."""
-    return F.coalesce(_year_in_range(F.regexp_extract(c, "^([0-9]{4})", 1), as_of), _year_in_range(F.regexp_extract(c, r"\b(19[0-9]{2}|20[0-9]{2})\b", 1), as_of))
+    return (
+        F.coalesce(
+            _year_in_range(F.regexp_extract(c, "^([0-9]{4})", 1), as_of),
+            _year_in_range(F.regexp_extract(c, r"\b(19[0-9]{2}|20[0-9]{2})\b", 1), as_of)
+        )
+    )
 
 
 def year_first(c: Column) -> Column:

@@ -52,7 +52,9 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     text = c("_head")
     listed = F.array_max(F.transform("study_types", lambda s: F.greatest(*(F.when(F.lower(s).contains(k), v).otherwise(0) for k, v in STUDY_POINTS))))
     study = F.when(some("study_types"), listed).otherwise(first_case([(text.contains(k), v) for k, v in STUDY_POINTS], 0)) / 10 * 20
-    sample = F.when(some("sample_sizes"), _bands(F.array_max("sample_sizes"), ((10000, 1.0), (1000, 0.8), (500, 0.6), (100, 0.4), (50, 0.2)), 0.1) * 15).otherwise(0.0)
+    sample = (
+        F.when(some("sample_sizes"), _bands(F.array_max("sample_sizes"), ((10000, 1.0), (1000, 0.8), (500, 0.6), (100, 0.4), (50, 0.2)), 0.1) * 15).otherwise(0.0)
+    )
     stats = (
         F.when(some("p_values"), 5).otherwise(0) + F.when(some("intervals"), 5).otherwise(0) + F.when(some("effects"), 3).otherwise(0)
         + F.when(contains_any(c("_told"), TESTS), 2).otherwise(0)
@@ -64,7 +66,10 @@ def components(p: DataFrame, as_of: int = AS_OF_YEAR) -> DataFrame:
     recency = F.when(year.isNull(), 0.0).otherwise(_bands(age, ((2, 1.0), (5, 0.8), (10, 0.5), (15, 0.3)), 0.1, False) * 10)
     rate = F.coalesce(F.try_divide(c("citations").cast("double"), age + 1), c("citations").cast("double"))
     cited = _bands(rate, ((50, 1.0), (20, 0.8), (10, 0.6), (5, 0.4), (1, 0.2)), 0.1) * 10
-    whole = sum((F.when(has(x), 1).otherwise(0) for x in ("title", "abstract", "introduction", "methods", "results", "discussion", "doi")), F.lit(0)) + F.when(c("num_references") > 0, 1).otherwise(0) + first_case([(c("n_entities") > 20, 2), (c("n_entities") > 10, 1)], 0)
+    whole = (
+        sum((F.when(has(x), 1).otherwise(0) for x in ("title", "abstract", "introduction", "methods", "results", "discussion", "doi")), F.lit(0))
+        + F.when(c("num_references") > 0, 1).otherwise(0) + first_case([(c("n_entities") > 20, 2), (c("n_entities") > 10, 1)], 0)
+    )
     links = contains_any(c("_linked"), ("github", "repository", "code available"))
     again = F.least(
         F.lit(5.0),
@@ -189,7 +194,10 @@ def four_factors(
     venue = first_case([(venue_level.isNotNull(), F.least(F.lit(20.0), venue_level * 5.0)), (good_venue, F.lit(15.0))], F.lit(5.0))
     author = first_case([(h_index.isNotNull(), F.least(F.lit(10.0), h_index / 5.0)), (has_authors, F.lit(3.0))], F.lit(0.0))
     whole = sum((F.when(n > least, 10.0).otherwise(0.0) for n, least in zip(lengths, (100, 500, 500), strict=True)), F.lit(0.0))
-    rich = sum((F.when(x, 5.0 if k == "doi" else 3.0).otherwise(0.0) for k, x in ids.items()), F.lit(0.0)) + first_case([(year > 2020, 3.0), (year > 2015, 1.0)], 0.0)
+    rich = (
+        sum((F.when(x, 5.0 if k == "doi" else 3.0).otherwise(0.0) for k, x in ids.items()), F.lit(0.0))
+        + first_case([(year > 2020, 3.0), (year > 2015, 1.0)], 0.0)
+    )
     total_ = F.least(F.lit(100.0), F.least(F.lit(20.0), cited / 10.0) + venue + author + whole + rich)
     return F.struct(
         F.round(total_, 6).alias("total"), cited.cast("long").alias("citations"), source.alias("source"), venue.alias("venue_points"),

@@ -61,7 +61,10 @@ def section_type(name: Column, table=NARROW) -> Column:
 def _merged(rows: DataFrame) -> DataFrame:
     """Sections of a type joined by a blank line, in their order."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    return rows.where("type IS NOT NULL AND content <> ''").groupBy("paper_id", "type").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("text"))
+    return (
+        rows.where("type IS NOT NULL AND content <> ''").groupBy("paper_id", "type")
+            .agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("text"))
+    )
 
 
 def sections_optimized(rows: DataFrame) -> DataFrame:
@@ -112,7 +115,9 @@ def hidden_results(sections: DataFrame) -> DataFrame:
     w = W.partitionBy("paper_id")
     known = sections.withColumn("known", F.max(((F.col("type") == "results") & (F.length("text") > 100)).cast("int")).over(w))
     rows = known.where((F.col("known") == 0) & ~F.col("type").isin("methods", "introduction") & statistical(F.col("text")))
-    return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "text"))), lambda x: x["text"]), "\n\n").alias("hidden"))
+    return (
+        rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "text"))), lambda x: x["text"]), "\n\n").alias("hidden"))
+    )
 
 
 # Fixed values of abstract recovery.
@@ -208,7 +213,9 @@ def post_process(papers: DataFrame, rows: DataFrame) -> DataFrame:
     maps = as_map(typed).join(hidden, "paper_id", "left")
     found = F.coalesce(F.col("hidden"), F.lit("")) != ""
     results = F.concat_ws("\n\n", F.col("sections")["results"], "hidden")
-    merged = F.when(found, F.map_concat(F.map_filter("sections", lambda k, v: k != "results"), F.create_map(F.lit("results"), results))).otherwise(F.col("sections"))
+    merged = (
+        F.when(found, F.map_concat(F.map_filter("sections", lambda k, v: k != "results"), F.create_map(F.lit("results"), results))).otherwise(F.col("sections"))
+    )
     both = papers.join(maps.select("paper_id", merged.alias("sections"), "hidden"), "paper_id", "left")
     both = both.withColumn("sections", F.coalesce("sections", F.create_map().cast("map<string,string>")))
     abstract = F.coalesce(F.when(F.length("abstract") > 0, F.col("abstract")), abstract_recovered(F.col("sections"), F.col("title")), F.lit(""))

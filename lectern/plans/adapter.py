@@ -60,7 +60,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ITEMS_SQL = "items AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE upper(doi) END AS doi, translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS title, CAST(2000 + doc_id % 20 AS STRING) AS year, 'Journal ' || CAST(doc_id % 7 AS STRING) AS venue, author, substr(abstract, 1, 100) AS abstract FROM papers WHERE doc_id % 2 = 0)"
+ITEMS_SQL = (
+    "items AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE upper(doi) END AS doi, translate(title, "
+    "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS title, CAST(2000 + doc_id % 20 AS STRING) AS year, 'Journal ' || CAST(doc_id % "
+    "7 AS STRING) AS venue, author, substr(abstract, 1, 100) AS abstract FROM papers WHERE doc_id % 2 = 0)"
+)
 PAPERS_SQL = "papers AS (SELECT " + ", ".join(f"{e} AS {k}" for k, e in FIELDS.items()) + " FROM documents)"
 
 
@@ -69,7 +73,9 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).where("pos > 0")
     head = F.element_at(F.array(*map(F.lit, HEADERS)), ((F.col("doc_id") + F.col("pos")) % len(HEADERS) + 1).cast("int"))
-    stat = F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, F.concat(F.lit("We conducted this study. n = 12 and p < 0.05. "), "content")).otherwise(F.col("content"))
+    stat = (
+        F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, F.concat(F.lit("We conducted this study. n = 12 and p < 0.05. "), "content")).otherwise(F.col("content"))
+    )
     return rows.select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("paper_id"), "pos", head.alias("header"), stat.alias("content"))
 
 

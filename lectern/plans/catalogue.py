@@ -147,7 +147,8 @@ _hd = st(rx(rx(rx(st("lower(header)"), r"^[0-9IVX]+\.?\s*"), r"^[0-9]+\.[0-9]+\.
 _hd = st(rx(rx(rx(rx(st("lower(header)"), r"^[0-9IVX]+\.?\s*"), r"^[0-9]+\.[0-9]+\.?\s*"), "[:\\-–—()]", " "), r"\s+", " "))
 add(
     "header_normalize",
-    lambda s, d: sections(s, d).groupBy("header", T.header(c("header")).alias("out"), T.header(T.header(c("header"))).alias("twice")).agg(F.count("*").alias("n")),
+    lambda s, d: sections(s, d).groupBy("header", T.header(c("header")).alias("out"), T.header(T.header(c("header"))).alias("twice"))
+        .agg(F.count("*").alias("n")),
     f"WITH {SECTIONS_SQL}, once AS (SELECT header AS h, {_hd} AS header FROM sections) SELECT h AS header, header AS out, {_hd} AS twice, count(*) "
     f"AS n FROM once GROUP BY ALL"
 )
@@ -299,7 +300,8 @@ on_papers(
 )
 on_papers(
     "issue_hist",
-    lambda p: p.select("paper_id", F.explode(_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("paper_id").alias("first")).orderBy(F.desc("n"), "issue").limit(20),
+    lambda p: p.select("paper_id", F.explode(_issues()).alias("issue")).groupBy("issue")
+        .agg(F.count("*").alias("n"), F.min("paper_id").alias("first")).orderBy(F.desc("n"), "issue").limit(20),
     f"SELECT issue, count(*) AS n, min(paper_id) AS first FROM (SELECT paper_id, unnest({ISSUES}) AS issue FROM papers) GROUP BY issue ORDER BY n "
     f"DESC, issue LIMIT 20"
 )
@@ -308,7 +310,10 @@ on_papers(
 def _pattern_groups(p: DataFrame) -> DataFrame:
     """Ranks are limited before the shuffle, so a pattern that most papers share never gathers their ids."""
     rows = p.where("n_sections > 0").select("paper_id", _missing().alias("missing"))
-    first = L.rank_first(rows, ["missing"], [c("paper_id")], 10).groupBy("missing").agg(F.array_join(F.array_sort(F.collect_list("paper_id")), ",").alias("ids"))
+    first = (
+        L.rank_first(rows, ["missing"], [c("paper_id")], 10).groupBy("missing")
+            .agg(F.array_join(F.array_sort(F.collect_list("paper_id")), ",").alias("ids"))
+    )
     return rows.groupBy("missing").agg(F.count("*").alias("n")).join(first, "missing")
 
 
@@ -397,7 +402,10 @@ on_papers(
 
 # --- linkage --------------------------------------------------------------------------------------------------------
 KEY = rx(st("lower(doi)"), "https?://doi.org/")
-LAST = f"last AS (SELECT {KEY} AS k, max(item_id) AS item_id FROM items WHERE doi <> '' GROUP BY 1), bytitle AS (SELECT substr({st('lower(title)')}, 1, 50) AS k, max(item_id) AS item_id FROM items WHERE title <> '' GROUP BY 1)"
+LAST = (
+    f"last AS (SELECT {KEY} AS k, max(item_id) AS item_id FROM items WHERE doi <> '' GROUP BY 1), bytitle AS (SELECT substr({st('lower(title)')}, "
+    f"1, 50) AS k, max(item_id) AS item_id FROM items WHERE title <> '' GROUP BY 1)"
+)
 
 
 def linked(name: str, run: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None) -> None:
@@ -425,14 +433,20 @@ linked(
     ).select("paper_id", "ref_item_id"),
     f"SELECT paper_id, item_id AS ref_item_id FROM papers LEFT JOIN bytitle ON substr({st('lower(papers.title)')}, 1, 50) = bytitle.k"
 )
-_both = f"FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN bytitle ON substr({st('lower(p.title)')}, 1, 50) = bytitle.k"
+_both = (
+    f"FROM papers p LEFT JOIN last ON {KEY.replace('lower(doi)', 'lower(p.doi)')} = last.k LEFT JOIN bytitle ON substr({st('lower(p.title)')}, 1, "
+    f"50) = bytitle.k"
+)
 linked(
     "link_doi_then_title", L.link_key_then_title,
     f"SELECT paper_id, coalesce(last.item_id, bytitle.item_id) AS item_id, CASE WHEN last.item_id IS NOT NULL THEN 'doi' WHEN bytitle.item_id IS "
     f"NOT NULL THEN 'title' END AS how {_both}"
 )
 # Every paper meets every item: no block, so that a lost link would show.
-PAIRS = "pairs AS (SELECT p.paper_id, p.title, p.author, p.year, i.item_id, i.title AS item_title, i.author AS item_author FROM papers p CROSS JOIN items i WHERE p.title <> '' AND i.title <> '')"
+PAIRS = (
+    "pairs AS (SELECT p.paper_id, p.title, p.author, p.year, i.item_id, i.title AS item_title, i.author AS item_author FROM papers p CROSS JOIN "
+    "items i WHERE p.title <> '' AND i.title <> '')"
+)
 
 
 linked(
@@ -483,7 +497,8 @@ add(
 )
 add(
     "skip_markers",
-    lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality").distinct(), "doc_id", "left").groupBy(F.coalesce(c("quality").cast("string"), F.lit("none")).alias("status")).agg(F.count("*").alias("n")),
+    lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality").distinct(), "doc_id", "left")
+        .groupBy(F.coalesce(c("quality").cast("string"), F.lit("none")).alias("status")).agg(F.count("*").alias("n")),
     "SELECT coalesce(CAST(quality AS STRING), 'none') AS status, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM "
     "labels) USING (doc_id) GROUP BY 1"
 )
@@ -494,7 +509,8 @@ linked(
 )
 on_papers(
     "stage_lineage",
-    lambda p: p.select("paper_id", F.explode(F.sequence(F.lit(1), F.expr(_stage))).alias("stage")).groupBy("paper_id").pivot("stage", [1, 2, 3, 4]).agg(F.lit(1)).select("paper_id", *(F.coalesce(c(str(k)), F.lit(0)).alias(f"s{k}") for k in (1, 2, 3, 4))),
+    lambda p: p.select("paper_id", F.explode(F.sequence(F.lit(1), F.expr(_stage))).alias("stage")).groupBy("paper_id").pivot("stage", [1, 2, 3, 4])
+        .agg(F.lit(1)).select("paper_id", *(F.coalesce(c(str(k)), F.lit(0)).alias(f"s{k}") for k in (1, 2, 3, 4))),
     "SELECT paper_id, " + ", ".join(f"CAST(({_stage}) >= {k} AS INT) AS s{k}" for k in (1, 2, 3, 4)) + " FROM papers"
 )
 on_papers(
@@ -535,7 +551,9 @@ on_papers(
 )
 linked(
     "status_markers",
-    lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_").groupBy(T.first_case([(~T.present(c("doi")), "no_key"), (c("ref_item_id").isNull(), "not_found")], "found").alias("status")).agg(F.count("*").alias("n")),
+    lambda p, i: L.link_equal(p, i.where(T.present(c("doi_key"))).select("doi_key", "item_id"), "doi_key", "item_id", "ref_")
+        .groupBy(T.first_case([(~T.present(c("doi")), "no_key"), (c("ref_item_id").isNull(), "not_found")], "found").alias("status"))
+        .agg(F.count("*").alias("n")),
     f"SELECT CASE WHEN p.doi = '' THEN 'no_key' WHEN last.item_id IS NULL THEN 'not_found' ELSE 'found' END AS status, count(*) AS n {_both} GROUP "
     f"BY 1"
 )
@@ -546,7 +564,8 @@ on_papers(
 )
 add(
     "dedup_exact_text",
-    lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"),
+    lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        .select("doc_id", "copies"),
     "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text"
 )
 on_papers(
@@ -558,7 +577,10 @@ on_papers(
 TYPE = lambda e, t=S.NARROW: case([(anyof(e, words), lit(k)) for k, words in t])
 _merge = lambda t: f"SELECT paper_id, type, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS text FROM ({t}) WHERE type IS NOT NULL AND content <> '' GROUP BY paper_id, type"
 OPTIMIZED = _merge(f"SELECT *, {TYPE('lower(header)')} AS type FROM sections")
-BASELINE = f"SELECT paper_id, type, arg_min(content, pos) AS text FROM (SELECT *, {TYPE('header')} AS type FROM sections) WHERE type IS NOT NULL GROUP BY paper_id, type"
+BASELINE = (
+    f"SELECT paper_id, type, arg_min(content, pos) AS text FROM (SELECT *, {TYPE('header')} AS type FROM sections) WHERE type IS NOT NULL GROUP BY "
+    f"paper_id, type"
+)
 _numbered = [(f"regexp_matches(lower(header), '{p}')", lit(k)) for p, k in S.NUMBERED]
 _place = [
     ("i = 1 AND length(header) > 3", "'introduction'"),
@@ -605,7 +627,11 @@ def _mapped(s: SparkSession, d: str) -> DataFrame:
     return papers(s, d).select("paper_id", "title", "abstract").join(S.as_map(S.sections_optimized(sections(s, d))), "paper_id")
 
 
-PIVOT = f"m AS (SELECT paper_id, CAST(sum(length(text)) AS BIGINT) AS total, " + ", ".join(f"max(CASE WHEN type = '{k}' THEN text END) AS {k}" for k in ("introduction", "methods", "results", "discussion", "conclusion")) + f" FROM ({OPTIMIZED}) GROUP BY paper_id)"
+PIVOT = (
+    f"m AS (SELECT paper_id, CAST(sum(length(text)) AS BIGINT) AS total, "
+    + ", ".join(f"max(CASE WHEN type = '{k}' THEN text END) AS {k}" for k in ("introduction", "methods", "results", "discussion", "conclusion"))
+    + f" FROM ({OPTIMIZED}) GROUP BY paper_id)"
+)
 WITH_MAP = f"WITH {PAPERS_SQL}, {SECTIONS_SQL}, {PIVOT}"
 _band = lambda *b: case([(f"total > {n}", str(v)) for n, v in b], "0")
 add("abstract_recovery", lambda s, d: _mapped(s, d).select("paper_id", S.abstract_recovered(c("sections"), c("title")).alias("abstract")))
@@ -706,7 +732,11 @@ def _scored(p: DataFrame) -> DataFrame:
     return Q.total(Q.components(full)).drop("low")
 
 
-_study = "CASE doc_id % 3 WHEN 0 THEN CASE kind WHEN 'rct' THEN 9 WHEN 'cohort' THEN 7 WHEN 'systematic_review' THEN 10 WHEN 'cross_sectional' THEN 0 WHEN 'case_control' THEN 0 WHEN 'case_report' THEN 2 ELSE 0 END ELSE " + case([(f"contains(lower(concat_ws(' ', abstract, title)), '{k}')", str(v)) for k, v in Q.STUDY_POINTS], "0") + " END / 10.0 * 20"
+_study = (
+    "CASE doc_id % 3 WHEN 0 THEN CASE kind WHEN 'rct' THEN 9 WHEN 'cohort' THEN 7 WHEN 'systematic_review' THEN 10 WHEN 'cross_sectional' THEN 0 "
+    "WHEN 'case_control' THEN 0 WHEN 'case_report' THEN 2 ELSE 0 END ELSE "
+    + case([(f"contains(lower(concat_ws(' ', abstract, title)), '{k}')", str(v)) for k, v in Q.STUDY_POINTS], "0") + " END / 10.0 * 20"
+)
 _max = f"list_max({NUM})"
 _m, _r = "CASE WHEN doc_id % 2 = 0 THEN body ELSE '' END", "CASE WHEN doc_id % 4 = 0 THEN 'We used ANOVA.' ELSE '' END"
 _age = "(2025 - try_cast(year AS INT))"
@@ -796,13 +826,17 @@ on_papers(
 )
 add(
     "gap_citation",
-    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20),
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+        .join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), c("l_partkey") == c("p_partkey"), "left_anti").groupBy("l_partkey")
+        .agg(F.count("*").alias("citers")).where("citers >= 2").orderBy(F.desc("citers"), "l_partkey").limit(20),
     "SELECT l_partkey, count(DISTINCT l_orderkey) AS citers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = "
     "0) GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2 ORDER BY citers DESC, l_partkey LIMIT 20"
 )
 add(
     "gap_author",
-    lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works")).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti").orderBy(F.desc("works"), "o_custkey").limit(10),
+    lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("works"))
+        .join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c("o_custkey") == c("c_custkey"), "left_anti")
+        .orderBy(F.desc("works"), "o_custkey").limit(10),
     "SELECT o_custkey, count(*) AS works FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP "
     "BY o_custkey ORDER BY works DESC, o_custkey LIMIT 10"
 )
@@ -926,13 +960,15 @@ for _name, (_sql, _) in TPC.items():
 add("approx_distinct", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts")))
 add(
     "session_windows",
-    lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", c("w.start").alias("start"), "n"),
+    lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+        .select("user_id", c("w.start").alias("start"), "n"),
     "SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) "
     "AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new "
     "FROM events)) GROUP BY user_id, s"
 )
 add(
     "sliding_windows",
-    lambda s, d: table(s, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(c("w.start").alias("start"), "n"),
+    lambda s, d: table(s, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+        .select(c("w.start").alias("start"), "n"),
     "SELECT CAST(date_trunc('hour', ts) - INTERVAL (k) HOUR AS TIMESTAMP) AS start, count(*) AS n FROM events, range(0, 2) AS r(k) GROUP BY 1"
 )

@@ -126,7 +126,10 @@ on_variants(
     f"SELECT paper_id, CAST(length(a) AS INT) AS n, substr(a, 1, 12) AS head FROM (SELECT paper_id, CASE WHEN doc_id % 3 > 0 AND "
     f"length({st('abstract')}) > 100 THEN {st('abstract')} ELSE 'An abstract one  [1]  two  [2]' END AS a FROM papers)"
 )
-on_variants("tei_year", lambda v: v.select("paper_id", "tei_year"), "SELECT paper_id, CAST(CASE doc_id % 2 WHEN 0 THEN 1800 + doc_id % 230 ELSE 1999 END AS INT) AS tei_year FROM papers")
+on_variants(
+    "tei_year", lambda v: v.select("paper_id", "tei_year"),
+    "SELECT paper_id, CAST(CASE doc_id % 2 WHEN 0 THEN 1800 + doc_id % 230 ELSE 1999 END AS INT) AS tei_year FROM papers"
+)
 on_papers(
     "year_repair_tei",
     lambda p: p.select("paper_id", "year").join(_repaired(p), "paper_id", "left").select(
@@ -219,7 +222,11 @@ add(
     f"text_chars FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n, sum(length(content)) AS chars_ FROM sections GROUP BY paper_id) USING "
     f"(paper_id)",
 )
-_type = "CASE json_type(v) WHEN 'VARCHAR' THEN CASE WHEN try_cast(v ->> '$' AS DOUBLE) IS NOT NULL THEN 'number' WHEN v ->> '$' IN ('true', 'false') THEN 'boolean' ELSE 'string' END WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END"
+_type = (
+    "CASE json_type(v) WHEN 'VARCHAR' THEN CASE WHEN try_cast(v ->> '$' AS DOUBLE) IS NOT NULL THEN 'number' WHEN v ->> '$' IN ('true', 'false') "
+    "THEN 'boolean' ELSE 'string' END WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' "
+    "ELSE 'number' END"
+)
 add(
     "json_kinds", lambda s, d: records.json_paths(table(s, d, "events"), "props"),
     f"SELECT key, {_type} AS kind, count(*) AS n FROM (SELECT key, json_extract(props, '$.' || key) AS v FROM (SELECT props, "
@@ -232,7 +239,8 @@ on_papers(
 )
 add(
     "extraction_profiles",
-    lambda s, d: K.profiles(s).groupBy("profile").agg(F.count("*").alias("parameters"), F.max(F.when(c("parameter") == "timeout", c("value").cast("int"))).alias("timeout")),
+    lambda s, d: K.profiles(s).groupBy("profile")
+        .agg(F.count("*").alias("parameters"), F.max(F.when(c("parameter") == "timeout", c("value").cast("int"))).alias("timeout")),
     "SELECT * FROM (VALUES ('maximum', CAST(15 AS BIGINT), CAST(300 AS INT)), ('balanced', 8, 60), ('minimal', 3, 30)) t(profile, parameters, "
     "timeout)"
 )
@@ -315,13 +323,20 @@ add(
     CASE WHEN doc_id % 3 = 0 THEN venue END AS venue, CAST(doc_id AS STRING) AS volume, '1' AS first_page, CAST(NULL AS STRING) AS last_page FROM
     papers""",
 )
-_access = "'{\"is_oa\": ' || CASE doc_id % 3 WHEN 0 THEN 'true' ELSE 'false' END || ', \"oa_status\": \"' || CASE doc_id % 3 WHEN 0 THEN 'gold' ELSE '' END || '\"' || CASE WHEN doc_id % 2 = 0 THEN ', \"best_oa_location\": {\"url_for_pdf\": \"http://x/' || paper_id || '\", \"license\": \"cc-by\"}' ELSE '' END || '}'"
+_access = (
+    "'{\"is_oa\": ' || CASE doc_id % 3 WHEN 0 THEN 'true' ELSE 'false' END || ', \"oa_status\": \"' || CASE doc_id % 3 WHEN 0 THEN 'gold' ELSE '' "
+    "END || '\"' || CASE WHEN doc_id % 2 = 0 THEN ', \"best_oa_location\": {\"url_for_pdf\": \"http://x/' || paper_id || '\", \"license\": "
+    "\"cc-by\"}' ELSE '' END || '}'"
+)
 on_papers(
     "payload_access", lambda p: payloads.flat_access(p.select("paper_id", F.expr(_access).alias("payload"))),
     "SELECT paper_id, doc_id % 3 = 0 AS is_oa, CASE WHEN doc_id % 3 = 0 THEN 'gold' END AS oa_status, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || "
     "paper_id END AS pdf_url, CAST(NULL AS STRING) AS repository, CASE WHEN doc_id % 2 = 0 THEN 'cc-by' END AS license FROM papers"
 )
-_medical = "'{\"pmid\": \"' || CASE doc_id % 4 WHEN 0 THEN '' ELSE paper_id END || '\", \"mesh_terms\": [{\"descriptor\": \"Humans\"}, {\"descriptor\": \"' || venue || '\"}], \"grants\": [' || CASE WHEN doc_id % 5 = 0 THEN '\"g\"' ELSE '' END || ']}'"
+_medical = (
+    "'{\"pmid\": \"' || CASE doc_id % 4 WHEN 0 THEN '' ELSE paper_id END || '\", \"mesh_terms\": [{\"descriptor\": \"Humans\"}, {\"descriptor\": "
+    "\"' || venue || '\"}], \"grants\": [' || CASE WHEN doc_id % 5 = 0 THEN '\"g\"' ELSE '' END || ']}'"
+)
 on_papers(
     "payload_medical",
     lambda p: payloads.flat_medical(p.select("paper_id", F.expr(_medical).alias("payload"))).select("paper_id", "pmid", joined("mesh_terms").alias("mesh_terms"), "has_grants", F.size(F.coalesce("chemicals", F.array())).alias("n_chemicals")),
@@ -332,7 +347,8 @@ on_papers(
 # --- linkage and merges ----------------------------------------------------------------------------------------------
 on_papers(
     "batches",
-    lambda p: K.batches(p.select("doc_id", "paper_id"), "doc_id", 64).groupBy("batch").agg(F.count("*").alias("n"), F.min("paper_id").alias("first"), F.max("place").alias("last_place")),
+    lambda p: K.batches(p.select("doc_id", "paper_id"), "doc_id", 64).groupBy("batch")
+        .agg(F.count("*").alias("n"), F.min("paper_id").alias("first"), F.max("place").alias("last_place")),
     "SELECT batch, count(*) AS n, min(paper_id) AS first, CAST(max(i % 64) AS INT) AS last_place FROM (SELECT paper_id, row_number() OVER (ORDER "
     "BY doc_id) - 1 AS i, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM papers) GROUP BY batch"
 )
@@ -490,7 +506,8 @@ FIELDS_24 = {
 N_CRITICAL = 6
 on_papers(
     "coverage_whole",
-    lambda p: R.coverage(p, {k: F.expr(v) for k, v in FIELDS_24.items()}).withColumn("light", Q.light(c("percent"))).withColumn("critical", c("field").isin(*list(FIELDS_24)[:N_CRITICAL])),
+    lambda p: R.coverage(p, {k: F.expr(v) for k, v in FIELDS_24.items()}).withColumn("light", Q.light(c("percent")))
+        .withColumn("critical", c("field").isin(*list(FIELDS_24)[:N_CRITICAL])),
     "SELECT field, present, percent, CASE WHEN percent >= 80 THEN 'green' WHEN percent >= 50 THEN 'yellow' ELSE 'red' END AS light, critical FROM ("
     + " UNION ALL ".join(
         f"SELECT '{k}' AS field, count_if({v}) AS present, round(100.0 * count_if({v}) / count(*), 6) AS percent, {str(i < N_CRITICAL).lower()} AS "
@@ -622,7 +639,8 @@ ORACLES["export_citations"] = (
 )
 add(
     "approx_distinct_bound",
-    lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.06 * F.count_distinct("l_partkey")).alias("within")),
+    lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag")
+        .agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.06 * F.count_distinct("l_partkey")).alias("within")),
     "SELECT l_returnflag, true AS within FROM lineitem GROUP BY 1",
 )
 
@@ -633,7 +651,8 @@ _SLIP = "CASE WHEN CAST(paper_id AS BIGINT) % 3 = 0 THEN replace(replace(header,
 _alike = lambda k: f"1 - levenshtein(norm, '{k}') / greatest(length(norm), {len(k)})::DOUBLE >= {S.FUZZY}"
 add(
     "sections_tiered",
-    lambda s, d: S.sections_tiered(sections(s, d).where("pos % 5 > 0").withColumn("header", F.expr(_SLIP))).groupBy("type", "tier").agg(F.count("*").alias("n")),
+    lambda s, d: S.sections_tiered(sections(s, d).where("pos % 5 > 0").withColumn("header", F.expr(_SLIP))).groupBy("type", "tier")
+        .agg(F.count("*").alias("n")),
     f"""WITH {SECTIONS_SQL}, slipped AS (SELECT paper_id, {_SLIP} AS header FROM sections WHERE pos % 5 > 0), once AS (SELECT *, {st('lower(header)')}
     AS low, {_hd} AS norm FROM slipped),
     one AS (SELECT paper_id, {case([(f"low = {lit(k)}", lit(k)) for k in S.CANONICAL])} AS t1, {TYPE('low')} AS t2,
@@ -659,7 +678,10 @@ def _recovered() -> str:
         )
         for k in ("conclusion", "discussion", "introduction", "methods", "results")
     ]
-    made = f"list_filter([{pick('methods', ('participants', 'assigned', 'conducted', 'we'))}, {pick('results', ('significant', 'found', 'demonstrated', 'showed'))}, {split('conclusion')}[1]], x -> x IS NOT NULL)"
+    made = (
+        f"list_filter([{pick('methods', ('participants', 'assigned', 'conducted', 'we'))}, "
+        f"{pick('results', ('significant', 'found', 'demonstrated', 'showed'))}, {split('conclusion')}[1]], x -> x IS NOT NULL)"
+    )
     return f"""{WITH_MAP}, parts AS (SELECT m.*, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{4,}}') AS words,
     CASE WHEN contains(methods, chr(10) || chr(10)) THEN split_part(methods, chr(10) || chr(10), 1) ELSE substr(methods, 1, 1500) END AS head FROM m
     JOIN papers USING (paper_id)), told AS (SELECT *, {made} AS made FROM parts)

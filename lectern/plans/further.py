@@ -104,7 +104,10 @@ scalar(
 )
 
 # --- mentions -------------------------------------------------------------------------------------------------------
-_MORE = "' Run using SciPy v1.2 and the Foo package, data from GSE' || CAST(doc_id AS STRING) || ', grant: AB-' || CAST(doc_id % 90 AS STRING) || ', funded by the ERC. See https://x.org/a?b=' || CAST(doc_id % 9 AS STRING) || ' .'"
+_MORE = (
+    "' Run using SciPy v1.2 and the Foo package, data from GSE' || CAST(doc_id AS STRING) || ', grant: AB-' || CAST(doc_id % 90 AS STRING) || ', "
+    "funded by the ERC. See https://x.org/a?b=' || CAST(doc_id % 9 AS STRING) || ' .'"
+)
 
 
 def _matches(patterns: tuple[str, ...], any_case: bool, once: bool) -> str:
@@ -114,7 +117,8 @@ def _matches(patterns: tuple[str, ...], any_case: bool, once: bool) -> str:
 
 on_papers(
     "entities_mentions",
-    lambda p: p.select("paper_id", F.expr(f"body || {_MORE}").alias("told")).select("paper_id", *E.mentions(c("told"))).select("paper_id", *(F.array_join(n, ";").alias(n) for n, *_ in E.MENTIONS)),
+    lambda p: p.select("paper_id", F.expr(f"body || {_MORE}").alias("told")).select("paper_id", *E.mentions(c("told")))
+        .select("paper_id", *(F.array_join(n, ";").alias(n) for n, *_ in E.MENTIONS)),
     f", told AS (SELECT paper_id, body || {_MORE} AS told FROM papers) SELECT paper_id, "
     + ", ".join(f"{_matches(p, any_case, once)} AS {n}" for n, p, any_case, once in E.MENTIONS) + " FROM told",
 )

@@ -75,7 +75,8 @@ _python = "regexp_extract_all(body, '(?i)Python\\s*([0-9.]+)?', 1)[1]"
 _r = "regexp_extract_all(body, '(?i)\\bR\\s+(?:version\\s*)?([0-9.]+)', 1)[1]"
 on_papers(
     "entity_search",
-    lambda p: X.entity_search(_with_entities(p), None, 100, 0.05, ["R 4.1"], ["MIMIC-III"], 2000).unionByName(X.entity_search(_with_entities(p), "cohort", 50, None, ["Python 3.9"])).select("paper_id"),
+    lambda p: X.entity_search(_with_entities(p), None, 100, 0.05, ["R 4.1"], ["MIMIC-III"], 2000)
+        .unionByName(X.entity_search(_with_entities(p), "cohort", 50, None, ["Python 3.9"])).select("paper_id"),
     f"""SELECT paper_id FROM papers WHERE list_max({NUM}) >= 100 AND list_min(list_transform({ALL(E.P_VALUE)}, x -> CAST(x AS DOUBLE))) <= 0.05 AND
     {_r} = '4.1' AND contains(lower(body), 'mimic-iii') AND try_cast(year AS INT) >= 2000
     UNION ALL SELECT paper_id FROM papers WHERE {case([(anyof('lower(body)', words), lit(k)) for k, words in E.STUDY_TYPES])} = 'cohort' AND

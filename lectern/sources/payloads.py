@@ -289,7 +289,10 @@ def whole_graph_work(rows: DataFrame, payload: str = "payload") -> DataFrame:
 
 # What readers know of an open-access record and of a medical index's record.
 ACCESS = "is_oa boolean, oa_status string, best_oa_location struct<url_for_pdf: string, repository: string, license: string>"
-MEDICAL = "pmid string, mesh_terms array<struct<descriptor: string>>, chemicals array<struct<name: string>>, publication_types array<string>, grants array<string>"
+MEDICAL = (
+    "pmid string, mesh_terms array<struct<descriptor: string>>, chemicals array<struct<name: string>>, publication_types array<string>, grants "
+    "array<string>"
+)
 
 
 def flat_access(rows: DataFrame, payload: str = "payload") -> DataFrame:

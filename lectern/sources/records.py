@@ -60,7 +60,10 @@ def json_paths(rows: DataFrame, column: str) -> DataFrame:
     """(key, kind, n): how often each key of a JSON object has a number, text, truth value, null, list or object."""
     each = rows.select(F.col(column).alias("_j"), F.explode(F.expr(f"json_object_keys({column})")).alias("key"))
     raw = F.from_json("_j", "map<string,string>")[F.col("key")]
-    kind = F.when(raw.isNull(), "null").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").when(raw.isin("true", "false"), "boolean").when(raw.try_cast("double").isNotNull(), "number").otherwise("string")
+    kind = (
+        F.when(raw.isNull(), "null").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").when(raw.isin("true", "false"), "boolean")
+            .when(raw.try_cast("double").isNotNull(), "number").otherwise("string")
+    )
     return each.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -70,7 +73,10 @@ def is_side_file(name: Column) -> Column:
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a file; paper_id is the file's stem, broken files keep their text in _corrupt."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
+    rows = (
+        spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
+    )
     name = F.col("_metadata.file_name")
     return rows.where(~is_side_file(name)).withColumn("paper_id", F.regexp_extract(name, r"^(.*)\.json$", 1))
 

@@ -120,7 +120,9 @@ def test_changed_and_pending(spark):
 def test_vector_ranking_without_query(spark):
     from lectern.operators.scoring import top_similar
 
-    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "vec_id long, embedding array<float>")
+    rows = (
+        spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "vec_id long, embedding array<float>")
+    )
     assert [(r.vec_id, r.similarity) for r in top_similar(rows, rows.where("vec_id = 0"), 2).collect()] == [(0, 1.0), (1, 1.0)]
     assert top_similar(rows, rows.where("vec_id = 99"), 2).count() == 0
 

@@ -69,7 +69,11 @@ def test_worked_score(spark):
         "study_types": ["randomized controlled trial"], "sample_sizes": [500], "p_values": [0.01], "intervals": ["95%"], "effects": [],
         "software": ["R"], "code": ["github.com/a/b"], "data_available": False,
     }
-    kinds = "title string, abstract string, venue string, year string, citations int, methods string, results string, introduction string, discussion string, doi string, num_references int, n_entities int, study_types array<string>, sample_sizes array<long>, p_values array<double>, intervals array<string>, effects array<double>, software array<string>, code array<string>, data_available boolean"
+    kinds = (
+        "title string, abstract string, venue string, year string, citations int, methods string, results string, introduction string, discussion "
+        "string, doi string, num_references int, n_entities int, study_types array<string>, sample_sizes array<long>, p_values array<double>, "
+        "intervals array<string>, effects array<double>, software array<string>, code array<string>, data_available boolean"
+    )
     rows = spark.createDataFrame([tuple(row.values())], kinds)
     got = {y: Q.total(Q.components(rows, y)).first() for y in (2025, 2023)}
     assert (got[2025].score, got[2025].grade, got[2023].score) == (75.5, "A-", 79.5)

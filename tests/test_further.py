@@ -81,8 +81,15 @@ def test_gaps(spark):
     found = spark.createDataFrame([("1", "s", "R"), ("1", "s", "R"), ("2", "s", "R"), ("2", "s", "x")], "paper_id string, kind string, entity string")
     wanted = spark.createDataFrame([("s", "R"), ("s", "Julia"), ("s", "R")], "kind string, entity string")
     assert {(r.entity, r.papers) for r in X.entity_coverage(found, wanted).collect()} == {("R", 2), ("Julia", 0)}
-    rows = spark.createDataFrame([(1, True, False, 90), (2, True, True, 59), (3, True, True, 60), (4, None, True, 99)], "id int, has_code boolean, has_data boolean, score int")
+    rows = (
+        spark.createDataFrame(
+            [(1, True, False, 90), (2, True, True, 59), (3, True, True, 60), (4, None, True, 99)],
+            "id int, has_code boolean, has_data boolean, score int"
+        )
+    )
     ids = lambda x: sorted(r.id for r in x.collect())
     assert (ids(X.reproducible(rows)), ids(X.reproducible(rows, "code")), ids(X.reproducible(rows, "data"))) == ([3], [1, 3], [3, 4])
-    sizes = spark.createDataFrame([(1, [5, 2000], "RCT"), (2, [], "rct"), (3, None, "rct"), (4, [1000], None)], "id int, sample_sizes array<int>, study_type string")
+    sizes = (
+        spark.createDataFrame([(1, [5, 2000], "RCT"), (2, [], "rct"), (3, None, "rct"), (4, [1000], None)], "id int, sample_sizes array<int>, study_type string")
+    )
     assert (ids(X.large_studies(sizes)), ids(X.large_studies(sizes, 1000, "rct"))) == ([1, 4], [1])

@@ -23,7 +23,10 @@ def sides(spark):
     i = [(r.item_id, r.title, [r.author], r.year) for r in items(spark, DIR).collect()]
     p += [(f"e{k}", t, ["Ann"], str(2000 + k % 2)) for k, t in enumerate(EXTRA)]
     i += [(10_000 + k, t.upper(), ["ann"], "2000") for k, t in enumerate([BASE, "OF THE", *EXTRA[4:]])]
-    frames = spark.createDataFrame(p, "paper_id string, title string, authors array<string>, year string"), spark.createDataFrame(i, "item_id long, title string, authors array<string>, year string")
+    frames = (
+        spark.createDataFrame(p, "paper_id string, title string, authors array<string>, year string"),
+        spark.createDataFrame(i, "item_id long, title string, authors array<string>, year string")
+    )
     return frames, p, i
 
 

@@ -17,7 +17,11 @@ TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0">{}</TEI>'
 
 
 def test_quality_example(spark):
-    fields = "title string, abstract string, venue string, year string, citations int, methods string, results string, introduction string, discussion string, num_references int, doi string, study_types array<string>, sample_sizes array<int>, p_values array<double>, intervals array<string>, effects array<double>, software array<string>, code array<string>, n_entities int, data_available boolean"
+    fields = (
+        "title string, abstract string, venue string, year string, citations int, methods string, results string, introduction string, discussion "
+        "string, num_references int, doi string, study_types array<string>, sample_sizes array<int>, p_values array<double>, intervals "
+        "array<string>, effects array<double>, software array<string>, code array<string>, n_entities int, data_available boolean"
+    )
     row = (
         "T", "A", "nature medicine", "2023", 25, "anova", "r", None, None, 0, None, ["randomized controlled trial"], [500], [0.01], ["95%"], [],
         ["R"], ["github.com/a/b"], 8, False

@@ -59,7 +59,10 @@ def test_header_twice(spark):
 
 
 def test_entities(spark):
-    text = "We enrolled 120 patients (n = 120), p < 0.05 and P=0.01; 95% CI, OR = 1.5. SPSS version 26.0, NCT01234567 in May 2019 to June 2021, a 2 year follow-up of metformin."
+    text = (
+        "We enrolled 120 patients (n = 120), p < 0.05 and P=0.01; 95% CI, OR = 1.5. SPSS version 26.0, NCT01234567 in May 2019 to June 2021, a 2 "
+        "year follow-up of metformin."
+    )
     row = spark.createDataFrame([(text,)], "t string").select(
         E.sample_sizes(F.col("t")).alias("n"), E.p_values(F.col("t")).alias("p"), E.ratios(F.col("t"), "OR").alias("o"),
         E.software(F.col("t")).alias("s"), E.distinct_of(F.col("t"), E.TRIAL, False).alias("c"), E.date_range(F.col("t")).alias("d"),
