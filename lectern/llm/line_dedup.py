@@ -293,7 +293,9 @@ def _dealt(docs: DataFrame, built: DataFrame, shards: int, kind: str, bound: int
             own = _NULL if doc is None or doc != doc else int(doc)
             out.append(_outcome(parts, np.array([last.get((a, b), own) != own for a, b in h.tolist()], bool)))
         n, gone, kept = zip(*out, strict=True)
-        return pd.DataFrame({"doc_id": left.doc_id.to_numpy(), "n_lines": n, "n_dropped": gone, "kept_text": [x.decode("utf-8", "surrogatepass") for x in kept]})
+        return (
+            pd.DataFrame({"doc_id": left.doc_id.to_numpy(), "n_lines": n, "n_dropped": gone, "kept_text": [x.decode("utf-8", "surrogatepass") for x in kept]})
+        )
 
     # A block's texts are bounded, unless it is one document.
     held = whole.select(F.col("doc_id").cast("string"), "text", "block")

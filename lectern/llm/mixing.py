@@ -38,7 +38,9 @@ def n_words(text: Column) -> Column:
 
 def targets(sizes: pd.DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST_COPIES) -> pd.DataFrame:
     """source, source_size -> target, by sharing all sizes by weight and resharing what is above most * size."""
-    s = sizes.sort_values("source", key=lambda c: c.map(lambda x: (x is None or x != x, "" if x is None or x != x else x)), kind="stable").reset_index(drop=True)
+    s = (
+        sizes.sort_values("source", key=lambda c: c.map(lambda x: (x is None or x != x, "" if x is None or x != x else x)), kind="stable").reset_index(drop=True)
+    )
     w = np.array([weights[i % len(weights)] for i in range(len(s))], float)
     cap = most * s.source_size.to_numpy(float)
     left, out, free = float(s.source_size.sum()), np.zeros(len(s)), np.ones(len(s), bool)
@@ -143,7 +145,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int
         copies, take = quota(pdf._lectern_size.to_numpy(), pdf.n.to_numpy(), float(pdf.target.iloc[0]))
         return pdf[[*keys, "source_size", "target"]].assign(copies=copies, take=take)
 
-    fitted = by_size.join(goal, "_lectern_source").groupBy("_lectern_source").applyInPandas(fit, "_lectern_source string, _lectern_size long, source_size long, target double, copies int, take long")
+    fitted = (
+        by_size.join(goal, "_lectern_source").groupBy("_lectern_source")
+            .applyInPandas(fit, "_lectern_source string, _lectern_size long, source_size long, target double, copies int, take long")
+    )
     before = F.sum("n").over(W.partitionBy(*keys).orderBy("_lectern_b")) - F.col("n")
     return written(by_bucket.withColumn("before", before).join(fitted, keys).drop("n"), "mix-plan")
 

@@ -216,7 +216,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "found"]
             )
 
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, found array<struct<s:bigint,k:int,e:bigint,base:boolean,votes:int,x:array<int>>>"
+    schema = (
+        f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS)
+        + ", base_sha256 string, found array<struct<s:bigint,k:int,e:bigint,base:boolean,votes:int,x:array<int>>>"
+    )
     return written(texts(docs).mapInArrow(run, schema), "pii")
 
 

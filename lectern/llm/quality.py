@@ -40,7 +40,10 @@ BINS, STEP = 1600, 0.05
 _CLASS = np.zeros(256, np.uint8)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 for _c in range(256):
-    _CLASS[_c] = 0 if 97 <= _c <= 122 else 1 if 65 <= _c <= 90 else 2 if 48 <= _c <= 57 else 4 if _c == 10 else 5 if _c >= 128 else 6 + _SIGNS.index(_c) if _c in _SIGNS else 3
+    _CLASS[_c] = (
+        0 if 97 <= _c <= 122 else 1 if 65 <= _c <= 90 else 2 if 48 <= _c <= 57 else 4 if _c == 10 else 5 if _c >= 128 else 6 + _SIGNS.index(_c)
+        if _c in _SIGNS else 3
+    )
 _N = 6 + len(_SIGNS)
 WIDTH = _N * _N + _N + 18
 
@@ -159,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: in
                 ["doc_id", "y", "x"]
             )
 
-    described = chosen.withColumn("y", F.col("y").cast("int")).unionByName(wild).mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
+    described = (
+        chosen.withColumn("y", F.col("y").cast("int")).unionByName(wild)
+            .mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
+    )
 
     def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]

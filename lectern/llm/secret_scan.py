@@ -60,7 +60,12 @@ def _found(text: Column, number: int, pattern: str, group: int, least: int) -> C
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         own = F.struct(s.alias("s"), F.lit(number).alias("k"), (s + x["size"]).alias("e"), F.xxhash64(x["value"]).alias("h"))
-        return F.struct((s + x["size"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+        return (
+            F.struct(
+                (s + x["size"]).alias("at"),
+                F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out")
+            )
+        )
 
     spans = F.aggregate(each, start, step, lambda acc: acc["out"])
     held = F.lower(text) if KINDS[number] == "assign" else text

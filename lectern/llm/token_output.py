@@ -274,7 +274,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         )
 
     rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    dealt = (
+        rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    )
     return folder, written(dealt.mapInArrow(run, "partition int, file string, docs long, ids long"), "token-files")
 
 
@@ -311,7 +313,9 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, with_ids: bo
     # A row for each partition that was written, so its number is bounded by the number of tasks.
     base = files.groupBy("partition").agg(F.sum("ids").alias("n"))
     base = base.select("partition", (F.sum("n").over(W.orderBy("partition")) - F.col("n")).alias("base"))
-    return docs.join(F.broadcast(base), "partition").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return (
+        docs.join(F.broadcast(base), "partition").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    )
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:

@@ -89,7 +89,9 @@ def test_lines_with_and_without_broadcast(spark):
 def test_decontamination_slices(spark, bench):
     item = " ".join(f"w{i}" for i in range(14))
     items = bench.unionByName(spark.createDataFrame([("7", item), ("8", "b a")], "item_id string, text string"))
-    docs = spark.createDataFrame([(1, "x " + " ".join(f"W{i}" for i in range(2, 14)) + " y"), (2, "a b"), (3, "Same... text here!")], "doc_id long, text string")
+    docs = (
+        spark.createDataFrame([(1, "x " + " ".join(f"W{i}" for i in range(2, 14)) + " y"), (2, "a b"), (3, "Same... text here!")], "doc_id long, text string")
+    )
     one, two = ({r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.decontaminate(docs, items, slice_words=s).collect()} for s in (10**6, 1))
     assert one == two == {1: (14, 12, ["7"]), 2: (2, 0, []), 3: (3, 3, ["1"])}
     near = decontam.proximity_matches(docs, items, slack=2).collect()
@@ -99,7 +101,10 @@ def test_decontamination_slices(spark, bench):
 def test_simhash_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60)
-    fps = {int(b ^ sum(1 << int(i) for i in rng.choice(62, k, False))) for b in base for k in (0, 2, 4, 7) for _ in range(4)} | {int(base[0] ^ (1 << i)) for i in range(60)}
+    fps = (
+        {int(b ^ sum(1 << int(i) for i in rng.choice(62, k, False))) for b in base for k in (0, 2, 4, 7) for _ in range(4)}
+        | {int(base[0] ^ (1 << i)) for i in range(60)}
+    )
     prints = spark.createDataFrame(list(enumerate(sorted(fps))), "doc_id long, fp long")
     for bound in (4096, 8):
         got = {r.rep: r.component for r in simhash.near_components(prints, bound=bound).collect()}
