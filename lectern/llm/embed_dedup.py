@@ -12,10 +12,11 @@ pairs collide and how often they meet in a table. The number of sign bits grows
 vectors, so work grows little faster than the input. Cells are needed because a window alone holds a fixed share of all
 vectors on any line: at 0.95 some 0.6 of them, which would be a quadratic number of pairs.
 
-Counting needs no vectors: a row of the first search is a cell, a number, its place along the table's line and twelve
+Counting needs no vectors: a row of the first search is a cell, a number, its place along the table's line and 24
 projections of 8 bits. Vectors are joined to those rows only that have a partner with enough collisions, and the second
-search repeats windows and counts exactly and verifies. What is shuffled per table is thus some 40 bytes a vector, and the
-vectors only as often as they have candidates.
+search repeats windows and counts exactly and verifies. What is shuffled per table is thus some 50 bytes a vector, and the
+vectors only as often as they have candidates. 24 lines leave few of those by chance: a pair of unrelated vectors
+collides on 0.44 of them, a pair at the threshold on 0.99.
 
 A pair that meets in several tables counts in the first of them only, so links are summed without listing pairs, and
 each cell hands on a spanning forest of its links for the components. Equal vectors are one class with a size.
@@ -42,7 +43,7 @@ from lectern.llm.common import small, written
 from lectern.llm.graph import components, in_groups, split_hot
 
 #: Most rows of a cell that are handled as one group, counted lines, and vectors to calibrate on.
-CELL_BOUND, COUNTED, SAMPLE = 4096, 12, 1000
+CELL_BOUND, COUNTED, SAMPLE = 4096, 24, 1000
 #: Steps of a window in which the counted projections travel.
 STEPS = 16
 #: What share of the pairs at the threshold must meet in a table, and what share of those must reach the count.
@@ -105,7 +106,7 @@ def _collisions(p: dict):
     """
 
     def search(c: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        q = np.concatenate([np.ascontiguousarray(c[x]).view(np.uint8).reshape(-1, 8) for x in ("q1", "q2")], 1)[:, :COUNTED].astype(np.int16)
+        q = np.concatenate([np.ascontiguousarray(c[x]).view(np.uint8).reshape(-1, 8) for x in ("q1", "q2", "q3")], 1).astype(np.int16)
         along, marked = c["along"].astype(np.float64), np.zeros(len(q), bool)
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             for X, Y in _windows(along, lo, hi, p["window"] + 1e-4, c["own"] if c["a"][lo] != c["b"][lo] else None):
@@ -216,20 +217,27 @@ def _of_length(rows: DataFrame, dim: int, threshold: float, seed: int, bound: in
             V = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             P, t = V / np.linalg.norm(V, axis=1)[:, None] @ lines, p["tables"]
             k = (cells(P, p) + (np.arange(t, dtype=np.int64) << 40)).ravel()
-            q = np.zeros((len(V), 16), np.uint8)
-            q[:, :COUNTED] = np.clip(np.floor(P[:, -COUNTED:] * (STEPS / p["window"])) + 128, 0, 255)
+            q = np.clip(np.floor(P[:, -COUNTED:] * (STEPS / p["window"])) + 128, 0, 255).astype(np.uint8)
             of = np.repeat(np.arange(len(V)), t)
             marks = q.view(np.int64)[of]
             along = pa.array(P[:, :t].ravel().astype(np.float32))
-            yield pa.record_batch([pa.array(k), b.column(1).take(pa.array(of)), along, *(pa.array(marks[:, i].copy()) for i in (0, 1))], ["k", "cid", "along", "q1", "q2"])
+            yield pa.record_batch(
+                [pa.array(k), b.column(1).take(pa.array(of)), along, *(pa.array(marks[:, i].copy()) for i in range(3))],
+                ["k", "cid", "along", "q1", "q2", "q3"]
+            )
 
     some = classes.repartition(max(2, min(2000, classes.rdd.getNumPartitions()))).select("v", "cid")
-    small_rows = some.mapInArrow(keyed, "k long, cid long, along float, q1 long, q2 long")
+    small_rows = some.mapInArrow(keyed, "k long, cid long, along float, q1 long, q2 long, q3 long")
     # Vectors travel to those cells only in which they have a partner to verify.
-    near = in_groups(split_hot(small_rows, "k", bound), "k", _collisions(p), "k long, cid long").distinct()
+    near = written(in_groups(split_hot(small_rows, "k", bound), "k", _collisions(p), "k long, cid long").distinct(), "near")
     dealt = near.join(classes, "cid").select("k", "v", "vec_id", "n", "cid")
     links = written(in_groups(split_hot(dealt, "k", bound), "k", _search(p, lines, threshold), "cid long, n long, u long, v long"), "links")
     totals = links.groupBy("cid").agg(F.sum("n").alias("others"))
     found = components(links.select("u", "v"))
     named = classes.select("cid", "vec_id", F.col("n").alias("size"), "v").join(totals, "cid", "left").join(found, F.col("vec_id") == F.col("node"), "left")
-    return named.select("v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
+    return (
+        named.select(
+            "v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
+            F.coalesce("label", "vec_id").alias("component_id")
+        )
+    )
