@@ -173,6 +173,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: i
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED) -> DataFrame:
-    """docs as the mix takes them: each document as often as it is taken, with its columns."""
+    """docs as the mix takes them: each document as often as it is taken, with all its columns.
+
+    Documents of size 0 are taken 0 times; rows that repeat are documents of their own; a null source is a source. An empty
+    table, and one of empty texts, gives an empty one.
+    """
     rows = _decided(docs, _keyed(docs, seed), weights, seed).where("_lectern_copies > 0")
     return rows.withColumn("_lectern_i", F.explode(F.sequence(F.lit(1), F.col("_lectern_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
