@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import STOP_WORDS, jaccard, jaccard_stop, present, title_key, tokens
+from lectern.sources.shared import kept
 
 # Fixed values of the candidate searches; none of them decides what is found.
 GRAM, RANKED, SALTS = 21, 20_000, 32
+#: Most short titles that are broadcast, at 16 bytes each.
+FEW = 500_000
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -31,7 +34,9 @@ def link_equal(papers: DataFrame, source: DataFrame, key: str, order: str, prefi
 def link_key_then_title(papers: DataFrame, source: DataFrame) -> DataFrame:
     """By doi_key, else by the title's first 50 characters: (paper_id, item_id, how)."""
     by_doi = last_of_each(source.where(present(F.col("doi_key"))), "doi_key", "item_id").select(F.col("doi_key"), F.col("item_id").alias("_d"))
-    by_title = last_of_each(source.withColumn("tk", title_key(F.col("title"))).where(present(F.col("tk"))), "tk", "item_id").select("tk", F.col("item_id").alias("_t"))
+    by_title = (
+        last_of_each(source.withColumn("tk", title_key(F.col("title"))).where(present(F.col("tk"))), "tk", "item_id").select("tk", F.col("item_id").alias("_t"))
+    )
     both = papers.withColumn("tk", title_key(F.col("title"))).join(by_doi, "doi_key", "left").join(by_title, "tk", "left")
     return both.select(
         "paper_id", F.coalesce("_d", "_t").alias("item_id"),
@@ -40,8 +45,9 @@ def link_key_then_title(papers: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _titles(rows: DataFrame, name: str) -> DataFrame:
-    """Distinct lower-cased titles: what is compared, so that copies of a title are compared once."""
-    return rows.where(present(F.col("title"))).select(F.lower("title").alias(name)).distinct()
+    """Distinct lower-cased titles: what is compared, so that copies of a title are compared once. Written, for the searches
+    read them several times and making them may mean reading whole texts."""
+    return kept(rows.where(present(F.col("title"))).select(F.lower("title").alias(name)).distinct(), "titles")
 
 
 def _ranks(words: DataFrame) -> DataFrame:
@@ -65,30 +71,30 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))))
 
 
-def _hashed_grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(_grams(text, GRAM), lambda g: F.xxhash64(g)))
+def _hashed_grams(text: Column, *sizes: int) -> Column:
+    return F.array_distinct(F.transform(F.flatten(F.array(*(_grams(text, k) for k in sizes))), lambda g: F.xxhash64(g)))
 
 
-def held_in(needles: DataFrame, n: str, hay: DataFrame, h: str) -> DataFrame:
+def held_in(needles: DataFrame, n: str, hay: DataFrame, h: str, few: int = FEW) -> DataFrame:
     """(n, h) with the first 50 characters of n in h.
 
-    A needle of GRAM characters and more looks up its rarest gram, which every match holds; what is shuffled for it are
-    hashes of grams and of titles, and what two hashes have in common is verified on the titles. A shorter needle is a
-    gram itself: titles are cut to the sizes that occur (fewer than GRAM) and meet it by equality.
+    A needle of GRAM characters and more looks up its rarest gram, which every match holds; a shorter needle is a gram
+    itself, among grams of the sizes that occur. What is joined are hashes of grams and of titles, and what two titles
+    have in common is verified on them. Up to `few` short needles (a hash each) are broadcast.
     """
-    first = needles.select(n, F.substring(n, 1, 50).alias("first"))
-    long = first.where(F.length("first") >= GRAM).select(n, "first", F.xxhash64(n).alias("_a"))
-    held = hay.where(F.length(h) >= GRAM).select(F.xxhash64(h).alias("_b"), F.explode(_hashed_grams(F.col(h))).alias("k"))
-    each = long.select("_a", F.explode(_hashed_grams(F.col("first"))).alias("k"))
+    first = kept(needles.select(n, F.substring(n, 1, 50).alias("first"), F.xxhash64(n).alias("_a")), "needles")
+    marked = hay.select(h, F.xxhash64(h).alias("_b"))
+    long, short = first.where(F.length("first") >= GRAM), first.where(F.length("first") < GRAM)
+    held = marked.where(F.length(h) >= GRAM).select("_b", F.explode(_hashed_grams(F.col(h), GRAM)).alias("k"))
+    each = long.select("_a", F.explode(_hashed_grams(F.col("first"), GRAM)).alias("k"))
     rarest = each.join(_ranks(held), "k", "left").groupBy("_a").agg(F.min_by("k", F.struct(F.coalesce("n", F.lit(0)), "k")).alias("k"))
     pairs = rarest.join(held, "k").select("_a", "_b")
-    found = pairs.join(long, "_a").join(hay.select(h, F.xxhash64(h).alias("_b")), "_b").where(F.col(h).contains(F.col("first"))).select(n, h)
-    short = first.where(F.length("first") < GRAM)
-    sizes = sorted(r["size"] for r in short.select(F.length("first").alias("size")).distinct().collect())
-    if not sizes:
-        return found
-    cut = hay.select(h, F.explode(F.flatten(F.array(*(_grams(F.col(h), k) for k in sizes)))).alias("first"))
-    return found.unionByName(cut.join(short, "first").select(n, h))
+    sizes = {r["size"]: r["n"] for r in short.groupBy(F.length("first").alias("size")).agg(F.count("*").alias("n")).collect()}
+    if sizes:
+        asked = short.select("_a", F.xxhash64("first").alias("k"))
+        cut = marked.select("_b", F.explode(_hashed_grams(F.col(h), *sorted(sizes))).alias("k"))
+        pairs = pairs.unionByName(cut.join(F.broadcast(asked) if sum(sizes.values()) <= few else asked, "k").select("_a", "_b"))
+    return pairs.join(first, "_a").join(marked, "_b").where(F.col(h).contains(F.col("first"))).select(n, h).distinct()
 
 
 def link_contains(papers: DataFrame, source: DataFrame) -> DataFrame:
@@ -111,7 +117,10 @@ def overlapping(a: DataFrame, b: DataFrame, words: Callable[[Column], Column], f
     ranks = _ranks(left.select(F.explode("w").alias("k")).unionAll(right.select(F.explode("w").alias("k"))))
 
     def keyed(rows: DataFrame, t: str) -> DataFrame:
-        each = rows.select(t, F.explode("w").alias("k")).join(ranks, "k", "left").groupBy(t).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))).alias("w"))
+        each = (
+            rows.select(t, F.explode("w").alias("k")).join(ranks, "k", "left").groupBy(t)
+                .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))).alias("w"))
+        )
         size = F.size("w")
         some = each.select(t, size.alias(f"size_{t}"), F.explode(F.slice("w", F.lit(1), size - F.ceil(size * least).cast("int") + 1)["k"]).alias("k"))
         return some.unionByName(rows.where(F.size("w") == 0).select(t, F.lit(0).alias(f"size_{t}"), F.concat(F.lit("\0"), t).alias("k")))
@@ -178,7 +187,10 @@ def link_seqratio(papers: DataFrame, source: DataFrame, floor: float = 0.8) -> D
     reach = (2 - least) / least
     size = lambda t: F.floor(F.log(F.length(t).cast("double")) / math.log(reach)).cast("int")
     a = _titles(papers, "t").select("t", size("t").alias("k"), F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt"))
-    b = _titles(source, "u").select("u", F.explode(F.array(*(size("u") + i for i in (-1, 0, 1)))).alias("k")).select("u", "k", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    b = (
+        _titles(source, "u").select("u", F.explode(F.array(*(size("u") + i for i in (-1, 0, 1)))).alias("k"))
+            .select("u", "k", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    )
     near = F.greatest(F.length("t"), F.length("u")) <= F.least(F.length("t"), F.length("u")) * reach
     found = a.join(b, ["k", "salt"]).where(near).select("t", "u").withColumn("ratio", seq_ratio(F.col("t"), F.col("u"), least)).where(F.col("ratio") >= least)
     same = F.when(F.col("year") == F.col("item_year"), 0.1).otherwise(0.0)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.sources.shared import own_folder
+
 
 def pending(rows: DataFrame, processed: DataFrame, stage: str, version: int) -> DataFrame:
     """Rows whose (paper_id, stage, version) is not in the processed table."""
@@ -24,7 +23,10 @@ def changed(rows: DataFrame, known: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str) -> StreamingQuery:
     """Appends the landing folder's new JSON records to a Parquet table, each once, then stops."""
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.json").json(landing)
-    return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return (
+        rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+            .trigger(availableNow=True).start()
+    )
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -42,20 +44,12 @@ def finished_windows(events: DataFrame, path: str, size: str = "1 hour", late: s
     root = own_folder(spark, "stream")
     # As a pattern, for a stream takes any other path to be a folder.
     rows = spark.readStream.schema(events.schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    closed = windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), size, late).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
-    query = closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    closed = (
+        windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), size, late).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    )
+    query = (
+        closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+            .trigger(availableNow=True).start()
+    )
     query.awaitTermination()
     return spark.read.schema(closed.schema).parquet(f"{root}/out")
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, removed when the driver's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path

@@ -83,3 +83,12 @@ def test_registered_queries_pass_first_words(spark, tmp_path):
         for k in ("contains", "jaccard_stop", "jaccard_author", "seqratio")
     }
     assert got == {"contains": {16, 23, 27}, "jaccard_stop": {16, 23, 27}, "jaccard_author": {16, 23, 27, 29}, "seqratio": {16, 23, 27, 29}}
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_short_titles_are_found_whether_broadcast_or_not(spark, few):
+    needles = spark.createDataFrame([("soil",), ("a",), ("deep learning for soil bacteria",), ("missing",)], "t string")
+    hay = spark.createDataFrame([("on deep learning for soil bacteria",), ("soil",), ("bcd",)], "u string")
+    got = {tuple(r) for r in L.held_in(needles, "t", hay, "u", few).collect()}
+    whole = "on deep learning for soil bacteria"
+    assert got == {("soil", whole), ("soil", "soil"), ("a", whole), ("deep learning for soil bacteria", whole)}
