@@ -14,7 +14,7 @@ from lectern.functions.text import STOP_WORDS, jaccard, jaccard_stop, present, t
 from lectern.sources.shared import kept
 
 # Fixed values of the candidate searches; none of them decides what is found.
-GRAM, RANKED, SALTS = 21, 20_000, 32
+GRAM, RANKED, SALTS = 21, 5_000, 32
 #: Most short titles that are broadcast, at 16 bytes each.
 FEW = 500_000
 
@@ -51,8 +51,9 @@ def _titles(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _ranks(words: DataFrame) -> DataFrame:
-    """(k, n) of the most frequent keys. Rarity only orders the keys of a title, so a bounded list loses no pair."""
-    return F.broadcast(words.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(RANKED))
+    """(k, n) of the most frequent keys. Rarity only orders the keys of a title, so a bounded list loses no pair; keys that
+    stand in one title alone, which most do, are left out before the list is made."""
+    return F.broadcast(words.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "k").limit(RANKED))
 
 
 def _rows_of(found: DataFrame, papers: DataFrame, source: DataFrame, *also: str) -> DataFrame:
