@@ -45,8 +45,19 @@ FIELDS = {
 }
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Bytes up to which a table is dealt over all cores before costly work on each row.
+SMALL = 1 << 30
+
+
+def spread(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows dealt over all cores if the table is small: it may be one file of one row group, which is one task's work."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= most else rows
+
+
+def papers(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(docs) if dealt else docs
     return docs.selectExpr(*(f"{e} AS {k}" for k, e in FIELDS.items()))
 
 

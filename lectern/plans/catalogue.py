@@ -35,8 +35,12 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
         ORACLES[name] = whole(re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql).replace(" , ", ", "))
 
 
+#: Queries that search whole texts for much: their papers are dealt over all cores if they are few.
+COSTLY = ("entities_", "entity_", "quality_", "strengths_", "gap_", "search_", "discovery_")
+
+
 def on_papers(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    add(name, lambda s, d: run(papers(s, d)), sql and f"WITH {PAPERS_SQL} {sql}")
+    add(name, lambda s, d: run(papers(s, d, name.startswith(COSTLY))), sql and f"WITH {PAPERS_SQL} {sql}")
 
 
 def scalar(name: str, out: Callable[[], Column], sql: str) -> None:
@@ -857,7 +861,7 @@ on_papers(
 
 # --- semi-structured ------------------------------------------------------------------------------------------------
 def _tei(s: SparkSession, d: str) -> DataFrame:
-    p = papers(s, d)
+    p = papers(s, d, True)
     esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(
         F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(c("title")),

@@ -62,7 +62,7 @@ _DOCUMENT = f"""'<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><
 
 
 def _variants(s: SparkSession, d: str) -> DataFrame:
-    return tei_variants.read_variants(papers(s, d).select("paper_id", F.expr(_DOCUMENT).alias("xml")))
+    return tei_variants.read_variants(papers(s, d, True).select("paper_id", F.expr(_DOCUMENT).alias("xml")))
 
 
 def on_variants(name: str, run, sql: str) -> None:
