@@ -81,7 +81,7 @@ PAPERS_SQL = "papers AS (SELECT " + ", ".join(f"{e} AS {k}" for k, e in FIELDS.i
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, pos, header, content): the lines of a text behind its first, with headers dealt out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).where("pos > 0")
     head = F.element_at(F.array(*map(F.lit, HEADERS)), ((F.col("doc_id") + F.col("pos")) % len(HEADERS) + 1).cast("int"))
     stat = (
