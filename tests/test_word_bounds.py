@@ -23,7 +23,7 @@ def texts(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["entities_software", "entity_search", "quality_score", "quality_grade_hist"])
+@pytest.mark.parametrize("name", ["entities_software", "entity_search", "quality_score", "quality_grade_hist", "discovery_filter"])
 def test_same_as_sql(spark, texts, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{texts}/documents.parquet/*.parquet'")
