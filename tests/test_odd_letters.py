@@ -41,7 +41,7 @@ def texts(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["quality_score"])
+@pytest.mark.parametrize("name", ["quality_score", "quality_grade_hist"])
 def test_same_as_sql(spark, texts, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{texts}/documents.parquet/*.parquet'")
