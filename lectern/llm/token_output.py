@@ -23,16 +23,19 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shared_dir, small, strings, texts, written
+from lectern.llm.common import shared_dir, strings, texts, written
 
 MAGIC = b"S8B1"
 # Values a word and bits a value, by selector. Selectors 0 and 1 are runs of ones, 15 is the escape.
@@ -41,6 +44,10 @@ WIDTHS = [0, 0, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64]
 BLOCK, FILE_IDS = 16_384, 2_000_000
 END_ID = 1
 _NULL = -(2**63)
+# Between pieces: no id, as a tokenizer has fewer than 2^24 of them.
+_BETWEEN = b"\xff" * 4
+# Bytes of text that are split together, and unseen pieces that are encoded at once.
+_TOGETHER, _AT_ONCE = 4_000_000, 50_000
 
 
 def encode_block(ids: np.ndarray) -> np.ndarray:
@@ -49,52 +56,45 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     ids = ids.astype(np.uint64)
-    wide = np.zeros(n + COUNTS[0], np.uint64)  # places behind the end fit everywhere
+    wide = np.zeros(n + COUNTS[2], np.uint64)  # places behind the end fit everywhere
     wide[:n] = ids
     slim = wide.astype(np.uint32) if ids.max() < 1 << 32 else wide
-    choice = np.full(n, 15, np.int8)
+    # The first selector whose bits hold a value, then the largest of these over as many values as each selector takes.
+    need = np.full(len(wide), 2, np.uint8)
+    for w in WIDTHS[2:15]:
+        if w < 8 * slim.itemsize:
+            need += slim > slim.dtype.type((1 << w) - 1)
+    choice, over = np.full(n, 15, np.uint8), 1
     for s in range(14, 1, -1):
-        c, w = COUNTS[s], WIDTHS[s]
-        if slim.itemsize == 4 and w > 31:
-            choice[:] = s
-            continue
-        over = slim > slim.dtype.type((1 << w) - 1)
-        most = np.count_nonzero(over)
-        if most > len(over) - c:
-            continue
-        if not most:
-            choice[:] = s
-            continue
-        if c == 1:
-            choice[~over[:n]] = s
-            continue
-        bad = np.zeros(len(wide) + 1, np.int32)
-        np.cumsum(over, out=bad[1:])
-        choice[bad[c : c + n] == bad[:n]] = s
+        step, over = COUNTS[s] - over, COUNTS[s]
+        if step:
+            need = np.maximum(need[:-step], need[step:])
+        np.putmask(choice, need[:n] <= s, s)
     ones = ids == 1
     for s in (1, 0):
         if np.count_nonzero(ones) >= COUNTS[s]:
             run = np.concatenate([[0], np.cumsum(~ones)])
             choice[np.flatnonzero(run[COUNTS[s] :] == run[: n + 1 - COUNTS[s]])] = s
-    take = np.array(COUNTS)[choice]
-    nxt = (np.arange(n) + take).tolist()
+    take = np.array(COUNTS, np.uint8)[choice].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
-        i = nxt[i]
+        i += take[i]
     at = np.array(at)
     sel = choice[at]
     place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(sel == 15)[:-1]])
     words = np.zeros(len(at) + int((sel == 15).sum()), np.uint64)
     words[place] = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel).tolist():
-        own = sel == s
+        own = np.flatnonzero(sel == s)
         p, first = place[own], at[own]
         if s == 15:
             words[p + 1] = ids[first]
         elif s > 1:
-            for k in range(COUNTS[s]):
-                words[p] |= wide[first + k] << np.uint64(k * WIDTHS[s])
+            word = wide[first]
+            for k in range(1, COUNTS[s]):
+                word |= wide[first + k] << np.uint64(k * WIDTHS[s])
+            words[p] |= word
     return words
 
 
@@ -151,17 +151,20 @@ class Encoder:
     """Ids as little-endian u32 bytes, by the tokenizers library.
 
     Where the tokenizer squeezes white space first and lets no token hold any, pieces between ASCII white space are
-    encoded once and kept, across the tasks of a worker. A piece that was not seen is split as the tokenizer's own
-    pattern splits it, and its parts, kept likewise, go to the library's model; pieces outside plain Latin text go
-    through the whole tokenizer.
+    encoded once and kept, across the tasks of a worker. Pieces that were not seen are split, many at once, as the
+    tokenizer's own pattern splits them, and their parts, kept likewise, go to the library's model together; pieces
+    outside plain Latin text go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 350_000):
+        import re
+
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
         steps = (rules.get("normalizer") or {}).get("normalizers", [])
@@ -174,45 +177,92 @@ class Encoder:
             and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and rules["model"]["type"] == "BPE"
         )
         if self.apart:
-            self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
+            self.parts["\n"] = _BETWEEN
+            # Below U+0250 each letter is lowered, and found normal, by itself.
+            own = [c for c in map(chr, range(0x250)) if c.isprintable() and c not in " <\u0130" and is_normalized("NFC", c)]
+            self.odd = re.compile("[^\n" + re.escape("".join(own)) + "]").search
+            # The pattern with the plain letters and numbers listed in its brackets is one for re, which is faster.
+            pattern = split[0]["pattern"]["Regex"]
+            kinds = {k: re.escape("".join([c for c in own if regex.match(rf"\p{{{k}}}", c)])) for k in "LN"}
+            listed = re.sub(r"\\p\{([LN])\}", lambda m: kinds[m[1]], pattern)
+            simple = r"\p" not in re.sub(r"\[.*?\]", "", pattern) and r"\p" not in listed
+            self.find = re.compile(listed + r"|\n").findall if simple else regex.compile(pattern + r"|\n").findall
             # The byte-level alphabet: printable bytes stand for themselves, the others for what follows U+00FF.
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in own]
-            self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+            letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)} | {32: " "}
+            self.letters = "".join([letters[b] for b in range(256)])
+            # The model alone, on words of that alphabet between spaces.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
+            suffix, vocab = rules["model"]["end_of_word_suffix"], rules["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, word: str) -> bytes:
-        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        out = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        if len(self.parts) < self.most:
-            self.parts[word] = out
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each part of plain pieces. A word's last id alone has the end-of-word suffix."""
+        letters = charmap_decode(" ".join(words).encode(), "strict", self.letters)[0]
+        raw = array("I", self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids).tobytes()
+        ends = (4 * np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 4).tolist()
+        if len(ends) == len(words) and ends[-1] == len(raw):
+            return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return [array("I", [t.id for t in self.tokenizer.model.tokenize(w)]).tobytes() for w in letters.split(" ")]
+
+    def plain(self, text: str) -> list[bytes]:
+        """The ids of each of the plain pieces between line feeds."""
+        return b"".join(self.known(self.find(text.lower()), self.parts, self.words)).split(_BETWEEN)
+
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        text, odd = "\n".join(pieces), self.odd
+        if not odd(text):
+            return self.plain(text)
+        plain = iter(self.plain("\n".join([x for x in pieces if not odd(x)])))
+        return [self.whole(x) if odd(x) else next(plain) for x in pieces]
+
+    def known(self, keys: list[str], kept: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each key: those kept, the others encoded together."""
+        out = list(map(kept.get, keys))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        new, made = list({keys[i] for i in gaps}), {}
+        for i in range(0, len(new), _AT_ONCE):
+            made.update(zip(new[i : i + _AT_ONCE], encode(new[i : i + _AT_ONCE]), strict=True))
+        for i in gaps:
+            out[i] = made[keys[i]]
+        kept.update(islice(made.items(), max(0, self.most - len(kept))))  # frequent keys come early, so the first ones stay
         return out
 
-    def piece(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "surrogatepass")
-        if "<" in text or not (
-            text.isascii() and text.isprintable() or max(text) < "\u0250" and is_normalized("NFC", text) and text.isprintable()
-            and "\u0130" not in text
-        ):
-            return self.whole(text)
-        get = self.parts.get
-        return b"".join([get(w) or self.part(w) for w in self.find(text.lower())])
+    def joined(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; pieces that texts repeat are looked up once."""
+        split = pc.ascii_split_whitespace(texts)
+        pieces = split.values.dictionary_encode()
+        ids = self.known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces, self.fresh)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which, flat = pieces.indices.to_numpy(), np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum(np.append(0, sizes[which]))
+        # The ids of piece after piece, each from where its own begin in flat.
+        flat = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], np.diff(ends))]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield flat[i:j]
+
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; texts of some megabytes are worked on together."""
+        if not self.apart:
+            for text in strings(texts):
+                yield np.frombuffer(self.whole(text), "<u4")
+            return
+        texts = texts.fill_null("")
+        group = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // _TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield from self.joined(texts.slice(i, j - i))
 
     def __call__(self, text: str) -> bytes:
-        if not self.apart:
-            return self.whole(text)
-        seen, pieces = self.pieces, text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        new = {p: self.piece(p) for p in set(pieces) if p not in seen}
-        if len(seen) < self.most:  # frequent pieces come early, so the first ones stay
-            seen.update(new)
-            return b"".join([seen[p] for p in pieces])
-        return b"".join([seen[p] if p in seen else new[p] for p in pieces])
+        return next(self.many(pa.array([text]))).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -242,7 +292,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
     _folder(spark, folder)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,9 +308,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             made.append((part, name, len(held), n))
             held, n, before, k = [], 0, before + n, k + 1
 
-        for b in small(batches):
-            for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                ids = np.frombuffer(code(text) + end, "<u4")
+        for b in batches:
+            for doc, ids in zip(b.column(0).to_pylist(), code.many(b.column(1)), strict=True):
+                ids = np.append(ids, end)
                 held.append((_NULL if doc is None else doc, ids))
                 n += len(ids)
                 if n >= file_ids:
